@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berrak.llm import chat_format, compression_bands, decontaminate, sharding, warc_derive
+from berrak.llm import chat_format, compression_bands, decontaminate, importance_resampling, sharding, soft_mixing, toxicity_mil, warc_derive
 from berrak.llm.tables import table
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = toxicity_mil.train(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    scored = toxicity_mil.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_toxic_sentences", "toxic_spans")
+
+
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log weight of every document, and whether it is drawn."""
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page."""
     return warc_derive.derive(warc_derive.responses(table(spark, sf_dir, "pages")), ("page_id",))
@@ -42,13 +56,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, rate and copies of every document under the target weights."""
+    labelled = soft_mixing.domains_of_labels(table(spark, sf_dir, "labels"))
+    mixed = soft_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, ["doc_id"])
+    names = sorted(soft_mixing.TARGETS)
+    return mixed.select("doc_id", "n_tokens", *[F.col("posterior")[k].alias(f"p_{n}") for k, n in enumerate(names)], "rate", "copies")
+
+
 def op10_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, with the bytes it brings."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     return sharding.place(docs)
 
 
-QUERIES = {f.__name__: f for f in (op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op10_permutation_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op3_importance_resampling, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
 
 _ESCAPED = r"""regexp_replace(replace({}, '\', '\\'), '([<\[])(/?(?:s>|SYS\]|INST\]|OUT\]|ROLE\]))', '\1\\\2', 'g')"""
 
