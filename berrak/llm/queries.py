@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berrak.llm import chat_format, compression_bands, decontaminate, importance_resampling, sharding, soft_mixing, toxicity_mil, warc_derive
+from berrak.llm import bag_minhash, chat_format, compression_bands, decontaminate, importance_resampling, sharding, soft_mixing, toxicity_mil, warc_derive
 from berrak.llm.tables import table
 
 
@@ -23,6 +23,11 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return bag_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page."""
     return warc_derive.derive(warc_derive.responses(table(spark, sf_dir, "pages")), ("page_id",))
@@ -70,7 +75,7 @@ def op10_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op3_importance_resampling, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op3_importance_resampling, op4_bag_minhash, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
 
 _ESCAPED = r"""regexp_replace(replace({}, '\', '\\'), '([<\[])(/?(?:s>|SYS\]|INST\]|OUT\]|ROLE\]))', '\1\\\2', 'g')"""
 
