@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berrak.llm import bag_minhash, chat_format, compression_bands, decontaminate, importance_resampling, sharding, soft_mixing, toxicity_mil, warc_derive
+from berrak.llm import bag_minhash, chat_format, compression_bands, decontaminate, importance_resampling, run_length_index, sharding, soft_mixing, toxicity_mil, warc_derive
 from berrak.llm.tables import table
 
 
@@ -18,6 +18,11 @@ def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences", "n_toxic_sentences", "toxic_spans")
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes that repeat earlier strings of 100 bytes."""
+    return run_length_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log weight of every document, and whether it is drawn."""
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -75,7 +80,7 @@ def op10_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op3_importance_resampling, op4_bag_minhash, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_run_length_index, op3_importance_resampling, op4_bag_minhash, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
 
 _ESCAPED = r"""regexp_replace(replace({}, '\', '\\'), '([<\[])(/?(?:s>|SYS\]|INST\]|OUT\]|ROLE\]))', '\1\\\2', 'g')"""
 
