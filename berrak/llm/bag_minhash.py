@@ -10,9 +10,10 @@ hundreds of documents, which are then done again with twice the limit.
 
 Signatures are banded; documents that share a band are candidates, and candidates are verified
 by the overlap of their multisets of shingles. Small buckets are compared pair by pair, large
-ones with a leader each (another one for each band); where that leaves several components in a
-large bucket, its members are joined exactly, over their rarest shingles. Copies of a text are
-one candidate.
+ones with a leader each (another one for each band). Where that leaves several components in a
+large bucket, these are a family, and all its texts but those of the largest component are held
+against the whole family, in blocks of bounded size that give one link per text and component.
+Copies of a text are one candidate.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ class Settings:
     similarity: float = 0.8
     bands: int = 30
     rows: int = 5
-    small_bucket: int = 40
+    small_bucket: int = 6
+    block: int = 256
 
     @property
     def size(self) -> int:
@@ -161,23 +164,37 @@ def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _over_rare_shingles(members: DataFrame, units: DataFrame, s: Settings) -> DataFrame:
-    """All pairs of ``members`` (id, component) of different components that may be similar enough.
-
-    Of two similar texts, one of the rarest shingles of either, as many as may differ and one
-    more, is among the rarest of the other.
-    """
-    mine = members.join(units, "id")
-    each = written(mine.select("id", "component", F.size("units").alias("n"), F.explode("units").alias("unit")), "rare")
-    often = each.groupBy("unit").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "unit").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "unit"))).alias("units"))
-    prefix = ranked.select("id", "component", "n", F.explode(F.slice("units", F.lit(1), (F.col("n") - F.ceil(F.col("n") * s.similarity) + 1).cast("int"))).alias("u")).select("id", "component", "n", F.col("u.unit").alias("unit"))
-    prefix = written(prefix, "prefix")
-    mixed = prefix.groupBy("unit").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("unit")
-    one = prefix.join(mixed, "unit")
-    a, b = (one.toDF("unit", f"id_{k}", f"component_{k}", f"n_{k}") for k in "ab")
-    near = (F.col("component_a") < F.col("component_b")) & (F.least("n_a", "n_b") >= s.similarity * F.greatest("n_a", "n_b"))
-    return _ordered(a.join(b, "unit").where(near), "id_a", "id_b")
+def _links_across(asked: pd.DataFrame, among: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """For each asked text and each other component, one text of it that is similar enough."""
+    out: list[tuple[int, int]] = []
+    if len(asked) and len(among):
+        sizes = among["units"].map(len).to_numpy()
+        units = np.concatenate(among["units"].to_numpy())
+        order = np.argsort(units)
+        units, owner = units[order], np.repeat(np.arange(len(among)), sizes)[order]
+        ids, component = among["id"].to_numpy(), among["component"].to_numpy()
+        for id_, own, mine in zip(asked["id"], asked["component"], asked["units"], strict=True):
+            lo, hi = np.searchsorted(units, mine, "left"), np.searchsorted(units, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(among))
+            near = np.flatnonzero((both >= s.similarity * (sizes + len(mine) - both)) & (component != own))
+            _, one = np.unique(component[near], return_index=True)
+            out += [(int(id_), int(ids[k])) for k in near[one]]
+    return pd.DataFrame(out, columns=["x", "y"]).astype("int64")
+
+
+def _across(rest: DataFrame, units: DataFrame, s: Settings) -> DataFrame:
+    """Links between components of a family (id, component, family): every text outside the family's
+    largest component against all of the family, in blocks of bounded size."""
+    sized = rest.groupBy("family", "component").agg(F.count("*").alias("n"))
+    family = sized.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    known = rest.join(family, "family").join(units, "id").withColumns({"asked_blocks": F.ceil((F.col("n") - F.col("most")) / s.block).cast("int"), "among_blocks": F.ceil(F.col("n") / (8 * s.block)).cast("int")})
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = known.where("component <> largest").select("family", "id", "component", "units", block("asked_blocks").alias("p"), every("among_blocks").alias("q"), F.lit(True).alias("asked"))
+    among = known.select("family", "id", "component", "units", every("asked_blocks").alias("p"), block("among_blocks").alias("q"), F.lit(False).alias("asked"))
+    return asked.unionByName(among).groupBy("family", "p", "q").applyInPandas(lambda x: _links_across(x[x["asked"]], x[~x["asked"]], s), "x long, y long")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -199,15 +216,16 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = each.select("ids", F.posexplode("ids").alias("k", "x")).select("x", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("y"))
     pairs = written(_ordered(first.unionByName(met.where(F.col("n") > s.small_bucket).select(F.col("id").alias("x"), F.col("leader").alias("y"))), "x", "y"), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    text_of = some.select(F.col("doc_id").alias("id"), "text", "digest").join(texts.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "text")
-    units = written(text_of.join(wanted, "id", "left_semi").mapInArrow(lambda x: _units(x, s), "id long, units array<long>").groupBy("id").agg(F.any_value("units").alias("units")), "units")
+    text_of = some.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    units = written(text_of.mapInArrow(lambda x: _units(x, s), "id long, units array<long>").groupBy("id").agg(F.any_value("units").alias("units")), "units")
     links = written(_verified(pairs, units, s), "links")
     found = components(links)
     large = met.where(F.col("n") > s.small_bucket).select("id", "band").join(found, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-    split = large.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = written(large.join(split, "band", "left_semi").select("id", "component").distinct(), "rest")
+    split = large.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "lo")
+    rest = written(large.join(split, "band").select("id", "component", "lo").distinct(), "rest")
     if not rest.isEmpty():
-        more = _verified(_over_rare_shingles(rest, units, s), units, s)
+        family = components(rest.select(F.col("component").alias("a"), F.col("lo").alias("b"))).toDF("component", "family")
+        more = _ordered(_across(rest.select("id", "component").distinct().join(family, "component"), units, s), "x", "y")
         found = components(links.union(more))
     named = texts.select("digest", "id").join(found, "id", "left").select("digest", F.col("id").alias("text_id"), F.coalesce("component", "id").alias("class_id"))
     rows = sketched.select("doc_id", "digest").join(named, "digest")
