@@ -216,7 +216,8 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = each.select("ids", F.posexplode("ids").alias("k", "x")).select("x", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("y"))
     pairs = written(_ordered(first.unionByName(met.where(F.col("n") > s.small_bucket).select(F.col("id").alias("x"), F.col("leader").alias("y"))), "x", "y"), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    text_of = some.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    # The candidates grow with the corpus: a merge join at every size, never a broadcast that later gives way to one.
+    text_of = some.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     units = written(text_of.mapInArrow(lambda x: _units(x, s), "id long, units array<long>").groupBy("id").agg(F.any_value("units").alias("units")), "units")
     links = written(_verified(pairs, units, s), "links")
     found = components(links)
