@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from berrak.functions import numbers
 from berrak.functions.turkish import is_upper_word, quote, turkish_lower
 from berrak.operators import matching, morphology
-from berrak.operators.segment import WORD_LIKE, sentences, tokens
+from berrak.operators.segment import TOKEN, WORD_LIKE, sentences, tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
 
 SENT = ["doc_id", "para_idx", "sent_no"]
-FINDING = [*SENT, "start", "text", "message", "suggestion", "fix", "confidence", "severity"]
+FINDING = [*SENT, "tok_idx", "start", "text", "message", "suggestion", "fix", "confidence", "severity"]
 
 
 @dataclass
@@ -71,12 +71,13 @@ def rule(id_: str, name: str, category: str, severity: str = "uyarı") -> Callab
     return add
 
 
-def finding(rows: DataFrame, text: Column, message: Column | str, start: Column | None = None, suggestion: Column | None = None, fix: Column | None = None, confidence: Column | float = 1.0, severity: Column | None = None) -> DataFrame:
+def finding(rows: DataFrame, text: Column, message: Column | str, start: Column | None = None, suggestion: Column | None = None, fix: Column | None = None, confidence: Column | float = 1.0, severity: Column | None = None, tok: Column | None = None) -> DataFrame:
+    """Finding rows. ``tok``, or a column tok_idx, is the token where a finding begins; ``start`` then follows from it."""
     as_col = lambda x: F.lit(x) if not isinstance(x, Column) else x
     null = F.lit(None).cast("string")
     place = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("int")
     score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(confidence).cast("double"))), 2)
-    return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), (start if start is not None else F.lit(0)).cast("int").alias("start"), text.alias("text"), as_col(message).alias("message"), (suggestion if suggestion is not None else null).alias("suggestion"), F.nullif(fix, text).alias("fix") if fix is not None else null.alias("fix"), score.alias("confidence"), (severity if severity is not None else null).alias("severity"))
+    return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), (tok if tok is not None else place("tok_idx")).cast("int").alias("tok_idx"), (start if start is not None else F.lit(0)).cast("int").alias("start"), text.alias("text"), as_col(message).alias("message"), (suggestion if suggestion is not None else null).alias("suggestion"), F.nullif(fix, text).alias("fix") if fix is not None else null.alias("fix"), score.alias("confidence"), (severity if severity is not None else null).alias("severity"))
 
 
 def spans(rows: DataFrame, pattern: str, group: int = 0) -> DataFrame:
@@ -120,7 +121,7 @@ def passive(t: Tables) -> DataFrame:
 
 @rule("KD-C04", "Olumsuzluk", "cümle")
 def negation(t: Tables) -> DataFrame:
-    rows = _flagged(t, "negative").groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token"))
+    rows = _flagged(t, "negative").groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token"), F.min("tok_idx").alias("tok_idx"))
     return finding(rows, F.col("token"), "Cümleyi olumlu kurun.", confidence=0.6)
 
 
@@ -130,7 +131,7 @@ def double_negation(t: Tables) -> DataFrame:
     inner = (F.col("m.negative") & ~F.col("m.finite_form")) | F.rlike("lower", F.lit("s[ıiuü]z$"))
     outer = F.col("m.negative") & (F.col("m.finite_form") | F.rlike("lower", F.lit("^(?:değil|yok)")))
     rows = t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word")).withColumn("outer", F.max(outer).over(window)).where(inner & F.col("outer"))
-    return finding(rows.groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token")), F.col("token"), "İki olumsuzluk birbirini götürüyor.", confidence=0.6)
+    return finding(rows.groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token"), F.min("tok_idx").alias("tok_idx")), F.col("token"), "İki olumsuzluk birbirini götürüyor.", confidence=0.6)
 
 
 @rule("KD-C06", "Ulaç yığılması", "cümle")
@@ -138,14 +139,14 @@ def converb_stack(t: Tables) -> DataFrame:
     least = t.profile.param("KD-C06", "threshold", 2)
     rows = t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word") & (F.col("m.converb") | F.col("m.participle")))
     by = rows.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") >= least)
-    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Yan cümleleri ayırın.", confidence=0.6)
+    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Yan cümleleri ayırın.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
 
 
 @rule("KD-C07", "Ad-fiil yığılması", "cümle")
 def nominal_stack(t: Tables) -> DataFrame:
     least = t.profile.param("KD-C07", "threshold", 2)
     by = _flagged(t, "nominal").groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") >= least)
-    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Ad-fiilleri çekimli fiile çevirin.", confidence=0.6)
+    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Ad-fiilleri çekimli fiile çevirin.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
 
 
 @rule("KD-C08", "Tamlama zinciri", "cümle")
@@ -154,7 +155,7 @@ def genitive_chain(t: Tables) -> DataFrame:
     order = Window.partitionBy(*SENT).orderBy("tok_idx")
     rows = _flagged(t, "genitive").withColumn("new", (F.col("tok_idx") - F.lag("tok_idx").over(order) > 3).cast("int"))
     islands = rows.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order)).groupBy(*SENT, "island").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w"))
-    return finding(islands.where(F.size("w") >= least), F.array_join(F.transform("w", lambda x: x["token"]), " "), "Tamlamayı bölün.", confidence=0.6)
+    return finding(islands.where(F.size("w") >= least), F.array_join(F.transform("w", lambda x: x["token"]), " "), "Tamlamayı bölün.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
 
 
 @rule("KD-C09", "Parantez içi bilgi", "cümle")
@@ -186,7 +187,7 @@ def indirect_address(t: Tables) -> DataFrame:
 
 def _phrases(t: Tables, section: str, message: str) -> DataFrame:
     rows = t.matched.where(F.col("list") == section)
-    return finding(rows, F.col("phrase"), F.concat(quote(F.col("phrase")), F.lit(message)), suggestion=F.col("suggestion"))
+    return finding(rows, F.col("phrase"), F.concat(quote(F.col("phrase")), F.lit(message)), suggestion=F.col("suggestion"), tok=F.col("first_tok"))
 
 
 @rule("KD-K01", "Resmî dil", "kelime")
@@ -283,7 +284,7 @@ def numbers_in_words(t: Tables) -> DataFrame:
     runs = runs.select("*", F.transform("w", lambda x: x["lower"]).alias("words"), F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("hit")).withColumn("value", numeral_value(F.col("words")))
     rows = runs.where((F.col("value") >= least) & ((F.size("words") > 1) | F.col("words")[0].isin(*ALONE)))
     digits = numbers.format_thousands(F.col("value"))
-    return finding(rows, F.col("hit"), F.concat(F.lit("Rakamla yazın: "), digits), suggestion=digits, fix=F.when(~((F.size("words") == 1) & F.col("words")[0].isin("milyon", "milyar")), digits))
+    return finding(rows, F.col("hit"), F.concat(F.lit("Rakamla yazın: "), digits), suggestion=digits, fix=F.when(~((F.size("words") == 1) & F.col("words")[0].isin("milyon", "milyar")), digits), tok=F.col("w")[0]["tok_idx"])
 
 
 @rule("KD-B02", "Roma rakamı", "biçim")
@@ -335,7 +336,7 @@ def all_caps(t: Tables) -> DataFrame:
     order = Window.partitionBy(*SENT).orderBy("tok_idx")
     words = t.toks.where(F.col("kind") == "word").withColumn("k", F.row_number().over(order)).where(is_upper_word(F.col("token")))
     runs = words.withColumn("island", F.col("k") - F.row_number().over(order)).groupBy(*SENT, "island").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") > most)
-    return finding(runs, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Küçük harfle yazın.")
+    return finding(runs, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Küçük harfle yazın.", tok=F.col("w")[0]["tok_idx"])
 
 
 @rule("KD-B08", "Tırnak içinde vurgu", "biçim", "bilgi")
@@ -408,7 +409,17 @@ def audit(t: Tables, only: list[str] | None = None) -> DataFrame:
         if own.enabled and (only is None or r.id in only):
             rows = r.plan(t).select(*FINDING)
             parts.append(rows.withColumns({"rule_id": F.lit(r.id), "category": F.lit(r.category), "severity": F.coalesce("severity", F.lit(own.severity or r.severity))}))
-    return reduce(DataFrame.unionByName, parts)
+    return placed(reduce(DataFrame.unionByName, parts), t.sents)
+
+
+def placed(found: DataFrame, sents: DataFrame) -> DataFrame:
+    """Findings that begin at a token get their start: the lengths of all pieces of the sentence before it."""
+    pieces = F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))
+    solid = F.filter(F.transform("pieces", lambda x, k: F.struct(k.alias("k"), F.rlike(x, F.lit("^\\s")).alias("space"))), lambda x: ~x["space"])
+    before = F.slice("pieces", F.lit(1), F.get(solid, F.col("tok_idx"))["k"])
+    start = F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x))
+    at = found.where("tok_idx is not null").join(sents.select(*SENT, F.col("text").alias("sentence")), SENT).withColumn("pieces", pieces)
+    return found.where("tok_idx is null").unionByName(at.withColumn("start", start).select(found.columns))
 
 
 def rules_table(spark: SparkSession, profile: Profile) -> DataFrame:

@@ -135,22 +135,18 @@ _ATESMAN = "least(100.0::DOUBLE, greatest(0.0::DOUBLE, 198.825::DOUBLE - 40.175:
 _UZUN = "(118.823::DOUBLE - 25.987::DOUBLE * (syllables / words) - 0.971::DOUBLE * (words / sentences))"
 _YILMAZ = "sqrt((words / sentences) * (0.84::DOUBLE * (h3 / sentences) + 1.5::DOUBLE * (h4 / sentences) + 3.5::DOUBLE * (h5 / sentences) + 26.25::DOUBLE * (h6 / sentences)))"
 
-_FINDING = "doc_id, para_idx, sent_no, CAST({start} AS INT) AS start, md5({text}) AS text_md5, {severity} AS severity"
-
-
-def _finding(text: str, severity: str, start: str = "0", head: str = "") -> str:
-    return head + _FINDING.format(text=text, severity=severity, start=start)
+_FINDING = "doc_id, para_idx, sent_no, md5({text}) AS text_md5, {severity} AS severity"
 
 
 _WORDS = f"{TOKENS}, per AS (SELECT doc_id, para_idx, sent_no, count(*) AS n FROM toks WHERE NOT is_heading AND kind IN ('word', 'number', 'date', 'time', 'percent', 'url', 'email') GROUP BY ALL)"
-_C01 = "SELECT s.doc_id, s.para_idx, s.sent_no, 0 AS start, md5(s.text) AS text_md5, CASE WHEN n > 15 THEN 'hata' ELSE 'uyarı' END AS severity FROM per p JOIN sents s USING (doc_id, para_idx, sent_no) WHERE n > 10"
+_C01 = "SELECT s.doc_id, s.para_idx, s.sent_no, md5(s.text) AS text_md5, CASE WHEN n > 15 THEN 'hata' ELSE 'uyarı' END AS severity FROM per p JOIN sents s USING (doc_id, para_idx, sent_no) WHERE n > 10"
 _DOC = "docw AS (SELECT doc_id, count(*) AS n, bool_or(is_heading) AS headed FROM toks WHERE kind IN ('word', 'number', 'date', 'time', 'percent', 'url', 'email') GROUP BY doc_id)"
-_WHOLE = "SELECT doc_id, -1 AS para_idx, -1 AS sent_no, 0 AS start, md5('') AS text_md5, 'bilgi' AS severity FROM docw"
+_WHOLE = "SELECT doc_id, -1 AS para_idx, -1 AS sent_no, md5('') AS text_md5, 'bilgi' AS severity FROM docw"
 _ROMAN = numbers.ROMAN_PATTERN
 
 
 def _spans(pattern: str, more: str, severity: str) -> str:
-    return f"WITH {SENTENCES}, h AS (SELECT doc_id, para_idx, sent_no, text, unnest(regexp_extract_all(text, {_text(pattern)})) AS hit FROM sents WHERE NOT is_heading) SELECT DISTINCT {_FINDING.format(start='instr(text, hit) - 1', text='hit', severity=_text(severity))} FROM h WHERE {more}"
+    return f"WITH {SENTENCES}, h AS (SELECT doc_id, para_idx, sent_no, text, unnest(regexp_extract_all(text, {_text(pattern)})) AS hit FROM sents WHERE NOT is_heading) SELECT {_FINDING.format(text='hit', severity=_text(severity))} FROM h WHERE {more}"
 
 
 _ENTRIES = [(section, item.get("ifade") or item["kelime"], bool(item.get("sabit"))) for section in ("jargon", "yabanci") for item in LEXICON[section]]
@@ -237,15 +233,15 @@ ORACLE = {
     "quotes_b08": _spans('"[^"\n]{1,60}"', r"""len(string_split_regex(hit, '\s+')) <= 3 AND NOT regexp_matches(hit, '^"(?:\p{Lu}[^ "]*[ "])+$')""", "bilgi"),
     "first_abbreviation_k03": f"""WITH {TOKENS}, n AS (SELECT *, lag(token) OVER w AS before, lead(token) OVER w AS after FROM toks WINDOW w AS (PARTITION BY doc_id, para_idx, sent_no ORDER BY tok_idx)),
       c AS (SELECT * FROM n WHERE is_abbreviation AND NOT regexp_matches(base, '{_ROMAN}') AND NOT regexp_matches(coalesce(after, ''), '^[0-9]')),
-      o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, base ORDER BY para_idx, sent_no, tok_idx) = 1) SELECT DISTINCT {_FINDING.format(start='0', text='base', severity=_text('uyarı'))} FROM o WHERE coalesce(before, '') <> '(' AND coalesce(after, '') <> '('""",
-    "semicolons_b06": f"""WITH {TOKENS} SELECT {_FINDING.format(start='0', text='token', severity=_text('uyarı'))} FROM toks WHERE NOT is_heading AND token = ';'
-      UNION ALL SELECT doc_id, para_idx, sent_no, 0, md5(':'), 'uyarı' FROM toks WHERE NOT is_heading AND token = ':' GROUP BY doc_id, para_idx, sent_no HAVING count(*) > 1""",
+      o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, base ORDER BY para_idx, sent_no, tok_idx) = 1) SELECT {_FINDING.format(text='base', severity=_text('uyarı'))} FROM o WHERE coalesce(before, '') <> '(' AND coalesce(after, '') <> '('""",
+    "semicolons_b06": f"""WITH {TOKENS} SELECT {_FINDING.format(text='token', severity=_text('uyarı'))} FROM toks WHERE NOT is_heading AND token = ';'
+      UNION ALL SELECT doc_id, para_idx, sent_no, md5(':'), 'uyarı' FROM toks WHERE NOT is_heading AND token = ':' GROUP BY doc_id, para_idx, sent_no HAVING count(*) > 1""",
     "caps_runs_b07": f"""WITH {TOKENS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para_idx, sent_no ORDER BY tok_idx) AS k FROM toks WHERE kind = 'word'),
       u AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, para_idx, sent_no ORDER BY tok_idx) AS island FROM k WHERE {_upper("token")}),
-      r AS (SELECT doc_id, para_idx, sent_no, string_agg(token, ' ' ORDER BY tok_idx) AS hit FROM u GROUP BY doc_id, para_idx, sent_no, island HAVING count(*) > 3) SELECT {_FINDING.format(start='0', text='hit', severity=_text('uyarı'))} FROM r""",
-    "long_paragraph_m01": f"""WITH {SENTENCES} SELECT doc_id, para_idx, -1 AS sent_no, 0 AS start, md5(min_by(text, sent_no)) AS text_md5, 'uyarı' AS severity FROM sents WHERE NOT is_heading AND NOT is_list_item GROUP BY doc_id, para_idx HAVING count(*) > 5""",
+      r AS (SELECT doc_id, para_idx, sent_no, string_agg(token, ' ' ORDER BY tok_idx) AS hit FROM u GROUP BY doc_id, para_idx, sent_no, island HAVING count(*) > 3) SELECT {_FINDING.format(text='hit', severity=_text('uyarı'))} FROM r""",
+    "long_paragraph_m01": f"""WITH {SENTENCES} SELECT doc_id, para_idx, -1 AS sent_no, md5(min_by(text, sent_no)) AS text_md5, 'uyarı' AS severity FROM sents WHERE NOT is_heading AND NOT is_list_item GROUP BY doc_id, para_idx HAVING count(*) > 5""",
     "no_heading_m02": f"WITH {TOKENS}, {_DOC} {_WHOLE} WHERE n > 150 AND NOT headed",
     "long_text_m05": f"WITH {TOKENS}, {_DOC} {_WHOLE} WHERE n > 400",
     "list_opportunity_m03": rf"""WITH {SENTENCES}, p AS (SELECT *, string_split(text, ',') AS parts FROM sents WHERE NOT is_heading AND NOT is_list_item)
-      SELECT {_FINDING.format(start='0', text='text', severity=_text('uyarı'))} FROM p WHERE len(parts) + CASE WHEN regexp_matches(text, '(?i) (?:ve|veya|ile|ya|yahut) ') THEN 1 ELSE 0 END >= 4 AND len([x FOR x IN parts IF len(string_split_regex(trim(x), '\s+')) BETWEEN 1 AND 5]) >= 3""",
+      SELECT {_FINDING.format(text='text', severity=_text('uyarı'))} FROM p WHERE len(parts) + CASE WHEN regexp_matches(text, '(?i) (?:ve|veya|ile|ya|yahut) ') THEN 1 ELSE 0 END >= 4 AND len([x FOR x IN parts IF len(string_split_regex(trim(x), '\s+')) BETWEEN 1 AND 5]) >= 3""",
 }

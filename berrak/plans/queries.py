@@ -42,7 +42,7 @@ def _found(rule: str) -> Callable[[SparkSession, str], DataFrame]:
         t = rules.tables(_docs(spark, sf_dir), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, write=False)
         r = rules.audit(t, [rule])
         # -1 stands for a finding about a whole paragraph or document.
-        return r.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("para_idx", "sent_no")], "start", F.md5("text").alias("text_md5"), "severity")
+        return r.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("para_idx", "sent_no")], F.md5("text").alias("text_md5"), "severity")
 
     query.__doc__ = f"Findings of {rule}."
     return query
@@ -149,8 +149,8 @@ def fixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with the fixes of its findings applied."""
     audit = Audit(_docs(spark, sf_dir), only=["KD-B02", "KD-B04", "KD-B05"])
     fixes = audit.findings.where("fix is not null").join(audit.tables.sents.select(*SENT, F.col("text").alias("sentence")), SENT)
-    at = F.instr("sentence", F.col("text")) - 1
-    by = fixes.groupBy(*SENT, "sentence").agg(F.collect_list(F.struct(at.alias("start"), (at + F.length("text")).alias("end"), F.col("fix").alias("text"))).alias("fixes"))
+    one = F.struct("start", (F.col("start") + F.length("text")).alias("end"), F.col("fix").alias("text"))
+    by = fixes.groupBy(*SENT, "sentence").agg(F.collect_list(one).alias("fixes"))
     chosen = by.withColumn("taken", findings_.applicable_fixes(F.col("fixes"), F.length("sentence")))
     return chosen.select(*SENT, F.size("taken").alias("n_fixes"), findings_.apply_fixes(F.col("sentence"), F.col("taken")).alias("fixed"))
 

@@ -244,3 +244,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_findings_know_their_place(spark):
+    text = "Ali geldi; Veli de; geldi (bugün) yirmi beş kişi."
+    rows = Audit(spark.createDataFrame([(1, text)], "doc_id long, text string"), only=["KD-B06", "KD-B01", "KD-C09"]).findings.collect()
+    assert sorted((r.start, r.text) for r in rows) == [(9, ";"), (18, ";"), (26, "(bugün)"), (34, "yirmi beş")]
+    assert all(text[r.start : r.start + len(r.text)] == r.text for r in rows)
