@@ -127,9 +127,9 @@ FROM made
 
 def _plain_sql(html: str) -> str:
     out = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
-    for name in warc_derive.HIDDEN:
-        out = f"regexp_replace({out}, '(?is)<{name}[^>]*>.*?</{name}\\s*>', '', 'g')"
-    out = f"regexp_replace({out}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
+    hidden = "|".join(warc_derive.HIDDEN)
+    out = f"regexp_replace({out}, '(?is)<(?:{hidden})[^>]*>.*?</(?:{hidden})\\s*>', '', 'g')"
+    out = f"regexp_replace(translate({out}, chr(9) || chr(13) || chr(10) || chr(12), '    '), ' {{2,}}', ' ', 'g')"
     out = f"regexp_replace({out}, '(?i)</?(?:{warc_derive.BLOCKS})(?:[ /][^>]*)?>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
     for name, value in warc_derive.REFERENCES:
