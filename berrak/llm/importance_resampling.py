@@ -21,7 +21,7 @@ from berrak.llm.tables import written
 
 @dataclass(frozen=True)
 class Settings:
-    keep: float = 0.85
+    keep: float = 0.9
     max_target_docs: int = 20_000
     words: float = 200.0
     buckets: int = ngram_models.BUCKETS
