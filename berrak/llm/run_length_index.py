@@ -9,9 +9,9 @@ of the whole corpus would live in one place, so the corpus is cut by content:
 2. Equal contexts. Contexts sorted by anchor and content stream past: all but the earliest of
    equal ones are repeated wholly, and anchors with one context only need no more.
 3. Index. The other contexts are dealt by anchor and indexed, some MB at a time: suffixes are
-   sorted, the Burrows-Wheeler transform is kept as runs, with the text's places sampled at run
-   ends and the earliest place of each interval of suffixes that agree in ``length`` bytes. The
-   contexts are streamed through it from right to left, all at once; at each step the interval
+   sorted, the Burrows-Wheeler transform is kept as runs, and places are sampled at the ends of
+   the intervals of suffixes that agree in ``length`` bytes: the earliest of each interval, as
+   that is what is asked for, instead of one at every run's end. The contexts are streamed through it from right to left, all at once; at each step the interval
    of the current suffix tells whether it matches ``length`` bytes that start earlier.
 
 Anchors with more than ``hot`` contexts are not held in one task: their windows are hashed
