@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,9 +33,16 @@ def allowed(times: Column, limit: int = LIMIT, window: float = WINDOW) -> Column
 
 
 def rate_limit(events: DataFrame, key: str, at: str, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """Events (with event_id) with ``allowed``: decided by client in the order of time, then of event_id."""
+    """Events (with event_id) with ``allowed``: decided by client in the order of time, then of event_id.
+
+    No hit counts after a pause as long as the window, so that a client's events fall into
+    sessions, and only a session's times are folded together.
+    """
     rows = events.select(key, "event_id", F.col(at).cast("timestamp").cast("double").alias("t"))
-    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
+    order = Window.partitionBy(key).orderBy("t", "event_id")
+    paused = rows.withColumn("pause", (F.col("t") - F.lag("t").over(order) >= window).cast("int"))
+    sessions = paused.withColumn("session", F.sum(F.coalesce("pause", F.lit(0))).over(order))
+    by = sessions.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
     done = by.select(key, "e", allowed(F.transform("e", lambda x: x["t"]), limit, window).alias("ok"))
     return done.select(key, F.explode(F.arrays_zip("e", "ok")).alias("z")).select(key, F.col("z.e.event_id").alias("event_id"), F.col("z.ok").alias("allowed"))
 
