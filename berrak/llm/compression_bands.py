@@ -1,9 +1,10 @@
 """Quality rules by compression: texts outside a band of zstandard ratios are rejected.
 
 A ratio is compressed size / size in bytes. A whole document is held against the band of its
-length; besides, it is cut into fixed chunks of ``chunk_bytes``, each held against the chunk
-band, and a document with more than ``chunk_share`` bad chunks is rejected. A low ratio means
-repetition, a high one means noise such as encoded bytes.
+length; besides, it is cut into chunks of ``chunk_bytes``, each held against the band of the
+chunk's length, and a document with more than ``chunk_share`` bad chunks is rejected. Every byte
+is in a chunk: a remainder of less than half a chunk belongs to the chunk before it. A low ratio
+means repetition or few words, a high one means noise such as encoded bytes.
 
 Each text is measured where it is read: no shuffle, and memory for a few MB of text at a time.
 """
@@ -11,7 +12,7 @@ Each text is measured where it is read: no shuffle, and memory for a few MB of t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,36 @@ from berrak.llm.textvec import SPACE, U, chunks, span_hashes, windows, words
 SYMBOLS = b"#*$%&|<>"
 
 
+#: The band of ordinary text by length, as ``fit_bands`` gave it for the labelled good rows of sf0.1; see there.
+WHOLE: tuple[tuple[int, float, float], ...] = (
+    (99, 0.0, 9.0), (100, 0.35, 1.02), (128, 0.718, 0.952), (181, 0.658, 0.892), (256, 0.604, 0.839),
+    (362, 0.564, 0.782), (512, 0.539, 0.747), (724, 0.524, 0.681), (1024, 0.498, 0.64), (1448, 0.485, 0.592),
+    (2048, 0.467, 0.572), (2896, 0.457, 0.553), (4096, 0.442, 0.528), (5793, 0.427, 0.517), (8192, 0.42, 0.503),
+    (11585, 0.411, 0.496), (16384, 0.404, 0.491), (23170, 0.4, 0.487), (32768, 0.398, 0.484), (65536, 0.15, 0.58),
+)
+
+
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length. A row of ``whole`` holds from that many bytes on: (bytes, lowest, highest ratio).
+    """Limits by length: rows of (bytes, lowest, highest ratio).
 
-    Frames and tables of zstandard weigh on short texts, so that their bands are wide.
+    Between two rows the limits run straight over the logarithm of the length; outside, the
+    nearest row holds. Frames and tables of zstandard weigh on short texts, so that their bands
+    are wide.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (100, 0.35, 1.02), (400, 0.30, 0.80), (1_000, 0.25, 0.70), (4_000, 0.20, 0.64), (16_000, 0.17, 0.60), (64_000, 0.15, 0.58))
+    whole: tuple[tuple[int, float, float], ...] = WHOLE
     chunk_bytes: int = 2_048
-    chunk: tuple[float, float] = (0.22, 0.68)
     chunk_share: float = 0.5
     level: int = 3
     min_words: int = 20
     repeat_percent: int = 30
 
+    def limits(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, low, high = (np.array(x, float) for x in zip(*self.whole, strict=True))
+        x = np.log2(np.maximum(sizes, 1))
+        return np.interp(x, np.log2(np.maximum(at, 1)), low), np.interp(x, np.log2(np.maximum(at, 1)), high)
+
 
 OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks long, n_bad_chunks long, base_failed boolean, kept boolean"
 
@@ -68,11 +84,16 @@ def _repeat_words(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text[np.cumsum(cover[:-1]) > 0], minlength=n)
 
 
+def _pieces(text: bytes, size: int) -> list[bytes]:
+    """Chunks of ``size`` bytes; the last has the remainder and is 0.5 to 1.5 times as long."""
+    ends = [k * size for k in range(1, (len(text) + size // 2) // size)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+
+
 def measure(batches: Iterator[pa.RecordBatch], text_column: str, names: list[str], bands: Bands) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
-    steps = np.array([x[0] for x in bands.whole])
     continued = np.zeros(256, bool)
     continued[0x80:0xC0] = True
     for batch in batches:
@@ -90,11 +111,13 @@ def measure(batches: Iterator[pa.RecordBatch], text_column: str, names: list[str
                 marks[i] = len(one) - len(one.translate(None, SYMBOLS))
                 lines[i] = _duplicate_lines(one)
                 ratio[i] = len(squeeze.compress(one)) / len(one) if one else 0.0
-                pieces = [one[k : k + bands.chunk_bytes] for k in range(0, len(one) - bands.chunk_bytes + 1, bands.chunk_bytes)]
-                sizes = [len(squeeze.compress(x)) / bands.chunk_bytes for x in pieces] if len(pieces) > 1 else []
-                n_chunks[i] = len(sizes)
-                bad[i] = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in sizes)
-            low, high = (np.array([x[k] for x in bands.whole])[np.searchsorted(steps, np.diff(offsets), "right") - 1] for k in (1, 2))
+                pieces = _pieces(one, bands.chunk_bytes)
+                if len(pieces) > 1:
+                    sizes = np.array([len(x) for x in pieces])
+                    got = np.array([len(squeeze.compress(x)) for x in pieces]) / sizes
+                    least, most = bands.limits(sizes)
+                    n_chunks[i], bad[i] = len(pieces), np.count_nonzero((got < least) | (got > most))
+            low, high = bands.limits(np.diff(offsets))
             base = (n_words < bands.min_words) | (100 * repeat > bands.repeat_percent * n_words)
             good = (ratio >= low) & (ratio <= high) & (bad <= bands.chunk_share * n_chunks)
             parts.append([n_words, chars[offsets[1:]] - chars[offsets[:-1]], marks, lines, repeat, ratio, n_chunks, bad, base, good & ~base])
@@ -121,3 +144,34 @@ def quality_stage(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with their own columns, whatever their names."""
     packed = docs.select(F.struct("*").alias("doc"), F.col("text").alias("doc_text"))
     return compression_bands(packed, "doc_text", ["doc"], bands).where("kept").select("doc.*")
+
+
+#: Rows that a fit reads at most, fitted lengths, rows a limit is taken from, its quantile, and its margins in ratios. No labelled
+#: row of sf0.1 is bad by a high ratio, so that the upper margin is the wider one.
+SAMPLE, LENGTHS, NEAR, QUANTILE, BELOW, ABOVE = 20_000, [round(2 ** (k / 2)) for k in range(14, 31)], 200, 0.002, 0.006, 0.05
+
+
+def fit(sizes: np.ndarray, ratios: np.ndarray) -> tuple[tuple[int, float, float], ...]:
+    """Limits from the lengths and ratios of good texts.
+
+    A cubic of the logarithm of the length gives the middle. At each of ``LENGTHS``, the limits
+    are quantiles of the distances of the ``NEAR`` texts nearest in length, and a margin. Under 100 bytes
+    nothing is judged; at 100 bytes, and from 64 KiB on, where labelled texts are few, only far outliers are. Of long texts the chunks decide.
+    """
+    x = np.log2(sizes)
+    curve = np.polyfit(x, ratios, 3)
+    off, rows = ratios - np.polyval(curve, x), []
+    for at in LENGTHS:
+        near = off[np.argsort(np.abs(x - np.log2(at)), kind="stable")[:NEAR]]
+        middle = np.polyval(curve, np.clip(np.log2(at), x.min(), x.max()))
+        rows.append((at, round(float(middle + np.quantile(near, QUANTILE) - BELOW), 3), round(float(middle + np.quantile(near, 1 - QUANTILE) + ABOVE), 3)))
+    return ((99, 0.0, 9.0), (100, 0.35, 1.02), *rows, (65_536, 0.15, 0.58))
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, bands: Bands = Bands()) -> Bands:
+    """Bands of the good rows (quality 1) that pass the base rules: at most ``SAMPLE``, by a hash of the id."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    some = docs.select("doc_id", "text").join(good, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    judged = compression_bands(some.withColumn("bytes", F.octet_length("text")), keep=["bytes"], bands=bands)
+    rows = judged.where("not base_failed").select("bytes", "ratio").toPandas()
+    return replace(bands, whole=fit(rows["bytes"].to_numpy(float), rows["ratio"].to_numpy()))

@@ -70,6 +70,36 @@ def test_quality_stage_keeps_columns(docs, empty):
     assert compression_bands.quality_stage(empty).count() == 0
 
 
+def test_compression_bands_reject_few_words_and_symbols(spark, sf_dir):
+    """Labelled bad rows that the base rules let pass fall to the bands; good ones stay."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = compression_bands.compression_bands(docs, keep=["doc_id"]).join(labels, "doc_id").where("not base_failed")
+    by = {x.quality: (x.n, x.kept) for x in got.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert by[0][1] < 0.5 * by[0][0] and by[1][1] >= 0.99 * by[1][0]
+
+
+def test_compression_judges_the_last_chunk(spark):
+    text = words(1700, 21).encode()[:8000]
+    half = text[:4096].decode() + " ".join("|" * 3 for _ in range(2000))[: 4096 + 1023]
+    assert [len(x) for x in compression_bands._pieces(text[:7167], 2048)] == [2048, 2048, 3071]
+    assert [len(x) for x in compression_bands._pieces(text[:7168], 2048)] == [2048, 2048, 2048, 1024]
+    assert compression_bands._pieces(b"", 2048) == [b""]
+    got = compression_bands.compression_bands(spark.createDataFrame([(1, half)], "doc_id long, text string")).first()
+    assert (got.n_chunks, got.n_bad_chunks) == (4, 2)
+
+
+def test_compression_fit(spark):
+    r = np.random.default_rng(1)
+    sizes = 2 ** r.uniform(8, 14, 2000)
+    ratios = 0.9 - 0.03 * np.log2(sizes) + r.normal(0, 0.005, 2000)
+    low, high = compression_bands.Bands(whole=compression_bands.fit(sizes, ratios)).limits(sizes)
+    assert np.mean((ratios < low) | (ratios > high)) < 0.005 and np.mean(ratios - 0.03 < low) > 0.8
+    docs = spark.createDataFrame([(k, words(40 + 3 * k, k)) for k in range(100)], "doc_id long, text string")
+    fitted = compression_bands.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert compression_bands.compression_bands(docs, bands=fitted).where("kept").count() >= 98
+
+
 # chat formatting
 
 
