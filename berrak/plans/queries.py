@@ -37,6 +37,10 @@ def _toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.tokens(_sents(spark, sf_dir).select(*SENT, "text", "is_heading", "is_list_item")).drop("text")
 
 
+def _audit(spark: SparkSession, sf_dir: str) -> Audit:
+    return Audit(_docs(spark, sf_dir), lexicon=LEXICON)
+
+
 def _found(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = rules.tables(_docs(spark, sf_dir), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, write=False)
@@ -127,12 +131,18 @@ def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by long sentences, semicolons and text length alone."""
+    """Scores by two rules alone, long sentences and long texts, as its SQL works them out. ``compliance_all_rules`` has all rules."""
     audit = Audit(_docs(spark, sf_dir), only=["KD-C01", "KD-M05"])
     rows = findings_.compliance(audit.findings, audit.sentence_counts, audit.profile)
     return rows.select("doc_id", F.col("sentence_count").cast("long").alias("sentence_count"), F.round("penalty", 4).alias("penalty"), F.col("finding_count").cast("long").alias("finding_count"), F.coalesce("score", F.lit(-1)).alias("score"), "reliable")
 
 
+def compliance_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by all enabled rules; -1 stands for no score: no sentences, or a text that isn't Turkish."""
+    rows = _audit(spark, sf_dir).compliance
+    return rows.select("doc_id", F.col("sentence_count").cast("long").alias("sentence_count"), F.round("penalty", 4).alias("penalty"), F.col("finding_count").cast("long").alias("finding_count"), F.coalesce("score", F.lit(-1)).alias("score"), "reliable", "looks_turkish")
+
+
 def morphology_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct words of the documents each ending marks."""
     found = morphology.forms(_toks(spark, sf_dir).where("kind = 'word'"))
@@ -146,34 +156,34 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence with the fixes of its findings applied."""
-    audit = Audit(_docs(spark, sf_dir), only=["KD-B02", "KD-B04", "KD-B05"])
-    fixes = audit.findings.where("fix is not null").join(audit.tables.sents.select(*SENT, F.col("text").alias("sentence")), SENT)
+    """Every sentence with the fixes of its findings, by all enabled rules, applied."""
+    audit = _audit(spark, sf_dir)
     one = F.struct("start", (F.col("start") + F.length("text")).alias("end"), F.col("fix").alias("text"))
-    by = fixes.groupBy(*SENT, "sentence").agg(F.collect_list(one).alias("fixes"))
-    chosen = by.withColumn("taken", findings_.applicable_fixes(F.col("fixes"), F.length("sentence")))
+    fixes = audit.findings.where("fix is not null").groupBy(*SENT).agg(F.collect_list(one).alias("fixes"))
+    every = audit.tables.sents.select(*SENT, F.col("text").alias("sentence")).join(fixes, SENT, "left")
+    chosen = every.withColumn("taken", findings_.applicable_fixes(F.coalesce("fixes", F.array()), F.length("sentence")))
     return chosen.select(*SENT, F.size("taken").alias("n_fixes"), findings_.apply_fixes(F.col("sentence"), F.col("taken")).alias("fixed"))
 
 
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all rules."""
-    return Audit(_docs(spark, sf_dir), lexicon=LEXICON).findings
+    return _audit(spark, sf_dir).findings
 
 
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON report of every document, over the rules that need no analysis of words."""
-    audit = Audit(_docs(spark, sf_dir), only=["KD-C01", "KD-C09", "KD-B06", "KD-M01", "KD-M05"])
-    return sinks.reports(audit.findings, findings_.compliance(audit.findings, audit.sentence_counts, audit.profile))
+    """A JSON report of every document, over all enabled rules."""
+    audit = _audit(spark, sf_dir)
+    return sinks.reports(audit.findings, audit.compliance)
 
 
 def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audit = Audit(_docs(spark, sf_dir), only=["KD-C01", "KD-B06", "KD-M01", "KD-M05"])
-    return audit.categories.withColumn("penalty", F.round("penalty", 4))
+    """Scores by category, over all enabled rules."""
+    return _audit(spark, sf_dir).categories.withColumn("penalty", F.round("penalty", 4))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, fact_diff, document_facts, recurring_lines, compliance, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
+    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, fact_diff, document_facts, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
 } | {
     "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09"), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02"), "semicolons_b06": _found("KD-B06"),
     "caps_runs_b07": _found("KD-B07"), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),
