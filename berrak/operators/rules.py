@@ -80,13 +80,21 @@ def finding(rows: DataFrame, text: Column, message: Column | str, start: Column
     return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), (tok if tok is not None else place("tok_idx")).cast("int").alias("tok_idx"), (start if start is not None else F.lit(0)).cast("int").alias("start"), text.alias("text"), as_col(message).alias("message"), (suggestion if suggestion is not None else null).alias("suggestion"), F.nullif(fix, text).alias("fix") if fix is not None else null.alias("fix"), score.alias("confidence"), (severity if severity is not None else null).alias("severity"))
 
 
-def spans(rows: DataFrame, pattern: str, group: int = 0) -> DataFrame:
+def spans(rows: DataFrame, pattern: str) -> DataFrame:
     """A row per match of a pattern in ``text``, with the match and where it starts.
 
-    Starts are counted from the pieces between matches, which are cut at the matches.
+    Each match is looked for from the end of the one before. For patterns without anchors and
+    lookaround that is where it starts: an earlier equal string would have been a match itself.
     """
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    return rows.select("*", F.explode(found).alias("hit")).withColumn("at", F.instr("text", F.col("hit")) - 1)
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<at:int,hit:string>>").alias("done"))
+
+    def step(a: Column, hit: Column) -> Column:
+        at = F.position(hit, F.col("text"), a["free"])
+        return F.struct((at + F.length(hit)).alias("free"), F.concat(a["done"], F.array(F.struct((at - 1).alias("at"), hit.alias("hit")))).alias("done"))
+
+    placed = rows.withColumn("found", F.aggregate(found, start, step, lambda a: a["done"]))
+    return placed.select(*rows.columns, F.inline("found")).select(*rows.columns, "hit", "at")
 
 
 # sentences
