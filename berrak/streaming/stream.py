@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,35 +19,39 @@ from berrak.plans.auditor import Audit
 LIMIT, WINDOW = 60, 60.0
 
 
-def allowed(times: Column, limit: int = LIMIT, window: float = WINDOW) -> Column:
-    """Which of the sorted times (seconds) of one client a sliding window lets through.
-
-    A hit that is rejected does not count. As at most ``limit`` hits count at any time, the fold
-    carries that many.
-    """
-    start = F.struct(F.array().cast("array<double>").alias("hits"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        hits = F.filter(a["hits"], lambda h: h > t - window)
-        good = F.size(hits) < limit
-        return F.struct(F.when(good, F.concat(hits, F.array(t))).otherwise(hits).alias("hits"), F.concat(a["out"], F.array(good)).alias("out"))
-
-    return F.aggregate(times, start, step, lambda a: a["out"])
+def _same(a: Any, b: Any) -> bool:
+    """Equal as grouping keys are: null and NaN equal themselves."""
+    return a == b or (a != a and b != b)
 
 
 def rate_limit(events: DataFrame, key: str, at: str, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
     """Events (with event_id) with ``allowed``: decided by client in the order of time, then of event_id.
 
-    No hit counts after a pause as long as the window, so that a client's events fall into
-    sessions, and only a session's times are folded together.
+    A hit that is rejected does not count, nor does one without a time, which is let through. A client's
+    events are sorted, which may spill, and then read once: only the at most ``limit`` hits
+    that still count are held, however many events a client has.
     """
-    rows = events.select(key, "event_id", F.col(at).cast("timestamp").cast("double").alias("t"))
-    order = Window.partitionBy(key).orderBy("t", "event_id")
-    paused = rows.withColumn("pause", (F.col("t") - F.lag("t").over(order) >= window).cast("int"))
-    sessions = paused.withColumn("session", F.sum(F.coalesce("pause", F.lit(0))).over(order))
-    by = sessions.groupBy(key, "session").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
-    done = by.select(key, "e", allowed(F.transform("e", lambda x: x["t"]), limit, window).alias("ok"))
-    return done.select(key, F.explode(F.arrays_zip("e", "ok")).alias("z")).select(key, F.col("z.e.event_id").alias("event_id"), F.col("z.ok").alias("allowed"))
+    rows = events.select(F.col(key), "event_id", F.col(at).cast("timestamp").cast("double").alias("t"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hits = object(), deque()
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not _same(k, last):
+                    last, hits = k, deque()
+                if t is None:
+                    out.append(limit > 0)
+                    continue
+                while hits and hits[0] <= t - window:
+                    hits.popleft()
+                out.append(len(hits) < limit)
+                if out[-1]:
+                    hits.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=[key, "event_id", "allowed"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2]]
+    return rows.repartition(key).sortWithinPartitions(key, "t", "event_id").mapInArrow(decide, ", ".join([*kinds, "allowed boolean"]))
 
 
 def limited_stream(events: DataFrame, key: str, at: str, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
