@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
-from berrak.functions.turkish import is_upper_word, quote, turkish_lower
+from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_lower
 from berrak.operators import matching, morphology
-from berrak.operators.segment import TOKEN, WORD_LIKE, sentences, tokens
+from berrak.operators.segment import TOKEN, WORD_LIKE, _placed, sentences, tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
 
@@ -80,21 +80,30 @@ def finding(rows: DataFrame, text: Column, message: Column | str, start: Column
     return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), (tok if tok is not None else place("tok_idx")).cast("int").alias("tok_idx"), (start if start is not None else F.lit(0)).cast("int").alias("start"), text.alias("text"), as_col(message).alias("message"), (suggestion if suggestion is not None else null).alias("suggestion"), F.nullif(fix, text).alias("fix") if fix is not None else null.alias("fix"), score.alias("confidence"), (severity if severity is not None else null).alias("severity"))
 
 
-def spans(rows: DataFrame, pattern: str) -> DataFrame:
-    """A row per match of a pattern in ``text``, with the match and where it starts.
+#: Characters of the private use area around a match.
+OPEN, CLOSE = "\ue002", "\ue003"
+
 
-    Each match is looked for from the end of the one before. For patterns without anchors and
-    lookaround that is where it starts: an earlier equal string would have been a match itself.
+def placed_matches(text: Column, pattern: str) -> Column:
+    """Every match of a pattern as at and piece, empty ones left out.
+
+    Starts are counted from the pieces between matches, which are cut at the matches.
     """
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<at:int,hit:string>>").alias("done"))
+    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    return F.filter(_placed(pieces), lambda x, k: (k % 2 == 1) & (x["piece"] != ""))
+
+
+def spans(rows: DataFrame, pattern: str) -> DataFrame:
+    """A row per match of a pattern in ``text``, with the match and where it starts."""
+    found = rows.select("*", F.explode(placed_matches(F.col("text"), pattern)).alias("m"))
+    return found.select(*rows.columns, F.col("m.piece").alias("hit"), F.col("m.at").alias("at"))
 
-    def step(a: Column, hit: Column) -> Column:
-        at = F.position(hit, F.col("text"), a["free"])
-        return F.struct((at + F.length(hit)).alias("free"), F.concat(a["done"], F.array(F.struct((at - 1).alias("at"), hit.alias("hit")))).alias("done"))
 
-    placed = rows.withColumn("found", F.aggregate(found, start, step, lambda a: a["done"]))
-    return placed.select(*rows.columns, F.inline("found")).select(*rows.columns, "hit", "at")
+def neighbours(toks: DataFrame, n: int) -> DataFrame:
+    """Tokens with base and low, without their suffix, and those of the n next ones: token1, kind1, base1, low1 and so on."""
+    order = Window.partitionBy(*SENT).orderBy("tok_idx")
+    rows = toks.withColumns({"base": F.substring_index("token", "'", 1), "low": F.substring_index("lower", "'", 1)})
+    return rows.withColumns({f"{c}{k}": F.lead(c, k).over(order) for k in range(1, n + 1) for c in ("token", "kind", "base", "low")})
 
 
 # sentences
@@ -150,11 +159,24 @@ def converb_stack(t: Tables) -> DataFrame:
     return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Yan cümleleri ayırın.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
 
 
+#: Necessity, purpose and beginnings said with nominals.
+NOMINAL_PATTERNS = "(?iuU)" + "|".join([
+    r"\b\w+m[ae](?:s[ıi]|ler[ıi]|lar[ıi])\s+(?:gerek(?:mektedir|ir|mekte)|zorunludur|önem\s+arz\s+etmektedir|beklenmektedir)",
+    r"\b\w+m[ae]s[ıi]n[ae]\s+yönelik",
+    r"\b\w+m[ae]s[ıi]\s+(?:amacıyla|maksadıyla)",
+    r"\b\w+[ıiuü][nl]m[ae]y[ae]\s+başlan\w*",
+])
+
+
 @rule("KD-C07", "Ad-fiil yığılması", "cümle")
 def nominal_stack(t: Tables) -> DataFrame:
+    """Sentences with ``threshold`` nominals, and others with one of the patterns."""
     least = t.profile.param("KD-C07", "threshold", 2)
     by = _flagged(t, "nominal").groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") >= least)
-    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Ad-fiilleri çekimli fiile çevirin.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
+    message = "Ad-fiilleri çekimli fiile çevirin."
+    stacks = finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), message, confidence=0.6, tok=F.col("w")[0]["tok_idx"])
+    said = t.body.withColumn("m", F.get(placed_matches(F.col("text"), NOMINAL_PATTERNS), F.lit(0))).where("m is not null").join(by.select(*SENT), SENT, "left_anti")
+    return stacks.unionByName(finding(said, F.col("m.piece"), message, F.col("m.at")))
 
 
 @rule("KD-C08", "Tamlama zinciri", "cümle")
@@ -184,10 +206,14 @@ def late_predicate(t: Tables) -> DataFrame:
 
 @rule("KD-C11", "Dolaylı hitap", "cümle")
 def indirect_address(t: Tables) -> DataFrame:
+    """Every match of every pattern; of overlapping ones, the one of the earlier pattern."""
     patterns = [x["desen"] if isinstance(x, Mapping) else x for x in t.lexicon["dolayli_hitap"]]
-    hit = F.coalesce(*[F.nullif(F.regexp_extract("text", f"(?iuU){p}", 0), F.lit("")) for p in patterns]) if patterns else F.lit(None).cast("string")
-    rows = t.body.withColumn("hit", hit).where("hit is not null")
-    return finding(rows, F.col("hit"), "Okura doğrudan seslenin.", F.instr("text", F.col("hit")) - 1)
+    none = F.array().cast("array<struct<at:int,piece:string>>")
+    every = F.concat(none, *[placed_matches(F.col("text"), f"(?iuU){p}") for p in patterns])
+    over = lambda x, y: (x["at"] < y["at"] + F.length(y["piece"])) & (y["at"] < x["at"] + F.length(x["piece"]))
+    step = lambda a, x: F.when(F.exists(a, lambda y: over(x, y)), a).otherwise(F.concat(a, F.array(x)))
+    rows = t.body.withColumn("every", every).select(*SENT, F.explode(F.aggregate("every", none, step)).alias("m"))
+    return finding(rows, F.col("m.piece"), "Okura doğrudan seslenin.", F.col("m.at"))
 
 
 # words
@@ -200,7 +226,18 @@ def _phrases(t: Tables, section: str, message: str) -> DataFrame:
 
 @rule("KD-K01", "Resmî dil", "kelime")
 def jargon(t: Tables) -> DataFrame:
-    return _phrases(t, "jargon", " yerine bilinen bir kelime kullanın.")
+    """Phrases of the lexicon, and formal imperatives: words in -(y)InIz that end a sentence and belong to no phrase.
+
+    Without a dictionary a possessive looks alike, so that only the place of a predicate counts.
+    """
+    phrases = _phrases(t, "jargon", " yerine bilinen bir kelime kullanın.")
+    rows = neighbours(t.body_toks, 1)
+    last = F.coalesce(F.col("token1").isin(".", "!", "…", ";"), F.lit(True))
+    verbs = rows.where((F.col("kind") == "word") & last & F.rlike("lower", F.lit("^\\p{L}{2,}(?:ın[ıi]z|in[iı]z|unuz|ünüz)$")) & ~F.rlike("lower", F.lit("l[ae]r[ıi]n[ıi]z$")))
+    covered = t.matched.where("list = 'jargon'").select(*SENT, F.explode(F.sequence("first_tok", "last_tok")).alias("tok_idx"))
+    plain = F.substr("token", F.lit(1), F.length("token") - 2)
+    formal = finding(verbs.join(covered, [*SENT, "tok_idx"], "left_anti"), F.col("token"), F.concat(quote(F.col("token")), F.lit(" resmî bir emir.")), suggestion=plain, fix=plain, confidence=0.6)
+    return phrases.unionByName(formal)
 
 
 @rule("KD-K02", "Yabancı kelime", "kelime")
@@ -282,9 +319,15 @@ def numeral_value(words: Column) -> Column:
     return F.aggregate(words, start, step, lambda a: a["total"] + a["now"])
 
 
+#: What stands after an amount.
+UNITS = ["tl", "lira", "kuruş", "kg", "kilo", "km", "metre", "m", "cm", "mm", "lt", "litre", "%", "derece", "ton", "gram", "dolar", "euro", "avro"]
+COUNT_NOUNS = ["kişi", "adet", "hane", "konut", "aile", "öğrenci", "çocuk", "vatandaş", "abone", "metrekare", "dönüm", "hektar", "araç", "ağaç"]
+DECIMAL_UNITS = [*UNITS, "milyon", "milyar", "bin", "yıl", "saat", "kat"]
+
+
 @rule("KD-B01", "Yazıyla yazılmış sayı", "biçim")
 def numbers_in_words(t: Tables) -> DataFrame:
-    """Runs of number words of at least ``min_value``; a run ends at any other token."""
+    """Runs of number words of at least ``min_value``; a run ends at any other token. Besides, numbers of 5 to 12 digits before a unit."""
     least = t.profile.param("KD-B01", "min_value", 10)
     order = Window.partitionBy(*SENT).orderBy("tok_idx")
     words = t.body_toks.where(F.col("lower").isin(*NUMBER_WORDS)).withColumn("island", F.col("tok_idx") - F.row_number().over(order))
@@ -292,7 +335,11 @@ def numbers_in_words(t: Tables) -> DataFrame:
     runs = runs.select("*", F.transform("w", lambda x: x["lower"]).alias("words"), F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("hit")).withColumn("value", numeral_value(F.col("words")))
     rows = runs.where((F.col("value") >= least) & ((F.size("words") > 1) | F.col("words")[0].isin(*ALONE)))
     digits = numbers.format_thousands(F.col("value"))
-    return finding(rows, F.col("hit"), F.concat(F.lit("Rakamla yazın: "), digits), suggestion=digits, fix=F.when(~((F.size("words") == 1) & F.col("words")[0].isin("milyon", "milyar")), digits), tok=F.col("w")[0]["tok_idx"])
+    long = neighbours(t.body_toks, 1).where((F.col("kind") == "number") & F.rlike("base", F.lit("^[1-9][0-9]{4,11}$")) & F.col("low1").isin(*UNITS, *COUNT_NOUNS))
+    shown = numbers.format_thousands(F.col("base").try_cast("long"))
+    ungrouped = finding(long, F.col("base"), F.concat(F.lit("Binlik ayırıcıyla yazın: "), shown), suggestion=shown, fix=shown)
+    words_ = finding(rows, F.col("hit"), F.concat(F.lit("Rakamla yazın: "), digits), suggestion=digits, fix=F.when(~((F.size("words") == 1) & F.col("words")[0].isin("milyon", "milyar")), digits), tok=F.col("w")[0]["tok_idx"])
+    return words_.unionByName(ungrouped)
 
 
 @rule("KD-B02", "Roma rakamı", "biçim")
@@ -307,18 +354,60 @@ def roman(t: Tables) -> DataFrame:
 
 @rule("KD-B03", "Yüzde ve kesir", "biçim", "bilgi")
 def percent(t: Tables) -> DataFrame:
-    rows = t.body_toks.where((F.col("kind") == "percent") | ((F.col("kind") == "number") & F.rlike("token", F.lit("^[1-9]/(?:[2-9]|10)$"))))
-    return finding(rows, F.col("token"), F.concat(quote(F.col("token")), F.lit(" sayısını örnekle anlatın.")))
+    """Percentages, ``yüzde`` before a number, fractions, and, as a warning, decimals with a point before a unit."""
+    rows = neighbours(t.body_toks, 1)
+    said = (F.col("low") == "yüzde") & (F.col("kind") == "word") & (F.col("kind1") == "number")
+    abstract = rows.where((F.col("kind") == "percent") | ((F.col("kind") == "number") & F.rlike("token", F.lit("^[1-9]/(?:[2-9]|10)$"))) | said)
+    text = F.when(said, F.concat_ws(" ", "token", "token1")).otherwise(F.col("token"))
+    points = rows.where((F.col("kind") == "number") & F.rlike("base", F.lit("^[0-9]+\\.[0-9]{1,2}$")) & F.col("low1").isin(*DECIMAL_UNITS))
+    comma = F.replace("base", F.lit("."), F.lit(","))
+    wrong = finding(points, F.col("base"), F.concat(F.lit("Küsuratı virgülle yazın: "), comma), suggestion=comma, fix=comma, severity=F.lit("uyarı"))
+    return finding(abstract, text, F.concat(quote(text), F.lit(" sayısını örnekle anlatın."))).unionByName(wrong)
 
 
 @rule("KD-B04", "Tarih biçimi", "biçim")
 def date_format(t: Tables) -> DataFrame:
-    """Numeric dates: an error where the calendar has no such day, else the readable form."""
-    rows = t.body_toks.where(F.col("kind") == "date").withColumn("base", F.substring_index("token", "'", 1)).withColumn("d", numbers.date_parts(F.col("base")))
-    date = F.try_to_date(F.concat_ws(".", F.col("d.day").cast("string"), F.col("d.month").cast("string"), F.col("d.year").cast("string")), "d.M.yyyy")
-    rows = rows.withColumn("date", date)
-    good = numbers.readable_date(F.col("date"))
-    return finding(rows, F.col("base"), F.when(F.col("date").isNull(), "Böyle bir gün yok.").otherwise(F.concat(F.lit("Şöyle yazın: "), good)), suggestion=good, fix=good, severity=F.when(F.col("date").isNull(), "hata"))
+    """Numeric dates: an error where the calendar has no such day or the weekday after it is another, else the
+    readable form. Dates with the month's name: the same errors, and a hint where no weekday is near.
+
+    ``suggest_weekday`` says whether a missing weekday is asked for.
+    """
+    weekday = bool(t.profile.param("KD-B04", "suggest_weekday", True))
+    days = F.array(*[turkish_lower(F.lit(d)) for d in WEEKDAYS])
+    is_day = lambda c: F.coalesce(F.array_contains(days, c), F.lit(False))
+    date = lambda d, m, y: F.try_to_date(F.concat_ws(".", d.cast("string"), m.cast("string"), y.cast("string")), "d.M.yyyy")
+    near = Window.partitionBy(*SENT).orderBy("tok_idx").rowsBetween(-3, 4)
+    rows = neighbours(t.body_toks, 6).withColumn("near", F.max(is_day(F.substring_index("lower", "'", 1))).over(near))
+
+    def after(k: int) -> Column:
+        """The weekday beside a date whose last token is the k-th: the first word of the next three, with only brackets, commas and dashes before it."""
+        out = F.lit(None).cast("string")
+        for j in range(k + 3, k, -1):
+            out = F.when(F.col(f"kind{j}") == "word", F.when(is_day(F.col(f"low{j}")), F.col(f"low{j}"))).when(F.col(f"token{j}").isin("(", ",", "-"), out)
+        return out
+
+    actual = F.get(days, F.weekday("date"))
+    numeric = rows.where(F.col("kind") == "date").withColumn("d", numbers.date_parts(F.col("base")))
+    numeric = numeric.withColumns({"date": date(F.col("d.day"), F.col("d.month"), F.col("d.year")), "said": after(0)}).withColumn("wrong", F.coalesce(F.col("said") != actual, F.lit(False)))
+    full = numbers.readable_date(F.col("date"))
+    bare = F.regexp_replace(full, " [^ ]+$", "")
+    good = F.when(F.lit(weekday) & F.col("said").isNull(), full).otherwise(bare)
+    message = F.when(F.col("date").isNull(), "Böyle bir gün yok.").when(F.col("wrong"), F.concat(F.lit("Haftanın günü yanlış: "), full)).otherwise(F.concat(F.lit("Şöyle yazın: "), good))
+    shape = finding(numeric, F.col("base"), message, suggestion=F.when(F.col("wrong"), full).otherwise(good), fix=F.when(~F.col("wrong"), good), severity=F.when(F.col("date").isNull() | F.col("wrong"), "hata"))
+
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.col("low1")).cast("int")
+    day = F.col("base").try_cast("int")
+    dated = F.coalesce((F.col("kind2") == "number") & F.rlike("base2", F.lit("^[0-9]{4}$")), F.lit(False))
+    named = F.coalesce((F.col("kind2") == "word") & F.rlike("token2", F.lit("^\\p{Lu}")) & ~is_day(F.col("low2")) & ~F.col("low2").isin(*MONTHS), F.lit(False))
+    spoken = rows.where((F.col("kind") == "number") & F.rlike("base", F.lit("^[0-9]{1,2}$")) & day.between(1, 31) & (F.col("kind1") == "word") & F.col("low1").isin(*MONTHS) & ~named)
+    spoken = spoken.withColumns({"dated": dated, "date": date(day, month, F.when(dated, F.col("base2").try_cast("int")).otherwise(2024)), "said": F.when(dated, after(2))})
+    spoken = spoken.withColumn("wrong", F.coalesce(F.col("said") != actual, F.lit(False)))
+    rows = spoken.where(F.col("date").isNull() | F.col("wrong") | (F.lit(weekday) & ~F.col("near")))
+    text = F.when(F.col("dated"), F.concat_ws(" ", "token", "token1", "token2")).otherwise(F.concat_ws(" ", "token", "token1"))
+    known = F.when(F.col("dated"), full)
+    message = F.when(F.col("date").isNull(), "Böyle bir gün yok.").when(F.col("wrong"), F.concat(F.lit("Haftanın günü yanlış: "), full)).otherwise("Haftanın gününü de yazın.")
+    fix = F.when(~F.col("wrong") & (F.col("token2") == F.col("base2")), known)
+    return shape.unionByName(finding(rows, text, message, suggestion=known, fix=fix, severity=F.when(F.col("date").isNull() | F.col("wrong"), "hata").otherwise("bilgi")))
 
 
 @rule("KD-B05", "Saat biçimi", "biçim")
