@@ -12,8 +12,8 @@ ATESMAN = (198.825, 40.175, 2.610)
 ATESMAN_LEVELS = [(90, "çok kolay"), (70, "kolay"), (50, "orta güçlükte"), (30, "zor")]
 CETINKAYA_UZUN = (118.823, 25.987, 0.971)
 BEZIRCI_YILMAZ = (0.84, 1.5, 3.5, 26.25)
-#: English function words of the language gate.
-ENGLISH = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "as", "on", "are", "this", "be", "by", "from", "it", "was", "or", "an"]
+#: English function words of the language gate; none of them is a Turkish word as well, as "on", "an", "is" or "as" may be.
+ENGLISH = ["the", "and", "of", "to", "that", "for", "with", "are", "this", "be", "by", "from", "it", "was", "were", "or", "which", "have", "they", "you"]
 
 
 def counts(toks: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,19 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session names none, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Only a session within one machine (a local master, as in tests) that names none gets a temporary
+    folder; on a cluster that would be a folder of one machine, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        _own[app] = tempfile.mkdtemp(prefix="spark-")
     return _own[app]
 
 
