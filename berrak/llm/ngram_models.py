@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berrak.llm.tables import packed_schema
 from berrak.llm.textvec import BASE, U, chunks, mix, span_hashes, words
 
 BUCKETS = 1 << 14
@@ -60,21 +61,22 @@ def logs(counts: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     return np.log((counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1]))
 
 
-def _sums(batches: Iterator[pa.RecordBatch], table: np.ndarray, names: list[str], text_column: str) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums, counts, n_words = [np.zeros((0, len(table)))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in chunks(batch.column(text_column)):
+        for _, _, data, offsets in chunks(batch.column("text")):
             bucket, text, n = _buckets(data, offsets, table.shape[1])
             sums.append(np.stack([np.bincount(text, row[bucket], len(n)) for row in table], 1))
             counts.append(np.bincount(text, minlength=len(n)))
             n_words.append(n)
         every = np.concatenate(sums)
         lists = pa.ListArray.from_arrays(np.arange(0, every.size + 1, len(table), dtype=np.int32), every.ravel())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(counts)), lists], names=[*names, "n_words", "n_grams", "log_sums"])
+        columns = [batch.column("doc"), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(counts)), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "n_grams", "log_sums"])
 
 
 def sums(docs: DataFrame, table: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` of every row, its numbers of words and n-grams, and the sum of each row of ``table`` over its n-grams."""
-    source = docs.select(*keep, *([] if text in keep else [text]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema), "n_words long, n_grams long, log_sums array<double>"])
-    return source.mapInArrow(lambda x: _sums(x, table, keep, text), schema)
+    """``doc``: a struct of ``keep``, so that no name clashes with the results; the numbers of words and
+    n-grams of every row, and the sum of each row of ``table`` over its n-grams."""
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    return source.mapInArrow(lambda x: _sums(x, table), packed_schema(source, "n_words long, n_grams long, log_sums array<double>"))

@@ -39,10 +39,12 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of the quality rules over every document."""
     return compression_bands.compression_bands(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that benchmark windows hit, and the items that they belong to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
