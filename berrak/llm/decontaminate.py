@@ -6,24 +6,31 @@ item. Documents are streamed through it: after each word it knows the longest ru
 that ends there. Where that is at least ``window`` words long, or a whole shorter item ends, the
 words are hit.
 
-The benchmark is cut into blocks of at most ``block_words`` words (an item is never cut); each
-block has an automaton of its own, broadcast with a bounded size, and all documents pass one
-automaton after the other. Documents are never shuffled.
+The benchmark is dealt by hash into blocks of about ``block_words`` words (an item is never cut);
+each block's automaton is built by a task and written to the shared folder. Documents pass
+``blocks_per_pass`` automata at a time, which are broadcast and dropped again; where there are more,
+texts and what was found so far are written between passes. So neither the driver nor a task holds
+more than the automata of one pass, however long the benchmark is, and documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berrak.llm.tables import packed_schema, written
+
 #: A-Z to a-z, other bytes that are not in words to a space.
 NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -35,6 +42,7 @@ class Limits:
     window: int = 10
     coverage: float = 0.5
     block_words: int = 100_000
+    blocks_per_pass: int = 2
 
 
 class Automaton:
@@ -45,13 +53,13 @@ class Automaton:
     ``whole``, the short items that end where a state is reached: (length, item), longest first.
     """
 
-    def __init__(self, items: Iterable[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.whole: list[tuple[tuple[int, int], ...]] = []
-        self.items: list[set[int]] = []
+        self.whole: list[tuple[tuple[int, str | None], ...]] = []
+        self.items: list[set[str | None]] = []
         sequences = [(item, [self.ids.setdefault(w, len(self.ids) + 1) for w in words]) for item, words in items if words]
         for _, sequence in sequences:
             last = 0
@@ -86,9 +94,9 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
-    def _mark(self, sequences: list[tuple[int, list[int]]]) -> None:
+    def _mark(self, sequences: list[tuple[str | None, list[int]]]) -> None:
         self.items = [set() for _ in self.link]
-        own: list[list[tuple[int, int]]] = [[] for _ in self.link]
+        own: list[list[tuple[int, str | None]]] = [[] for _ in self.link]
         for item, sequence in sequences:
             state = 0
             for c in sequence:
@@ -102,16 +110,16 @@ class Automaton:
                 own[state].append((len(sequence), item))
         self.whole = [()] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            self.whole[state] = (*sorted(own[state], reverse=True), *self.whole[self.link[state]])
+            self.whole[state] = (*sorted(own[state], key=str, reverse=True), *self.whole[self.link[state]])
         self.shortest = min((len(s) for _, s in sequences), default=0)
         self.shortest = min(self.shortest, self.window)
 
-    def match(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    def match(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans of hit words in a run of known words, and the items that occur."""
         step, link, length, window = self.step, self.link, self.length, self.window
         state = size = 0
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        found: set[str | None] = set()
         for i, c in enumerate(numbers, 1):
             to = step[state].get(c)
             while to is None and state:
@@ -138,34 +146,56 @@ def _normal_words(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
 
-def automata(benchmark: DataFrame, limits: Limits) -> list[Broadcast]:
-    """An automaton for each block of the benchmark, broadcast one by one.
+def _build(rows: pd.DataFrame, window: int) -> pd.DataFrame:
+    """One block's automaton; items without an id are numbered None."""
+    items = [(None if pd.isna(i) else i, _normal_words(t)) for i, t in zip(rows["item"], rows["text"], strict=True)]
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "automaton": [pickle.dumps(Automaton(items, window), 5)]})
 
-    The driver holds one block at a time, of bounded size but for an item longer than a block.
-    """
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    out, block, words = [], [], 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        ws = _normal_words(row.text)
-        if words + len(ws) > limits.block_words and block:
-            out.append(spark.sparkContext.broadcast(Automaton(block, limits.window)))
-            block, words = [], 0
-        block.append((row.item_id, ws))
-        words += len(ws)
-    if block or not out:
-        out.append(spark.sparkContext.broadcast(Automaton(block, limits.window)))
-    return out
-
-
-def _hits(words: list[bytes], machine: Automaton) -> tuple[np.ndarray, set[int]]:
+
+def automata(benchmark: DataFrame, limits: Limits) -> DataFrame:
+    """block and automaton (pickled) of every block of the benchmark, as a written table."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct()
+    words = F.size(F.regexp_extract_all(F.col("text"), F.lit("[^\\s\\p{Punct}]+"), F.lit(0)))
+    total = items.agg(F.sum(words)).first()[0] or 0
+    blocks = max(1, -(-total // limits.block_words))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("block").applyInPandas(lambda x: _build(x, limits.window), "block int, automaton binary"), "automata")
+
+
+def passes(benchmark: DataFrame, limits: Limits) -> Iterator[tuple[Broadcast, bool]]:
+    """The automata of each pass, broadcast, and whether it is the last. Each is gone when the next is asked for."""
+    spark, table = benchmark.sparkSession, automata(benchmark, limits)
+    blocks = sorted(r.block for r in table.select("block").collect())
+    groups = [blocks[k : k + limits.blocks_per_pass] for k in range(0, len(blocks), limits.blocks_per_pass)] or [[]]
+    for group in groups:
+        found = [bytes(r.automaton) for r in table.where(F.col("block").isin(group)).collect()] if group else []
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, found))
+        last = group is groups[-1]
+        yield held, last
+        if not last:
+            held.unpersist()
+
+
+#: The automata of the pass that this worker is at, by the pass's name.
+_at_work: dict[str, list[Automaton]] = {}
+
+
+def _machines(held: Broadcast) -> list[Automaton]:
+    name, found = held.value
+    if name not in _at_work:
+        _at_work.clear()
+        _at_work[name] = [pickle.loads(x) for x in found]
+    return _at_work[name]
+
+
+def _hits(words: list[bytes], machine: Automaton) -> tuple[np.ndarray, set[str | None]]:
     """Which words are hit, and the items found. Only runs of known words are streamed."""
     get = machine.ids.get
     numbers = [get(w, 0) for w in words]
     known = np.zeros(len(numbers) + 2, bool)
     known[1:-1] = np.array(numbers, np.int32) > 0
     cover = np.zeros(len(numbers) + 1, np.int32)
-    found: set[int] = set()
+    found: set[str | None] = set()
     if machine.shortest:
         edge = np.flatnonzero(known[1:] != known[:-1])
         for a, b in edge.reshape(-1, 2)[np.diff(edge)[::2] >= machine.shortest]:
@@ -188,10 +218,10 @@ def _word_places(raw: bytes) -> np.ndarray:
     return np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
 
 
-def _cut(raw: bytes, hit: np.ndarray) -> bytes:
-    """The text without its hit words and what stands between words of one span."""
+def _cut(raw: bytes, runs: np.ndarray) -> bytes:
+    """The text without its runs of hit words and what stands between words of one run."""
     places, out, at = _word_places(raw), [], 0
-    for a, b in _runs(hit):
+    for a, b in runs:
         out.append(raw[at : places[a, 0]])
         at = places[b - 1, 1]
     return b"".join([*out, raw[at:]])
@@ -200,52 +230,90 @@ def _cut(raw: bytes, hit: np.ndarray) -> bytes:
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], machines: list[Broadcast], text: str, names: list[str], cut: str | None) -> Iterator[pa.RecordBatch]:
+#: What passes hand on: each row's columns, its text, the runs of words hit so far, the items found, and its words.
+HELD = "runs array<int>, items array<string>, n_words long"
+
+
+NO_ITEMS = hashlib.sha256(b"").hexdigest()
+
+
+def _raw(value: pa.Scalar) -> bytes:
+    """The bytes of a string, not decoded."""
+    return value.as_buffer().to_pybytes()
+
+
+def _search(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The runs of hit words and the items of every row, with those of this pass."""
+    machines = _machines(held)
+    for batch in batches:
+        runs: list[list[int]] = []
+        found: list[list[str]] = []
+        counts: list[int] = []
+        for value, before, own in zip(batch.column("text"), batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            words = _raw(value).translate(NORMAL).split() if value.is_valid else []
+            counts.append(len(words))
+            hit, items = np.zeros(len(words), bool), set(own)
+            for a, b in zip(before[::2], before[1::2], strict=True):
+                hit[a:b] = True
+            for machine in machines:
+                more, got = _hits(words, machine)
+                hit |= more
+                items |= got
+            runs.append(_runs(hit).ravel().tolist() if hit.any() else [])
+            found.append(sorted(x for x in items if x is not None))
+        own = [pa.array(runs, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), *own], names=["doc", "text", "runs", "items", "n_words"])
+
+
+def _told(batches: Iterator[pa.RecordBatch], cut: str | None) -> Iterator[pa.RecordBatch]:
+    """The results of every row from its runs and items."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     for batch in batches:
         rows: list[tuple] = []
         kept: list[bytes | None] = []
-        for value in batch.column(text):
-            raw = value.as_py()
-            raw = None if raw is None else raw.encode()
-            ws = raw.translate(NORMAL).split() if raw else []
-            hit, items = np.zeros(len(ws), bool), set()
-            for machine in machines:
-                own, found = _hits(ws, machine.value)
-                hit |= own
-                items |= found
-            n = int(hit.sum())
-            digest = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-            rows.append((len(ws), n, len(items), digest, n > 0))
+        held = (batch.column(c).to_pylist() for c in ("runs", "items", "n_words"))
+        for value, runs, ids, n_words in zip(batch.column("text"), *held, strict=True):
+            places = np.array(runs, np.int64).reshape(-1, 2)
+            n = int((places[:, 1] - places[:, 0]).sum())
+            rows.append((n_words, n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest() if ids else NO_ITEMS, n > 0))
             if cut is not None:
-                kept.append(_cut(raw, hit) if n else raw)
-        found = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())]
-        columns = [batch.column(c) for c in names] + found
-        labels = [*names, *(x.split()[0] for x in OUT.split(", "))]
+                raw = _raw(value) if value.is_valid else None
+                kept.append(_cut(raw, places) if n else raw)
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        names = ["doc", *(x.split()[0] for x in OUT.split(", "))]
         if cut is not None:
             columns.append(pc.cast(pa.array(kept, pa.binary()), pa.string()))
-            labels.append(cut)
-        yield pa.RecordBatch.from_arrays(columns, names=labels)
+            names.append("cut")
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=names)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, cut: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """The columns ``keep`` (all by default) of every row, then those of ``OUT``; ``cut`` names a further
-    column with the text without its hit spans.
+    column with the text without its hit spans. Columns of these names are replaced.
 
-    Null and empty texts have no words, null and empty items no windows; repeated items count as
-    often as they have ids. An empty benchmark hits nothing.
+    Null and empty texts have no words, null and empty items no windows. Item ids are taken as
+    strings; items of one text count as often as they have ids, repeated items once. An item
+    without an id hits words, but is neither counted nor listed. An empty benchmark hits nothing.
     """
-    machines = automata(benchmark, limits)
     results = [x.split()[0] for x in OUT.split(", ")] + ([cut] if cut else [])
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    source = docs.select(*names, *([] if text in names else [text]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema), OUT, *([f"`{cut}` string"] if cut else [])])
-    return source.mapInArrow(lambda batches: _scan(batches, machines, text, names, cut), schema)
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    at = at.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
+    told = packed_schema(at, OUT + (", cut string" if cut else ""))
+    search = packed_schema(at, f"text string, {HELD}")
+    for held, last in passes(benchmark, limits):
+        if last:
+            at = at.mapInArrow(lambda x, held=held: _told(_search(x, held), cut), told)
+        else:
+            at = written(at.mapInArrow(lambda x, held=held: _search(x, held), search), "decontamination")
+    return at.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], *results[:5], *([F.col("cut").alias(cut)] if cut else []))
 
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Documents without their hit spans; those with more than ``coverage`` of their words hit are dropped.
 
-    ``n_chars`` follows the text where it changed. Columns as in ``docs``.
+    ``n_chars`` follows the text where it changed. Columns as in ``docs``, whatever they are called.
+    Rows with null or empty texts, and repeated rows, stay; an empty table stays empty.
     """
     packed = docs.select(F.struct("*").alias("doc"), F.col("text").alias("doc_text"))
     found = scan(packed, benchmark, "doc_text", ["doc"], "doc_cut", limits).where(F.col("n_hit") <= limits.coverage * F.col("n_words"))
