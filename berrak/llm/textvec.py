@@ -6,7 +6,7 @@ made for a text or a word. Hashes are polynomials modulo 2**64 with an odd base.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +81,17 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = Non
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte strings ``data[start:end]``, equal for equal strings anywhere."""
+def span_hashes_of(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends to hashes of the byte strings between, equal for equal strings anywhere."""
     sums = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start] + (end - start).astype(U))
+    inverse = powers(INVERSE, len(data) + 1)
+    return lambda start, end: mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings ``data[start:end]``."""
+    return span_hashes_of(data)(start, end)
 
 
 def windows(values: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -161,6 +161,23 @@ def test_decontamination_equals_brute_force(spark, block):
         assert (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) == (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0)
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_decontamination_in_passes(spark, blocks):
+    """Ids that are no numbers, items without an id, and repeated documents, over several passes."""
+    r = random.Random(9)
+    letters = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(f"set/{k}" if k % 4 else None, letters(r.randint(1, 20))) for k in range(20)] + [("set/1", ""), ("x,y", "a b")]
+    texts = [(k % 17, letters(r.randint(0, 40))) for k in range(30)]
+    docs = spark.createDataFrame(texts + texts[:3], "doc_id long, text string").withColumns({"runs": F.lit(1), "items": F.lit(2), "doc": F.lit(3), "cut": F.lit(4)})
+    limits = decontaminate.Limits(block_words=20, blocks_per_pass=blocks)
+    got = decontaminate.scan(docs, spark.createDataFrame(items, "item_id string, text string"), limits=limits).collect()
+    assert len(got) == 33 and got[0].runs == 1 and got[0]["cut"] == 4
+    for x in got:
+        n, hit, ids = brute_hits(x.text, items)
+        ids = sorted(i for i in ids if i != "None")
+        assert (x.n_words, x.n_hit, x.n_items, x.items_sha256) == (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest())
+
+
 def test_decontamination_cuts_spans(spark):
     item = words(12, 7)
     docs = spark.createDataFrame([(1, f"{words(40, 8)} [{item}] end", 3, 5), (2, item, 3, 5), (3, None, 3, 5), (4, words(30, 9), 3, 5)], "doc_id long, text string, doc int, n_chars int")
@@ -313,6 +330,48 @@ def test_noisy_or_learns_sentences(spark):
     assert got[1000].score == got[1001].score < 0.5 and got[1000].n_sentences == 0
 
 
+def hashed(word, prefixes=()):
+    """The features of a word, one after the other."""
+    data = np.frombuffer(word, np.uint8)
+    one = lambda n: int(toxicity_mil.span_hashes_of(data)(np.array([0]), np.array([n]))[0])
+    return [one(len(word)) ^ int(toxicity_mil.WHOLE), *(one(n) for n in prefixes if n <= len(word))]
+
+
+def brute_score(text, model):
+    """Noisy-or over the sentences, word by word."""
+    fold = (text or "").encode().translate(toxicity_mil.FOLD)
+    stay, n = 1 - model.leak, 0
+    for part in fold.split(b"\n"):
+        values = [sum(model.weights.get(x, 0.0) for x in hashed(w, model.prefixes)) for w in part.split()]
+        n += bool(values)
+        if any(values):
+            stay *= 1 - 1 / (1 + np.exp(-min(30.0, max(-30.0, model.bias + sum(values)))))
+    return 1 - stay, n
+
+
+def test_scores_equal_brute_force(spark, docs):
+    r = random.Random(8)
+    model = toxicity_mil.Model({hashed(b"am0")[0]: 1.5, hashed(b"bk12", (4,))[1]: 2.5, hashed(b"ck3")[0]: -0.7, hashed("çirkin".encode())[0]: 3.0, hashed("çirk".encode(), (5,))[1]: 1.0, hashed(b"abcd", (4,))[1]: 0.5}, -1.5, 0.03, (4, 5, 6, 7, 8))
+    rows = [(k, ("çirkin bir SÖZ! " if k % 3 == 0 else "") + "".join(r.choice(["Am0 ", "bk12. ", "ck3\n", "abcde! ", "é? ", "😀 ", "çirkince. ", "x" * 300 + " "]) for _ in range(r.randrange(40)))) for k in range(60)]
+    rows += [(90, None), (91, ""), (92, "..!\n"), (93, rows[0][1]), (94, "zz " * 710_000 + "Am0 bk12.")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("doc", F.lit(1))
+    got = toxicity_mil.score(given, model).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "doc", *toxicity_mil.RESULTS}
+    for x in got:
+        score, n = brute_score(x.text, model)
+        assert abs(x.score - score) < 1e-9 and x.n_sentences == n
+        for s in x.toxic_spans:
+            assert abs(brute_score(x.text[s.start : s.end], toxicity_mil.Model(model.weights, model.bias, 0.0, model.prefixes))[0] - s.p) < 1e-9 and s.p >= 0.5
+    assert toxicity_mil.score(docs.where("false"), model).count() == 0
+
+
+def test_odd_labels_are_left_out(spark):
+    rows = [(k, "bad word here." if k % 2 else "good text now.") for k in range(40)]
+    labels = [(k, k % 2) for k in range(40)] + [(0, 7), (2, -1), (4, None), (None, 1)]
+    model = toxicity_mil.train(spark.createDataFrame(rows * 2, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert brute_score("bad word here.", model)[0] > 0.5 > brute_score("good text now.", model)[0]
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity_mil.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity_mil.score(docs, model, keep=["doc_id"]).collect()} == {0.0}
@@ -330,6 +389,59 @@ def test_resampling_prefers_the_target(spark, docs):
     assert importance_resampling.resample(docs.where("false"), labels).count() == 0
 
 
+def brute_weights(rows, good, words_=200.0):
+    """Log weights by counting words and pairs of words in dictionaries of hashed buckets."""
+    from berrak.llm import ngram_models
+    from berrak.llm.textvec import BASE, U, mix, span_hashes
+
+    def grams(text):
+        one = []
+        for w in (text or "").encode().split():
+            data = np.frombuffer(w, np.uint8)
+            one.append(span_hashes(data, np.array([0]), np.array([len(w)]))[0])
+        with np.errstate(over="ignore"):
+            two = [mix(np.array([a * BASE + b]))[0] for a, b in zip(one, one[1:])]
+        return [int(x % U(ngram_models.BUCKETS)) for x in one + two]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        target.update(grams(t) if i in good else [])
+    log = lambda c, g: np.log((c[g] + 1) / (c.total() + ngram_models.BUCKETS))
+    out = {}
+    for i, t in rows:
+        g = grams(t)
+        out[i] = sum(log(target, x) - log(raw, x) for x in g) * min(1.0, words_ / len(g)) if g else None
+    return out
+
+
+def test_weights_equal_brute_force(spark):
+    rows = [(k, words(20 + 11 * k, k)) for k in range(30)] + [(40, None), (41, ""), (42, " \n"), (43, "é ğ")]
+    labels = [(k, int(k % 3 > 0)) for k in range(20)] + [(99, 1), (None, 1), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit("clash"), "doc": F.lit(1), "kept": F.lit(2)})
+    got = {x.doc_id: x for x in importance_resampling.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want = brute_weights(rows, {i for i, q in labels if q == 1})
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert got[k].log_weight is None if w is None else abs(got[k].log_weight - w) < 1e-6
+    # 13 of the 20 labelled 0 to 19, and id 99, are good.
+    share = 14 / 21
+    keys = sorted((x.gumbel_key for x in got.values() if x.gumbel_key is not None), reverse=True)
+    least = keys[round(share * len(rows)) - 1]
+    assert {k for k, x in got.items() if x.kept} == {k for k, x in got.items() if x.gumbel_key is not None and x.gumbel_key >= least}
+
+
+def test_resampling_without_good_labels(spark):
+    rows = [(k, words(30, 1)) for k in range(20)] + [(20, "rare words only"), (20, "rare words only"), (21, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = importance_resampling.resample(docs, none).collect()
+    assert all(x.log_weight == 0 and x.kept for x in got if x.doc_id != 21) and len(got) == len(rows)
+    assert importance_resampling.good_share(none) == 1.0
+    bad = spark.createDataFrame([(1, 0), (2, 0), (2, 5)], "doc_id long, quality int")
+    assert importance_resampling.good_share(bad) == 0.0 and not any(x.kept for x in importance_resampling.resample(docs, bad).collect())
+
+
 def test_kth_largest(spark):
     values = [random.Random(1).gauss(0, 1) for _ in range(500)] + [3.0] * 50
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -352,6 +464,54 @@ def test_rates_meet_targets(spark):
     assert np.allclose(sums, [0.7, 0.2, 0.1], atol=1e-3) and (got["r"] >= 0).all() and max(map(abs, left.values())) < 1e-3
 
 
+def brute_posteriors(rows, labelled, s):
+    """Naive Bayes by dictionaries over the same hashed buckets."""
+    from berrak.llm import ngram_models
+
+    names = s.domains
+    counts = {n: Counter() for n in names}
+    had = Counter(labelled.values())
+    weights = {}
+    for i, t in rows:
+        offsets = np.array([0, len((t or "").encode())])
+        weights[i] = ngram_models._buckets(np.frombuffer((t or "").encode(), np.uint8), offsets, s.buckets)[0].tolist() if t else []
+        if i in labelled:
+            counts[labelled[i]].update(weights[i])
+    out = {}
+    for i, _ in rows:
+        g = weights[i]
+        logit = np.array([sum(np.log((counts[n][x] + 1) / (counts[n].total() + s.buckets)) for x in g) * (min(1.0, s.words / len(g)) if g else 0) + np.log((had[n] + 1) / (had.total() + len(names))) for n in names])
+        out[i] = np.exp(logit - logit.max()) / np.exp(logit - logit.max()).sum()
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    rows = [(k, words(10 + 9 * k, k % 5)) for k in range(24)] + [(30, None), (31, "")]
+    labelled = {k: ("clean", "low", "toxic")[k % 3] for k in range(15)}
+    s = soft_mixing.Settings(words=20.0, buckets=512)
+    table = spark.createDataFrame(list(labelled.items()), "doc_id long, domain string")
+    mixed = soft_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), table, ["doc_id"], s).collect()
+    want = brute_posteriors(rows, labelled, s)
+    assert all(np.allclose(x.posterior, want[x.doc_id], atol=1e-9) for x in mixed)
+    total = sum(x.n_tokens for x in mixed)
+    got = sum(x.n_tokens * x.rate * np.array(x.posterior) for x in mixed) / total
+    assert np.allclose(got, [s.targets[n] for n in s.domains], atol=1e-4)
+    assert all(x.copies in (int(x.rate), int(x.rate) + 1) for x in mixed)
+
+
+def test_mixing_with_clashing_names(spark):
+    rows = [(k if k % 5 else None, words(30, k)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("n_words", "n_grams", "log_sums", "parts", "doc", "own", "draw", "rate", "a.b")})
+    labelled = spark.createDataFrame([(1, "clean"), (2, "low"), (3, "toxic")], "doc_id long, domain string")
+    got = soft_mixing.mix(docs, labelled).collect()
+    assert len(got) == 40 and got[0].parts == "parts" and got[0]["a.b"] == "a.b" and got[0].rate >= 0
+    assert soft_mixing.mix(docs, labelled, []).columns == ["n_tokens", "posterior", "rate", "copies"]
+    assert soft_mixing.mixing_stage(docs, labelled).columns == docs.columns
+    # Null ids are drawn by their texts, so that they don't all share one chance.
+    half = soft_mixing.Settings(targets={"clean": 0.5, "low": 0.25, "toxic": 0.25})
+    assert len({x.copies for x in soft_mixing.mix(docs, labelled, s=half).collect() if x.doc_id is None}) >= 1
+
+
 def test_mixing_handles_odd_rows(spark, docs, empty):
     labelled = soft_mixing.domains_of_labels(spark.createDataFrame([(1, 1, 0), (9, 0, 0), (10, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int"))
     mixed = soft_mixing.mix(docs.drop("kept"), labelled)
@@ -376,6 +536,23 @@ def test_table_is_even_and_stable():
         sharding.fill(shards, 1000)
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"x": 3, "y": 1, "z": 0, "w": 2}])
+def test_fill_equals_brute_force(weights):
+    """Whole preference lists written out, and turns taken over them."""
+    size = 101
+    number = lambda name, salt: int.from_bytes(hashlib.sha256(f"{salt}:{name}".encode()).digest()[:8], "big")
+    lists = {n: [(number(n, "offset") + k * (number(n, "skip") % (size - 1) + 1)) % size for k in range(size)] for n, w in weights.items() if w}
+    want = {}
+    while len(want) < size:
+        for n in sorted(lists):
+            for _ in range(weights[n]):
+                slot = next((x for x in lists[n] if x not in want), None)
+                if slot is not None:
+                    want[slot] = n
+    assert sharding.fill(weights, size) == [want[k] for k in range(size)]
+    assert all(sorted(x) == list(range(size)) for x in lists.values())
+
+
 def test_placement(docs, empty):
     got = sharding.place(docs).collect()
     assert len(got) == len(DOCS) and all(r.shard for r in got)
