@@ -8,14 +8,18 @@ of the whole corpus would live in one place, so the corpus is cut by content:
    context (all windows around it) repeats is found among the contexts of equal anchors.
 2. Equal contexts. Contexts sorted by anchor and content stream past: all but the earliest of
    equal ones are repeated wholly, and anchors with one context only need no more.
-3. Index. The other contexts are dealt by anchor and indexed, some MB at a time: suffixes are
-   sorted, the Burrows-Wheeler transform is kept as runs, and places are sampled at the ends of
-   the intervals of suffixes that agree in ``length`` bytes: the earliest of each interval, as
-   that is what is asked for, instead of one at every run's end. The contexts are streamed through it from right to left, all at once; at each step the interval
-   of the current suffix tells whether it matches ``length`` bytes that start earlier.
-
-Anchors with more than ``hot`` contexts are not held in one task: their windows are hashed
-(128 bits) and the earliest of each is found by an aggregation that combines before it shuffles.
+3. Index. The other contexts are dealt by anchor, some MB at a time, in their order. Of each
+   anchor's contexts the earlier half is indexed: the Burrows-Wheeler transform is kept as runs, with
+   the places of the suffixes at both ends of every run. The later half is streamed through it
+   from right to left: a match grows while the transform has the letter, and else falls back to the
+   nearer run of that letter, as far as the sampled suffix there agrees. Where it is ``length`` bytes
+   long, these start earlier. Then each half is halved again. Contexts that are found wholly are
+   neither streamed nor indexed again: indexes hold first copies. Nor are contexts that share
+   none of the parts, singled out by content, of which every window holds one, with the other half.
+
+Contexts of anchors with more than ``hot`` of them are dealt again by a second anchor: the ``fine``-byte
+strings with the smallest hash in each half of a window, in which equal windows agree too. A
+key whose contexts still don't fit is indexed part by part, in order; each part's first copies stay.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berrak.llm.tables import written
-from berrak.llm.textvec import BASE, U, chunks, mix
+from berrak.llm.textvec import BASE, CHUNK, INVERSE, U, chunks, mix, powers, span_hashes_of
 
 
 @dataclass(frozen=True)
 class Settings:
     length: int = 100
     gram: int = 32
-    index_bytes: int = 1 << 20
+    index_bytes: int = 1 << 22
     hot: int = 4_000
+    fine: int = 16
+    piece_bytes: int = CHUNK
 
     @property
     def reach(self) -> int:
@@ -56,22 +62,13 @@ def _doubled(values: np.ndarray, size: int, join) -> np.ndarray:
     return join(have[: len(have) - (size - n)], have[size - n :], size - n)
 
 
-def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hashes of every ``size`` consecutive bytes."""
-    have = data.astype(U) + U(1)
-    by, n = {1: have}, 1
-    while n * 2 <= size:
-        have = have[:-n] * U(pow(int(BASE), n, 2**64)) + have[n:]
-        n *= 2
-        by[n] = have
-    out, done = have, n
-    for k in sorted(by, reverse=True):
-        while done + k <= size:
-            tail = by[k][done:]
-            m = min(len(out), len(tail))
-            out = out[:m] * U(pow(int(BASE), k, 2**64)) + tail[:m]
-            done += k
-    return out
+def string_hashes(data: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Polynomial hashes of every ``size`` consecutive bytes, for some sizes."""
+    n = len(data)
+    sums = np.zeros(n + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
+    inverse = powers(INVERSE, n)
+    return [(sums[size:] - sums[: max(0, n + 1 - size)]) * inverse[: max(0, n + 1 - size)] for size in sizes]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +76,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if len(data) < s.length:
         return none, none.astype(U), none.astype(U), none, none
-    grams = mix(string_hashes(data, s.gram))
+    grams, whole = string_hashes(data, s.gram, s.length)
+    grams = mix(grams)
     order = (grams >> U(32)).astype(np.uint32) | np.uint32(1)
     width = s.reach + 1
     least = _doubled(order, width, lambda a, b, _: np.minimum(a, b))
@@ -93,11 +91,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
     text = text_of[at]
     begin = np.maximum(offsets[text], at - s.reach)
     last = np.minimum(offsets[text + 1] - s.length, at)
-    whole = string_hashes(data, s.length)
     context = mix(mix(whole[begin] + (at - begin).astype(U)) * BASE + whole[last] + U(3) * (last - begin).astype(U))
     return at, grams[at], context, text, begin
 
 
+def anchors_of_pieces(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """``anchors``; a text of its own that is longer than ``piece_bytes`` is worked on in overlapping pieces."""
+    size = s.piece_bytes
+    if len(offsets) > 2 or len(data) <= size:
+        return anchors(data, offsets, s)
+    parts = []
+    for a in range(0, len(data), size):
+        lo, hi = max(0, a - 2 * s.length), min(len(data), a + size + 2 * s.length)
+        at, anchor, context, text, begin = anchors(data[lo:hi], np.array([0, hi - lo]), s)
+        own = (at + lo >= a) & (at + lo < a + size)
+        parts.append((at[own] + lo, anchor[own], context[own], text[own], begin[own] + lo))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 ROW = "anchor long, context long, doc_id long, tie long, place int, until int"
 
 
@@ -112,7 +123,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.
     for batch in batches:
         ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tie"))
         for row, _, data, offsets in chunks(batch.column("text")):
-            at, anchor, context, text, begin = anchors(data, offsets, s)
+            at, anchor, context, text, begin = anchors_of_pieces(data, offsets, s)
             if not len(at):
                 continue
             order = np.lexsort((at, context, anchor, text))
@@ -175,117 +186,136 @@ def anchor_table(docs: DataFrame, s: Settings) -> DataFrame:
     return written(dealt.mapInArrow(lambda x: _equal_contexts(x, s), ROW), "anchors")
 
 
-PIECE = "key long, other long, doc_id long, tie long, start int, until int, context binary"
+PIECE = "key long, doc_id long, tie long, start int, until int, context binary"
+PIECE_NAMES = ["key", "doc_id", "tie", "start", "until", "context"]
 
 
 def _pieces(columns: list[np.ndarray], contexts: pa.Array | None = None) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
     arrays = [pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == U else x.astype(k)) for x, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.binary()) if contexts is None else contexts], names=[x.split()[0] for x in PIECE.split(", ")])
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.binary()) if contexts is None else contexts], names=PIECE_NAMES)
 
 
-def _hot_windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, begin: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
-    """The earliest of each window of the contexts, by two hashes; what equals an earlier one, as spans."""
-    if len(data) < s.length:
-        return
-    one, two = (string_hashes(x, s.length) for x in (data, data ^ np.uint8(0x5A)))
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of every ``width`` consecutive values, the leftmost of equal ones."""
+    return (_doubled((values & ~U(0xFFFFFFFF)) | np.arange(len(values), dtype=U), width, lambda a, b, _: np.minimum(a, b)) & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def _dealt_again(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, doc: np.ndarray, tie: np.ndarray, begin: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Contexts of hot anchors cut where the second anchor of their windows changes place.
+
+    Of equal parts in this batch only the earliest is passed on; the others are spans.
+    """
+    half = s.length // 2
+    grams = mix(string_hashes(data, s.fine)[0] + U(0x2545F4914F6CDD1D))
+    place = _least(grams, half - s.fine + 1)
+    n = len(data) - s.length + 1
     string = np.repeat(np.arange(len(doc)), np.diff(offsets))
-    at = np.flatnonzero(offsets[1:][string[: len(one)]] - np.arange(len(one)) >= s.length)
-    own = string[at]
-    h1, h2, doc, tie, start = mix(one[at]), mix(two[at]), doc[own], tie[own], begin[own] + at - offsets[own]
-    order = np.lexsort((start, tie, doc, h2, h1))
-    h1, h2, doc, tie, start = (x[order] for x in (h1, h2, doc, tie, start))
-    again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
-    here = np.concatenate([[False], (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (start[1:] == start[:-1])])
-    new = ~again
-    yield _pieces([h1[new], h2[new], doc[new], tie[new], start[new], np.full(int(new.sum()), -1)])
+    at = np.flatnonzero(offsets[1:][string[:n]] - np.arange(n) >= s.length)
+    left, right, own = place[at], place[at + half], string[at]
+    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    first, last, own = at[new], at[np.concatenate([new[1:] - 1, [len(at) - 1]])] + s.length, own[new]
+    key = mix(mix(anchor[own].astype(np.int64).view(U) * BASE + grams[left[new]]) * BASE + grams[right[new]])
+    content = span_hashes_of(data)(first, last)
+    doc, tie, start = doc[own], tie[own], begin[own] + first - offsets[own]
+    order = np.lexsort((start, tie, doc, content, key))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+    one = np.flatnonzero(~again)
+    parts = pa.array([data[a:b].tobytes() for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)], pa.binary())
+    yield _pieces([key[one], doc[one], tie[one], start[one], np.full(len(one), -1)], parts)
+    # Rows that are given twice are no copies of themselves.
+    here = np.zeros(len(order), bool)
+    here[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (tie[order[1:]] == tie[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
     k = np.flatnonzero(again & ~here)
-    k = k[np.lexsort((start[k], tie[k], doc[k]))]
     if len(k):
-        yield from _as_pieces(_span_rows(doc[k], tie[k], start[k], s.length))
-
-
-def _as_pieces(spans: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    doc, tie, start, end = (x.to_numpy() for x in spans.columns)
-    yield _pieces([mix(doc.astype(U) + start.astype(U)), np.zeros(len(doc), U), doc, tie, start, end])
+        yield _pieces([mix(doc[k].astype(U) + start[k].astype(U)), doc[k], tie[k], start[k], start[k] + last[k] - first[k]])
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """The bytes around each place of each text; around places of hot anchors, windows and spans."""
+    """The bytes around each place of each text; those around places of hot anchors are cut again.
+
+    A window that holds an anchor twice belongs to the context of the first, so that a context holds no
+    window that another one of its text and anchor has.
+    """
     for batch in batches:
         texts, places, ids, ties = (batch.column(c) for c in ("text", "places", "doc_id", "tie"))
         columns: list[list] = [[], [], [], [], []]
         contexts: list[bytes] = []
         for i in range(len(batch)):
-            raw, found = texts[i].as_py().encode(), places[i].values
+            raw, found = texts[i].as_buffer().to_pybytes(), places[i].values
             at, anchor, hot = (found.field(k).to_numpy(zero_copy_only=False) for k in ("place", "anchor", "hot"))
-            begin = np.maximum(at - s.reach, 0)
+            order = np.lexsort((at, anchor))
+            at, anchor, hot = at[order].astype(np.int64), anchor[order], hot[order]
+            free = np.zeros(len(at), np.int64)
+            free[1:] = np.where(anchor[1:] == anchor[:-1], at[:-1] + 1, 0)
+            begin = np.maximum(np.maximum(at - s.reach, 0), free)
+            end = np.minimum(at + s.length, len(raw))
+            full = end - begin >= s.length
             for x, y in zip(columns, (anchor, np.full(len(at), ids[i].as_py()), np.full(len(at), ties[i].as_py()), begin, hot), strict=True):
-                x.append(y)
-            contexts.extend([raw[b:e] for b, e in zip(begin.tolist(), (at + s.length).tolist(), strict=True)])
+                x.append(y[full])
+            contexts.extend([raw[b:e] for b, e in zip(begin[full].tolist(), end[full].tolist(), strict=True)])
         if not contexts:
             continue
         anchor, doc, tie, begin, hot = (np.concatenate(x) for x in columns)
         hot, cut = hot.astype(bool), pa.array(contexts, pa.binary())
         cold = np.flatnonzero(~hot)
         if len(cold):
-            yield _pieces([anchor[cold], np.zeros(len(cold), np.int64), doc[cold], tie[cold], begin[cold], np.full(len(cold), -1)], cut.take(pa.array(cold)))
+            yield _pieces([anchor[cold], doc[cold], tie[cold], begin[cold], np.full(len(cold), -1)], cut.take(pa.array(cold)))
         warm = np.flatnonzero(hot)
         for k in range(0, len(warm), max(1, s.hot)):
             part = warm[k : k + max(1, s.hot)]
             data, offsets = _binary(cut.take(pa.array(part)))
-            yield from _hot_windows(data, offsets, doc[part], tie[part], begin[part].astype(np.int64), s)
+            yield from _dealt_again(data, offsets, anchor[part], doc[part], tie[part], begin[part], s)
 
 
 class Index:
     """The run-compressed Burrows-Wheeler transform of many strings, each with a terminator of its own.
 
-    ``run_start`` and ``run_to``: where each run of equal letters starts, and where its first
-    letter leads. ``interval`` and ``earliest``: where suffixes that agree in ``length`` bytes
-    start among the sorted ones, and the least order of the places in each such interval.
+    Strings belong to groups; a letter is a byte of a group, so that nothing matches across groups.
+    Of the transform its runs are kept: ``start`` (row), ``letter`` and ``to`` (the row to which the
+    first of the run leads); for the first and the last row of each run, the place of its suffix and
+    how many bytes the string has from there. ``by`` has the runs in the order of their letters.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
         n, m = len(data), len(offsets) - 1
         string = np.repeat(np.arange(m), np.diff(offsets))
         left = offsets[1:][string] - np.arange(n)
-        suffixes, depth = self._sorted(data, string, left, m)
-        rows = n + m
-        before = np.empty(rows, np.int16)
-        before[:m] = data[offsets[1:] - 1]
-        previous = suffixes - 1
+        letters = group[string] * 256 + data
+        suffixes = self._sorted(data, group[string], string, left, m)
         at_start = left[suffixes] == np.diff(offsets)[string[suffixes]]
-        before[m:] = np.where(at_start, -1, data[np.maximum(previous, 0)])
-        new = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        letter, size = before[new], np.diff(np.concatenate([new, [rows]]))
-        self.run_start = new
-        self.run_to = np.zeros(len(new), np.int64)
-        by = np.argsort(letter, kind="stable")
-        ahead = np.cumsum(size[by]) - size[by]
-        ends = int((letter == -1) @ size)
-        self.run_to[by] = m + ahead - ends
-        same = self._agree(depth, suffixes, left, length)
-        self.interval = np.flatnonzero(np.concatenate([[True], ~same])) + m
-        self.earliest = np.minimum.reduceat(order[suffixes], self.interval - m)
+        before = np.concatenate([letters[offsets[1:] - 1], np.where(at_start, -1, letters[np.maximum(suffixes - 1, 0)])])
+        self.start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        self.letter, size = before[self.start], np.diff(np.concatenate([self.start, [n + m]]))
+        self.last = self.start + size - 1
+        self.by = np.argsort(self.letter, kind="stable")
+        self.keys = self.letter[self.by] * len(self.start) + self.by
+        self.to = np.empty(len(self.start), np.int64)
+        self.to[self.by] = np.cumsum(size[self.by]) - size[self.by]
+        place = lambda rows: np.where(rows < m, offsets[1:][np.minimum(rows, m - 1)], suffixes[np.maximum(rows - m, 0)])
+        rest = lambda rows: np.where(rows < m, 0, left[suffixes[np.maximum(rows - m, 0)]])
+        self.first_at, self.first_left = place(self.start), rest(self.start)
+        self.last_at, self.last_left = place(self.last), rest(self.last)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=self.sums[1:])
 
     @staticmethod
-    def _sorted(data: np.ndarray, string: np.ndarray, left: np.ndarray, m: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """Suffixes in order, and ranks by their first 8, 24 and 72 bytes."""
+    def _sorted(data: np.ndarray, group: np.ndarray, string: np.ndarray, left: np.ndarray, m: int) -> np.ndarray:
+        """Suffixes in the order of their groups and bytes, by ranks of 8, 24, 72 ... bytes."""
         n = len(data)
-        padded = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
-        key = np.zeros(n, np.uint64)
+        padded = np.concatenate([data.astype(U), np.zeros(8, U)])
+        key = np.zeros(n, U)
         for k in range(8):
-            key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + n], np.uint64(0))
-        depth, size = {}, 8
+            key = (key << U(8)) | np.where(left > k, padded[k : k + n], U(0))
         order = np.argsort(key)
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        while True:
+        small = group.astype(np.int16) if group.max(initial=0) < 1 << 15 else group
+        order = order[np.argsort(small[order], kind="stable")]
+        new = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (small[order][1:] != small[order][:-1])])
+        size, bits = 8, np.int64(max(1, (n + m).bit_length()))
+        while not new[1:].all():
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
-            depth[size] = rank
-            if size > left.max():
-                return order, depth
-            bits = np.int64(max(1, (n + m).bit_length()))
             key = rank
             for hop in (size, 2 * size):
                 there = np.minimum(np.arange(n) + hop, n - 1)
@@ -294,46 +324,152 @@ class Index:
             order = np.argsort(key)
             new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
             size *= 3
-
-    @staticmethod
-    def _agree(depth: dict[int, np.ndarray], suffixes: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
-        """Whether each suffix agrees with the one before in ``length`` bytes."""
-        size = max(k for k in depth if k <= length)
-        rank, far = depth[size], length - size
-        a, b = suffixes[:-1], suffixes[1:]
-        n = len(rank)
-        fits = (left[a] >= length) & (left[b] >= length)
-        return fits & (rank[a] == rank[b]) & (rank[np.minimum(a + far, n - 1)] == rank[np.minimum(b + far, n - 1)])
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """From rows of suffixes to the rows of the suffixes one byte longer."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_to[run] + rows - self.run_start[run]
-
-    def earliest_match(self, rows: np.ndarray) -> np.ndarray:
-        """The least order of the places that agree with each row's suffix."""
-        return self.earliest[np.searchsorted(self.interval, rows, "right") - 1]
-
-
-def repeated_places(data: np.ndarray, offsets: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Places whose ``length`` bytes, within their string, also stand at a place of smaller order.
-
-    All strings are streamed from their ends to their starts, one byte of each at a time.
-    """
-    index = Index(data, offsets, order, length)
-    rows = np.arange(len(offsets) - 1)
-    sizes = np.diff(offsets)
-    out = np.zeros(len(data), bool)
-    live = np.arange(len(sizes))
-    for k in range(1, int(sizes.max()) + 1):
-        if k > sizes[live].min():
-            still = sizes[live] >= k
-            live, rows = live[still], rows[still]
-        rows = index.step(rows)
-        if k >= length:
-            place = offsets[live + 1] - k
-            out[place] = index.earliest_match(rows) < order[place]
-    return out
+        return order
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes agree from two places on, at most ``most``; by hashes and halving."""
+        inverse = powers(INVERSE, len(self.sums))
+        low, high = np.zeros_like(most), most.copy()
+        todo = np.flatnonzero(high > 0)
+        while len(todo):
+            x, y, size = a[todo], b[todo], (low[todo] + high[todo] + 1) >> 1
+            same = (self.sums[x + size] - self.sums[x]) * inverse[x] == (self.sums[y + size] - self.sums[y]) * inverse[y]
+            low[todo] = np.where(same, size, low[todo])
+            high[todo] = np.where(same, high[todo], size - 1)
+            todo = todo[low[todo] < high[todo]]
+        return low
+
+    def _fall_back(self, run: np.ndarray, at: np.ndarray, size: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The run of a letter beside each run whose end agrees longer, that end's row and place, and how far it
+        agrees; -1 where no run has the letter."""
+        k = np.searchsorted(self.keys, letter * len(self.start) + run)
+        out = run.copy(), self.start[run], at.copy(), np.full(len(run), -1)
+        for side, rows, places, rest in ((k - 1, self.last, self.last_at, self.last_left), (k, self.start, self.first_at, self.first_left)):
+            other = self.by[np.minimum(np.maximum(side, 0), len(self.by) - 1)]
+            has = np.flatnonzero((side >= 0) & (side < len(self.by)) & (self.letter[other] == letter))
+            other = other[has]
+            agree = self._common(at[has], places[other], np.minimum(size[has], rest[other]))
+            more = agree > out[3][has]
+            for x, y in zip(out, (other, rows[other], places[other], agree), strict=True):
+                x[has[more]] = y[more]
+        return out
+
+    def match(self, data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Matching statistics: how many bytes from each place of the given strings on stand, in this order, in an indexed string of their group.
+
+        All strings are streamed from their ends to their starts, one byte of each at a time.
+        """
+        sizes = np.diff(offsets)
+        out = np.zeros(len(data), np.int32)
+        live = np.argsort(-sizes, kind="stable")
+        letters, ends = data + np.repeat(group, sizes) * 256, offsets[1:]
+        row, size, at = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.full(len(live), self.first_at[0])
+        for k in range(1, int(sizes.max(initial=0)) + 1):
+            if sizes[live[-1]] < k:
+                n = int(np.searchsorted(-sizes[live], -k, "right"))
+                live, row, at, size = live[:n], row[:n], at[:n], size[:n]
+            place = ends[live] - k
+            letter = letters[place]
+            run = np.searchsorted(self.start, row, "right") - 1
+            miss = np.flatnonzero(self.letter[run] != letter)
+            if len(miss):
+                run[miss], row[miss], at[miss], size[miss] = self._fall_back(run[miss], at[miss], size[miss], letter[miss])
+            lost = size < 0
+            row, at, size = np.where(lost, 0, self.to[run] + row - self.start[run]), np.where(lost, self.first_at[0], at - 1), size + 1
+            out[place] = size
+        return out
+
+
+def _taken(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some of the strings: bytes, offsets, and where the bytes come from."""
+    sizes = np.diff(offsets)[rows]
+    new = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(new[-1]) + np.repeat(offsets[rows] - new[:-1], sizes)
+    return data[at], new, at
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which values are among others."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    have = np.sort(others)
+    return have[np.minimum(np.searchsorted(have, values), len(have) - 1)] == values
+
+
+class Repeats:
+    """Which windows of strings, given by key and in their order, equal earlier ones of their key."""
+
+    def __init__(self, key: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int):
+        self.data, self.offsets, self.length = data, offsets, length
+        self.group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.rank = np.arange(len(key)) - first[self.group]
+        self.found = np.zeros(len(data), bool)
+        self.open = np.diff(offsets) - length + 1
+        content = span_hashes_of(data)(offsets[:-1], offsets[1:])
+        order = np.lexsort((np.arange(len(key)), content, self.group))
+        again = np.zeros(len(key), bool)
+        again[order[1:]] = (content[order[1:]] == content[order[:-1]]) & (self.group[order[1:]] == self.group[order[:-1]])
+        self._mark(np.flatnonzero(again), None, None)
+        self.sign, self.signed = self._signs()
+
+    def _signs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of five sixths of a window's length that have the smallest hash in some window, as hashes with
+        their groups, and the strings that hold them. Strings without a common one share no window."""
+        size = self.length * 5 // 6
+        grams = mix(string_hashes(self.data, size)[0])
+        n = len(self.data) - self.length + 1
+        string = np.repeat(np.arange(len(self.open)), np.diff(self.offsets))[:n]
+        at = np.flatnonzero(self.offsets[1:][string] - np.arange(n) >= self.length)
+        place, own = _least(grams, self.length - size + 1)[at], string[at]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
+        return mix(grams[place[new]] + mix(self.group[own[new]].astype(U))), own[new]
+
+    def _mark(self, rows: np.ndarray, at: np.ndarray | None, hit: np.ndarray | None) -> None:
+        """Marks windows of some strings: those at ``at[hit]``, or all."""
+        if not len(rows):
+            return
+        if at is None:
+            _, new, at = _taken(self.data, self.offsets, rows)
+            hit = np.repeat(new[1:], np.diff(new)) - np.arange(len(at)) >= self.length
+        self.found[at[hit]] = True
+        marks = np.concatenate([[0], np.cumsum(self.found)])
+        self.open[rows] = np.diff(self.offsets)[rows] - self.length + 1 - (marks[self.offsets[rows + 1]] - marks[self.offsets[rows]])
+
+    def _stream(self, index: Index, rows: np.ndarray, group: np.ndarray) -> None:
+        data, offsets, at = _taken(self.data, self.offsets, rows)
+        self._mark(rows, at, index.match(data, offsets, group) >= self.length)
+
+    def among_earlier(self, index: Index) -> None:
+        """Marks what stands in an index of earlier strings of the first key."""
+        rows = np.flatnonzero((self.open > 0) & (self.group == 0))
+        if len(rows):
+            self._stream(index, rows, np.zeros(len(rows), np.int64))
+
+    def among_themselves(self) -> None:
+        """Later halves against earlier ones, then halves of these, of all keys at once."""
+        for bit in reversed(range(int(self.rank.max(initial=0)).bit_length())):
+            block, late = self.rank >> (bit + 1), (self.rank >> bit & 1).astype(bool)
+            k = np.flatnonzero(self.open[self.signed] > 0)
+            own = self.signed[k]
+            sign, half = self.sign[k] + mix(block[own].astype(U)), late[own]
+            met = np.zeros(len(self.open), bool)
+            met[own[half][_among(sign[half], sign[~half])]] = True
+            met[own[~half][_among(sign[~half], sign[half])]] = True
+            rows = np.flatnonzero(met)
+            if len(rows):
+                _, number = np.unique((self.group[rows].astype(np.int64) << 32) | block[rows], return_inverse=True)
+                early = ~late[rows]
+                data, offsets, _ = _taken(self.data, self.offsets, rows[early])
+                self._stream(Index(data, offsets, number[early]), rows[~early], number[~early])
+
+    def first_copies(self) -> Index | None:
+        """An index of the strings that have windows of their own."""
+        rows = np.flatnonzero(self.open > 0)
+        if not len(rows):
+            return None
+        data, offsets, _ = _taken(self.data, self.offsets, rows)
+        return Index(data, offsets, np.zeros(len(rows), np.int64))
 
 
 def _span_rows(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch | None:
@@ -355,57 +491,86 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _index_spans(anchors_: list[tuple[np.ndarray, ...]], s: Settings) -> pa.RecordBatch | None:
-    """Repeated spans of contexts (doc, tie, begin, sizes, data), indexed together."""
-    doc, tie, begin, sizes, data = (np.concatenate(x) for x in zip(*anchors_, strict=True))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.lexsort((tie, doc))
-    number = np.empty(len(doc), np.int64)
-    number[first] = np.cumsum(np.concatenate([[False], (doc[first][1:] != doc[first][:-1]) | (tie[first][1:] != tie[first][:-1])]))
-    string = np.repeat(np.arange(len(doc)), sizes)
-    start = begin[string] + np.arange(len(data)) - offsets[string]
-    at = np.flatnonzero(repeated_places(data, offsets, (number[string] << 32) + start, s.length))
-    own, start = string[at], start[at]
-    sort = np.lexsort((start, tie[own], doc[own]))
-    return _span_rows(doc[own][sort], tie[own][sort], start[sort], s.length)
+class Task:
+    """The pieces of one task, in the order of key, document and place, and what they repeat."""
+
+    def __init__(self, s: Settings):
+        self.s = s
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.bytes = 0
+        self.key: int | None = None
+        self.earlier: list[Index] = []
+
+    def add(self, key: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(offsets)
+        for a, b in self._parts(key, offsets):
+            if self.bytes and self.bytes + offsets[b] - offsets[a] > self.s.index_bytes:
+                yield from self.flush(key[a])
+            self.waiting.append((key[a:b], doc[a:b], tie[a:b], start[a:b].astype(np.int64), sizes[a:b], data[offsets[a] : offsets[b]]))
+            self.bytes += int(offsets[b] - offsets[a])
+
+    def _parts(self, key: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of one key, of ``index_bytes`` at most but for a longer string."""
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            while a < b:
+                c = min(b, max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.s.index_bytes, "right")) - 1))
+                yield a, c
+                a = c
+
+    def flush(self, following: int | None = None) -> Iterator[pa.RecordBatch]:
+        """The repeated spans of what waits. ``following``: the key that comes next; if it is the last one here, that
+        key's first copies are indexed for what comes."""
+        if not self.waiting:
+            return
+        key, doc, tie, start, sizes, data = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        goes_on = following is not None and following == key[-1]
+        if goes_on and key[0] != key[-1]:
+            # The key that goes on is kept, whole so far, for the next time.
+            k = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            self.waiting, self.bytes = [(key[k:], doc[k:], tie[k:], start[k:], sizes[k:], data[offsets[k] :])], int(offsets[-1] - offsets[k])
+            key, doc, tie, start, data, offsets, goes_on = key[:k], doc[:k], tie[:k], start[:k], data[: offsets[k]], offsets[: k + 1], False
+        else:
+            self.waiting, self.bytes = [], 0
+        if key[0] != self.key:
+            self.earlier = []
+        repeats = Repeats(key, data, offsets, self.s.length)
+        for index in self.earlier:
+            repeats.among_earlier(index)
+        repeats.among_themselves()
+        if goes_on:
+            self.key = int(key[0])
+            if (index := repeats.first_copies()) is not None:
+                self.earlier.append(index)
+        at = np.flatnonzero(repeats.found)
+        own = np.searchsorted(offsets, at, "right") - 1
+        place = start[own] + at - offsets[own]
+        sort = np.lexsort((place, tie[own], doc[own]))
+        if (out := _span_rows(doc[own][sort], tie[own][sort], place[sort], self.s.length)) is not None:
+            yield out
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Spans from pieces sorted by key: contexts are indexed, whole anchors together and some MB at a
-    time; windows equal to the one before are repeated; spans pass."""
-    names = ("key", "other", "doc_id", "tie", "start", "until")
-    waiting: list[tuple[np.ndarray, ...]] = []
-    bytes_, last_anchor, last_window = 0, None, None
+    """Spans from pieces sorted by key, document and place; spans among them pass, and pieces of rows that
+    are given twice count once."""
+    task, last = Task(s), None
     for batch in batches:
-        key, other, doc, tie, start, until = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
-        has = batch.column("context").is_valid().to_numpy(zero_copy_only=False)
-        span = until >= 0
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in PIECE_NAMES[:5]]
+        span = columns[4] >= 0
         if span.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[span]) for x in (doc, tie, start, until)], names=["doc_id", "tie", "start", "end"])
-        k = np.flatnonzero(~span & ~has)
-        if len(k):
-            rows = [np.concatenate([[b], a[k]]) if b is not None else a[k] for a, b in zip((key, other, doc, tie, start), last_window or [None] * 5, strict=True)]
-            again = np.concatenate([[False], (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])])
-            here = np.concatenate([[False], (rows[2][1:] == rows[2][:-1]) & (rows[3][1:] == rows[3][:-1]) & (rows[4][1:] == rows[4][:-1])])
-            last_window = [x[-1] for x in rows]
-            found = np.flatnonzero(again & ~here)
-            found = found[np.lexsort((rows[4][found], rows[3][found], rows[2][found]))]
-            if (out := _span_rows(rows[2][found], rows[3][found], rows[4][found], s.length)) is not None:
-                yield out
-        k = np.flatnonzero(has)
-        if len(k):
-            data, offsets = _binary(batch.column("context").take(pa.array(k)))
-            edge = np.concatenate([[0], np.flatnonzero(key[k][1:] != key[k][:-1]) + 1, [len(k)]])
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if bytes_ > s.index_bytes and key[k[a]] != last_anchor:
-                    if (out := _index_spans(waiting, s)) is not None:
-                        yield out
-                    waiting, bytes_ = [], 0
-                part = k[a:b]
-                waiting.append((doc[part], tie[part], start[part].astype(np.int64), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]))
-                bytes_, last_anchor = bytes_ + int(offsets[b] - offsets[a]), key[part[0]]
-    if waiting and (out := _index_spans(waiting, s)) is not None:
-        yield out
+            yield pa.RecordBatch.from_arrays([pa.array(x[span]) for x in columns[1:]], names=["doc_id", "tie", "start", "end"])
+        own = np.flatnonzero(~span)
+        if not len(own):
+            continue
+        rows = [x[own] for x in columns[:4]]
+        again = np.concatenate([[last is not None and all(x[0] == y for x, y in zip(rows, last, strict=True))], np.logical_and.reduce([x[1:] == x[:-1] for x in rows])])
+        last = [x[-1] for x in rows]
+        own = own[~again]
+        if len(own):
+            data, offsets = _binary(batch.column("context").take(pa.array(own)))
+            yield from task.add(*(x[own] for x in columns[:4]), offsets, data)
+    yield from task.flush()
 
 
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -417,7 +582,7 @@ def _removed(batches: Iterator[pa.RecordBatch], names: list[str], cut: str | Non
         kept: list[bytes] = []
         spans = batch.column("spans")
         for i, value in enumerate(batch.column("text")):
-            raw = value.as_py().encode()
+            raw = value.as_buffer().to_pybytes()
             parts, at, n, gone = [], 0, 0, 0
             if spans[i].is_valid:
                 found = spans[i].values
@@ -444,7 +609,7 @@ def repeated_spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     hot = branch.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("anchor", F.lit(True).alias("hot"))
     placed = branch.join(hot, "anchor", "left").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
     pieces = docs.join(placed, ["doc_id", "tie"]).mapInArrow(lambda x: _cut_contexts(x, s), PIECE)
-    dealt = pieces.repartition("key").sortWithinPartitions("key", "other", "doc_id", "tie", "start")
+    dealt = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start")
     return spans.unionByName(dealt.mapInArrow(lambda x: _repeated(x, s), SPAN))
 
 

@@ -295,17 +295,47 @@ def test_removed_bytes_equal_brute_force(spark, settings):
     assert run_length_index.remove_repeats(docs.where("false")).count() == 0
 
 
-def test_index_finds_earlier_places():
+def test_matching_statistics_equal_brute_force():
+    """An index with places at run ends only, against the longest common strings of each group."""
     r = random.Random(4)
-    strings = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))).encode() for _ in range(30)]
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    offsets = np.cumsum([0, *map(len, strings)])
-    order = np.array(r.sample(range(10_000), len(data)))
-    got = run_length_index.repeated_places(data, offsets, order, 9)
-    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-        for p in range(a, b):
-            same = [q for c, d in zip(offsets[:-1], offsets[1:], strict=True) for q in range(c, d - 8) if b - p >= 9 and data[p : p + 9].tobytes() == data[q : q + 9].tobytes()]
-            assert got[p] == any(order[q] < order[p] for q in same)
+    made = lambda n, size: [("".join(r.choice("ab" if k % 3 else "abcd") for _ in range(r.randint(1, size))).encode(), k % 4) for k in range(n)]
+    for n, size in ((1, 5), (30, 40), (60, 300)):
+        held, asked = made(n, size), made(20, size)
+        split = lambda rows: (np.frombuffer(b"".join(x for x, _ in rows), np.uint8), np.cumsum([0, *(len(x) for x, _ in rows)]), np.array([g for _, g in rows]))
+        index = run_length_index.Index(*split(held))
+        assert len(index.start) == len(index.letter) == len(index.first_at) == len(index.last_at)
+        got = index.match(*split(asked))
+        want = [max([k for h, g in held if g == group for k in range(len(x) - p + 1) if x[p : p + k] in h], default=0) for x, group in asked for p in range(len(x))]
+        assert got.tolist() == want
+
+
+@pytest.mark.parametrize("size", [1 << 20, 700])
+def test_repeats_of_one_task_equal_brute_force(size):
+    """Keys in one task, some longer than an index may be, against a set of windows seen."""
+    r = random.Random(12)
+    s = run_length_index.Settings(length=9, index_bytes=size)
+    rows = sorted((k % 5 if k % 2 else 7, k, "".join(r.choice("ab") for _ in range(r.randint(9, 30))).encode()) for k in range(160))
+    task, seen, want = run_length_index.Task(s), defaultdict(set), set()
+    for key, doc, x in rows:
+        own = {x[p : p + 9] for p in range(len(x) - 8)}
+        want |= {(doc, p + j) for p in range(len(x) - 8) if x[p : p + 9] in seen[key] for j in range(9)}
+        seen[key] |= own
+    column = lambda k: np.array([row[k] for row in rows])
+    out = [*task.add(column(0), column(1), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.cumsum([0, *(len(x) for *_, x in rows)]), np.frombuffer(b"".join(x for *_, x in rows), np.uint8)), *task.flush()]
+    got = {(d, p) for b in out for d, a, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) for p in range(a, e)}
+    assert got == want
+
+
+def test_repeats_within_odd_rows(spark):
+    """Null ids and texts, rows given twice, ids given twice, and a long text worked on in pieces."""
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh") for _ in range(9000))
+    rows = [(5, long), (5, long), (6, long[4000:4200] + "x" + long[100:8000]), (None, long[:150]), (None, None), (7, None), (7, long[:99]), (8, "ab" * 400), (9, "é" * 300)]
+    s = run_length_index.Settings(piece_bytes=1000)
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in run_length_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), s=s).collect()), key=str)
+    # Null ids come first, so that the start of the long text is known; rows that are wholly equal are one document.
+    want = sorted([(5, 9000, 150, 1), (5, 9000, 150, 1), (6, 8101, 8100, 2), (None, 150, 0, 0), (None, 0, 0, 0), (7, 0, 0, 0), (7, 99, 0, 0), (8, 800, 798, 1), (9, 600, 598, 1)], key=str)
+    assert got == want
 
 
 # toxicity
