@@ -50,7 +50,8 @@ def is_upper_word(text: Column) -> Column:
 
 
 def count_vowels(text: Column) -> Column:
-    return F.length(F.regexp_replace(turkish_lower(text), f"[^{VOWELS}]", ""))
+    low = turkish_lower(text)
+    return F.length(low) - F.length(F.translate(low, VOWELS, ""))
 
 
 def spell_letters(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Phrases of a lexicon in sentences: an equi-join on first words, then the leftmost longest.
 
-The lexicon is a table. Tokens meet phrases by their first word; the other words are compared
-with the tokens that follow in the same sentence. Overlaps are resolved by a fold over each
+The lexicon is a table. Tokens meet phrases by the first letters of their first word; all words are
+compared with the tokens that follow in the same sentence. Overlaps are resolved by a fold over each
 sentence's candidates, so that no sentence's tokens are sorted globally.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berrak.functions.turkish import fold_circumflex
@@ -22,35 +22,58 @@ MOST_BROADCAST = 50_000
 
 
 def lexicon_entries(spark: SparkSession, lexicon: Mapping[str, Iterable[Any]]) -> DataFrame:
-    """list, entry_id, phrase, suggestion, exempt and words of every phrase of a lexicon."""
+    """list, phrase, suggestion, exempt and words of every phrase of a lexicon; synonyms are lists of their own, ``es:`` and a number.
+
+    A phrase's last word may take endings, unless its ``ek`` says no: those of a noun, or, where it
+    is given in -mak or -mek, any that a verb takes. Its final k, t, p or ç may then be soft.
+    """
     rows = []
     for section in PHRASE_RULES:
-        for k, item in enumerate(lexicon.get(section, ())):
-            item = {"ifade": item} if isinstance(item, str) else item
-            phrase = item.get("ifade") or item["kelime"]
-            rows.append((section, k, phrase, item.get("oneri"), bool(item.get("sabit", False))))
-    df = spark.createDataFrame(rows, "list string, entry_id int, phrase string, suggestion string, exempt boolean")
-    return df.withColumn("words", F.split(_key(F.col("phrase")), "\\s+"))
+        for item in lexicon.get(section, ()):
+            item = {"ifade": item, "ek": False} if isinstance(item, str) else item
+            rows.append((section, item.get("ifade") or item["kelime"], item.get("oneri"), bool(item.get("sabit", False)), bool(item.get("ek", True))))
+    for k, group in enumerate(lexicon.get("es_anlamlilar", ())):
+        item = group if isinstance(group, Mapping) else {"grup": group, "ek": False}
+        rows += [(f"es:{k}", word, None, False, bool(item.get("ek", True))) for word in item["grup"]]
+    df = spark.createDataFrame(rows, "list string, phrase string, suggestion string, exempt boolean, bends boolean")
+    df = df.withColumn("words", F.split(_key(F.col("phrase")), "\\s+"))
+    last = F.element_at("words", -1)
+    verb = F.rlike(last, F.lit("^.{2,}m[ae]k$")) & (F.size("words") > 1)
+    root = F.when(verb, F.substr(last, F.lit(1), F.length(last) - 3)).otherwise(last)
+    body, final = F.substr(root, F.lit(1), F.length(root) - 1), F.right(root, F.lit(1))
+    soft = F.concat(body, F.translate(final, "çpt", "cbd"))
+    soft = F.when(final == "k", F.concat(body, F.lit("ğ"))).otherwise(soft)
+    return df.withColumns({"verb": verb, "root": F.when(F.col("bends"), root), "soft": F.when(F.col("bends"), soft)})
 
 
-def _key(text):
+def _key(text: Column) -> Column:
     return fold_circumflex(F.lower(F.translate(text, "Iİ", "ıi")))
 
 
-def matches(toks: DataFrame, entries: DataFrame) -> DataFrame:
-    """list, phrase, suggestion, first and last token of each match, the longest from the left by list.
+#: What a noun takes: the plural, a possessive, cases and the copula; and no more letters than this after a verb.
+NOUN_ENDINGS = "^(?:l[ae]r)?(?:[ıiuü]m[ıiuü]z|[ıiuü]n[ıiuü]z|[ıiuü]m|[ıiuü]n|m[ıiuü]z|n[ıiuü]z|s?[ıiuü])?(?:n?[dt][ae]n?(?:ki)?|[ny]?[ae]|[ny]?[ıiuü]|n?[ıiuü]n|y?l[ae])?(?:[dt][ıiuü]r?)?$"
+MOST_AFTER_VERB = 12
+
+
+def matches(sents: DataFrame, entries: DataFrame) -> DataFrame:
+    """list, phrase, suggestion, first and last token of each match in sentences with ``toks``, the longest from the left by list.
 
     A phrase's words must follow one another without punctuation between them. Exempt entries
-    take part and win, but are left out of the result.
+    take part and win, but are left out of the result. Words meet phrases by their first three
+    letters; only what matches is shuffled.
     """
     key = ["doc_id", "para_idx", "sent_no"]
-    named = toks.withColumn("key", _key(F.substring_index("token", "'", 1)))
-    line = named.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "key"))), lambda x: x["key"]).alias("keys"))
-    starts = line.select(*key, "keys", F.posexplode("keys").alias("at", "first"))
-    entries = entries.withColumn("first", F.col("words")[0])
+    keys = F.transform("toks", lambda x: F.when(x["kind"] == "word", fold_circumflex(x["low"])).otherwise(x["low"]))
+    starts = sents.select(*key, keys.alias("keys")).select(*key, "keys", F.posexplode_outer("keys").alias("at", "first")).withColumn("block", F.substring("first", 1, 3))
+    entries = entries.withColumn("block", F.substring(F.col("words")[0], 1, 3))
     small = entries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    met = starts.join(F.broadcast(entries) if small else entries, "first").where(F.slice("keys", F.col("at") + 1, F.size("words")) == F.col("words"))
-    one = F.struct("at", (-F.size("words")).alias("longer"), (F.col("at") + F.size("words")).alias("end"), "phrase", "suggestion", "exempt")
+    n = F.size("words")
+    last = F.get(F.col("keys"), F.col("at") + n - 1)
+    rest = F.substr(last, F.length("root") + 1)
+    bent = (F.startswith(last, F.col("root")) | F.startswith(last, F.col("soft"))) & F.when(F.col("verb"), F.length(rest) <= MOST_AFTER_VERB).otherwise(F.rlike(rest, F.lit(NOUN_ENDINGS)))
+    same = (F.slice("keys", F.col("at") + 1, n - 1) == F.slice("words", F.lit(1), n - 1)) & ((last == F.element_at("words", -1)) | F.coalesce(bent, F.lit(False)))
+    met = starts.join(F.broadcast(entries) if small else entries, "block").where((F.size("keys") >= F.col("at") + n) & same)
+    one = F.struct("at", (-n).alias("longer"), (F.col("at") + n).alias("end"), "phrase", "suggestion", "exempt")
     lists = met.groupBy(*key, "list").agg(F.array_sort(F.collect_list(one)).alias("found"))
     kind = lists.schema["found"].dataType.simpleString()
     start = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("taken"))
@@ -59,10 +82,10 @@ def matches(toks: DataFrame, entries: DataFrame) -> DataFrame:
     return chosen.where(~F.col("m.exempt")).select(*key, "list", "m.phrase", "m.suggestion", F.col("m.at").alias("first_tok"), (F.col("m.end") - 1).alias("last_tok"))
 
 
-def term_consistency(toks: DataFrame, groups: DataFrame) -> DataFrame:
-    """Occurrences of terms (group, term) other than the most frequent of their group in a document
+def term_consistency(matched: DataFrame) -> DataFrame:
+    """Occurrences of synonyms (group, term) other than the most frequent of their group in a document
     that uses two or more of the group; of equally frequent ones the earliest counts."""
-    used = toks.withColumn("term", _key(F.substring_index("token", "'", 1))).join(groups, "term")
+    used = matched.where(F.startswith("list", F.lit("es:"))).select("doc_id", "para_idx", "sent_no", F.col("first_tok").alias("tok_idx"), "last_tok", F.substring_index("list", ":", -1).cast("int").alias("group"), F.col("phrase").alias("term"))
     by = used.groupBy("doc_id", "group", "term").agg(F.count("*").alias("n"), F.min(F.struct("para_idx", "sent_no", "tok_idx")).alias("seen"))
     best = by.groupBy("doc_id", "group").agg(F.min_by("term", F.struct(-F.col("n"), F.col("seen"))).alias("dominant"), F.count("*").alias("members")).where("members > 1")
-    return used.join(best, ["doc_id", "group"]).where("term <> dominant").select("doc_id", "para_idx", "sent_no", "tok_idx", "group", "term", "dominant")
+    return used.join(best, ["doc_id", "group"]).where("term <> dominant").select("doc_id", "para_idx", "sent_no", "tok_idx", "last_tok", "group", "term", "dominant")

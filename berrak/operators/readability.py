@@ -16,14 +16,16 @@ BEZIRCI_YILMAZ = (0.84, 1.5, 3.5, 26.25)
 ENGLISH = ["the", "and", "of", "to", "that", "for", "with", "are", "this", "be", "by", "from", "it", "was", "were", "or", "which", "have", "they", "you"]
 
 
-def counts(toks: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """words, sentences, syllables and words of 3, 4, 5, and 6 or more syllables, outside headings."""
-    used = toks.where(~F.col("is_heading") & F.col("kind").isin(*COUNTED)).withColumn("syl", F.greatest(F.lit(1), "syllables"))
-    by = used.groupBy(*key, "para_idx", "sent_no").agg(
-        F.count("*").alias("words"), F.sum("syl").alias("syllables"),
-        *[F.count_if(F.col("syl") == n).alias(f"h{n}") for n in (3, 4, 5)], F.count_if(F.col("syl") >= 6).alias("h6"),
-    )
-    return by.groupBy(*key).agg(F.sum("words").alias("words"), F.count("*").alias("sentences"), F.sum("syllables").alias("syllables"), *[F.sum(f"h{n}").alias(f"h{n}") for n in (3, 4, 5, 6)])
+def counts(sents: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """words, sentences, syllables and words of 3, 4, 5, and 6 or more syllables, outside headings.
+
+    ``sents``: sentences with ``toks``. Each is counted where it lies, so that only sums are shuffled.
+    """
+    own = F.transform(F.filter("toks", lambda x: x["kind"].isin(*COUNTED)), lambda x: F.greatest(F.lit(1), x["syllables"]))
+    used = sents.where(~F.col("is_heading")).withColumn("syl", own)
+    size = lambda n: F.sum(F.size(F.filter("syl", lambda x: x == n if n < 6 else x >= 6)))
+    sums = F.sum(F.size("syl")).alias("words"), F.count_if(F.size("syl") > 0).alias("sentences"), F.sum(F.aggregate("syl", F.lit(0), lambda a, x: a + x)).alias("syllables")
+    return used.groupBy(*key).agg(*sums, *[size(n).alias(f"h{n}") for n in (3, 4, 5, 6)]).where("words > 0")
 
 
 def atesman(syllables_per_word: Column, words_per_sentence: Column) -> Column:
@@ -67,24 +69,26 @@ def scores(counted: DataFrame) -> DataFrame:
     })
 
 
-def statistics(toks: DataFrame) -> DataFrame:
-    """Words of all sentences, and of the body: sentences, paragraphs, the longest sentence (the first
-    of equals; -1 where there is none) and its words."""
-    of = toks.where(F.col("kind").isin(*WORD_LIKE)).groupBy("doc_id", "para_idx", "sent_no", "is_heading").agg(F.count("*").alias("n"))
-    body = ~F.col("is_heading")
+def statistics(sents: DataFrame) -> DataFrame:
+    """Words of all sentences (with ``toks``), and of the body: sentences, paragraphs, the longest sentence (the
+    first of equals; -1 where there is none) and its words."""
+    of = sents.select("doc_id", "para_idx", "sent_no", "is_heading", F.size(F.filter("toks", lambda x: x["kind"].isin(*WORD_LIKE))).alias("n"))
+    body, some = ~F.col("is_heading"), F.col("n") > 0
     order = F.struct("n", -F.col("para_idx"), -F.col("sent_no"))
     return of.groupBy("doc_id").agg(
-        F.sum("n").alias("word_count"), F.count_if(body).alias("sentence_count"), F.count_distinct("para_idx").alias("paragraph_count"),
-        F.coalesce(F.max(F.when(body, F.col("n"))), F.lit(0)).alias("longest_words"),
-        *[F.coalesce(F.max_by(F.when(body, F.col(c)), F.when(body, order)), F.lit(-1)).alias(n) for c, n in (("para_idx", "longest_para"), ("sent_no", "longest_sent"))],
-    )
+        F.sum("n").alias("word_count"), F.count_if(body & some).alias("sentence_count"), F.count_distinct(F.when(some, F.col("para_idx"))).alias("paragraph_count"),
+        F.coalesce(F.max(F.when(body, F.col("n"))), F.lit(0)).cast("long").alias("longest_words"),
+        *[F.coalesce(F.max_by(F.when(body & some, F.col(c)), F.when(body & some, order)), F.lit(-1)).alias(n) for c, n in (("para_idx", "longest_para"), ("sent_no", "longest_sent"))],
+    ).where("word_count > 0")
 
 
-def language_gate(toks: DataFrame) -> DataFrame:
+def language_gate(sents: DataFrame) -> DataFrame:
     """Whether each document may be Turkish: few words, or mostly Latin letters and few English function words."""
-    words = toks.where(F.col("kind") == "word")
-    letters = F.length(F.regexp_replace("token", "[^\\p{L}]", ""))
-    foreign = F.length(F.regexp_replace("token", "[\\P{L}\\p{IsLatin}]", ""))
-    by = words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(letters).alias("letters"), F.sum(foreign).alias("foreign"), F.count_if(F.lower("token").isin(*ENGLISH)).alias("english"))
+    words = F.transform(F.filter("toks", lambda x: x["kind"] == "word"), lambda x: x["token"])
+    rows = sents.select("doc_id", words.alias("words")).withColumn("line", F.array_join("words", ""))
+    letters = F.length(F.regexp_replace("line", "[^\\p{L}]", ""))
+    foreign = F.length(F.regexp_replace("line", "[\\P{L}\\p{IsLatin}]", ""))
+    english = F.size(F.filter("words", lambda x: F.lower(x).isin(*ENGLISH)))
+    by = rows.groupBy("doc_id").agg(F.sum(F.size("words")).alias("n_words"), F.sum(letters).alias("letters"), F.sum(foreign).alias("foreign"), F.sum(english).alias("english")).where("n_words > 0")
     other = (F.col("foreign") > 0.5 * F.col("letters")) | ((F.col("english") >= 3) & (F.col("english") >= 0.2 * F.col("n_words")))
     return by.withColumn("looks_turkish", (F.col("n_words") < 3) | ~other)

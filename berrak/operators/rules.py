@@ -1,9 +1,12 @@
-"""The rules, as DataFrame plans over sentences and tokens.
+"""The rules: what each finds in a sentence, as array expressions, and in documents, as plans.
 
-A rule is registered with its id, name, category and default severity, and a function from the
-shared tables to rows of doc_id, para_idx, sent_no, start (within the sentence), text, message,
-suggestion, fix, confidence and severity. A null severity means the profile's. ``audit`` builds
-the plans of the enabled rules only and unites them; Catalyst never sees the others.
+A sentence carries its tokens as an array. Most rules are a column over one sentence row: an array of
+what they find there. All of them stand in one projection, so that an audit passes once over the
+sentences, nothing is shuffled, and Catalyst never sees rules that are off. Rules about a word's
+first use, or about whole documents, are plans over the sentences; they shuffle only what they count.
+
+A finding has the token where it begins (or the start itself, within the sentence), text, message,
+suggestion, fix, confidence and severity. A null severity means the profile's.
 """
 
 from __future__ import annotations
@@ -17,25 +20,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
-from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_lower
+from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_capitalize, turkish_lower
 from berrak.operators import matching, morphology
-from berrak.operators.segment import TOKEN, WORD_LIKE, _placed, sentences, tokens
+from berrak.operators.segment import WORD_LIKE, _placed, sentences, with_tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
 
 SENT = ["doc_id", "para_idx", "sent_no"]
 FINDING = [*SENT, "tok_idx", "start", "text", "message", "suggestion", "fix", "confidence", "severity"]
+FOUND = "struct<tok:int,start:int,text:string,message:string,suggestion:string,fix:string,confidence:double,severity:string>"
 
 
 @dataclass
 class Tables:
-    """What rules read: sentences, tokens (analysed where a rule asks for it), and settings."""
+    """What rules read: sentences with their tokens, phrases of the lexicon in them, and settings."""
 
     sents: DataFrame
-    toks: DataFrame
-    analysed: DataFrame
     matched: DataFrame
-    entries: DataFrame
     lexicon: Mapping[str, Any]
     profile: Profile
 
@@ -43,41 +44,112 @@ class Tables:
     def body(self) -> DataFrame:
         return self.sents.where(~F.col("is_heading"))
 
-    @property
-    def body_toks(self) -> DataFrame:
-        return self.toks.where(~F.col("is_heading"))
-
-    def words_per_sentence(self) -> DataFrame:
-        return self.body_toks.where(F.col("kind").isin(*WORD_LIKE)).groupBy(*SENT, "is_list_item").agg(F.count("*").alias("n"))
+    def param(self, rule: str, name: str, default: Any) -> Any:
+        return self.profile.param(rule, name, default)
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``each``: what it finds in a sentence row, an array column; ``plan``: rows of ``FINDING``. One of them is given."""
+
     id: str
     name: str
     category: str
     severity: str
-    plan: Callable[[Tables], DataFrame]
+    each: Callable[[Tables], Column] | None = None
+    plan: Callable[[Tables], DataFrame] | None = None
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(id_: str, name: str, category: str, severity: str = "uyarı") -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    def add(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        RULES[id_] = Rule(id_, name, category, severity, plan)
-        return plan
+def rule(id_: str, name: str, category: str, severity: str = "uyarı", plan: bool = False) -> Callable[[Callable], Callable]:
+    """Registers a rule under its id: a function of ``Tables`` to a column, or with ``plan`` to rows."""
+
+    def add(make: Callable) -> Callable:
+        RULES[id_] = Rule(id_, name, category, severity, **{"plan" if plan else "each": make})
+        return make
 
     return add
 
 
-def finding(rows: DataFrame, text: Column, message: Column | str, start: Column | None = None, suggestion: Column | None = None, fix: Column | None = None, confidence: Column | float = 1.0, severity: Column | None = None, tok: Column | None = None) -> DataFrame:
-    """Finding rows. ``tok``, or a column tok_idx, is the token where a finding begins; ``start`` then follows from it."""
-    as_col = lambda x: F.lit(x) if not isinstance(x, Column) else x
-    null = F.lit(None).cast("string")
+def _lit(x: Column | str | float | None, kind: str) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+
+
+def _fields(text: Column, message: Column | str, tok: Column | None, start: Column | None, suggestion: Column | None, fix: Column | None, confidence: Column | float, severity: Column | str | None) -> dict[str, Column]:
+    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _lit(confidence, "double"))), 2)
+    return {
+        "tok": _lit(tok, "int"), "start": _lit(start, "int") if tok is None and start is not None else F.lit(None if tok is not None else 0).cast("int"), "text": text, "message": _lit(message, "string"),
+        "suggestion": _lit(suggestion, "string"), "fix": F.nullif(fix, text) if fix is not None else F.lit(None).cast("string"), "confidence": score, "severity": _lit(severity, "string"),
+    }
+
+
+def hit(text: Column, message: Column | str, tok: Column | None = None, start: Column | None = None, suggestion: Column | None = None, fix: Column | None = None, confidence: Column | float = 1.0, severity: Column | str | None = None) -> Column:
+    """One finding as a struct. ``tok``: the token where it begins; else ``start`` says where, by default 0."""
+    return F.struct(*[v.alias(k) for k, v in _fields(text, message, tok, start, suggestion, fix, confidence, severity).items()])
+
+
+def finding(rows: DataFrame, text: Column, message: Column | str, **more: Any) -> DataFrame:
+    """Finding rows of a plan; ``tok``, or a column tok_idx, is the token where a finding begins."""
     place = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("int")
-    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), as_col(confidence).cast("double"))), 2)
-    return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), (tok if tok is not None else place("tok_idx")).cast("int").alias("tok_idx"), (start if start is not None else F.lit(0)).cast("int").alias("start"), text.alias("text"), as_col(message).alias("message"), (suggestion if suggestion is not None else null).alias("suggestion"), F.nullif(fix, text).alias("fix") if fix is not None else null.alias("fix"), score.alias("confidence"), (severity if severity is not None else null).alias("severity"))
+    if "tok" not in more and "tok_idx" in rows.columns:
+        more["tok"] = F.col("tok_idx")
+    own = _fields(text, message, *(more.get(k) for k in ("tok", "start", "suggestion", "fix")), more.get("confidence", 1.0), more.get("severity"))
+    return rows.select("doc_id", place("para_idx").alias("para_idx"), place("sent_no").alias("sent_no"), *[v.alias("tok_idx" if k == "tok" else k) for k, v in own.items()])
+
+
+TOKS = "toks"
+
+
+def empty() -> Column:
+    return F.array().cast(f"array<{FOUND}>")
+
+
+def one(when: Column, found: Column) -> Column:
+    """An array of one finding where a condition holds."""
+    return F.when(when, F.array(found.cast(FOUND))).otherwise(empty())
+
+
+def each(of: Column, when: Callable[[Column, Column], Column], found: Callable[[Column, Column], Column]) -> Column:
+    """A finding for each token (with its number among the tokens) that meets a condition."""
+    numbered = F.filter(F.transform(of, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: F.coalesce(when(x["t"], x["i"]), F.lit(False)))
+    return F.transform(numbered, lambda x: found(x["t"], x["i"]).cast(FOUND))
+
+
+def tok(i: Column) -> Column:
+    """The token of a number; null where there is none."""
+    return F.get(F.col(TOKS), i)
+
+
+def numbered(when: Callable[[Column], Column]) -> Column:
+    """Tokens that meet a condition, as structs of t and i."""
+    return F.filter(F.transform(TOKS, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: F.coalesce(when(x["t"]), F.lit(False)))
+
+
+def texts(of: Column) -> Column:
+    """The tokens of numbered tokens, with a space between."""
+    return F.array_join(F.transform(of, lambda x: x["t"]["token"]), " ")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def islands(of: Column, apart: Callable[[Column, Column], Column]) -> Column:
+    """Numbered tokens as arrays, cut where two neighbours are apart; none without tokens."""
+
+    def cut(own: Column) -> Column:
+        n = F.size(own)
+        new = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | F.coalesce(apart(F.get(own, k - 1), F.get(own, k)), F.lit(True)))
+        return let(new, lambda cuts: F.transform(cuts, lambda a, k: F.slice(own, a + 1, F.coalesce(F.get(cuts, k + 1), n) - a)))
+
+    return let(of, lambda own: F.when(F.size(own) > 0, cut(own)))
+
+
+def flagged(name: str) -> Callable[[Column], Column]:
+    return lambda x: (x["kind"] == "word") & x["m"][name]
 
 
 #: Characters of the private use area around a match.
@@ -90,7 +162,7 @@ def placed_matches(text: Column, pattern: str) -> Column:
     Starts are counted from the pieces between matches, which are cut at the matches.
     """
     pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
-    return F.filter(_placed(pieces), lambda x, k: (k % 2 == 1) & (x["piece"] != ""))
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(_placed(pieces), lambda x, k: (k % 2 == 1) & (x["piece"] != ""))).otherwise(F.array().cast("array<struct<at:int,piece:string>>"))
 
 
 def spans(rows: DataFrame, pattern: str) -> DataFrame:
@@ -99,64 +171,76 @@ def spans(rows: DataFrame, pattern: str) -> DataFrame:
     return found.select(*rows.columns, F.col("m.piece").alias("hit"), F.col("m.at").alias("at"))
 
 
-def neighbours(toks: DataFrame, n: int) -> DataFrame:
-    """Tokens with base and low, without their suffix, and those of the n next ones: token1, kind1, base1, low1 and so on."""
-    order = Window.partitionBy(*SENT).orderBy("tok_idx")
-    rows = toks.withColumns({"base": F.substring_index("token", "'", 1), "low": F.substring_index("lower", "'", 1)})
-    return rows.withColumns({f"{c}{k}": F.lead(c, k).over(order) for k in range(1, n + 1) for c in ("token", "kind", "base", "low")})
+BODY = lambda: ~F.col("is_heading")
+#: Words that join clauses.
+JOINING = ["ve", "veya", "ama", "fakat", "ancak", "çünkü", "yoksa", "oysa", "ki", "hem", "ya", "yahut", "sonra"]
+STOPS = [".", "!", "?", "…", ";"]
 
 
 # sentences
 
 
 @rule("KD-C01", "Uzun cümle", "cümle")
-def long_sentence(t: Tables) -> DataFrame:
-    warn, error = (t.profile.param("KD-C01", n, v) for n, v in (("warn_above", 10), ("error_above", 15)))
-    rows = t.words_per_sentence().where(F.col("n") > warn).join(t.body.select(*SENT, "text"), SENT)
-    return finding(rows, F.col("text"), F.concat(F.lit("Cümle "), F.col("n").cast("string"), F.lit(" kelime.")), severity=F.when(F.col("n") > error, "hata").otherwise("uyarı"))
+def long_sentence(t: Tables) -> Column:
+    warn, error = (t.param("KD-C01", n, v) for n, v in (("warn_above", 10), ("error_above", 15)))
+    found = lambda n: one(n > warn, hit(F.col("text"), F.concat(F.lit("Cümle "), n.cast("string"), F.lit(" kelime.")), severity=F.when(n > error, "hata").otherwise("uyarı")))
+    return F.when(BODY(), let(F.size(F.filter(TOKS, lambda x: x["kind"].isin(*WORD_LIKE))), found))
 
 
 @rule("KD-C02", "Birden çok yargı", "cümle")
-def many_clauses(t: Tables) -> DataFrame:
-    most = t.profile.param("KD-C02", "max_predicates", 1)
-    last = F.lead("token").over(Window.partitionBy(*SENT).orderBy("tok_idx"))
-    rows = t.analysed.where(~F.col("is_heading")).withColumn("next", last)
-    ends = rows.where((F.col("kind") == "word") & F.col("next").isin(";", ",", ".", "!", "?", "…") & F.col("m.finite_form"))
-    by = ends.groupBy(*SENT).agg(F.count("*").alias("n")).where(F.col("n") > most).join(t.body.select(*SENT, "text"), SENT)
-    return finding(by, F.col("text"), F.concat(F.lit("Cümlede "), F.col("n").cast("string"), F.lit(" yargı var.")), confidence=0.6)
+def many_clauses(t: Tables) -> Column:
+    """Finite verbs where a clause may end: before punctuation, a joining word or the sentence's end. An order
+    counts at the sentence's end, or before a comma and a joining word."""
+    most = t.param("KD-C02", "max_predicates", 1)
 
+    def ends(x: Column, i: Column) -> Column:
+        after, further = tok(i + 1), tok(i + 2)
+        stop = after.isNull() | after["token"].isin(*STOPS)
+        joins = after["low"].isin(*JOINING)
+        order = x["m"]["order"] & (stop | ((after["token"] == ",") & further["low"].isin(*JOINING)))
+        return (x["kind"] == "word") & ((x["m"]["finite_form"] & (stop | joins | (after["token"] == ","))) | order)
 
-def _flagged(t: Tables, flag: str) -> DataFrame:
-    return t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word") & F.col(f"m.{flag}"))
+    n = F.size(F.filter(F.transform(TOKS, lambda x, i: F.coalesce(ends(x, i), F.lit(False))), lambda x: x))
+    return F.when(BODY(), let(n, lambda n: one(n > most, hit(F.col("text"), F.concat(F.lit("Cümlede "), n.cast("string"), F.lit(" yargı var.")), confidence=0.6))))
 
 
 @rule("KD-C03", "Edilgen çatı", "cümle")
-def passive(t: Tables) -> DataFrame:
-    rows = _flagged(t, "passive")
-    return finding(rows, F.col("token"), F.concat(quote(F.col("token")), F.lit(" edilgen.")), confidence=0.6, severity=F.when(F.col("m.reflexive"), "bilgi"))
+def passive(t: Tables) -> Column:
+    return F.when(BODY(), each(F.col(TOKS), lambda x, i: flagged("passive")(x), lambda x, i: hit(x["token"], F.concat(quote(x["token"]), F.lit(" edilgen.")), tok=i, confidence=0.6, severity=F.when(x["m"]["reflexive"], "bilgi"))))
+
+
+def _negative(x: Column) -> Column:
+    return (x["kind"] == "word") & (x["m"]["negative"] | x["low"].isin("hiç", "hiçbir", "kimse"))
+
+
+def _first(words: Column, message: str) -> Column:
+    """A finding for the first of numbered tokens."""
+    return let(F.get(words, F.lit(0)), lambda x: one(x.isNotNull(), hit(x["t"]["token"], message, tok=x["i"], confidence=0.6)))
 
 
 @rule("KD-C04", "Olumsuzluk", "cümle")
-def negation(t: Tables) -> DataFrame:
-    rows = _flagged(t, "negative").groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token"), F.min("tok_idx").alias("tok_idx"))
-    return finding(rows, F.col("token"), "Cümleyi olumlu kurun.", confidence=0.6)
+def negation(t: Tables) -> Column:
+    """The first negation: a negative verb, "değil", or a negative pronoun. "yok" alone has no plainer positive."""
+    return F.when(BODY(), _first(numbered(_negative), "Cümleyi olumlu kurun."))
 
 
 @rule("KD-C05", "Çift olumsuzluk", "cümle", "hata")
-def double_negation(t: Tables) -> DataFrame:
-    window = Window.partitionBy(*SENT).orderBy("tok_idx").rowsBetween(1, 6)
-    inner = (F.col("m.negative") & ~F.col("m.finite_form")) | F.rlike("lower", F.lit("s[ıiuü]z$"))
-    outer = F.col("m.negative") & (F.col("m.finite_form") | F.rlike("lower", F.lit("^(?:değil|yok)")))
-    rows = t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word")).withColumn("outer", F.max(outer).over(window)).where(inner & F.col("outer"))
-    return finding(rows.groupBy(*SENT).agg(F.min_by("token", "tok_idx").alias("token"), F.min("tok_idx").alias("tok_idx")), F.col("token"), "İki olumsuzluk birbirini götürüyor.", confidence=0.6)
+def double_negation(t: Tables) -> Column:
+    """A negation within the clause, and one that tells it at most six tokens later."""
+    inner = numbered(lambda x: flagged("inner_negative")(x) & ~x["m"]["negative"])
+    outer = lambda x: (x["kind"] == "word") & (x["m"]["negative"] | F.rlike(x["low"], F.lit("^(?:değil|yok)")))
+    both = F.filter(inner, lambda x: F.exists(F.slice(F.col(TOKS), x["i"] + 2, F.lit(6)), lambda y: F.coalesce(outer(y), F.lit(False))))
+    return F.when(BODY(), _first(both, "İki olumsuzluk birbirini götürüyor."))
+
+
+def _stack(words: Column, least: int, message: str) -> Column:
+    return one(F.size(words) >= least, hit(texts(words), message, tok=F.get(words, F.lit(0))["i"], confidence=0.6))
 
 
 @rule("KD-C06", "Ulaç yığılması", "cümle")
-def converb_stack(t: Tables) -> DataFrame:
-    least = t.profile.param("KD-C06", "threshold", 2)
-    rows = t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word") & (F.col("m.converb") | F.col("m.participle")))
-    by = rows.groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") >= least)
-    return finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Yan cümleleri ayırın.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
+def converb_stack(t: Tables) -> Column:
+    words = numbered(lambda x: flagged("converb")(x) | (flagged("participle")(x) & ~x["m"]["finite_form"]))
+    return F.when(BODY(), let(words, lambda w: _stack(w, t.param("KD-C06", "threshold", 2), "Yan cümleleri ayırın.")))
 
 
 #: Necessity, purpose and beginnings said with nominals.
@@ -169,133 +253,141 @@ NOMINAL_PATTERNS = "(?iuU)" + "|".join([
 
 
 @rule("KD-C07", "Ad-fiil yığılması", "cümle")
-def nominal_stack(t: Tables) -> DataFrame:
+def nominal_stack(t: Tables) -> Column:
     """Sentences with ``threshold`` nominals, and others with one of the patterns."""
-    least = t.profile.param("KD-C07", "threshold", 2)
-    by = _flagged(t, "nominal").groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") >= least)
     message = "Ad-fiilleri çekimli fiile çevirin."
-    stacks = finding(by, F.array_join(F.transform("w", lambda x: x["token"]), " "), message, confidence=0.6, tok=F.col("w")[0]["tok_idx"])
-    said = t.body.withColumn("m", F.get(placed_matches(F.col("text"), NOMINAL_PATTERNS), F.lit(0))).where("m is not null").join(by.select(*SENT), SENT, "left_anti")
-    return stacks.unionByName(finding(said, F.col("m.piece"), message, F.col("m.at")))
+    least = t.param("KD-C07", "threshold", 2)
+    # Every pattern begins with a nominal.
+    said = F.when(F.exists(TOKS, lambda x: F.rlike(x["lower"], F.lit("m[ae]"))), F.get(placed_matches(F.col("text"), NOMINAL_PATTERNS), F.lit(0)))
+    alone = let(said, lambda x: one(x.isNotNull(), hit(x["piece"], message, start=x["at"])))
+    return F.when(BODY(), let(numbered(flagged("nominal")), lambda w: F.when(F.size(w) >= least, _stack(w, least, message)).otherwise(alone)))
 
 
 @rule("KD-C08", "Tamlama zinciri", "cümle")
-def genitive_chain(t: Tables) -> DataFrame:
-    least = t.profile.param("KD-C08", "chain", 3)
-    order = Window.partitionBy(*SENT).orderBy("tok_idx")
-    rows = _flagged(t, "genitive").withColumn("new", (F.col("tok_idx") - F.lag("tok_idx").over(order) > 3).cast("int"))
-    islands = rows.withColumn("island", F.sum(F.coalesce("new", F.lit(0))).over(order)).groupBy(*SENT, "island").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w"))
-    return finding(islands.where(F.size("w") >= least), F.array_join(F.transform("w", lambda x: x["token"]), " "), "Tamlamayı bölün.", confidence=0.6, tok=F.col("w")[0]["tok_idx"])
+def genitive_chain(t: Tables) -> Column:
+    """Genitives at most three tokens apart."""
+    least = t.param("KD-C08", "chain", 3)
+    runs = F.filter(F.coalesce(islands(numbered(flagged("genitive")), lambda a, b: b["i"] - a["i"] > 3), F.array()), lambda w: F.size(w) >= least)
+    return F.when(BODY(), F.transform(runs, lambda w: hit(texts(w), "Tamlamayı bölün.", tok=F.get(w, F.lit(0))["i"], confidence=0.6).cast(FOUND)))
 
 
 @rule("KD-C09", "Parantez içi bilgi", "cümle")
-def parenthesis(t: Tables) -> DataFrame:
-    rows = spans(t.body, "\\([^()]*\\p{L}[^()]*\\)").where(~F.rlike("hit", F.lit("^\\((?:\\p{Lu}{2,6}|[0-9 +()-]+)\\)$")))
-    return finding(rows, F.col("hit"), "Parantez içindeki bilgiyi ayrı cümle yapın.", F.col("at"))
+def parenthesis(t: Tables) -> Column:
+    found = F.filter(placed_matches(F.col("text"), "\\([^()]*\\p{L}[^()]*\\)"), lambda x: ~F.rlike(x["piece"], F.lit("^\\((?:\\p{Lu}{2,6}|[0-9 +()-]+)\\)$")))
+    return F.when(BODY(), F.transform(found, lambda x: hit(x["piece"], "Parantez içindeki bilgiyi ayrı cümle yapın.", start=x["at"]).cast(FOUND)))
 
 
 @rule("KD-C10", "Geç gelen yüklem", "cümle", "bilgi")
-def late_predicate(t: Tables) -> DataFrame:
-    gap = t.profile.param("KD-C10", "max_gap", 6)
-    words = t.analysed.where(~F.col("is_heading") & ~F.col("is_list_item") & (F.col("kind") == "word"))
-    numbered = words.withColumn("k", F.row_number().over(Window.partitionBy(*SENT).orderBy("tok_idx")) - 1)
-    by = numbered.groupBy(*SENT).agg(F.max(F.when(F.col("m.finite_form"), F.col("k"))).alias("last"), F.min(F.when(F.col("m.converb") | F.col("m.participle"), F.col("k"))).alias("sub"))
-    rows = by.where((F.col("last") - 1 > gap) & (F.col("sub") < F.col("last"))).join(t.body.select(*SENT, "text"), SENT)
-    return finding(rows, F.col("text"), "Yüklemi öne alın.", confidence=0.6)
+def late_predicate(t: Tables) -> Column:
+    """Sentences with a side clause before a predicate that comes after more than ``max_gap`` words."""
+    gap = t.param("KD-C10", "max_gap", 6)
+
+    def late(words: Column) -> Column:
+        places = lambda when: F.transform(words, lambda m, i: F.when(when(m), i))
+        last, side = F.array_max(places(lambda m: m["finite_form"])), F.array_min(places(lambda m: m["converb"] | m["participle"] | m["nominal"]))
+        return let(F.struct(last.alias("last"), side.alias("side")), lambda x: one((x["last"] - 1 > gap) & (x["side"] < x["last"]), hit(F.col("text"), "Yüklemi öne alın.", confidence=0.6)))
+
+    return F.when(BODY() & ~F.col("is_list_item"), let(F.transform(F.filter(TOKS, lambda x: x["kind"] == "word"), lambda x: x["m"]), late))
 
 
 @rule("KD-C11", "Dolaylı hitap", "cümle")
-def indirect_address(t: Tables) -> DataFrame:
+def indirect_address(t: Tables) -> Column:
     """Every match of every pattern; of overlapping ones, the one of the earlier pattern."""
     patterns = [x["desen"] if isinstance(x, Mapping) else x for x in t.lexicon["dolayli_hitap"]]
     none = F.array().cast("array<struct<at:int,piece:string>>")
     every = F.concat(none, *[placed_matches(F.col("text"), f"(?iuU){p}") for p in patterns])
     over = lambda x, y: (x["at"] < y["at"] + F.length(y["piece"])) & (y["at"] < x["at"] + F.length(x["piece"]))
     step = lambda a, x: F.when(F.exists(a, lambda y: over(x, y)), a).otherwise(F.concat(a, F.array(x)))
-    rows = t.body.withColumn("every", every).select(*SENT, F.explode(F.aggregate("every", none, step)).alias("m"))
-    return finding(rows, F.col("m.piece"), "Okura doğrudan seslenin.", F.col("m.at"))
+    return F.when(BODY(), F.transform(F.aggregate(every, none, step), lambda x: hit(x["piece"], "Okura doğrudan seslenin.", start=x["at"]).cast(FOUND)))
 
 
 # words
 
 
 def _phrases(t: Tables, section: str, message: str) -> DataFrame:
-    rows = t.matched.where(F.col("list") == section)
-    return finding(rows, F.col("phrase"), F.concat(quote(F.col("phrase")), F.lit(message)), suggestion=F.col("suggestion"), tok=F.col("first_tok"))
+    rows = t.matched.where(F.col("list") == section).withColumn("tok_idx", F.col("first_tok"))
+    return finding(rows, F.col("phrase"), F.concat(quote(F.col("phrase")), F.lit(message)), suggestion=F.col("suggestion"))
 
 
-@rule("KD-K01", "Resmî dil", "kelime")
+@rule("KD-K01", "Resmî dil", "kelime", plan=True)
 def jargon(t: Tables) -> DataFrame:
     """Phrases of the lexicon, and formal imperatives: words in -(y)InIz that end a sentence and belong to no phrase.
 
     Without a dictionary a possessive looks alike, so that only the place of a predicate counts.
     """
     phrases = _phrases(t, "jargon", " yerine bilinen bir kelime kullanın.")
-    rows = neighbours(t.body_toks, 1)
-    last = F.coalesce(F.col("token1").isin(".", "!", "…", ";"), F.lit(True))
-    verbs = rows.where((F.col("kind") == "word") & last & F.rlike("lower", F.lit("^\\p{L}{2,}(?:ın[ıi]z|in[iı]z|unuz|ünüz)$")) & ~F.rlike("lower", F.lit("l[ae]r[ıi]n[ıi]z$")))
+    formal = lambda x, i: (x["kind"] == "word") & F.coalesce(tok(i + 1)["token"].isin(*STOPS), F.lit(True)) & F.rlike(x["lower"], F.lit("^\\p{L}{2,}(?:ın[ıi]z|in[iı]z|unuz|ünüz)$")) & ~F.rlike(x["lower"], F.lit("l[ae]r[ıi]n[ıi]z$"))
+    plain = lambda x: F.substr(x["token"], F.lit(1), F.length(x["token"]) - 2)
+    found = each(F.col(TOKS), formal, lambda x, i: hit(x["token"], F.concat(quote(x["token"]), F.lit(" resmî bir emir.")), tok=i, suggestion=plain(x), fix=plain(x), confidence=0.6))
+    verbs = t.body.select(*SENT, F.explode_outer(found).alias("f")).where("f is not null").select(*SENT, F.col("f.tok").alias("tok_idx"), *[f"f.{c}" for c in FINDING[4:]])
     covered = t.matched.where("list = 'jargon'").select(*SENT, F.explode(F.sequence("first_tok", "last_tok")).alias("tok_idx"))
-    plain = F.substr("token", F.lit(1), F.length("token") - 2)
-    formal = finding(verbs.join(covered, [*SENT, "tok_idx"], "left_anti"), F.col("token"), F.concat(quote(F.col("token")), F.lit(" resmî bir emir.")), suggestion=plain, fix=plain, confidence=0.6)
-    return phrases.unionByName(formal)
+    return phrases.unionByName(verbs.join(covered, [*SENT, "tok_idx"], "left_anti").select(*FINDING))
 
 
-@rule("KD-K02", "Yabancı kelime", "kelime")
+@rule("KD-K02", "Yabancı kelime", "kelime", plan=True)
 def foreign(t: Tables) -> DataFrame:
     return _phrases(t, "yabanci", " yerine Türkçesini kullanın.")
 
 
-@rule("KD-K03", "Kısaltma", "kelime")
+@rule("KD-K03", "Kısaltma", "kelime", plan=True)
 def abbreviation(t: Tables) -> DataFrame:
     """The first use of an abbreviation that is not a Roman numeral, well known, or explained in parentheses beside it."""
     known = [x["kisaltma"] for x in t.lexicon["kisaltmalar"] if x.get("bilinir")]
     spelled = {x["kisaltma"]: x["acilim"] for x in t.lexicon["kisaltmalar"] if x.get("acilim")}
-    base = F.substring_index("token", "'", 1)
-    order = Window.partitionBy(*SENT).orderBy("tok_idx")
-    rows = t.toks.select(*SENT, "tok_idx", "token", "is_abbreviation", base.alias("base"), F.lag("token").over(order).alias("before"), F.lead("token").over(order).alias("after"))
-    rows = rows.where(F.col("is_abbreviation") & ~F.rlike("base", F.lit(numbers.ROMAN_PATTERN)) & ~F.col("base").isin(known) & ~F.rlike(F.coalesce("after", F.lit("")), F.lit("^[0-9]")))
+    short = numbered(lambda x: x["is_abbreviation"] & ~F.rlike(x["base"], F.lit(numbers.ROMAN_PATTERN)) & ~x["base"].isin(known))
+    near = F.transform(short, lambda x: F.struct(x["i"].alias("tok_idx"), x["t"]["base"].alias("base"), tok(x["i"] - 1)["token"].alias("before"), tok(x["i"] + 1)["token"].alias("after")))
+    rows = t.sents.select(*SENT, F.explode_outer(near).alias("x")).where("x is not null").select(*SENT, "x.*").where(~F.rlike(F.coalesce("after", F.lit("")), F.lit("^[0-9]")))
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("para_idx", "sent_no", "tok_idx"))).where("nth = 1").where("coalesce(before, '') <> '(' and coalesce(after, '') <> '('")
     long = F.create_map(*[F.lit(x) for kv in spelled.items() for x in kv])[F.col("base")] if spelled else F.lit(None).cast("string")
     return finding(first, F.col("base"), F.concat(quote(F.col("base")), F.lit(" kısaltmasını açıklayın.")), suggestion=long, fix=F.concat(long, F.lit(" ("), F.col("base"), F.lit(")")))
 
 
+def _plain_word(x: Column, i: Column) -> Column:
+    """A word that is neither an abbreviation nor, by a capital within the sentence, a name."""
+    return (x["kind"] == "word") & ~x["is_abbreviation"] & ((i == 0) | ~F.rlike(x["token"], F.lit("^\\p{Lu}")))
+
+
 @rule("KD-K04", "Uzun kelime", "kelime")
-def long_word(t: Tables) -> DataFrame:
-    most, suffixes = t.profile.param("KD-K04", "max_syllables", 4), t.profile.param("KD-K04", "max_suffixes", 3)
-    rows = t.analysed.where(~F.col("is_heading") & (F.col("kind") == "word") & ~F.col("is_abbreviation") & ~F.rlike("token", F.lit("^\\p{Lu}")))
-    long = (F.col("syllables") > most + 1) & (F.col("m.suffix_count") >= 3) | (F.col("m.suffix_count") > suffixes) | (F.col("syllables") - F.col("m.suffix_count") > most)
-    return finding(rows.where(long), F.col("token"), F.concat(quote(F.col("token")), F.lit(" uzun bir kelime.")), confidence=0.6)
+def long_word(t: Tables) -> Column:
+    """Words of many syllables; of somewhat fewer, where they have many endings."""
+    most, suffixes = t.param("KD-K04", "max_syllables", 4), t.param("KD-K04", "max_suffixes", 3)
 
+    def long(x: Column, i: Column) -> Column:
+        n = morphology.stem(x["lower"])[1]
+        return _plain_word(x, i) & (x["syllables"] > most + 1) & ((x["syllables"] >= most + 3) | (n > suffixes))
 
-@rule("KD-K05", "Deyim", "kelime")
+    return F.when(BODY(), each(F.col(TOKS), long, lambda x, i: hit(x["token"], F.concat(quote(x["token"]), F.lit(" uzun bir kelime.")), tok=i, confidence=0.6)))
+
+
+@rule("KD-K05", "Deyim", "kelime", plan=True)
 def idiom(t: Tables) -> DataFrame:
     return _phrases(t, "deyimler", " bir deyim.")
 
 
-@rule("KD-K06", "Seyrek kelime", "kelime", "bilgi")
+@rule("KD-K06", "Seyrek kelime", "kelime", "bilgi", plan=True)
 def rare_word(t: Tables) -> DataFrame:
     """Words of no vocabulary. Without a vocabulary in the lexicon nothing is rare."""
     known = [*t.lexicon["sik_kelimeler"], *t.lexicon["bilinen"]]
-    rows = t.analysed.where((F.col("kind") == "word") & (F.length("token") > 2) & ~F.col("is_abbreviation") & ~F.rlike("token", F.lit("^\\p{Lu}")))
+    words = F.filter(F.transform(TOKS, lambda x, i: F.struct(i.alias("tok_idx"), x["token"].alias("token"), x["lower"].alias("lower"), (_plain_word(x, i) & (F.length(x["token"]) > 2)).alias("plain"))), lambda x: x["plain"])
+    rows = t.sents.select(*SENT, F.explode_outer(words).alias("x")).where("x is not null").select(*SENT, "x.tok_idx", "x.token", "x.lower")
     if not known:
         return finding(rows.where("false"), F.col("token"), "")
+    first = rows.groupBy("doc_id", "lower").agg(F.min_by(F.struct("para_idx", "sent_no", "tok_idx", "token"), F.struct("para_idx", "sent_no", "tok_idx")).alias("x"))
     vocabulary = t.sents.sparkSession.createDataFrame([(k,) for k in known], "word string").select(turkish_lower(F.col("word")).alias("key"))
-    keys = rows.select("*", F.explode(F.array_distinct(F.array(F.col("lower"), F.col("m.stem")))).alias("key"))
-    met = keys.join(vocabulary, "key", "left_semi").select(*SENT, "tok_idx").distinct()
-    rare = rows.join(met, [*SENT, "tok_idx"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "lower").orderBy("para_idx", "sent_no", "tok_idx"))).where("nth = 1")
+    forms = first.select("lower").distinct()
+    met = forms.select("lower", F.explode(F.array_distinct(F.array(F.col("lower"), morphology.stem(F.col("lower"))[0]))).alias("key")).join(vocabulary, "key", "left_semi").select("lower").distinct()
+    rare = first.join(met, "lower", "left_anti").select("doc_id", "x.*")
     return finding(rare, F.col("token"), F.concat(quote(F.col("token")), F.lit(" seyrek bir kelime.")), confidence=0.6)
 
 
-@rule("KD-K07", "Belirsiz ifade", "kelime")
+@rule("KD-K07", "Belirsiz ifade", "kelime", plan=True)
 def vague(t: Tables) -> DataFrame:
     return _phrases(t, "belirsiz", " belirsiz; kesin bilgi verin.")
 
 
-@rule("KD-K08", "Terim tutarlılığı", "kelime")
+@rule("KD-K08", "Terim tutarlılığı", "kelime", plan=True)
 def terms(t: Tables) -> DataFrame:
-    rows = [(k, w) for k, g in enumerate(t.lexicon["es_anlamlilar"]) for w in (g["grup"] if isinstance(g, Mapping) else g)]
-    groups = t.sents.sparkSession.createDataFrame(rows, "group int, term string")
-    found = matching.term_consistency(t.body_toks, groups)
+    found = matching.term_consistency(t.matched.join(t.body.select(*SENT), SENT, "left_semi"))
     return finding(found, F.col("term"), F.concat(F.lit("Aynı şey için "), quote(F.col("dominant")), F.lit(" deyin.")), suggestion=F.col("dominant"))
 
 
@@ -325,198 +417,264 @@ COUNT_NOUNS = ["kişi", "adet", "hane", "konut", "aile", "öğrenci", "çocuk",
 DECIMAL_UNITS = [*UNITS, "milyon", "milyar", "bin", "yıl", "saat", "kat"]
 
 
+#: Verbs that say something; what stands before them in quotation marks is said.
+SAYING = ["dedi", "diyor", "der", "diye", "derken", "diyerek", "söyledi", "sordu", "yazdı", "yazıyor", "bağırdı", "seslendi"]
+
+
 @rule("KD-B01", "Yazıyla yazılmış sayı", "biçim")
-def numbers_in_words(t: Tables) -> DataFrame:
+def numbers_in_words(t: Tables) -> Column:
     """Runs of number words of at least ``min_value``; a run ends at any other token. Besides, numbers of 5 to 12 digits before a unit."""
-    least = t.profile.param("KD-B01", "min_value", 10)
-    order = Window.partitionBy(*SENT).orderBy("tok_idx")
-    words = t.body_toks.where(F.col("lower").isin(*NUMBER_WORDS)).withColumn("island", F.col("tok_idx") - F.row_number().over(order))
-    runs = words.groupBy(*SENT, "island").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "lower", "token"))).alias("w"))
-    runs = runs.select("*", F.transform("w", lambda x: x["lower"]).alias("words"), F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("hit")).withColumn("value", numeral_value(F.col("words")))
-    rows = runs.where((F.col("value") >= least) & ((F.size("words") > 1) | F.col("words")[0].isin(*ALONE)))
-    digits = numbers.format_thousands(F.col("value"))
-    long = neighbours(t.body_toks, 1).where((F.col("kind") == "number") & F.rlike("base", F.lit("^[1-9][0-9]{4,11}$")) & F.col("low1").isin(*UNITS, *COUNT_NOUNS))
-    shown = numbers.format_thousands(F.col("base").try_cast("long"))
-    ungrouped = finding(long, F.col("base"), F.concat(F.lit("Binlik ayırıcıyla yazın: "), shown), suggestion=shown, fix=shown)
-    words_ = finding(rows, F.col("hit"), F.concat(F.lit("Rakamla yazın: "), digits), suggestion=digits, fix=F.when(~((F.size("words") == 1) & F.col("words")[0].isin("milyon", "milyar")), digits), tok=F.col("w")[0]["tok_idx"])
-    return words_.unionByName(ungrouped)
+    least = t.param("KD-B01", "min_value", 10)
+    runs = F.coalesce(islands(numbered(lambda x: x["lower"].isin(*NUMBER_WORDS)), lambda a, b: b["i"] - a["i"] > 1), F.array())
+    told = F.transform(runs, lambda w: F.struct(w.alias("w"), F.get(w, F.lit(0))["t"]["lower"].alias("first"), F.size(w).alias("n"), numeral_value(F.transform(w, lambda x: x["t"]["lower"])).alias("value")))
+    told = F.filter(told, lambda x: (x["value"] >= least) & ((x["n"] > 1) | x["first"].isin(*ALONE)))
+
+    def said(x: Column) -> Column:
+        digits = numbers.format_thousands(x["value"])
+        return hit(texts(x["w"]), F.concat(F.lit("Rakamla yazın: "), digits), tok=F.get(x["w"], F.lit(0))["i"], suggestion=digits, fix=F.when(~((x["n"] == 1) & x["first"].isin("milyon", "milyar")), digits)).cast(FOUND)
+
+    shown = lambda x: numbers.format_thousands(x["base"].try_cast("long"))
+    long = each(F.col(TOKS), lambda x, i: (x["kind"] == "number") & F.rlike(x["base"], F.lit("^[1-9][0-9]{4,11}$")) & tok(i + 1)["low"].isin(*UNITS, *COUNT_NOUNS), lambda x, i: hit(x["base"], F.concat(F.lit("Binlik ayırıcıyla yazın: "), shown(x)), tok=i, suggestion=shown(x), fix=shown(x)))
+    return F.when(BODY(), F.concat(F.transform(told, said), long))
 
 
 @rule("KD-B02", "Roma rakamı", "biçim")
-def roman(t: Tables) -> DataFrame:
-    base = F.substring_index("token", "'", 1)
-    after = F.lead("token").over(Window.partitionBy(*SENT).orderBy("tok_idx"))
-    rows = t.toks.select("*", base.alias("base"), after.alias("after")).where((F.col("kind") == "word") & F.rlike("base", F.lit(numbers.ROMAN_PATTERN)))
-    rows = rows.where(((F.length("base") > 1) & ((F.col("after") == ".") | F.rlike("base", F.lit("^[IVX]+$")))) | (F.col("base").isin("I", "V", "X") & (F.col("after") == ".")))
-    value = numbers.roman_to_int(F.col("base")).cast("string")
-    return finding(rows, F.col("base"), F.concat(F.lit("Rakamla yazın: "), value), suggestion=value, fix=value)
+def roman(t: Tables) -> Column:
+    def is_roman(x: Column, i: Column) -> Column:
+        dot = F.coalesce(tok(i + 1)["token"] == ".", F.lit(False))
+        return (x["kind"] == "word") & (x["token"] != x["lower"]) & F.rlike(x["base"], F.lit(numbers.ROMAN_PATTERN)) & (((F.length(x["base"]) > 1) & (dot | F.rlike(x["base"], F.lit("^[IVX]+$")))) | (x["base"].isin("I", "V", "X") & dot))
+
+    value = lambda x: numbers.roman_to_int(x["base"]).cast("string")
+    return each(F.col(TOKS), is_roman, lambda x, i: hit(x["base"], F.concat(F.lit("Rakamla yazın: "), value(x)), tok=i, suggestion=value(x), fix=value(x)))
 
 
 @rule("KD-B03", "Yüzde ve kesir", "biçim", "bilgi")
-def percent(t: Tables) -> DataFrame:
+def percent(t: Tables) -> Column:
     """Percentages, ``yüzde`` before a number, fractions, and, as a warning, decimals with a point before a unit."""
-    rows = neighbours(t.body_toks, 1)
-    said = (F.col("low") == "yüzde") & (F.col("kind") == "word") & (F.col("kind1") == "number")
-    abstract = rows.where((F.col("kind") == "percent") | ((F.col("kind") == "number") & F.rlike("token", F.lit("^[1-9]/(?:[2-9]|10)$"))) | said)
-    text = F.when(said, F.concat_ws(" ", "token", "token1")).otherwise(F.col("token"))
-    points = rows.where((F.col("kind") == "number") & F.rlike("base", F.lit("^[0-9]+\\.[0-9]{1,2}$")) & F.col("low1").isin(*DECIMAL_UNITS))
-    comma = F.replace("base", F.lit("."), F.lit(","))
-    wrong = finding(points, F.col("base"), F.concat(F.lit("Küsuratı virgülle yazın: "), comma), suggestion=comma, fix=comma, severity=F.lit("uyarı"))
-    return finding(abstract, text, F.concat(quote(text), F.lit(" sayısını örnekle anlatın."))).unionByName(wrong)
+    said = lambda x, i: F.coalesce((x["low"] == "yüzde") & (tok(i + 1)["kind"] == "number"), F.lit(False))
+    text = lambda x, i: F.when(said(x, i), F.concat_ws(" ", x["token"], tok(i + 1)["token"])).otherwise(x["token"])
+    abstract = each(F.col(TOKS), lambda x, i: (x["kind"] == "percent") | ((x["kind"] == "number") & F.rlike(x["token"], F.lit("^[1-9]/(?:[2-9]|10)$"))) | said(x, i), lambda x, i: hit(text(x, i), F.concat(quote(text(x, i)), F.lit(" sayısını örnekle anlatın.")), tok=i))
+    comma = lambda x: F.replace(x["base"], F.lit("."), F.lit(","))
+    wrong = each(F.col(TOKS), lambda x, i: (x["kind"] == "number") & F.rlike(x["base"], F.lit("^[0-9]+\\.[0-9]{1,2}$")) & tok(i + 1)["low"].isin(*DECIMAL_UNITS), lambda x, i: hit(x["base"], F.concat(F.lit("Küsuratı virgülle yazın: "), comma(x)), tok=i, suggestion=comma(x), fix=comma(x), severity="uyarı"))
+    return F.when(BODY(), F.concat(abstract, wrong))
+
+
+def _is_day(word: Column) -> Column:
+    days = F.array(*[turkish_lower(F.lit(d)) for d in WEEKDAYS])
+    return F.coalesce(F.array_contains(days, word), F.lit(False))
 
 
 @rule("KD-B04", "Tarih biçimi", "biçim")
-def date_format(t: Tables) -> DataFrame:
+def date_format(t: Tables) -> Column:
     """Numeric dates: an error where the calendar has no such day or the weekday after it is another, else the
     readable form. Dates with the month's name: the same errors, and a hint where no weekday is near.
 
     ``suggest_weekday`` says whether a missing weekday is asked for.
     """
-    weekday = bool(t.profile.param("KD-B04", "suggest_weekday", True))
+    weekday = F.lit(bool(t.param("KD-B04", "suggest_weekday", True)))
     days = F.array(*[turkish_lower(F.lit(d)) for d in WEEKDAYS])
-    is_day = lambda c: F.coalesce(F.array_contains(days, c), F.lit(False))
     date = lambda d, m, y: F.try_to_date(F.concat_ws(".", d.cast("string"), m.cast("string"), y.cast("string")), "d.M.yyyy")
-    near = Window.partitionBy(*SENT).orderBy("tok_idx").rowsBetween(-3, 4)
-    rows = neighbours(t.body_toks, 6).withColumn("near", F.max(is_day(F.substring_index("lower", "'", 1))).over(near))
 
-    def after(k: int) -> Column:
-        """The weekday beside a date whose last token is the k-th: the first word of the next three, with only brackets, commas and dashes before it."""
+    def after(i: Column) -> Column:
+        """The weekday beside a date whose last token is the i-th: the first word of the next three, with only brackets, commas and dashes before it."""
         out = F.lit(None).cast("string")
-        for j in range(k + 3, k, -1):
-            out = F.when(F.col(f"kind{j}") == "word", F.when(is_day(F.col(f"low{j}")), F.col(f"low{j}"))).when(F.col(f"token{j}").isin("(", ",", "-"), out)
+        for j in (3, 2, 1):
+            x = tok(i + j)
+            out = F.when(x["kind"] == "word", F.when(_is_day(x["low"]), x["low"])).when(x["token"].isin("(", ",", "-"), out)
         return out
 
-    actual = F.get(days, F.weekday("date"))
-    numeric = rows.where(F.col("kind") == "date").withColumn("d", numbers.date_parts(F.col("base")))
-    numeric = numeric.withColumns({"date": date(F.col("d.day"), F.col("d.month"), F.col("d.year")), "said": after(0)}).withColumn("wrong", F.coalesce(F.col("said") != actual, F.lit(False)))
-    full = numbers.readable_date(F.col("date"))
-    bare = F.regexp_replace(full, " [^ ]+$", "")
-    good = F.when(F.lit(weekday) & F.col("said").isNull(), full).otherwise(bare)
-    message = F.when(F.col("date").isNull(), "Böyle bir gün yok.").when(F.col("wrong"), F.concat(F.lit("Haftanın günü yanlış: "), full)).otherwise(F.concat(F.lit("Şöyle yazın: "), good))
-    shape = finding(numeric, F.col("base"), message, suggestion=F.when(F.col("wrong"), full).otherwise(good), fix=F.when(~F.col("wrong"), good), severity=F.when(F.col("date").isNull() | F.col("wrong"), "hata"))
-
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.col("low1")).cast("int")
-    day = F.col("base").try_cast("int")
-    dated = F.coalesce((F.col("kind2") == "number") & F.rlike("base2", F.lit("^[0-9]{4}$")), F.lit(False))
-    named = F.coalesce((F.col("kind2") == "word") & F.rlike("token2", F.lit("^\\p{Lu}")) & ~is_day(F.col("low2")) & ~F.col("low2").isin(*MONTHS), F.lit(False))
-    spoken = rows.where((F.col("kind") == "number") & F.rlike("base", F.lit("^[0-9]{1,2}$")) & day.between(1, 31) & (F.col("kind1") == "word") & F.col("low1").isin(*MONTHS) & ~named)
-    spoken = spoken.withColumns({"dated": dated, "date": date(day, month, F.when(dated, F.col("base2").try_cast("int")).otherwise(2024)), "said": F.when(dated, after(2))})
-    spoken = spoken.withColumn("wrong", F.coalesce(F.col("said") != actual, F.lit(False)))
-    rows = spoken.where(F.col("date").isNull() | F.col("wrong") | (F.lit(weekday) & ~F.col("near")))
-    text = F.when(F.col("dated"), F.concat_ws(" ", "token", "token1", "token2")).otherwise(F.concat_ws(" ", "token", "token1"))
-    known = F.when(F.col("dated"), full)
-    message = F.when(F.col("date").isNull(), "Böyle bir gün yok.").when(F.col("wrong"), F.concat(F.lit("Haftanın günü yanlış: "), full)).otherwise("Haftanın gününü de yazın.")
-    fix = F.when(~F.col("wrong") & (F.col("token2") == F.col("base2")), known)
-    return shape.unionByName(finding(rows, text, message, suggestion=known, fix=fix, severity=F.when(F.col("date").isNull() | F.col("wrong"), "hata").otherwise("bilgi")))
+    def numeric(x: Column, i: Column) -> Column:
+        p = numbers.date_parts(x["base"])
+        return F.struct(i.alias("i"), x["base"].alias("text"), date(p["day"], p["month"], p["year"]).alias("date"), after(i).alias("said"), F.lit(True).alias("numeric"), F.lit(True).alias("dated"), F.lit(True).alias("near"), F.lit(True).alias("whole"))
+
+    def spoken(x: Column, i: Column) -> Column:
+        m, y = tok(i + 1), tok(i + 2)
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), m["low"]).cast("int")
+        dated = F.coalesce((y["kind"] == "number") & F.rlike(y["base"], F.lit("^[0-9]{4}$")), F.lit(False))
+        text = F.when(dated, F.concat_ws(" ", x["token"], m["token"], y["token"])).otherwise(F.concat_ws(" ", x["token"], m["token"]))
+        near = F.exists(F.slice(F.col(TOKS), F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4)) + 4), lambda z: _is_day(z["low"]))
+        day = date(x["base"].try_cast("int"), month, F.when(dated, y["base"].try_cast("int")).otherwise(2024))
+        return F.struct(i.alias("i"), text.alias("text"), day.alias("date"), F.when(dated, after(i + 2)).alias("said"), F.lit(False).alias("numeric"), dated.alias("dated"), near.alias("near"), F.coalesce(y["token"] == y["base"], F.lit(False)).alias("whole"))
+
+    def is_spoken(x: Column, i: Column) -> Column:
+        m, y = tok(i + 1), tok(i + 2)
+        named = F.coalesce((y["kind"] == "word") & F.rlike(y["token"], F.lit("^\\p{Lu}")) & ~_is_day(y["low"]) & ~y["low"].isin(*MONTHS), F.lit(False))
+        return (x["kind"] == "number") & F.rlike(x["base"], F.lit("^[0-9]{1,2}$")) & x["base"].try_cast("int").between(1, 31) & (m["kind"] == "word") & m["low"].isin(*MONTHS) & ~named
+
+    of = numbered(lambda x: x["kind"].isin("date", "number"))
+    dates = F.transform(F.filter(of, lambda x: F.coalesce((x["t"]["kind"] == "date") | is_spoken(x["t"], x["i"]), F.lit(False))), lambda x: F.when(x["t"]["kind"] == "date", numeric(x["t"], x["i"])).otherwise(spoken(x["t"], x["i"])))
+    wrong = lambda x: F.coalesce(x["said"] != F.get(days, F.weekday(x["date"])), F.lit(False))
+    told = F.filter(dates, lambda x: x["numeric"] | x["date"].isNull() | wrong(x) | (weekday & ~x["near"]))
+
+    def found(x: Column) -> Column:
+        return let(numbers.readable_date(x["date"]), lambda full: told_date(x, full))
+
+    def told_date(x: Column, full: Column) -> Column:
+        bare = F.regexp_replace(full, " [^ ]+$", "")
+        good = F.when(x["numeric"], F.when(weekday & x["said"].isNull(), full).otherwise(bare)).when(x["dated"], full)
+        bad = x["date"].isNull() | wrong(x)
+        message = F.when(x["date"].isNull(), "Böyle bir gün yok.").when(wrong(x), F.concat(F.lit("Haftanın günü yanlış: "), full)).when(x["numeric"], F.concat(F.lit("Şöyle yazın: "), good)).otherwise("Haftanın gününü de yazın.")
+        return hit(x["text"], message, tok=x["i"], suggestion=F.when(wrong(x) & x["dated"], full).otherwise(good), fix=F.when(~wrong(x) & x["whole"], good), severity=F.when(bad, "hata").when(~x["numeric"], "bilgi")).cast(FOUND)
+
+    return F.when(BODY(), F.transform(told, found))
 
 
 @rule("KD-B05", "Saat biçimi", "biçim")
-def time_format(t: Tables) -> DataFrame:
-    near = Window.partitionBy(*SENT).orderBy("tok_idx").rowsBetween(-2, 2)
-    rows = t.body_toks.withColumn("said", F.max(F.rlike("lower", F.lit("^saat"))).over(near)).where((F.col("kind") == "time") & ~F.col("said"))
-    new = F.concat(F.lit("saat "), F.replace(F.substring_index("token", "'", 1), F.lit(":"), F.lit(".")))
-    return finding(rows, F.col("token"), "Saat olduğunu yazın.", suggestion=new, fix=new)
+def time_format(t: Tables) -> Column:
+    """Times, and ranges of them, without ``saat`` a few tokens before or just after. What stands before a unit is no time."""
+    span = F.lit("^(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9](?:-(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9])?$")
+
+    def bare(x: Column, i: Column) -> Column:
+        near = F.slice(F.col(TOKS), F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5)) + 3)
+        time = (x["kind"] == "time") | ((x["kind"] == "number") & F.contains(x["base"], F.lit("-")) & F.rlike(x["base"], span))
+        return time & ~F.exists(near, lambda y: F.startswith(y["lower"], F.lit("saat"))) & ~F.coalesce(tok(i + 1)["low"].isin(*DECIMAL_UNITS), F.lit(False))
+
+    new = lambda x: F.concat(F.lit("saat "), F.replace(x["base"], F.lit(":"), F.lit(".")))
+    return F.when(BODY(), each(F.col(TOKS), bare, lambda x, i: hit(x["token"], "Saat olduğunu yazın.", tok=i, suggestion=new(x), fix=new(x))))
 
 
 @rule("KD-B06", "Noktalı virgül ve iki nokta", "biçim")
-def semicolons(t: Tables) -> DataFrame:
-    most = t.profile.param("KD-B06", "max_colons", 1)
-    semi = finding(t.body_toks.where(F.col("token") == ";"), F.col("token"), "Noktalı virgül yerine nokta koyun.")
-    many = t.body_toks.where(F.col("token") == ":").groupBy(*SENT).agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return semi.unionByName(finding(many, F.lit(":"), "Cümlede birden çok iki nokta var."))
+def semicolons(t: Tables) -> Column:
+    """Semicolons, for which a full stop and a capital are suggested, and sentences of more than ``max_colons`` colons."""
+    most = t.param("KD-B06", "max_colons", 1)
+    new = lambda i: F.concat(F.lit(". "), turkish_capitalize(tok(i + 1)["token"]))
+    semi = each(F.col(TOKS), lambda x, i: x["token"] == ";", lambda x, i: hit(x["token"], "Noktalı virgül yerine nokta koyun.", tok=i, suggestion=new(i)))
+    n = F.size(F.filter(TOKS, lambda x: x["token"] == ":"))
+    return F.when(BODY(), F.concat(semi, one(n > most, hit(F.lit(":"), "Cümlede birden çok iki nokta var."))))
 
 
 @rule("KD-B07", "Büyük harfli yazım", "biçim")
-def all_caps(t: Tables) -> DataFrame:
-    """Runs of more than ``max_words`` words in capitals; punctuation does not end a run."""
-    most = t.profile.param("KD-B07", "max_words", 3)
-    order = Window.partitionBy(*SENT).orderBy("tok_idx")
-    words = t.toks.where(F.col("kind") == "word").withColumn("k", F.row_number().over(order)).where(is_upper_word(F.col("token")))
-    runs = words.withColumn("island", F.col("k") - F.row_number().over(order)).groupBy(*SENT, "island").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "token"))).alias("w")).where(F.size("w") > most)
-    return finding(runs, F.array_join(F.transform("w", lambda x: x["token"]), " "), "Küçük harfle yazın.", tok=F.col("w")[0]["tok_idx"])
+def all_caps(t: Tables) -> Column:
+    """Runs of more than ``max_words`` words in capitals; punctuation does not end a run. Where only spaces lie
+    between, the fix has small letters, with a capital at the sentence's start."""
+    most = t.param("KD-B07", "max_words", 3)
+    words = F.filter(F.transform(TOKS, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: x["t"]["kind"] == "word")
+    upper = F.filter(F.transform(words, lambda x, k: F.struct(x["t"].alias("t"), x["i"].alias("i"), k.alias("k"))), lambda x: (x["t"]["token"] != x["t"]["lower"]) & is_upper_word(x["t"]["token"]))
+    runs = F.filter(F.coalesce(islands(upper, lambda a, b: b["k"] - a["k"] > 1), F.array()), lambda w: F.size(w) > most)
+
+    def found(w: Column) -> Column:
+        low = F.array_join(F.transform(w, lambda x: x["t"]["lower"]), " ")
+        first = F.get(w, F.lit(0))["i"]
+        close = F.element_at(w, -1)["i"] - first == F.size(w) - 1
+        return hit(texts(w), "Küçük harfle yazın.", tok=first, fix=F.when(close & F.contains(F.col("text"), texts(w)), F.when(first == 0, turkish_capitalize(low)).otherwise(low))).cast(FOUND)
+
+    return F.transform(runs, found)
 
 
 @rule("KD-B08", "Tırnak içinde vurgu", "biçim", "bilgi")
-def scare_quotes(t: Tables) -> DataFrame:
-    rows = spans(t.body, '"[^"\n]{1,60}"').where((F.size(F.split("hit", "\\s+")) <= 3) & ~F.rlike("hit", F.lit('^"(?:\\p{Lu}[^ "]*[ "])+$')))
-    return finding(rows, F.col("hit"), "Tırnağı kaldırın ya da açıklayın.", F.col("at"))
+def scare_quotes(t: Tables) -> Column:
+    """Up to three quoted words that are no name and that nobody says."""
+    said = F.concat(F.lit("^\\s*,?\\s*(?:"), F.lit("|".join(SAYING)), F.lit(")(?![\\p{L}])"))
+
+    def emphasis(x: Column) -> Column:
+        after = F.substr(F.col("text"), x["at"] + F.length(x["piece"]) + 1)
+        return (F.size(F.split(x["piece"], "\\s+")) <= 3) & ~F.rlike(x["piece"], F.lit('^"(?:\\p{Lu}[^ "]*[ "])+$')) & ~F.rlike(after, said)
+
+    found = F.filter(placed_matches(F.col("text"), '"[^"\n]{1,60}"'), emphasis)
+    return F.when(BODY(), F.transform(found, lambda x: hit(x["piece"], "Tırnağı kaldırın ya da açıklayın.", start=x["at"]).cast(FOUND)))
 
 
 # whole texts
 
 
-@rule("KD-M01", "Uzun paragraf", "metin")
+@rule("KD-M01", "Uzun paragraf", "metin", plan=True)
 def long_paragraph(t: Tables) -> DataFrame:
-    most = t.profile.param("KD-M01", "max_sentences", 5)
+    most = t.param("KD-M01", "max_sentences", 5)
     rows = t.body.where(~F.col("is_list_item")).groupBy("doc_id", "para_idx").agg(F.count("*").alias("n"), F.min_by("text", "sent_no").alias("text")).where(F.col("n") > most)
     return finding(rows, F.col("text"), F.concat(F.lit("Paragraf "), F.col("n").cast("string"), F.lit(" cümle.")))
 
 
 def _document_words(t: Tables) -> DataFrame:
-    return t.toks.where(F.col("kind").isin(*WORD_LIKE)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("is_heading").alias("headed"))
+    n = F.size(F.filter(TOKS, lambda x: x["kind"].isin(*WORD_LIKE)))
+    return t.sents.select("doc_id", "is_heading", n.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.max(F.col("is_heading") & (F.col("n") > 0)).alias("headed"))
 
 
-@rule("KD-M02", "Başlık yok", "metin", "bilgi")
+@rule("KD-M02", "Başlık yok", "metin", "bilgi", plan=True)
 def no_heading(t: Tables) -> DataFrame:
-    rows = _document_words(t).where((F.col("n") > t.profile.param("KD-M02", "min_words", 150)) & ~F.col("headed"))
+    rows = _document_words(t).where((F.col("n") > t.param("KD-M02", "min_words", 150)) & ~F.col("headed"))
     return finding(rows, F.lit(""), "Metni başlıklarla bölün.")
 
 
 @rule("KD-M03", "Liste fırsatı", "metin")
-def list_opportunity(t: Tables) -> DataFrame:
-    least = t.profile.param("KD-M03", "min_items", 4)
+def list_opportunity(t: Tables) -> Column:
+    least = t.param("KD-M03", "min_items", 4)
     parts = F.split("text", ",")
     short = F.filter(parts, lambda x: F.size(F.split(F.trim(x), "\\s+")).between(1, 5))
     more = F.when(F.rlike("text", F.lit("(?i) (?:ve|veya|ile|ya|yahut) ")), 1).otherwise(0)
-    rows = t.body.where(~F.col("is_list_item") & (F.size(parts) + more >= least) & (F.size(short) >= least - 1))
-    return finding(rows, F.col("text"), "Sayılanları liste yapın.")
+    return one(BODY() & ~F.col("is_list_item") & (F.size(parts) + more >= least) & (F.size(short) >= least - 1), hit(F.col("text"), "Sayılanları liste yapın."))
 
 
-@rule("KD-M04", "Önemli bilgi geç", "metin", "bilgi")
+@rule("KD-M04", "Önemli bilgi geç", "metin", "bilgi", plan=True)
 def key_info_late(t: Tables) -> DataFrame:
-    part = t.profile.param("KD-M04", "first_fraction", 0.3)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx", "sent_no")) - 1
-    info = t.body_toks.where(F.col("kind").isin("date", "url", "email")).select(*SENT).distinct().withColumn("key", F.lit(True))
-    by = t.body.select(*SENT, place.alias("k")).join(info, SENT, "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("key"), F.col("k"))).alias("first"))
-    return finding(by.where((F.col("n") >= 3) & (F.col("first") >= part * F.col("n"))), F.lit(""), "Önemli bilgiyi başa alın.")
+    """Texts whose first date, address on the net or telephone number comes late. Places are counted by sums over
+    paragraphs, so that no document's sentences are sorted in one task."""
+    part = t.param("KD-M04", "first_fraction", 0.3)
+    told = F.exists(TOKS, lambda x: x["kind"].isin("date", "url", "email")) | F.rlike("text", F.lit("(?<![0-9])0?[ (]*[2-5][0-9]{2}\\)?[ -]?[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{2}(?![0-9])"))
+    rows = t.body.select("doc_id", "para_idx", "sent_no", told.alias("told"))
+    first = rows.where("told").groupBy("doc_id").agg(F.min(F.struct("para_idx", "sent_no")).alias("first"))
+    by = rows.join(first, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.struct("para_idx", "sent_no") < F.col("first")).alias("before"))
+    return finding(by.where((F.col("n") >= 3) & (F.col("before") >= part * F.col("n"))), F.lit(""), "Önemli bilgiyi başa alın.")
 
 
-@rule("KD-M05", "Uzun metin", "metin", "bilgi")
+@rule("KD-M05", "Uzun metin", "metin", "bilgi", plan=True)
 def long_text(t: Tables) -> DataFrame:
-    rows = _document_words(t).where(F.col("n") > t.profile.param("KD-M05", "max_words", 400))
+    rows = _document_words(t).where(F.col("n") > t.param("KD-M05", "max_words", 400))
     return finding(rows, F.lit(""), F.concat(F.lit("Metin "), F.col("n").cast("string"), F.lit(" kelime.")))
 
 
-def tables(docs: DataFrame, profile: Profile, lexicon: Mapping[str, Any], write: bool = True) -> Tables:
-    """The shared tables. ``write``: sentences, tokens and analysed tokens are written to the shared folder
-    once, as some thirty plans read them; without, each plan computes what it needs."""
-    spark = docs.sparkSession
-    keep = written if write else lambda df, _: df
-    sents = keep(sentences(docs), "sentences")
-    toks = keep(tokens(sents.select(*SENT, "text", "is_heading", "is_list_item")).drop("text"), "tokens")
-    entries = matching.lexicon_entries(spark, lexicon)
-    return Tables(sents, toks, keep(morphology.analysed(toks), "analysed"), matching.matches(toks, entries), entries, lexicon, profile)
+#: Rules that read the analysis of words.
+ANALYSED = {"KD-C02", "KD-C03", "KD-C04", "KD-C05", "KD-C06", "KD-C07", "KD-C08", "KD-C10"}
+
+
+def tables(docs: DataFrame, profile: Profile, lexicon: Mapping[str, Any], only: list[str] | None = None) -> Tables:
+    """The shared tables: sentences with their tokens, written to the shared folder once as several plans read
+    them, and phrase matches, written where all rules are asked for. Words are analysed if a rule (of ``only``, if given) asks for it."""
+    asked = [r for r in ANALYSED if profile.config(r).enabled and (only is None or r in only)]
+    sents = written(with_tokens(sentences(docs), analyse=bool(asked)), "sentences")
+    matched = matching.matches(sents, matching.lexicon_entries(docs.sparkSession, lexicon))
+    return Tables(sents, written(matched, "matches") if only is None else matched, lexicon, profile)
+
+
+def _severity(t: Tables, r: Rule) -> Column:
+    return F.lit(t.profile.config(r.id).severity or r.severity)
+
+
+def _named(t: Tables, r: Rule) -> Column:
+    """What a rule finds in a sentence, with its name."""
+    name = F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), _severity(t, r).alias("usual")
+    return F.transform(F.coalesce(r.each(t), empty()), lambda f: F.struct(*name, f.alias("f")))
 
 
 def audit(t: Tables, only: list[str] | None = None) -> DataFrame:
-    """The findings of every enabled rule, or of ``only`` some, with rule_id, category and final severity."""
+    """The findings of every enabled rule, or of ``only`` some, with rule_id, category and final severity.
+
+    All rules that look at one sentence are one projection.
+    """
+    rules = [r for r in RULES.values() if t.profile.config(r.id).enabled and (only is None or r.id in only)]
     parts = []
-    for r in RULES.values():
-        own = t.profile.config(r.id)
-        if own.enabled and (only is None or r.id in only):
-            rows = r.plan(t).select(*FINDING)
-            parts.append(rows.withColumns({"rule_id": F.lit(r.id), "category": F.lit(r.category), "severity": F.coalesce("severity", F.lit(own.severity or r.severity))}))
-    return placed(reduce(DataFrame.unionByName, parts), t.sents)
+    own = [r for r in rules if r.each]
+    if own:
+        rows = t.sents.select(*SENT, "pieces", TOKS, F.concat(*[_named(t, r) for r in own]).alias("found"))
+        rows = rows.select(*SENT, "pieces", F.transform(TOKS, lambda x: x["k"]).alias("ks"), F.explode_outer("found").alias("x")).where("x is not null")
+        rows = rows.select(*SENT, "pieces", "ks", "x.rule_id", "x.category", "x.usual", F.col("x.f.tok").alias("tok_idx"), *[f"x.f.{c}" for c in FINDING[4:]])
+        rows = rows.withColumns({"severity": F.coalesce("severity", "usual"), "start": F.when(F.col("tok_idx").isNull(), F.col("start")).otherwise(start_of("pieces", "ks", "tok_idx"))})
+        parts.append(rows.select(*FINDING, "rule_id", "category"))
+    plans = [r.plan(t).select(*FINDING).withColumns({"rule_id": F.lit(r.id), "category": F.lit(r.category), "severity": F.coalesce("severity", _severity(t, r))}) for r in rules if r.plan]
+    if plans:
+        parts.append(placed(reduce(DataFrame.unionByName, plans), t.sents))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def start_of(pieces: str, ks: str, at: str) -> Column:
+    """Where a token starts: the lengths of all pieces before it."""
+    return F.aggregate(F.slice(F.col(pieces), F.lit(1), F.get(F.col(ks), F.col(at))), F.lit(0), lambda a, x: a + F.length(x))
 
 
 def placed(found: DataFrame, sents: DataFrame) -> DataFrame:
-    """Findings that begin at a token get their start: the lengths of all pieces of the sentence before it."""
-    pieces = F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))
-    solid = F.filter(F.transform("pieces", lambda x, k: F.struct(k.alias("k"), F.rlike(x, F.lit("^\\s")).alias("space"))), lambda x: ~x["space"])
-    before = F.slice("pieces", F.lit(1), F.get(solid, F.col("tok_idx"))["k"])
-    start = F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x))
-    at = found.where("tok_idx is not null").join(sents.select(*SENT, F.col("text").alias("sentence")), SENT).withColumn("pieces", pieces)
-    return found.where("tok_idx is null").unionByName(at.withColumn("start", start).select(found.columns))
+    """Findings that begin at a token get their start."""
+    lines = sents.select(*SENT, "pieces", F.transform(TOKS, lambda x: x["k"]).alias("ks"))
+    at = found.where("tok_idx is not null").join(lines, SENT).withColumn("start", start_of("pieces", "ks", "tok_idx"))
+    return found.where("tok_idx is null").unionByName(at.select(found.columns))
 
 
 def rules_table(spark: SparkSession, profile: Profile) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from berrak.functions import numbers
 from berrak.functions.turkish import count_vowels, is_upper_word, normalize, spell_letters, turkish_lower
+from berrak.operators import morphology
 
 #: Characters of the private use area that mark cuts and protected full stops.
 CUT, STOP = "\ue000", "\ue001"
@@ -61,7 +62,8 @@ def suppressed_ids(paragraph: Column) -> Column:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, para_idx, text and suppressed of every paragraph with a letter or digit."""
-    split = with_normal_text(docs).select("doc_id", F.posexplode(F.split("norm", PARAGRAPH)).alias("para_idx", "text"))
+    # Outer generators throughout: for the others Spark asks first whether the array is empty, and works it out twice.
+    split = with_normal_text(docs).select("doc_id", F.posexplode_outer(F.split("norm", PARAGRAPH)).alias("para_idx", "text"))
     return split.where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]"))).withColumn("suppressed", suppressed_ids(F.col("text"))).withColumn("text", mask_markup(F.col("text")))
 
 
@@ -89,7 +91,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     """
     pieces = F.split(marked_sentences(F.col("text")), CUT)
     marked = paragraphs(docs).select("doc_id", "para_idx", "suppressed", _placed(pieces).alias("pieces"), F.contains("text", F.lit("\n")).alias("many"))
-    cut = marked.select("doc_id", "para_idx", "suppressed", "many", F.posexplode("pieces").alias("sent_no", "p"))
+    cut = marked.select("doc_id", "para_idx", "suppressed", "many", F.posexplode_outer("pieces").alias("sent_no", "p"))
     cut = cut.select("*", F.col("p.piece").alias("piece"), (F.col("p.at") + F.length(F.regexp_extract("p.piece", "^\\s*", 0))).alias("start")).drop("p")
     plain = cut.withColumn("text", F.regexp_replace(F.replace("piece", F.lit(STOP), F.lit(".")), "^\\s+|\\s+$", "")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))
     item = F.rlike("text", F.lit("^" + MARKER))
@@ -99,16 +101,18 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def token_kind(token: Column) -> Column:
+    """The kind of a token. Words are told by their first letter, so that most tokens need one pattern only."""
     base = F.substring_index(token, "'", 1)
+    net = F.startswith(token, F.lit("http://")) | F.startswith(token, F.lit("https://")) | F.startswith(token, F.lit("www."))
+    mail = F.rlike(token, F.lit(".@."))
     return (
-        F.when(F.rlike(token, F.lit("^(?:https?://|www\\.)")), "url")
-        .when(F.rlike(token, F.lit(".@.")), "email")
+        F.when(F.rlike(token, F.lit("^\\p{L}")), F.when(net, "url").when(F.contains(token, F.lit("@")) & mail, "email").otherwise("word"))
+        .when(F.rlike(token, F.lit("^[.,;:!?…\"'()\\[\\]{}/-]$")), "punct")
+        .when(mail, "email")
         .when(F.rlike(token, F.lit("%[^\\s]|[0-9]\\s?%|%\\s[0-9]")), "percent")
         .when(F.rlike(base, F.lit(DATE)), "date")
         .when(F.rlike(base, F.lit(TIME)), "time")
         .when(F.rlike(token, F.lit("^[0-9]")), "number")
-        .when(F.rlike(token, F.lit("^\\p{L}")), "word")
-        .when(F.rlike(token, F.lit("^[.,;:!?…\"'()\\[\\]{}/-]$")), "punct")
         .otherwise("symbol")
     )
 
@@ -118,26 +122,43 @@ def syllables(token: Column, kind: Column, is_abbreviation: Column) -> Column:
     vowels = count_vowels(token)
     return (
         F.when(kind == "word", F.when(is_abbreviation, spell_letters(base) + suffix).when(vowels == 0, spell_letters(token)).otherwise(vowels))
+        .when(kind.isin("punct", "symbol"), 0)
         .when(kind.isin("number", "percent", "date", "time"), numbers.reading_syllables(base, kind) + suffix)
-        .when(kind.isin("url", "email"), F.greatest(F.lit(1), count_vowels(base)))
-        .otherwise(0)
+        .otherwise(F.greatest(F.lit(1), count_vowels(base)))
     )
 
 
-def tokens(sents: DataFrame) -> DataFrame:
-    """The sentences' tokens in order, without white space: tok_idx, token, kind, is_abbreviation, syllables.
+def with_tokens(sents: DataFrame, analyse: bool = False) -> DataFrame:
+    """Sentences with ``pieces``, which put together are the text, and ``toks``: those that aren't white space.
 
+    A token has k (its place among the pieces), token, kind, lower, base and low (without what
+    follows an apostrophe), is_abbreviation and syllables; with ``analyse``, m: the flags of a word.
     A word of two to six capitals is an abbreviation unless most of its sentence is in capitals.
     """
-    found = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda x: ~F.rlike(x, F.lit("^\\s")))
-    cut = sents.withColumn("found", found)
-    words = F.filter("found", lambda x: F.rlike(x, F.lit("^\\p{L}")))
-    shouting = F.size(F.filter(words, is_upper_word)) >= F.greatest(F.lit(3), F.floor(F.size(words) * 0.6 + 0.5).cast("int"))
-    # Before the tokens become rows: a generator's neighbours in a projection are worked out again for every row it makes.
-    cut = cut.withColumn("shouting", shouting)
-    rows = cut.select(*sents.columns, "shouting", F.posexplode("found").alias("tok_idx", "token")).withColumn("kind", token_kind(F.col("token")))
-    base = F.substring_index("token", "'", 1)
-    letters = F.length(F.regexp_replace(base, "[^\\p{L}]", ""))
-    abbreviation = (F.col("kind") == "word") & (F.contains(base, F.lit(".")) | (is_upper_word(base) & letters.between(2, 6) & ~F.col("shouting")))
-    rows = rows.withColumn("is_abbreviation", abbreviation)
-    return rows.withColumns({"syllables": syllables(F.col("token"), F.col("kind"), F.col("is_abbreviation")), "lower": turkish_lower(F.col("token"))}).drop("shouting")
+    cut = sents.withColumn("pieces", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    solid = F.filter(F.transform("pieces", lambda x, k: F.struct(k.alias("k"), x.alias("token"))), lambda x: ~F.rlike(x["token"], F.lit("^\\s")))
+    named = F.transform(solid, lambda x: F.struct(x["k"].alias("k"), x["token"].alias("token"), token_kind(x["token"]).alias("kind"), turkish_lower(x["token"]).alias("lower"), F.substring_index(x["token"], "'", 1).alias("base")))
+    cut = cut.withColumn("named", named)
+    words = F.filter("named", lambda x: x["kind"] == "word")
+    loud = F.size(F.filter(words, lambda x: (x["token"] != x["lower"]) & is_upper_word(x["token"])))
+    cut = cut.withColumn("shouting", loud >= F.greatest(F.lit(3), F.floor(F.size(words) * 0.6 + 0.5).cast("int")))
+
+    def told(x: Column) -> Column:
+        letters = F.length(F.regexp_replace(x["base"], "[^\\p{L}]", ""))
+        short = (x["token"] != x["lower"]) & is_upper_word(x["base"]) & letters.between(2, 6) & ~F.col("shouting")
+        return F.struct(*[x[c].alias(c) for c in ("k", "token", "kind", "lower", "base")], F.substring_index(x["lower"], "'", 1).alias("low"), ((x["kind"] == "word") & (F.contains(x["base"], F.lit(".")) | short)).alias("is_abbreviation"))
+
+    cut = cut.withColumn("named", F.transform("named", told))
+    names = ("k", "token", "kind", "lower", "base", "low", "is_abbreviation")
+
+    def whole(x: Column) -> Column:
+        own = [x[c].alias(c) for c in names] + [syllables(x["token"], x["kind"], x["is_abbreviation"]).alias("syllables")]
+        return F.struct(*own, *([morphology.analysis(F.when(x["kind"] == "word", x["low"]).otherwise("")).alias("m")] if analyse else []))
+
+    return cut.withColumn("toks", F.transform("named", whole)).drop("named", "shouting")
+
+
+def tokens(sents: DataFrame) -> DataFrame:
+    """The sentences' tokens as rows, in order: tok_idx, token, kind, is_abbreviation, syllables, lower."""
+    rows = with_tokens(sents).select(*sents.columns, F.posexplode_outer("toks").alias("tok_idx", "t")).where("tok_idx is not null")
+    return rows.select(*sents.columns, "tok_idx", *[F.col(f"t.{c}").alias(c) for c in ("token", "kind", "is_abbreviation", "syllables", "lower")])

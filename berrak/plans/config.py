@@ -123,15 +123,65 @@ def load_profile(source: str | Path | Mapping[str, Any] | Profile, depth: int =
 
 #: Sections of a lexicon.
 SECTIONS = ("jargon", "yabanci", "deyimler", "belirsiz", "kisaltmalar", "es_anlamlilar", "dolayli_hitap", "sik_kelimeler", "bilinen")
-#: A small lexicon of our own, to start with.
+#: A lexicon of our own, to start with: words that offices use and what to say instead.
 STARTER: dict[str, list[Any]] = {
-    "jargon": [{"ifade": "ikame etmek", "oneri": "yerine koymak"}, {"ifade": "tebliğ", "oneri": "bildirim"}, {"ifade": "ibraz", "oneri": "gösterme"}, {"ifade": "mezkur", "oneri": "adı geçen"}],
-    "yabanci": [{"kelime": "link", "oneri": "bağlantı"}, {"kelime": "feedback", "oneri": "geri bildirim"}],
-    "deyimler": [{"ifade": "göz ardı", "anlam": "önemsememe"}],
-    "belirsiz": [{"ifade": "en kısa sürede"}, {"ifade": "birtakım"}],
-    "kisaltmalar": [{"kisaltma": "TBMM", "acilim": "Türkiye Büyük Millet Meclisi", "bilinir": True}, {"kisaltma": "SGK", "acilim": "Sosyal Güvenlik Kurumu"}],
-    "es_anlamlilar": [{"grup": ["doktor", "hekim", "tabip"], "tercih": "doktor"}],
-    "dolayli_hitap": [{"desen": "gerekmektedir", "ad": "gereklilik"}],
+    "jargon": [{"ifade": a, "oneri": b} for a, b in (
+        ("müracaat", "başvuru"), ("tebliğ", "bildirim"), ("ibraz", "gösterme"), ("mezkur", "adı geçen"), ("ivedilikle", "hemen"), ("ivedi", "acele"),
+        ("arz etmek", "sunmak"), ("ikame etmek", "yerine koymak"), ("ikamet etmek", "oturmak"), ("ikametgah", "oturulan yer"),
+        ("tahakkuk", "hesaplama"), ("tahsil etmek", "almak"), ("tevdi etmek", "vermek"), ("temin etmek", "sağlamak"), ("tesis etmek", "kurmak"),
+        ("tanzim etmek", "düzenlemek"), ("ihdas etmek", "kurmak"), ("iktisap etmek", "edinmek"), ("intikal etmek", "ulaşmak"),
+        ("ifa etmek", "yerine getirmek"), ("ihtar", "uyarı"), ("muhatap", "ilgili kişi"), ("mükellef", "yükümlü"), ("müteakip", "sonraki"),
+        ("müteakiben", "sonra"), ("mevzuat", "kurallar"), ("mahal", "yer"), ("mezuniyet", "bitirme"), ("nezdinde", "yanında"),
+        ("ilgi yazı", "yazınız"), ("işbu", "bu"), ("bilahare", "sonra"), ("binaen", "göre"), ("binaenaleyh", "bu yüzden"), ("derhal", "hemen"),
+        ("hasebiyle", "nedeniyle"), ("haiz olmak", "sahip olmak"), ("istinaden", "dayanarak"), ("keyfiyet", "durum"), ("mahsup etmek", "düşmek"),
+        ("marifetiyle", "eliyle"), ("muvafakat", "izin"), ("mütalaa", "görüş"), ("mutabakat", "anlaşma"), ("refakat", "eşlik"),
+        ("sarf etmek", "harcamak"), ("sehven", "yanlışlıkla"), ("şahsen", "kendiniz"), ("talep etmek", "istemek"), ("tekemmül", "tamamlanma"),
+        ("teslim etmek", "vermek"), ("vuku bulmak", "olmak"), ("yekun", "toplam"), ("zilyetlik", "elinde tutma"), ("addetmek", "saymak"),
+        ("akabinde", "ardından"), ("bedel", "ücret"), ("bertaraf etmek", "gidermek"), ("cebri", "zorla"), ("emsal", "benzer"), ("fesih", "bozma"),
+        ("hülasa", "özet"), ("icra", "uygulama"),
+    )],
+    "yabanci": [{"kelime": a, "oneri": b} for a, b in (
+        ("link", "bağlantı"), ("feedback", "geri bildirim"), ("online", "internetten"), ("offline", "internetsiz"), ("prosedür", "işlem yolu"),
+        ("revize", "yenileme"), ("revizyon", "yenileme"), ("deadline", "son gün"), ("workshop", "atölye"), ("trend", "eğilim"), ("data", "veri"),
+        ("e-mail", "e-posta"), ("mail", "e-posta"), ("check-in", "giriş"), ("network", "ağ"), ("spesifik", "belirli"), ("optimize", "en iyi"),
+        ("organize etmek", "düzenlemek"), ("koordinasyon", "eşgüdüm"), ("koordine", "eşgüdümlü"), ("entegre", "bütünleşik"),
+        ("entegrasyon", "bütünleşme"), ("implementasyon", "uygulama"), ("perspektif", "bakış"), ("konsept", "kavram"), ("prezantasyon", "sunum"),
+        ("rezerve", "ayrılmış"), ("start almak", "başlamak"), ("full", "tam"), ("background", "arka plan"), ("download", "indirme"),
+        ("upload", "yükleme"), ("update", "güncelleme"), ("customer", "müşteri"), ("motivasyon", "istek"), ("adaptasyon", "uyum"), ("absürt", "saçma"),
+        ("anons", "duyuru"), ("departman", "bölüm"), ("determine", "belirli"), ("dizayn", "tasarım"), ("efektif", "etkili"), ("enteresan", "ilginç"),
+        ("ekipman", "donanım"), ("handikap", "engel"), ("kriter", "ölçüt"), ("lokasyon", "yer"), ("minimum", "en az"), ("maksimum", "en çok"),
+        ("opsiyon", "seçenek"), ("partner", "ortak"), ("periyot", "dönem"), ("potansiyel", "gizli güç"), ("provoke", "kışkırtma"),
+        ("sirkülasyon", "dolaşım"), ("sponsor", "destekçi"), ("transfer", "aktarma"), ("vizyon", "görüş"),
+    )],
+    "deyimler": [{"ifade": x} for x in (
+        "göz ardı etmek", "göz önünde bulundurmak", "göz yummak", "el atmak", "el koymak", "ele almak", "masaya yatırmak", "kulak vermek",
+        "kulak asmak", "ayak uydurmak", "baş göstermek", "can atmak", "dile getirmek", "gündeme gelmek", "hayata geçirmek", "ışık tutmak",
+        "kaleme almak", "mercek altına almak", "nokta koymak", "önünü açmak", "rafa kaldırmak", "sekte vurmak", "taviz vermek", "üstesinden gelmek",
+        "yol açmak", "zemin hazırlamak", "devreye girmek", "devre dışı bırakmak", "kapı aralamak", "boyun eğmek", "çığır açmak", "dirsek çürütmek",
+        "gözden kaçmak", "gözden geçirmek", "ipe un sermek", "kafa yormak", "köprü kurmak", "taşın altına elini koymak", "yüzüne bakmak",
+        "suya düşmek", "altını çizmek", "çıkmaza girmek", "eli kulağında", "gözden çıkarmak", "iş işten geçmek", "kolları sıvamak", "pes etmek",
+        "sırt çevirmek", "yan çizmek",
+    )],
+    "belirsiz": [{"ifade": x} for x in (
+        "en kısa sürede", "en kısa zamanda", "birtakım", "yakında", "yakın zamanda", "gerekli belge", "gerekli belgeler", "gerekli işlem",
+        "gerekli tedbir", "ilgili birim", "ilgili makam", "ilgili kişi", "ilgili yer", "bazı durumlarda", "bazı hallerde", "uygun görülen",
+        "uygun bir zamanda", "makul bir süre", "makul süre", "belirli bir süre", "belli bir süre", "bir süre", "bir an önce", "mümkün olduğunca",
+        "mümkünse", "gerektiğinde", "gerekirse", "gerek görülmesi halinde", "zaman zaman", "ara sıra", "genellikle", "çoğunlukla", "yaklaşık olarak",
+        "aşağı yukarı", "çeşitli nedenlerle", "teknik nedenlerle", "ileri bir tarihte", "ilerleyen günlerde", "önümüzdeki günlerde",
+        "belirlenecek tarihte", "yeterli sayıda", "yeterli miktarda", "çok sayıda",
+    )],
+    "kisaltmalar": [
+        {"kisaltma": "TBMM", "acilim": "Türkiye Büyük Millet Meclisi", "bilinir": True}, {"kisaltma": "TC", "bilinir": True}, {"kisaltma": "TL", "bilinir": True}, {"kisaltma": "KDV", "acilim": "katma değer vergisi"},
+        {"kisaltma": "SGK", "acilim": "Sosyal Güvenlik Kurumu"}, {"kisaltma": "PTT", "bilinir": True}, {"kisaltma": "TRT", "bilinir": True}, {"kisaltma": "MEB", "acilim": "Millî Eğitim Bakanlığı"}, {"kisaltma": "SMS", "bilinir": True},
+    ],
+    "es_anlamlilar": [
+        {"grup": ["doktor", "hekim", "tabip"]}, {"grup": ["başvuru", "müracaat"]}, {"grup": ["öğrenci", "talebe"]}, {"grup": ["ücret", "bedel"]}, {"grup": ["okul", "mektep"]},
+        {"grup": ["ev", "konut", "mesken"]}, {"grup": ["mahkeme", "adliye"]}, {"grup": ["yasa", "kanun"]}, {"grup": ["süre", "müddet"]}, {"grup": ["belge", "evrak", "vesika"]},
+    ],
+    "dolayli_hitap": [
+        {"desen": "(?:(?:ilgililere|kamuoyuna|halkımıza)\\s+)?(?:(?:saygıyla|önemle)\\s+)?duyurulur", "ad": "duyuru"}, {"desen": "(?:(?:önemle|saygıyla)\\s+)?(?:rica|arz|talep)\\s+olun(?:ur|maktadır)", "ad": "rica"},
+        {"desen": "gerekmektedir", "ad": "gereklilik"}, {"desen": "vatandaşlarımızın\\s+bilgisine", "ad": "bilgi"}, {"desen": "tarafınız(?:ca|dan|a)", "ad": "taraf"}, {"desen": "ilgililerin\\s+dikkatine", "ad": "dikkat"},
+    ],
     "sik_kelimeler": [],
     "bilinen": [],
 }

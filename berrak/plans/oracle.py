@@ -149,7 +149,8 @@ def _spans(pattern: str, more: str, severity: str) -> str:
     return f"WITH {SENTENCES}, h AS (SELECT doc_id, para_idx, sent_no, text, unnest(regexp_extract_all(text, {_text(pattern)})) AS hit FROM sents WHERE NOT is_heading) SELECT {_FINDING.format(text='hit', severity=_text(severity))} FROM h WHERE {more}"
 
 
-_ENTRIES = [(section, item.get("ifade") or item["kelime"], bool(item.get("sabit"))) for section in ("jargon", "yabanci") for item in LEXICON[section]]
+_PHRASES = [(section, {"ifade": x} if isinstance(x, str) else x) for section in ("jargon", "yabanci") for x in LEXICON[section]]
+_ENTRIES = [(section, x.get("ifade") or x["kelime"], bool(x.get("sabit"))) for section, x in _PHRASES]
 _TERMS = [(k, w) for k, g in enumerate(LEXICON["es_anlamlilar"]) for w in g["grup"]]
 
 
@@ -179,6 +180,18 @@ def _uncovered(a: str, b: str) -> str:
     return f"array_to_string([x FOR x IN {a} IF NOT list_contains({_VALUE.format(b)}, substr(x, instr(x, ':') + 1))], ';')"
 
 
+#: What may follow a quotation that somebody says.
+_SAID = r"(?:\s*,?\s*(?:dedi|diyor|der|diye|derken|diyerek|söyledi|sordu|yazdı|yazıyor|bağırdı|seslendi)\b)?"
+
+
+def _deceived(flag: str) -> str:
+    """The words that a flag's ending deceives."""
+    if flag not in morphology.DECEIVE:
+        return ""
+    how, words = morphology.DECEIVE[flag]
+    return " AND NOT regexp_matches(b, " + _text(f"^(?:{'|'.join(words)})" + ("$" if how == "is" else "")) + ")"
+
+
 ORACLE = {
     "normalized_text": f"WITH {SENTENCES} SELECT doc_id, CAST(length(norm) AS INT) AS n_chars, md5(norm) AS norm_md5 FROM norm",
     "paragraphs": f"WITH {SENTENCES} SELECT doc_id, para_idx, md5(text) AS text_md5 FROM paragraphs",
@@ -226,11 +239,13 @@ ORACLE = {
       s AS (SELECT doc_id, count(*) AS sentence_count FROM sents WHERE NOT is_heading GROUP BY doc_id), f AS (SELECT doc_id, CAST(sum(p) AS DOUBLE) AS penalty, count(*) AS finding_count FROM fd GROUP BY doc_id),
       j AS (SELECT d.doc_id, coalesce(sentence_count, 0) AS sentence_count, coalesce(penalty, 0.0::DOUBLE) AS penalty, coalesce(finding_count, 0) AS finding_count FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id))
       SELECT doc_id, sentence_count, round(penalty, 4) AS penalty, finding_count, CASE WHEN sentence_count > 0 THEN CAST(round_even(100 * exp(-0.6::DOUBLE * penalty / greatest(sentence_count, 1)), 0) AS INT) ELSE -1 END AS score, sentence_count >= 3 AS reliable FROM j""",
-    "morphology_flags": f"""WITH {TOKENS}, f AS (SELECT DISTINCT translate(string_split(low, '''')[1], 'âîûÂÎÛ', 'aiuAİU') AS b, low FROM toks WHERE kind = 'word' AND length(low) <= 80)
-      {' UNION ALL '.join(f"SELECT '{k}' AS flag, count(*) AS n FROM f WHERE regexp_matches(b, '^[a-zçğıöşü]+$') AND regexp_matches(b, {_text(p)}){(' AND NOT regexp_matches(b, ' + _text('^(?:' + '|'.join(morphology.NOT_PASSIVE) + ')') + ')') if k == 'passive' else ''} HAVING count(*) > 0" for k, p in morphology.FLAGS.items())}""",
+    "morphology_flags": f"""WITH {TOKENS}, f AS (SELECT DISTINCT string_split(low, '''')[1] AS w FROM toks WHERE kind = 'word'), b AS (SELECT translate(w, 'âîûÂÎÛ', 'aiuAİU') AS b FROM f WHERE length(w) <= 80)
+      {' UNION ALL '.join(f"SELECT '{k}' AS flag, count(*) AS n FROM b WHERE regexp_matches(b, '^[a-zçğıöşü]+$') AND regexp_matches(b, {_text(p)}){_deceived(k)} HAVING count(*) > 0" for k, p in morphology.FLAGS.items())}""",
     "long_sentences_c01": f"WITH {_WORDS} {_C01}",
     "parenthesis_c09": _spans("\\([^()]*\\p{L}[^()]*\\)", r"NOT regexp_matches(hit, '^\((?:\p{Lu}{2,6}|[0-9 +()-]+)\)$')", "uyarı"),
-    "quotes_b08": _spans('"[^"\n]{1,60}"', r"""len(string_split_regex(hit, '\s+')) <= 3 AND NOT regexp_matches(hit, '^"(?:\p{Lu}[^ "]*[ "])+$')""", "bilgi"),
+    "quotes_b08": f"""WITH {SENTENCES}, h AS (SELECT doc_id, para_idx, sent_no, unnest(regexp_extract_all(text, {_text('"[^"' + chr(10) + ']{1,60}"' + _SAID)})) AS hit FROM sents WHERE NOT is_heading),
+      q AS (SELECT *, regexp_extract(hit, {_text('^"[^"' + chr(10) + ']{1,60}"')}) AS quoted FROM h) SELECT doc_id, para_idx, sent_no, md5(quoted) AS text_md5, 'bilgi' AS severity FROM q
+      WHERE hit = quoted AND len(string_split_regex(quoted, '\\s+')) <= 3 AND NOT regexp_matches(quoted, '^"(?:\\p{{Lu}}[^ "]*[ "])+$')""",
     "first_abbreviation_k03": f"""WITH {TOKENS}, n AS (SELECT *, lag(token) OVER w AS before, lead(token) OVER w AS after FROM toks WINDOW w AS (PARTITION BY doc_id, para_idx, sent_no ORDER BY tok_idx)),
       c AS (SELECT * FROM n WHERE is_abbreviation AND NOT regexp_matches(base, '{_ROMAN}') AND NOT regexp_matches(coalesce(after, ''), '^[0-9]')),
       o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, base ORDER BY para_idx, sent_no, tok_idx) = 1) SELECT {_FINDING.format(text='base', severity=_text('uyarı'))} FROM o WHERE coalesce(before, '') <> '(' AND coalesce(after, '') <> '('""",

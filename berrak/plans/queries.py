@@ -18,9 +18,9 @@ from berrak.streaming import stream
 
 #: A lexicon of words that occur in the test documents, as a user would bring one.
 LEXICON = {
-    "jargon": [{"ifade": "of the", "oneri": "of"}, {"ifade": "the"}, {"ifade": "in the and"}, {"ifade": "que la"}],
-    "yabanci": [{"kelime": "und", "oneri": "ve"}, {"kelime": "that", "sabit": True}],
-    "es_anlamlilar": [{"grup": ["the", "der", "la"]}, {"grup": ["and", "und", "et", "y"]}],
+    "jargon": [{"ifade": "of the", "oneri": "of", "ek": False}, "the", "in the and", "que la"],
+    "yabanci": [{"kelime": "und", "oneri": "ve", "ek": False}, {"kelime": "that", "sabit": True, "ek": False}],
+    "es_anlamlilar": [{"grup": ["the", "der", "la"], "ek": False}, {"grup": ["and", "und", "et", "y"], "ek": False}],
 }
 SENT = ["doc_id", "para_idx", "sent_no"]
 
@@ -37,13 +37,18 @@ def _toks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.tokens(_sents(spark, sf_dir).select(*SENT, "text", "is_heading", "is_list_item")).drop("text")
 
 
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with their tokens."""
+    return segment.with_tokens(_sents(spark, sf_dir).select(*SENT, "text", "is_heading", "is_list_item"))
+
+
 def _audit(spark: SparkSession, sf_dir: str) -> Audit:
     return Audit(_docs(spark, sf_dir), lexicon=LEXICON)
 
 
 def _found(rule: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rules.tables(_docs(spark, sf_dir), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, write=False)
+        t = rules.tables(_docs(spark, sf_dir), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, [rule])
         r = rules.audit(t, [rule])
         # -1 stands for a finding about a whole paragraph or document.
         return r.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("para_idx", "sent_no")], F.md5("text").alias("text_md5"), "severity")
@@ -70,13 +75,13 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readability_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readability.scores(readability.counts(_toks(spark, sf_dir)))
+    rows = readability.scores(readability.counts(_told(spark, sf_dir)))
     return rows.select("doc_id", "words", "sentences", "syllables", "h3", "h4", "h5", "h6", *[F.round(c, 6).alias(c) for c in ("atesman", "cetinkaya_uzun", "bezirci_yilmaz")], "atesman_level", "cetinkaya_uzun_level", "bezirci_yilmaz_level")
 
 
 def readability_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the first formula by language and source, by language, and over all."""
-    counted = readability.counts(_toks(spark, sf_dir))
+    counted = readability.counts(_told(spark, sf_dir))
     rows = counted.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     by = rows.rollup("lang", "source").agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in ("words", "sentences", "syllables")])
     return by.withColumn("atesman", F.round(readability.atesman(F.col("syllables") / F.col("words"), F.col("words") / F.col("sentences")), 6))
@@ -88,21 +93,19 @@ def syllable_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readability.statistics(_toks(spark, sf_dir))
+    return readability.statistics(_told(spark, sf_dir))
 
 
 def language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readability.language_gate(_toks(spark, sf_dir))
+    return readability.language_gate(_told(spark, sf_dir))
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.matches(_toks(spark, sf_dir), matching.lexicon_entries(spark, LEXICON)).select(*SENT, "list", "phrase", "first_tok", "last_tok")
+    return matching.matches(_told(spark, sf_dir), matching.lexicon_entries(spark, LEXICON)).where("list not like 'es:%'").select(*SENT, "list", "phrase", "first_tok", "last_tok")
 
 
 def term_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, w) for k, g in enumerate(LEXICON["es_anlamlilar"]) for w in g["grup"]]
-    groups = spark.createDataFrame(rows, "group int, term string")
-    found = matching.term_consistency(_toks(spark, sf_dir).where("not is_heading"), groups)
+    found = matching.term_consistency(matching.matches(_told(spark, sf_dir).where("not is_heading"), matching.lexicon_entries(spark, LEXICON)))
     return found.groupBy("doc_id", F.col("group").alias("group_id"), "term", "dominant").agg(F.count("*").alias("n"))
 
 
@@ -145,9 +148,10 @@ def compliance_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def morphology_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct words of the documents each ending marks."""
-    found = morphology.forms(_toks(spark, sf_dir).where("kind = 'word'"))
-    flags = [f for f in morphology.FLAGS]
-    return found.select(F.explode(F.array(*[F.when(F.col(f"m.{f}"), F.lit(f)) for f in flags])).alias("flag")).where("flag is not null").groupBy("flag").agg(F.count("*").alias("n"))
+    words = F.transform(F.filter("toks", lambda x: x["kind"] == "word"), lambda x: x["low"])
+    found = _told(spark, sf_dir).select(F.explode_outer(F.array_distinct(words)).alias("low")).where("low is not null").distinct().withColumn("m", morphology.analysis(F.col("low")))
+    flags = F.array(*[F.when(F.col(f"m.{f}"), F.lit(f)) for f in morphology.FLAGS])
+    return found.select(F.explode(flags).alias("flag")).where("flag is not null").groupBy("flag").agg(F.count("*").alias("n"))
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,38 @@ CASES = [
     ("KD-C03", "İnsanlar yarın gelecek.", False),
     ("KD-C04", "Ali bugün okula gelmedi.", True),
     ("KD-C04", "Ali bugün okula geldi.", False),
+    ("KD-C02", "Yağmur dinecek ve çocuklar parka koşacak.", True),
+    ("KD-C02", "Formu doldurun, çünkü memur formu okuyacak.", True),
+    ("KD-C02", "Ekmek ve süt yarın bitecek.", False),
+    ("KD-C03", "Masalar yarın boyanacak.", True),
+    ("KD-C03", "Kadın bahçede kitap okuyor.", False),
+    ("KD-C03", "Ayşe yeni eve taşındı.", False),
+    ("KD-C04", "Kapıyı açık bırakmayın.", True),
+    ("KD-C04", "Bugün ekmek yok.", False),
+    ("KD-C05", "Gelmemek doğru değildir.", True),
+    ("KD-C05", "Bu iş faydasız değil.", True),
+    ("KD-C05", "Kimse okula gitmedi.", False),
+    ("KD-C06", "Koşarak gelen çocuk düştü.", True),
+    ("KD-C06", "Sabah olunca kalktı.", False),
+    ("KD-C06", "İnsan hemen anlar.", False),
+    ("KD-C07", "Yolun açılmasının hızlandırılması iyi.", True),
+    ("KD-C07", "Yüzmeyi seviyoruz.", False),
+    ("KD-C08", "Okulumuzun bahçesinin kapısının anahtarı kayboldu.", True),
+    ("KD-C08", "Okulun kapısı açık.", False),
+    ("KD-C10", "Köyümüz bu yaz suyu az olan evlere yeni bir kuyu daha açacak.", True),
+    ("KD-C10", "Köyümüz kuyu açacak.", False),
+    ("KD-K01", "Evrakı müdüre arz ederim.", True),
+    ("KD-K01", "Katta oturuyoruz.", False),
+    ("KD-K02", "Toplantı online olacak.", True),
+    ("KD-K04", "Sorumluluklarınızdan söz ettik.", True),
+    ("KD-K04", "Evimize gelin.", False),
+    ("KD-K05", "Muhtar işe el koydu.", True),
+    ("KD-K05", "Elini yıkadı.", False),
+    ("KD-K07", "Yakında döneceğiz.", True),
+    ("KD-B05", "Kurs 08.30-12.00 arasında.", True),
+    ("KD-B05", "Dükkân saat 08.30 ile 12.00 arasında açık.", False),
+    ("KD-B05", "Süt 4.50 lira.", False),
+    ("KD-B08", 'Ali "hemen geliyorum" dedi.', False),
     ("KD-C09", "Su (temiz olanı) gelir.", True),
     ("KD-C09", "Kurum (SGK) açık.", False),
     ("KD-C11", "Başvuru yapmanız gerekmektedir.", True),
@@ -65,6 +97,39 @@ def test_rule_cases(audited):
     assert not wrong
 
 
+def test_rare_words_need_a_vocabulary(spark):
+    docs = spark.createDataFrame([(1, "Köyde bir pınar var. Pınarın suyu soğuk. Tefessüh yok.")], "doc_id long, text string")
+    assert Audit(docs, only=["KD-K06"]).findings.count() == 0
+    lexicon = {"sik_kelimeler": ["köy", "bir", "pınar", "var", "suyu", "soğuk", "yok"]}
+    assert [r.text for r in Audit(docs, lexicon=lexicon, only=["KD-K06"]).findings.collect()] == ["Tefessüh"]
+
+
+def test_phrases_take_endings(spark):
+    lexicon = {"jargon": [{"ifade": "kitap"}, {"ifade": "yol tutmak"}, {"ifade": "ev", "ek": False}]}
+    sents = segment.with_tokens(segment.sentences(spark.createDataFrame([(1, "Kitabımızı aldık. Kitapçı yol tutacakmış. Evler uzak, ev yakın. Yollar tuttu.")], "doc_id long, text string")))
+    got = matching.matches(sents, matching.lexicon_entries(spark, lexicon)).collect()
+    assert sorted((r.phrase, r.sent_no, r.first_tok, r.last_tok) for r in got) == [("ev", 2, 3, 3), ("kitap", 0, 0, 0), ("yol tutmak", 1, 1, 2)]
+
+
+#: One notice in three manners, from an office's to a plain one.
+NOTICES = [
+    "Köyümüzün su deposunun bakımının yapılması amacıyla 12.10.2026 tarihinde 08.00-17.00 arasında su kesintisi uygulanacaktır; mağduriyet yaşanmaması için gerekli tedbirlerin alınması önemle rica olunur. Müracaatların ivedilikle yapılması gerekmektedir.",
+    "Su deposu 12 Ekim 2026 Pazartesi günü temizlenecek. Su saat 08.00 ile 17.00 arasında kesilecek. Lütfen önceden su biriktirin.",
+    "Köyün su deposunu temizliyoruz. Su 12 Ekim 2026 Pazartesi günü akacak. Önce su biriktirin. Soru için bizi arayın.",
+]
+
+
+def test_plainer_notices_score_higher(spark):
+    docs = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    got = [r.score for r in Audit(docs).compliance.orderBy("doc_id").collect()]
+    assert got[0] <= 40 < got[1] < got[2] and got[2] >= 85
+
+
+def test_language_gate_leaves_turkish_words_alone(spark):
+    docs = spark.createDataFrame([(1, "On kişi, on ev, on araba geldi.")], "doc_id long, text string")
+    assert Audit(docs, only=["KD-C01"]).compliance.first().score is not None
+
+
 def test_registry():
     assert sorted(rules.RULES) == sorted(RULE_IDS) and len(RULE_IDS) == 32
 
@@ -100,8 +165,8 @@ def test_ignored_and_suppressed(spark):
 
 def test_longest_phrase_wins(spark):
     lexicon = {"jargon": ["a b", "a", {"ifade": "b c d"}, {"ifade": "e", "sabit": True}]}
-    toks = segment.tokens(segment.sentences(spark.createDataFrame([(1, "a b c d a, b e a")], "doc_id long, text string")))
-    got = matching.matches(toks, matching.lexicon_entries(spark, lexicon)).orderBy("first_tok").collect()
+    sents = segment.with_tokens(segment.sentences(spark.createDataFrame([(1, "a b c d a, b e a")], "doc_id long, text string")))
+    got = matching.matches(sents, matching.lexicon_entries(spark, lexicon)).orderBy("first_tok").collect()
     assert [(r.phrase, r.first_tok, r.last_tok) for r in got] == [("a b", 0, 1), ("a", 4, 4), ("a", 8, 8)]
 
 
@@ -115,7 +180,7 @@ def test_formulas(spark):
 
 def test_language_gate(spark):
     docs = spark.createDataFrame([(1, "The cat is in the house and on the mat."), (2, "Ali bugün okula gitti."), (3, "Кошка дома сегодня спит.")], "doc_id long, text string")
-    got = readability.language_gate(segment.tokens(segment.sentences(docs))).collect()
+    got = readability.language_gate(segment.with_tokens(segment.sentences(docs))).collect()
     assert {r.doc_id: r.looks_turkish for r in got} == {1: False, 2: True, 3: False}
 
 

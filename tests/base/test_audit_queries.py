@@ -28,7 +28,7 @@ def test_audit_queries_cover_all_rules(spark, tmp_path, monkeypatch):
         penalty, n = sum(weight[r.severity] * r.confidence for r in own), sum(s.doc_id == doc and not s.is_heading for s in sents)
         return n, round(penalty, 4), len(own), round(100 * math.exp(-0.6 * penalty / n)) if n else -1
 
-    turkish = {r.doc_id: r.looks_turkish for r in readability.language_gate(segment.tokens(segment.sentences(docs))).collect()}
+    turkish = {r.doc_id: r.looks_turkish for r in readability.language_gate(segment.with_tokens(segment.sentences(docs))).collect()}
     got = {r.doc_id: r for r in QUERIES["compliance_all_rules"](spark, str(tmp_path)).collect()}
     for doc in range(len(texts)):
         n, penalty, count, score = brute(doc)
