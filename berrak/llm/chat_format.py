@@ -27,6 +27,7 @@ BEGIN, END = "<s>", "</s>"
 OPEN = {"system": "[SYS]", "user": "[INST]", "assistant": "[OUT]"}
 CLOSE = {"system": "[/SYS]", "user": "[/INST]", "assistant": END}
 ROLE_OPEN, ROLE_CLOSE = "[ROLE]", "[/ROLE]"
+TURNS = "array<struct<role: string, text: string>>"
 CONTROL = [BEGIN, END, *OPEN.values(), "[/SYS]", "[/INST]", "[/OUT]", ROLE_OPEN, ROLE_CLOSE]
 _START = "([<\\[])(?=" + "|".join(re.escape(x[1:]) for x in CONTROL) + ")"
 _TURN = "(?s)\\[(?:SYS|INST|OUT|ROLE)\\].*?(?:\\[/SYS\\]|\\[/INST\\]|</s>)"
@@ -37,12 +38,14 @@ class Mapping:
     """Where the turns of one layout lie.
 
     ``turns``: (role, path of the text) for each turn, or (path of the role, path of the text)
-    below an array, as ``messages[].role``. Optional paths may be missing: no turn then.
+    below one array, as ``thread.messages[].author.role``. Optional paths may be missing: no turn
+    then, or no role. ``roles``: names that a layout has for roles, in lower case, and what they stand for.
     """
 
     name: str
     turns: tuple[tuple[str, str], ...]
     optional: tuple[str, ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def paths(self) -> set[str]:
@@ -53,30 +56,49 @@ MAPPINGS = (
     Mapping("messages", (("messages[].role", "messages[].content"),), ("messages[].role",)),
     Mapping("instruction", (("system", "instruction"), ("user", "input"), ("assistant", "output")), ("input",)),
     Mapping("prompt", (("user", "prompt"), ("assistant", "response")), ("response",)),
+    Mapping("completion", (("user", "prompt"), ("assistant", "completion"))),
+    Mapping("exchange", (("system", "exchange.context"), ("user", "exchange.question"), ("assistant", "exchange.answer")), ("exchange.context", "exchange.answer")),
+    Mapping("shared", (("conversations[].from", "conversations[].value"),), ("conversations[].from",), (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))),
+    Mapping("thread", (("thread.messages[].author.role", "thread.messages[].body"),), ("thread.messages[].author.role",)),
 )
 
-RECORD = T.StructType([
-    T.StructField("prompt", T.StringType()),
-    T.StructField("response", T.StringType()),
-    T.StructField("instruction", T.StringType()),
-    T.StructField("input", T.StringType()),
-    T.StructField("output", T.StringType()),
-    T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))),
-])
+#: The type of a record that may have any of these layouts, as ``from_json`` takes it.
+RECORD = (
+    "prompt string, response string, completion string, instruction string, input string, output string,"
+    "messages array<struct<role: string, content: string>>,"
+    "exchange struct<context: string, question: string, answer: string>,"
+    "conversations array<struct<from: string, value: string>>,"
+    "thread struct<messages: array<struct<author: struct<role: string>, body: string>>>"
+)
+
+
+def resolves(path: str, fields: T.DataType) -> bool:
+    """Whether a type has a path, with a plain value at its end."""
+    for step in path.split("."):
+        name = step.removesuffix("[]")
+        if not isinstance(fields, T.StructType) or name not in fields.names:
+            return False
+        fields = fields[name].dataType
+        if name != step:
+            if not isinstance(fields, T.ArrayType):
+                return False
+            fields = fields.elementType
+    return not isinstance(fields, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _at(value: Column, path: str) -> Column:
+    for name in path.split("."):
+        value = value.getField(name)
+    return value
 
 
 def filled(record: str, path: str, fields: T.StructType) -> Column:
     """Whether a record fills a path; false for paths that its type lacks."""
-    whole, _, leaf = path.partition("[].")
-    if whole not in fields.names:
-        return F.lit(False)
-    column = F.col(f"{record}.{whole}")
-    if not leaf:
-        return column.isNotNull()
-    kind = fields[whole].dataType
-    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and leaf in kind.elementType.names):
+    if not resolves(path, fields):
         return F.lit(False)
-    return F.coalesce(F.exists(column, lambda x: x[leaf].isNotNull()), F.lit(False))
+    whole, _, leaf = path.partition("[].")
+    column = _at(F.col(record), whole)
+    return F.coalesce(F.exists(column, lambda x: _at(x, leaf).isNotNull()), F.lit(False)) if leaf else column.isNotNull()
 
 
 def fingerprint(record: str, fields: T.StructType, mappings: Sequence[Mapping] = MAPPINGS) -> Column:
@@ -91,20 +113,31 @@ def fingerprints(mapping: Mapping) -> list[str]:
     return [hashlib.sha256("\n".join(sorted(must | set(extra))).encode()).hexdigest() for k in range(len(mapping.optional) + 1) for extra in combinations(mapping.optional, k)]
 
 
-def _leaves(turn: Callable[[Column, Column], Column], role: str, text: str) -> Callable[[Column], Column]:
-    return lambda x: turn(x[role], x[text])
+def _role(role: Column, aliases: Sequence[tuple[str, str]]) -> Column:
+    out = role
+    for alias, name in aliases:
+        out = F.when(F.lower(role) == alias, name).otherwise(out)
+    return out
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+
+
+def _listed(mapping: Mapping, role: str | None, text: str) -> Callable[[Column], Column]:
+    return lambda x: _turn(_role(_at(x, role), mapping.roles) if role else F.lit(None), _at(x, text))
 
 
 def _mapped(record: str, mapping: Mapping, fields: T.StructType) -> Column:
-    turn = lambda role, text: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     parts = []
     for role, path in mapping.turns:
         whole, _, leaf = path.partition("[].")
         if leaf:
-            parts.append(F.transform(F.col(f"{record}.{whole}"), _leaves(turn, role.partition("[].")[2], leaf)))
-        elif whole in fields.names:
-            column = F.col(f"{record}.{whole}")
-            parts.append(F.when(column.isNotNull(), F.array(turn(F.lit(role), column))).otherwise(F.array().cast("array<struct<role:string,text:string>>")))
+            named = role.partition("[].")[2] if resolves(role, fields) else None
+            parts.append(F.transform(_at(F.col(record), whole), _listed(mapping, named, leaf)))
+        elif resolves(path, fields):
+            column = _at(F.col(record), path)
+            parts.append(F.when(column.isNotNull(), F.array(_turn(F.lit(role), column))).otherwise(F.array().cast(TURNS)))
     return F.concat(*parts)
 
 
@@ -115,11 +148,9 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: Sequen
     fits no mapping.
     """
     fields = records.schema[record].dataType
-    known = {p.partition("[].")[0] for m in mappings for p in m.paths}
-    usable = [m for m in mappings if all(p.partition("[].")[0] in fields.names for p in m.paths - set(m.optional))]
-    layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    print_ = fingerprint(record, T.StructType([f for f in fields if f.name in known]), mappings)
-    marked = records.withColumn("layout_print", print_)
+    usable = [m for m in mappings if all(resolves(p, fields) for p in m.paths - set(m.optional))]
+    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    marked = records.withColumn("layout_print", fingerprint(record, fields, mappings))
     for m in usable:
         hit = F.col("layout_print").isin(fingerprints(m))
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
