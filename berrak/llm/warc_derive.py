@@ -24,18 +24,29 @@ SOFTWARE = "berrak/0.1"
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: block elements end lines, other tags vanish, white space collapses."""
-    out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    """The text of a page: block elements end lines, other tags vanish, white space collapses.
+
+    Comments, elements and tags that nothing closes stay as they are. Each pattern is held once against a
+    stretch without an end: the second alternatives take such a stretch whole and give it back.
+    """
     hidden = "|".join(HIDDEN)
-    out = F.regexp_replace(out, f"(?is)<(?:{hidden})[^>]*>.*?</(?:{hidden})\\s*>", "")
+    out = F.regexp_replace(html, "(?s)<!--(?:.*?-->|(?<=(<!--))(.*))", "$1$2")
+    out = F.regexp_replace(out, f"(?is)<(?:{hidden})(?:[^>]*>.*?</(?:{hidden})\\s*>|(?<=(<(?:{hidden})))([^>]*(?:>.*)?))", "$1$2")
     # Lone spaces, by far the most, are no match that way.
-    out = F.regexp_replace(F.translate(out, "\t\r\n\f", "    "), " {2,}", " ")
-    out = F.regexp_replace(out, f"(?i)</?(?:{BLOCKS})(?:[ /][^>]*)?>", "\n")
-    out = F.regexp_replace(out, "<[a-zA-Z/!?][^>]*>", "")
+    out = F.regexp_replace(out, "[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " ")
+
+    def untagged(x: Column) -> Column:
+        rest = F.substring_index(x, ">", -1)  # has no whole tag
+        lines = F.regexp_replace(F.left(x, F.length(x) - F.length(rest)), f"(?i)</?(?:{BLOCKS})(?:[ /][^>]*)?>", "\n")
+        return F.concat(F.regexp_replace(lines, "<[a-zA-Z/!?][^>]*>", ""), rest)
+
+    # One element, so that the text is worked out once though it is named several times.
+    out = F.transform(F.array(out), untagged)[0]
     for name, value in REFERENCES:
         out = F.replace(out, F.lit(name), F.lit(value))
-    out = F.regexp_replace(out, " *\n[ \n]*", "\n")
-    return F.regexp_replace(out, "^[ \n]+|[ \n]+$", "")
+    # White space around a line's end, beginning at the first space of its run.
+    out = F.regexp_replace(out, "(?: (?<! {2}) *+)?+\n[ \n]*", "\n")
+    return F.trim(out, F.lit(" \n"))
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -82,7 +93,7 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-length: "), F.octet_length("payload").cast("string"),
         F.lit("\r\nsource-http-headers: "), F.replace(F.rtrim(F.replace(F.col("http_headers"), F.lit("\r\n"), F.lit(" "))), F.lit("\r"), F.lit("")),
         F.lit("\r\ntext-length: "), F.octet_length("text").cast("string"), F.lit("\r\ntitle: "),
-        plain_text(F.regexp_extract("payload", "(?is)<title[^>]*>(.*?)</title", 1)), F.lit("\r\n"),
+        plain_text(F.regexp_extract("payload", "(?is)<title[^>]*>(.*?)</title|<title.*", 1)), F.lit("\r\n"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), record_id("metadata", F.col("record_id")).alias("id"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),

@@ -126,6 +126,39 @@ def test_fingerprints_select_layouts(spark):
     assert got[1].formatted == "<s>[INST]p[/INST][OUT]r</s>" and got[4].formatted == "<s>"
 
 
+LAYOUTS = [
+    ('{"prompt": "p", "completion": "c"}', "completion", [("user", "p"), ("assistant", "c")]),
+    ('{"prompt": "p", "completion": "c", "response": "r"}', None, []),
+    ('{"exchange": {"question": "q"}}', "exchange", [("user", "q")]),
+    ('{"exchange": {"question": "q", "answer": "a", "context": ""}}', "exchange", [("system", ""), ("user", "q"), ("assistant", "a")]),
+    ('{"exchange": {}}', None, []),
+    ('{"conversations": [{"from": "Human", "value": "h"}, {"from": "gpt", "value": "g"}, {"value": "x"}, null, {"from": "tool"}]}', "shared", [("user", "h"), ("assistant", "g"), ("", "x"), ("", ""), ("tool", "")]),
+    ('{"thread": {"messages": [{"author": {"role": "human"}, "body": "b"}, {"author": null, "body": "c"}]}}', "thread", [("human", "b"), ("", "c")]),
+    ('{"thread": {"messages": [{"author": {"role": "user"}}]}}', None, []),
+]
+
+
+def test_nested_layouts_and_role_names(spark):
+    parsed = spark.createDataFrame([(k, x[0]) for k, x in enumerate(LAYOUTS)], "k long, raw string").withColumn("record", F.from_json("raw", chat_format.RECORD))
+    got = chat_format.canonical_turns(parsed).orderBy("k").collect()
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in got] == [x[1:] for x in LAYOUTS]
+
+
+def test_layouts_of_other_types(spark):
+    """A list where a text is expected fits no mapping; numbers are texts; a type without roles has none."""
+    rows = spark.sql("select struct(array('a') as prompt, cast(null as array<struct<content: int>>) as messages) as record union all select struct(cast(null as array<string>), array(struct(7 as content)))")
+    got = {r.layout: [tuple(t) for t in r.turns] for r in chat_format.canonical_turns(rows).collect()}
+    assert got == {None: [], "messages": [("", "7")]}
+
+
+def test_very_long_chats(spark):
+    text = "</s>[INST] \\" * 100_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_chats(chat_format.records_of_turns(rows))
+    got = made.select(chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t.text for t in got.turns] == [text, text] and got.loss == text
+
+
 def test_chats_of_no_rows(spark):
     rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.format_chats(chat_format.records_of_turns(rows)).count() == 0
@@ -608,6 +641,17 @@ def test_derivatives_are_linked(spark):
     assert next(r.block for r in rows if r.page_id == 1 and r.record_type == "conversion") == "T & t\nOne\ntwo <3"
 
 
+def test_derivatives_of_odd_pages(spark):
+    """What nothing closes stays, in linear time; white space collapses; repeated responses give repeated records."""
+    cases = [("a<!-- b <!-- c", "a<!-- b <!-- c"), ("a<!--b-->c<!--", "ac<!--"), ("x<script>y", "xy"), ("x<SCRIPT>y</script >z<style", "xz<style"), ("x <p y", "x <p y"), (" <b>x \t\n</b>  y <br> z\n", "x  y\nz"), (" \n ", "")]
+    cases += [(bad * 200_000, None) for bad in ("<!--", "<script>", "<script", "<p ", "<title>", " <b>")]
+    pages = spark.createDataFrame([(k, "u", x) for k, (x, _) in enumerate(cases)] + [(0, "u", cases[0][0])], "page_id long, url string, html string")
+    rows = warc_derive.derive(warc_derive.responses(pages), ("page_id",)).where("record_type = 'conversion'").collect()
+    assert len(rows) == len(cases) + 1 and len({r.record_id for r in rows}) == len(cases)
+    assert {r.page_id: r.block for r in rows if cases[r.page_id][1] is not None} == {k: y for k, (_, y) in enumerate(cases) if y is not None}
+    assert warc_derive.derive(warc_derive.responses(pages.limit(0))).count() == 0
+
+
 # queries and pipeline
 
 
