@@ -21,6 +21,9 @@ BLOCKS = "p|br|div|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|ti
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 DATE = "2024-01-01T00:00:00Z"
 SOFTWARE = "berrak/0.1"
+#: The columns of a response that are read, and all names that stand for something here.
+RESPONSE = ("record_id", "target_uri", "date", "http_headers", "payload")
+NAMES = {*RESPONSE, "record_type", "refers_to", "content_type", "block_digest", "payload_digest", "content_length", "block", "record", "text", "id"}
 
 
 def plain_text(html: Column) -> Column:
@@ -85,8 +88,12 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Columns: ``keep``, record_type, record_id, refers_to, target_uri, date, content_type,
     block_digest, payload_digest (of the source's payload), content_length (bytes), block, and
     record: the whole as WARC/1.1 text. Null URIs leave their header out; empty payloads give
-    empty conversions; repeated responses give repeated records.
+    empty conversions; repeated responses give repeated records. A kept column that bears one of these names,
+    or a name of a response's own column, is called ``source_`` and its name.
     """
+    kept = {c: f"source_{c}" if c in NAMES else c for c in keep}
+    source = source.select(*[F.col(c).alias(name) for c, name in kept.items()], *RESPONSE)
+    keep = tuple(kept.values())
     based = source.withColumns({"text": plain_text(F.col("payload")), "payload_digest": sha256(F.col("payload"))})
     fields = F.concat(
         F.lit("via: "), F.coalesce(F.regexp_replace("target_uri", "[\\r\\n]+", " "), F.lit("")), F.lit("\r\nsource-record: "), F.col("record_id"),

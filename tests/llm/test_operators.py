@@ -652,6 +652,17 @@ def test_derivatives_of_odd_pages(spark):
     assert warc_derive.derive(warc_derive.responses(pages.limit(0))).count() == 0
 
 
+def test_derivatives_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string")
+    source = warc_derive.responses(pages).withColumns({"text": F.lit("t"), "block": F.lit("b"), "id": F.lit(7)})
+    keep = ("page_id", "date", "text", "block", "id", "payload")
+    out = warc_derive.derive(source, keep)
+    assert out.columns[:6] == ["page_id", "source_date", "source_text", "source_block", "source_id", "source_payload"] and len(set(out.columns)) == len(out.columns)
+    row = out.where("record_type = 'conversion'").first()
+    assert (row.source_text, row.source_block, row.source_id, row.source_payload, row.block) == ("t", "b", 7, "<p>a", "a")
+    assert out.drop(*out.columns[1:6]).exceptAll(warc_derive.derive(source, ("page_id",))).count() == 0
+
+
 # queries and pipeline
 
 
