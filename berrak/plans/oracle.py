@@ -228,8 +228,30 @@ ORACLE = {
       best AS (SELECT doc_id, group_id, term AS dominant FROM per QUALIFY row_number() OVER (PARTITION BY doc_id, group_id ORDER BY n DESC, seen) = 1 AND count(*) OVER (PARTITION BY doc_id, group_id) > 1)
       SELECT doc_id, group_id, term, dominant, n FROM per JOIN best USING (doc_id, group_id) WHERE term <> dominant""",
     "markup_mask": f"SELECT page_id, CAST(length(m) AS INT) AS n_chars, md5(m) AS masked_md5 FROM (SELECT page_id, {_mask(chr(99) + 'oalesce(html, ' + _text('') + ')')} AS m FROM pages)",
-    "fact_diff": f"""WITH said AS (SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'user') AS asked, min_by(text, turn) FILTER (WHERE role = 'assistant') AS said FROM conversations GROUP BY conv_id),
-      f AS (SELECT conv_id, {_facts("asked")} AS a, {_facts("said")} AS b FROM said) SELECT conv_id, {_uncovered("a", "b")} AS missing, {_uncovered("b", "a")} AS added FROM f""",
+    "fact_diff": f"""WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS said FROM conversations),
+      pairs AS (SELECT *, last_value(CASE WHEN role = 'user' THEN said END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, said ROWS UNBOUNDED PRECEDING) AS asked FROM said),
+      f AS (SELECT conv_id, turn, {_facts("asked")} AS a, {_facts("said")} AS b FROM pairs WHERE role = 'assistant') SELECT conv_id, turn, {_uncovered("a", "b")} AS missing, {_uncovered("b", "a")} AS added FROM f""",
+    "tidy_pages": r"""WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+      s AS (SELECT doc_id, n, replace(CASE WHEN n % 3 = 1 THEN regexp_replace(line, '(\p{L})', '\1 ', 'g') ELSE line END, ',', ' ,') AS line FROM l),
+      q AS (SELECT *, string_split(line, ' ') AS q FROM s),
+      f AS (SELECT *, [regexp_full_match(x, '\p{L}-?') FOR x IN q] AS lone FROM q),
+      j AS (SELECT doc_id, n, line, array_to_string([CASE WHEN i = 1 OR (lone[i - 1] AND lone[i]) THEN q[i] ELSE ' ' || q[i] END FOR i IN range(1, len(q) + 1)], '') AS whole,
+        len([i FOR i IN range(1, len(q) - 1) IF lone[i] AND lone[i + 1] AND lone[i + 2]]) > 0 AS spread FROM f),
+      k AS (SELECT doc_id, n, rtrim(CASE WHEN spread THEN regexp_extract(whole, '^ *') || regexp_replace(ltrim(whole), ' {2,}', ' ', 'g') ELSE line END) AS line FROM j),
+      b AS (SELECT *, trim(line) AS bare, max(length(trim(line))) OVER (PARTITION BY doc_id) AS widest, lead(trim(line)) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM k),
+      c AS (SELECT doc_id, n, bare <> '' AND NOT regexp_matches(bare, '[.!?:;,…–—-]$') AND coalesce(regexp_matches(next, '^\p{Lu}'), false) AND length(bare) < 0.6 * widest AS breaks,
+        regexp_replace(line, '([\p{L}\p{Nd}_]) +([.,;:!?])(\s|$)', '\1\2\3', 'g') AS line FROM b)
+      SELECT doc_id, CAST(count(*) FILTER (WHERE breaks) AS INT) AS n_breaks, md5(trim(string_agg(line || CASE WHEN breaks THEN chr(10) ELSE '' END, chr(10) ORDER BY n), ' ' || chr(10))) AS text_md5 FROM c GROUP BY doc_id""",
+    "cleaned_text": r"""WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g') AS t FROM documents),
+      b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^ ?[*•] ', '- ', 'g'), '(?m)^ ?#{1,6} ', '', 'g') AS t FROM a),
+      c AS (SELECT doc_id, translate(replace(replace(t, '**', ''), '__', ''), '‐‑', '--') AS t FROM b),
+      d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS t FROM c)
+      SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS clean_md5 FROM d""",
+    "punctuated_text": r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+      b AS (SELECT *, [trim(x, ' ' || chr(9)) FOR x IN p] AS bare FROM l),
+      d AS (SELECT doc_id, array_to_string([rtrim(p[i], ' ' || chr(9)) || CASE WHEN bare[i] <> '' AND NOT ((i = 1 OR bare[i - 1] = '') AND len(string_split_regex(bare[i], '[ \t]+')) <= 6)
+        AND NOT starts_with(bare[i], '-') AND NOT regexp_matches(bare[i], '[.!?:…]$') THEN '.' ELSE '' END FOR i IN range(1, len(p) + 1)], chr(10)) AS t FROM b)
+      SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS done_md5 FROM d""",
     "document_facts": f"SELECT doc_id, len(f) AS n_facts, md5(array_to_string(f, ';')) AS facts_md5 FROM (SELECT doc_id, {_facts('text')} AS f FROM documents)",
     "recurring_lines": r"""WITH l AS (SELECT source, doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS p FROM documents)),
       r AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY k) AS up, row_number() OVER (PARTITION BY source, doc_id ORDER BY k DESC) AS down FROM l WHERE regexp_matches(line, '\S')),
@@ -260,3 +282,20 @@ ORACLE = {
     "list_opportunity_m03": rf"""WITH {SENTENCES}, p AS (SELECT *, string_split(text, ',') AS parts FROM sents WHERE NOT is_heading AND NOT is_list_item)
       SELECT {_FINDING.format(text='text', severity=_text('uyarı'))} FROM p WHERE len(parts) + CASE WHEN regexp_matches(text, '(?i) (?:ve|veya|ile|ya|yahut) ') THEN 1 ELSE 0 END >= 4 AND len([x FOR x IN parts IF len(string_split_regex(trim(x), '\s+')) BETWEEN 1 AND 5]) >= 3""",
 }
+
+ORACLE["roman_b02"] = f"""WITH {TOKENS}, n AS (SELECT *, coalesce(lead(token) OVER (PARTITION BY doc_id, para_idx, sent_no ORDER BY tok_idx) = '.', false) AS dot FROM toks)
+  SELECT {_FINDING.format(text='base', severity=_text('uyarı'))} FROM n WHERE kind = 'word' AND regexp_matches(base, '^M{{0,3}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$')
+    AND CASE WHEN length(base) > 1 THEN dot OR regexp_matches(base, '^[IVX]+$') ELSE dot AND base IN ('I', 'V', 'X') END"""
+
+
+def _spelt(name: str, text: str) -> str:
+    """The query over the documents in another spelling."""
+    return ORACLE[name].replace("FROM documents", f"FROM (SELECT doc_id, {text} AS text FROM documents)")
+
+
+ORACLE |= {
+    "parenthesis_c09": _spelt("parenthesis_c09", r"regexp_replace(text, ', ([^,.;()\n]{5,60}),', ' (\1)', 'g')"),
+    "semicolons_b06": _spelt("semicolons_b06", "replace(text, ', ', '; ')"),
+    "caps_runs_b07": _spelt("caps_runs_b07", "translate(substr(text, 1, 200), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(text, 201)"),
+    "roman_b02": _spelt("roman_b02", "replace(replace(text, ' the ', ' XIV '), ' die ', ' I. ')"),
+}

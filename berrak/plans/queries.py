@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.operators import facts as facts_
 from berrak.operators import findings as findings_
-from berrak.operators import matching, morphology, readability, rules, segment
+from berrak.operators import matching, morphology, readability, rewriting, rules, segment
 from berrak.plans.auditor import Audit
 from berrak.plans.config import load_profile
 from berrak.sources import readers, sinks
@@ -46,9 +47,12 @@ def _audit(spark: SparkSession, sf_dir: str) -> Audit:
     return Audit(_docs(spark, sf_dir), lexicon=LEXICON)
 
 
-def _found(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+def _found(rule: str, written: Callable[[Column], Column] = lambda text: text) -> Callable[[SparkSession, str], DataFrame]:
+    """Findings of one rule; ``written`` puts into the documents what the rule looks for and they lack."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = rules.tables(_docs(spark, sf_dir), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, [rule])
+        docs = _docs(spark, sf_dir).withColumn("text", written(F.col("text")))
+        t = rules.tables(docs, load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, [rule])
         r = rules.audit(t, [rule])
         # -1 stands for a finding about a whole paragraph or document.
         return r.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("para_idx", "sent_no")], F.md5("text").alias("text_md5"), "severity")
@@ -115,11 +119,37 @@ def markup_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts that the first answer of each conversation leaves out of its first question, and adds."""
-    rows = table(spark, sf_dir, "conversations")
-    said = rows.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("asked"), F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn"))).alias("said"))
+    """Facts that each answer leaves out of the question before it, and facts that it adds."""
+    rows = table(spark, sf_dir, "conversations").withColumn("said", F.coalesce("text", F.lit("")))
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "said").rowsBetween(Window.unboundedPreceding, 0)
+    asked = F.last(F.when(F.col("role") == "user", F.col("said")), ignorenulls=True).over(so_far)
+    answers = rows.withColumn("asked", asked).where("role = 'assistant'")
     missing, added = facts_.fact_diff(F.col("asked"), F.col("said"))
-    return said.select("conv_id", F.array_join(missing, ";").alias("missing"), F.array_join(added, ";").alias("added"))
+    return answers.select("conv_id", "turn", F.array_join(missing, ";").alias("missing"), F.array_join(added, ";").alias("added"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of lines, every third spread out by letters, with spaces before commas, as extraction gives them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    spread = F.regexp_replace("line", "(\\p{L})", "$1 ")
+    return rows.withColumn("line", F.replace(F.when(F.col("line_no") % 3 == 1, spread).otherwise(F.col("line")), F.lit(","), F.lit(" ,")))
+
+
+def tidy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with whole words, paragraphs and no spaces before signs."""
+    return readers.tidy_pages(_lines(spark, sf_dir)).select("doc_id", "n_breaks", F.md5("text").alias("text_md5"))
+
+
+def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its headings and items without their marks."""
+    clean = rewriting.clean_text(F.coalesce("text", F.lit("")))
+    return _docs(spark, sf_dir).select("doc_id", F.length(clean).alias("n_chars"), F.md5(clean).alias("clean_md5"))
+
+
+def punctuated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a full stop at the lines that lack one."""
+    done = rewriting.punctuate(F.coalesce("text", F.lit("")))
+    return _docs(spark, sf_dir).select("doc_id", F.length(done).alias("n_chars"), F.md5(done).alias("done_md5"))
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +215,19 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audit(spark, sf_dir).categories.withColumn("penalty", F.round("penalty", 4))
 
 
+#: The documents in other spellings: bracketed asides, semicolons, a first part in capitals, Roman numerals.
+ASIDE = ", ([^,.;()\n]{5,60}),"
+SPELLINGS: dict[str, Callable[[Column], Column]] = {
+    "KD-C09": lambda text: F.regexp_replace(text, ASIDE, " ($1)"),
+    "KD-B06": lambda text: F.replace(text, F.lit(", "), F.lit("; ")),
+    "KD-B07": lambda text: F.concat(F.translate(F.substring(text, 1, 200), ascii_lowercase, ascii_uppercase), F.substr(text, F.lit(201))),
+    "KD-B02": lambda text: F.replace(F.replace(text, F.lit(" the "), F.lit(" XIV ")), F.lit(" die "), F.lit(" I. ")),
+}
+
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, fact_diff, document_facts, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
+    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
 } | {
-    "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09"), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02"), "semicolons_b06": _found("KD-B06"),
-    "caps_runs_b07": _found("KD-B07"), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),
+    "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09", SPELLINGS["KD-C09"]), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02", SPELLINGS["KD-B02"]), "semicolons_b06": _found("KD-B06", SPELLINGS["KD-B06"]),
+    "caps_runs_b07": _found("KD-B07", SPELLINGS["KD-B07"]), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),
 }

@@ -91,3 +91,39 @@ def recurring_lines(pages: DataFrame, edge: int = 4, share: float = 0.6, least:
 def without_furniture(pages: DataFrame) -> DataFrame:
     """The pages' lines without the recurring ones."""
     return pages.withColumn("key", furniture_key(F.col("line"))).join(recurring_lines(pages).select("doc_id", "key"), ["doc_id", "key"], "left_anti").drop("key")
+
+
+#: Signs at which a line ends a thought, and signs before which no space stands.
+LINE_ENDS, CLOSE_SIGNS = ".!?:;,…-–—", ".,;:!?"
+
+
+def joined_letters(line: Column) -> Column:
+    """A line whose words are spread out (``G E Ç E N  Y I L``) with its words whole; other lines as they are.
+
+    A line is spread out where three letters or more stand alone in a row; then two are joined as well.
+    """
+    whole = F.regexp_replace(line, "(?<=(?:^|\\s)\\p{L}-?) (?=\\p{L}-?(?:\\s|$))", "")
+    spread = F.rlike(line, F.lit("(?:^|\\s)\\p{L}-?(?: \\p{L}-?){2,}(?:\\s|$)"))
+    return F.when(spread, F.regexp_replace(whole, "(?<=\\S) {2,}(?=\\S)", " ")).otherwise(line)
+
+
+def tidy_lines(pages: DataFrame) -> DataFrame:
+    """Lines of pages (doc_id, page, line_no, line) with whole words, no space before a sign, and ``breaks``.
+
+    A line ends its paragraph where it has no end sign and less than 0.6 of its page's widest line, and the
+    next begins with a capital. Null lines count as empty.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    rows = pages.withColumn("line", F.rtrim(joined_letters(F.coalesce("line", F.lit("")))))
+    rows = rows.withColumn("bare", F.trim("line"))
+    rows = rows.withColumns({"widest": F.max(F.length("bare")).over(page), "next": F.lead("bare").over(page.orderBy("line_no"))})
+    ended = F.right("bare", F.lit(1)).isin(*LINE_ENDS)
+    breaks = (F.length("bare") > 0) & ~ended & F.rlike("next", F.lit("^\\p{Lu}")) & (F.length("bare") < 0.6 * F.col("widest"))
+    return rows.select("doc_id", "page", "line_no", F.regexp_replace("line", f"(?<=[\\p{{L}}\\p{{Nd}}_]) +([{CLOSE_SIGNS}])(?=\\s|$)", "$1").alias("line"), F.coalesce(breaks, F.lit(False)).alias("breaks"))
+
+
+def tidy_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page, n_breaks and text of every page, with an empty line after each line that ends a paragraph."""
+    lines = tidy_lines(pages).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "breaks"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.when(x["breaks"], "\n").otherwise(""))), "\n")
+    return lines.select("doc_id", "page", F.size(F.filter("lines", lambda x: x["breaks"])).alias("n_breaks"), F.trim(text, F.lit(" \n")).alias("text"))
