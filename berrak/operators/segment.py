@@ -60,11 +60,29 @@ def suppressed_ids(paragraph: Column) -> Column:
     return F.array_distinct(ids)
 
 
+SWITCHES = "struct<pending: array<string>, done: array<array<string>>>"
+
+
+def switched_off(parts: Column) -> Column:
+    """The suppressed ids of each paragraph: its own, and those of paragraphs without any text just before it."""
+
+    def step(a: Column, x: Column) -> Column:
+        ids = F.array_distinct(F.concat(a["pending"], suppressed_ids(x)))
+        empty = ~F.rlike(mask_markup(x), F.lit("[\\p{L}\\p{Nd}]"))
+        return F.struct(F.when(empty, ids).otherwise(F.array().cast("array<string>")).alias("pending"), F.concat(a["done"], F.array(ids)).alias("done")).cast(SWITCHES)
+
+    start = F.struct(F.array().alias("pending"), F.array().alias("done")).cast(SWITCHES)
+    return F.aggregate(parts, start, step, lambda a: a["done"])
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, para_idx, text and suppressed of every paragraph with a letter or digit."""
+    parts = with_normal_text(docs).select("doc_id", F.split("norm", PARAGRAPH).alias("parts"), F.rlike("norm", F.lit("(?i)<!--\\s*berrak")).alias("switched"))
+    parts = parts.select("doc_id", "parts", F.when(F.col("switched"), switched_off(F.col("parts"))).alias("ids"))
     # Outer generators throughout: for the others Spark asks first whether the array is empty, and works it out twice.
-    split = with_normal_text(docs).select("doc_id", F.posexplode_outer(F.split("norm", PARAGRAPH)).alias("para_idx", "text"))
-    return split.where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]"))).withColumn("suppressed", suppressed_ids(F.col("text"))).withColumn("text", mask_markup(F.col("text")))
+    split = parts.select("doc_id", "ids", F.posexplode_outer("parts").alias("para_idx", "text")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))
+    off = F.coalesce(F.get("ids", F.col("para_idx")), F.array().cast("array<string>"))
+    return split.select("doc_id", "para_idx", mask_markup(F.col("text")).alias("text"), off.alias("suppressed"))
 
 
 def marked_sentences(text: Column) -> Column:
