@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berrak.llm import bag_minhash, chat_format, compression_bands, decontaminate, importance_resampling, run_length_index, sharding, soft_mixing, toxicity_mil, warc_derive
+from berrak.llm import bag_minhash, chat_format, compression_bands, decontaminate, hard_negatives, importance_resampling, run_length_index, secret_scan, sharding, soft_mixing, spelling_variants, toxicity_mil, warc_derive
 from berrak.llm.tables import table
 
 
@@ -82,7 +82,30 @@ def op10_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_run_length_index, op3_importance_resampling, op4_bag_minhash, op5_warc_derivatives, op6_compression_bands, op7_decontaminate, op8_chat_format, op9_soft_mixing, op10_permutation_shards)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every fiftieth vector; every seventh counts as of the next label."""
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, its form and its root."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document. A source is an owner, a document one of its repositories."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), "source", "doc_id", keep=["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_mil, op2_run_length_index, op3_importance_resampling, op4_bag_minhash, op5_warc_derivatives, op6_compression_bands, op7_decontaminate,
+        op8_chat_format, op9_soft_mixing, op10_permutation_shards, op11_hard_negatives, op12_spelling_variants, op13_secret_scan,
+    )
+}
 
 _ESCAPED = r"""regexp_replace(replace({}, '\', '\\'), '([<\[])(/?(?:s>|SYS\]|INST\]|OUT\]|ROLE\]))', '\1\\\2', 'g')"""
 
@@ -166,3 +189,52 @@ SELECT page_id, record_type, record_id, response_id AS refers_to, url AS target_
   || 'Content-Length: ' || strlen(block) || chr(13) || chr(10) || chr(13) || chr(10) || block || chr(13) || chr(10) || chr(13) || chr(10) AS record
 FROM ids
 """
+
+ORACLE["op11_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM r a, r b WHERE a.id % 50 = 0 AND a.id <> b.id
+), p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+_CASES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRETS = {"assign": f"(?:{_CASES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "access": "(AKIA[A-Z0-9]{16,})", "hex": "([0-9a-f]{24,})", "owned": "([A-Za-z0-9]{20,})"}
+
+
+def _spans_sql(kind: str, order: int) -> str:
+    """Places of all matches: lengths of what stands between them and of what they are, added up. Maximal runs may be asked for their least length at once."""
+    pattern = _SECRETS[kind]
+    return f"""
+  SELECT r, source, doc_id, '{kind}' AS kind, {order} AS k, a, a + len(m) AS b, v FROM (
+    SELECT r, source, doc_id, unnest(v) AS v, unnest(m) AS m, unnest([CAST(list_sum(list_transform(gaps[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: len(x))), 0) AS BIGINT) FOR i IN range(1, len(m) + 1)]) AS a
+    FROM (SELECT r, source, doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', 1) AS v, regexp_split_to_array(text, '{pattern}') AS gaps FROM t) WHERE len(m) > 0
+  ) WHERE len(v) >= 6"""
+
+
+ORACLE["op13_secret_scan"] = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_spans_sql(kind, k) for k, kind in enumerate(("assign", "access", "hex")))}),
+runs AS ({_spans_sql("owned", 3)}),
+everything AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM runs WHERE len(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND len(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 3 AND len(list_distinct(string_split(v, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = runs.r AND base.a < runs.b AND runs.a < base.b)
+), judged AS (
+  SELECT e.*, n_owners > 2 AS copied,
+    n_owners <= 2 AND len(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND len(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 3 AND len(list_distinct(string_split(v, ''))) >= 10 AS live
+  FROM everything e JOIN (SELECT v, count(DISTINCT source) AS n_owners FROM everything GROUP BY v) USING (v)
+), told AS (
+  SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k < 3 OR live) AS spans,
+    count(*) FILTER (WHERE k = 3 AND live) AS n_owned, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE copied) AS n_copied
+  FROM judged GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM t LEFT JOIN told USING (r)
+"""
