@@ -1,4 +1,7 @@
-"""Facts that a rewriting must keep: addresses, dates, years, times and numbers."""
+"""Facts that a rewriting must keep: addresses, dates, years, times and numbers.
+
+One pass over the text takes out everything that can be a fact, and each piece is told by its form.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +9,62 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from berrak.functions.turkish import MONTHS, turkish_lower
+from berrak.operators.segment import AMOUNT, MAIL, NET
 
-URL = "(?:https?://|www\\.)\\S+|[\\p{L}\\p{Nd}_.+-]+@[\\p{L}\\p{Nd}_-]+\\.[\\p{L}\\p{Nd}_.]+"
-NUMERIC_DATE = "\\b([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})\\b"
-WORDED_DATE = "\\b([0-9]{1,2})\\s+(" + "|".join(MONTHS) + ")(?:\\s+([0-9]{4}))?"
-TIME = "\\b([0-9]{1,2})[.:]([0-9]{2})\\b"
-NUMBER = "[0-9]+(?:[.,][0-9]+)*"
+#: A day and a month's name, maybe with a year.
+SAID_DATE = f"[0-9]{{1,2}} +(?:{'|'.join(MONTHS)})(?: +[0-9]{{4}})?"
+PIECE = "|".join([NET, MAIL, SAID_DATE, AMOUNT])
+WRITTEN_DATE = "^([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})$"
+CLOCK = "^([0-9]{1,2})[.:]([0-9]{2})$"
+YEAR = "^(?:19[0-9]{2}|20[0-9]{2}|2100)$"
 
 
 def _two(digits: Column) -> Column:
     return F.lpad(digits.try_cast("int").cast("string"), 2, "0")
 
 
+def _labelled(kind: str, *value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), *value)
+
+
+def _number(n: Column) -> Column:
+    plain = F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(F.rlike(n, F.lit(YEAR)), _labelled("yıl", n)).otherwise(_labelled("sayı", plain))
+
+
+def _amount(piece: Column) -> Column:
+    """A time, or numbers: what stands between dashes and slashes, and, if it is no time, between colons."""
+    one = lambda p: F.when(
+        F.rlike(p, F.lit(CLOCK)), F.array(_labelled("saat", _two(F.regexp_extract(p, CLOCK, 1)), F.lit("."), F.regexp_extract(p, CLOCK, 2)))
+    ).otherwise(F.transform(F.split(p, ":"), _number))
+    return F.flatten(F.transform(F.split(piece, "[-/]"), one))
+
+
+def _said(piece: Column) -> Column:
+    words = F.split(piece, " +")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.get(words, F.lit(1)))
+    day = _labelled("tarih", _two(month), F.lit("-"), _two(F.get(words, F.lit(0))))
+    return F.array(F.when(F.size(words) > 2, _labelled("yıl", F.get(words, F.lit(2)))), day)
+
+
+def _written(piece: Column) -> Column:
+    part = lambda k: F.regexp_extract(piece, WRITTEN_DATE, k)
+    return F.array(_labelled("yıl", part(3)), _labelled("tarih", _two(part(2)), F.lit("-"), _two(part(1))))
+
+
+def _told(piece: Column) -> Column:
+    return (
+        F.when(~F.rlike(piece, F.lit("^[0-9]")) | F.contains(piece, F.lit("@")), F.array(_labelled("adres", F.regexp_replace(piece, "[.,;:)]+$", ""))))
+        .when(F.contains(piece, F.lit(" ")), _said(piece))
+        .when(F.rlike(piece, F.lit(WRITTEN_DATE)), _written(piece))
+        .otherwise(_amount(piece))
+    )
+
+
 def facts(text: Column) -> Column:
-    """The distinct facts of a text, sorted, as ``kind:value``; each kind's matches are taken out before the next."""
-    found = lambda rest, pattern, group=0: F.regexp_extract_all(rest, F.lit(pattern), F.lit(group))
-    low = turkish_lower(F.coalesce(text, F.lit("")))
-    urls = F.transform(found(low, URL), lambda u: F.concat(F.lit("adres:"), F.regexp_replace(u, "[.,;:)]+$", "")))
-    rest = F.regexp_replace(low, URL, " ")
-    months = F.array(*map(F.lit, MONTHS))
-    dates = F.flatten(F.transform(found(rest, NUMERIC_DATE), lambda d: F.array(F.concat(F.lit("yıl:"), F.regexp_extract(d, NUMERIC_DATE, 3)), F.concat(F.lit("tarih:"), _two(F.regexp_extract(d, NUMERIC_DATE, 2)), F.lit("-"), _two(F.regexp_extract(d, NUMERIC_DATE, 1))))))
-    rest = F.regexp_replace(rest, NUMERIC_DATE, " ")
-    worded = F.flatten(F.transform(found(rest, WORDED_DATE), lambda d: F.array(
-        F.when(F.regexp_extract(d, WORDED_DATE, 3) != "", F.concat(F.lit("yıl:"), F.regexp_extract(d, WORDED_DATE, 3))),
-        F.concat(F.lit("tarih:"), F.lpad(F.array_position(months, F.regexp_extract(d, WORDED_DATE, 2)).cast("string"), 2, "0"), F.lit("-"), _two(F.regexp_extract(d, WORDED_DATE, 1))))))
-    rest = F.regexp_replace(rest, WORDED_DATE, " ")
-    times = F.transform(found(rest, TIME), lambda t: F.concat(F.lit("saat:"), _two(F.regexp_extract(t, TIME, 1)), F.lit("."), F.regexp_extract(t, TIME, 2)))
-    rest = F.regexp_replace(rest, TIME, " ")
-    numbers = F.transform(found(rest, NUMBER), lambda n: F.when(F.rlike(n, F.lit("^(?:19[0-9]{2}|20[0-9]{2}|2100)$")), F.concat(F.lit("yıl:"), n)).otherwise(F.concat(F.lit("sayı:"), F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(urls, dates, worded, times, numbers), lambda x: x.isNotNull())))
+    """The distinct facts of a text, sorted, as ``kind:value``. A date is its day and, apart from it, its year."""
+    pieces = F.regexp_extract_all(turkish_lower(F.coalesce(text, F.lit(""))), F.lit(PIECE), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(pieces, _told)), lambda x: x.isNotNull())))
 
 
 def uncovered(these: Column, those: Column) -> Column:

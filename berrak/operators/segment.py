@@ -20,21 +20,23 @@ CUT, STOP = "\ue000", "\ue001"
 ABBREVIATIONS = ["Alb", "Apt", "Av", "Bkz", "bkz", "Cad", "Doç", "Dr", "Fak", "Gen", "Hz", "Mah", "Müd", "No", "Op", "Prof", "Sn", "Sok", "St", "Tel", "Uzm", "Yrd"]
 ORDINAL_NOUNS = ["madde", "fıkra", "bent", "bölüm", "sınıf", "kat", "yüzyıl", "cadde", "sokak", "hafta", "dönem", "gün", "yıl", "cilt", "sayı", "sayfa", "bölge", "grup"]
 _NOUNS = "|".join(f"[{n[0]}{n[0].upper()}]{n[1:]}" for n in ORDINAL_NOUNS)
-MARKER = "(?:[-*+•·▪◦‣]|[0-9]{1,2}[.)]|[a-zçğıöşü]\\))[ ]+"
-PARAGRAPH = "\n[ ]*(?:\n[ ]*)+"
-NUMERIC = "[0-9]+(?:[.,/:-][0-9]+)*"
+#: What opens a list item: a bullet, a number, or a letter with a bracket.
+BULLETS = "-*+•‣◦▪·●○■"
+MARKER = f"(?:[{BULLETS}]|[0-9]{{1,3}}[.)]|\\p{{Ll}}\\)) +"
+#: Fixed value: at least one empty line between paragraphs.
+PARAGRAPH = "(?:\n *){2,}"
+#: Forms of tokens, put together from characters. A net address does not end in a closing sign.
+CLOSING = ".,;:!?)\\]}"
+NET = f"(?:https?://|www\\.)[^\\s<>\"']*[^\\s<>\"'{CLOSING}]"
+MAIL = "[\\p{L}0-9][\\p{L}0-9._+-]*@(?:[\\p{L}0-9-]+\\.)+[\\p{L}0-9]+"
+#: Groups of digits, and the signs that join them.
+AMOUNT = "(?:[0-9]+[.,:/-])*[0-9]+"
+DECIMAL = "(?:[0-9]+[.,])?[0-9]+"
+INITIALS = "\\p{Lu}\\.(?:\\p{Lu}\\.)+"
+WORD = "(?:\\p{L}+[-'])*\\p{L}+"
+#: A suffix after an apostrophe.
 SUFFIX = "(?:'\\p{L}+)?"
-TOKEN = "|".join([
-    "(?:https?://|www\\.)[^\\s<>\"']*[^\\s<>\"'.,;:!?)\\]]",
-    "[\\p{L}\\p{Nd}_.+-]+@[\\p{L}\\p{Nd}_-]+(?:\\.[\\p{L}\\p{Nd}_-]+)+",
-    "%\\s?[0-9]+(?:[.,][0-9]+)?" + SUFFIX,
-    "[0-9]+(?:[.,][0-9]+)?\\s?%",
-    NUMERIC + SUFFIX,
-    "(?:[A-ZÇĞİÖŞÜ]\\.){2,}" + SUFFIX,
-    "\\p{L}+(?:[-']\\p{L}+)*",
-    "\\s+",
-    "[^\\s]",
-])
+TOKEN = "|".join([NET, MAIL, f"% ?{DECIMAL}{SUFFIX}", f"{DECIMAL} ?%", AMOUNT + SUFFIX, INITIALS + SUFFIX, WORD, "\\s+", "\\S"])
 DATE = "^(?:[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})$"
 TIME = "^(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9]$"
 COUNTED = ("word", "number", "date", "time", "percent")
@@ -46,18 +48,25 @@ def with_normal_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("norm", normalize(F.coalesce(F.col(text), F.lit(""))))
 
 
+#: Comments, tags by their names, and links with what they show; a target may hold one pair of brackets.
+COMMENT = "(?s)<!--(.*?)-->"
+TAG_NAME = "[A-Za-z][-A-Za-z0-9]*"
+TAG = f"<(?:/{TAG_NAME}\\s*|{TAG_NAME}(?:\\s[^<>]*)?)/?>"
+LINK = "!?\\[([^\\[\\]]*)\\]\\([^\\s()]*(?:\\([^\\s()]*\\)[^\\s()]*)?\\)"
+
+
 def mask_markup(text: Column) -> Column:
-    """Comments, tags and the syntax of Markdown links become one space each."""
-    out = F.regexp_replace(text, "(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, "!?\\[([^\\]\n]*)\\]\\([^()\\s]*\\)", " $1 ")
-    return F.regexp_replace(out, "</?[A-Za-z][A-Za-z0-9-]*(?:\\s[^<>\n]*)?/?>", " ")
+    """Comments, tags and the syntax of links become one space each."""
+    for pattern, shown in ((COMMENT, " "), (LINK, " $1 "), (TAG, " ")):
+        text = F.regexp_replace(text, pattern, shown)
+    return text
 
 
 def suppressed_ids(paragraph: Column) -> Column:
     """Rule ids that a paragraph's comments switch off; ``*`` stands for all."""
-    comments = F.regexp_extract_all(paragraph, F.lit("(?is)<!--\\s*berrak\\s*:\\s*ignore(.*?)-->"), F.lit(1))
-    ids = F.flatten(F.transform(comments, lambda c: F.when(F.rlike(c, F.lit("(?i)KD-[CKBM][0-9]{2}")), F.transform(F.regexp_extract_all(c, F.lit("(?i)KD-[CKBM][0-9]{2}"), F.lit(0)), F.upper)).otherwise(F.array(F.lit("*")))))
-    return F.array_distinct(ids)
+    ours = F.filter(F.regexp_extract_all(paragraph, F.lit(COMMENT), F.lit(1)), lambda c: F.rlike(c, F.lit("(?i)^\\s*berrak\\s*:\\s*ignore")))
+    named = F.transform(ours, lambda c: F.regexp_extract_all(F.upper(c), F.lit("KD-[CKBM][0-9]{2}"), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(named, lambda ids: F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit("*"))))))
 
 
 SWITCHES = "struct<pending: array<string>, done: array<array<string>>>"
@@ -77,7 +86,7 @@ def switched_off(parts: Column) -> Column:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, para_idx, text and suppressed of every paragraph with a letter or digit."""
-    parts = with_normal_text(docs).select("doc_id", F.split("norm", PARAGRAPH).alias("parts"), F.rlike("norm", F.lit("(?i)<!--\\s*berrak")).alias("switched"))
+    parts = with_normal_text(docs).select("doc_id", F.split("norm", PARAGRAPH).alias("parts"), F.rlike("norm", F.lit("(?i)<!--\\s*berrak\\s*:")).alias("switched"))
     parts = parts.select("doc_id", "parts", F.when(F.col("switched"), switched_off(F.col("parts"))).alias("ids"))
     # Outer generators throughout: for the others Spark asks first whether the array is empty, and works it out twice.
     split = parts.select("doc_id", "ids", F.posexplode_outer("parts").alias("para_idx", "text")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from berrak.functions import numbers, turkish
-from berrak.operators import facts, morphology, readability, segment
+from berrak.operators import morphology, readability, segment
 from berrak.plans.queries import LEXICON
 
 
@@ -24,8 +24,19 @@ def _norm(text: str) -> str:
 
 def _mask(text: str) -> str:
     out = f"regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g')"
-    out = rf"regexp_replace({out}, '!?\[([^\]\n]*)\]\([^()\s]*\)', ' \1 ', 'g')"
-    return rf"regexp_replace({out}, '</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>\n]*)?/?>', ' ', 'g')"
+    out = rf"regexp_replace({out}, '[!]?\[([^\[\]]*)\]\((?:[^()\s]|\([^()\s]*\))*\)', ' \1 ', 'g')"
+    return rf"regexp_replace({out}, '<(?:/[A-Za-z][A-Za-z0-9-]*\s*|[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?)/?>', ' ', 'g')"
+
+
+#: What opens a list item, and the forms of tokens, as this side states them.
+_ITEM = r"(?:[*•‣◦▪·●○■+-]|[0-9][0-9]?[0-9]?[.)]|\p{Ll}[)])[ ]+"
+_DIGITS = "[0-9]+(?:[.,:/-][0-9]+)*"
+_ENDING = r"(?:'\p{L}+)?"
+_NET = r"""(?:https?://|www\.)[^\s<>"']*[^\s<>"'.,;:!?)\]}]"""
+_MAIL = r"[\p{L}0-9][\p{L}0-9._+-]*@(?:[\p{L}0-9-]+\.)+[\p{L}0-9]+"
+_TOKEN = "|".join([
+    _NET, _MAIL, rf"%[ ]?[0-9]+(?:[.,][0-9]+)?{_ENDING}", r"[0-9]+(?:[.,][0-9]+)?[ ]?%", _DIGITS + _ENDING, rf"(?:\p{{Lu}}\.){{2,}}{_ENDING}", r"\p{L}+(?:[-']\p{L}+)*", r"\s+", r"\S",
+])
 
 
 def _marked(text: str) -> str:
@@ -35,7 +46,7 @@ def _marked(text: str) -> str:
     nouns = "|".join(f"[{n[0]}{n[0].upper()}]{n[1:]}" for n in segment.ORDINAL_NOUNS)
     out = rf"regexp_replace({out}, '([0-9])\.(\s+(?:{nouns}))', '\1{stop}\2', 'g')"
     out = rf"""regexp_replace({out}, {_text('([.!?…]+["' + chr(39) + r')\]]*)(\s+)(["' + chr(39) + r'(\[]*[\p{Lu}0-9])')}, '\1{cut}\2\3', 'g')"""
-    return rf"regexp_replace({out}, '(\n[ ]*{segment.MARKER})', '{cut}\1', 'g')"
+    return rf"regexp_replace({out}, '(\n[ ]*{_ITEM})', '{cut}\1', 'g')"
 
 
 def _upper(text: str) -> str:
@@ -95,7 +106,7 @@ pieces AS (
   FROM (SELECT doc_id, para_idx, text, string_split({_marked("text")}, '{segment.CUT}') AS p FROM paragraphs)
 ), plain AS (
   SELECT doc_id, para_idx, many, CAST(sent_no AS INT) AS sent_no, regexp_replace(replace(piece, '{segment.STOP}', '.'), '^\s+|\s+$', '', 'g') AS text FROM pieces
-), kinds AS (SELECT *, regexp_matches(text, '^{segment.MARKER}') AS is_list_item FROM plain WHERE regexp_matches(text, '[\p{{L}}\p{{Nd}}]')),
+), kinds AS (SELECT *, regexp_matches(text, '^{_ITEM}') AS is_list_item FROM plain WHERE regexp_matches(text, '[\p{{L}}\p{{Nd}}]')),
 sents AS (
   SELECT doc_id, para_idx, sent_no, text, is_list_item,
     sent_no = 0 AND NOT many AND NOT is_list_item AND len(string_split_regex(text, '\s+')) <= 12 AND length(text) <= 100
@@ -104,7 +115,7 @@ sents AS (
 )"""
 
 TOKENS = rf"""{SENTENCES},
-found AS (SELECT doc_id, para_idx, sent_no, is_heading, is_list_item, [x FOR x IN regexp_extract_all(text, {_text(segment.TOKEN)}) IF NOT regexp_matches(x, '^\s')] AS t FROM sents),
+found AS (SELECT doc_id, para_idx, sent_no, is_heading, is_list_item, [x FOR x IN regexp_extract_all(text, {_text(_TOKEN)}) IF NOT regexp_matches(x, '^\s')] AS t FROM sents),
 loud AS (
   SELECT *, len([x FOR x IN t IF regexp_matches(x, '^\p{{L}}') AND {_upper("x")}]) >= greatest(3, CAST(floor(len([x FOR x IN t IF regexp_matches(x, '^\p{{L}}')]) * 0.6 + 0.5) AS INT)) AS shouting FROM found
 ), raw AS (SELECT doc_id, para_idx, sent_no, is_heading, is_list_item, shouting, CAST(generate_subscripts(t, 1) - 1 AS INT) AS tok_idx, unnest(t) AS token FROM loud),
@@ -155,22 +166,20 @@ _TERMS = [(k, w) for k, g in enumerate(LEXICON["es_anlamlilar"]) for w in g["gru
 
 
 def _facts(text: str) -> str:
-    """Facts of a text as a list, by nested replacements."""
+    """Facts of a text as a list: what can be one, told by its form."""
     low = f"lower(translate(coalesce({text}, ''), 'Iİ', 'ıi'))"
-    r1 = f"regexp_replace({low}, {_text(facts.URL)}, ' ', 'g')"
-    r2 = f"regexp_replace({r1}, {_text(facts.NUMERIC_DATE)}, ' ', 'g')"
-    r3 = f"regexp_replace({r2}, {_text(facts.WORDED_DATE)}, ' ', 'g')"
-    r4 = f"regexp_replace({r3}, {_text(facts.TIME)}, ' ', 'g')"
+    said = f"[0-9]{{1,2}} +(?:{'|'.join(turkish.MONTHS)})(?: +[0-9]{{4}})?"
     two = lambda x: f"lpad(CAST(CAST({x} AS INT) AS VARCHAR), 2, '0')"
-    part = lambda d, p, k: f"regexp_extract({d}, {_text(p)}, {k})"
-    urls = f"['adres:' || regexp_replace(u, '[.,;:)]+$', '') FOR u IN regexp_extract_all({low}, {_text(facts.URL)})]"
-    years = f"['yıl:' || {part('d', facts.NUMERIC_DATE, 3)} FOR d IN regexp_extract_all({r1}, {_text(facts.NUMERIC_DATE)})]"
-    dates = f"['tarih:' || {two(part('d', facts.NUMERIC_DATE, 2))} || '-' || {two(part('d', facts.NUMERIC_DATE, 1))} FOR d IN regexp_extract_all({r1}, {_text(facts.NUMERIC_DATE)})]"
-    wyears = f"['yıl:' || {part('d', facts.WORDED_DATE, 3)} FOR d IN regexp_extract_all({r2}, {_text(facts.WORDED_DATE)}) IF {part('d', facts.WORDED_DATE, 3)} <> '']"
-    words = f"['tarih:' || {two('list_position(' + _list(turkish.MONTHS) + ', ' + part('d', facts.WORDED_DATE, 2) + ')')} || '-' || {two(part('d', facts.WORDED_DATE, 1))} FOR d IN regexp_extract_all({r2}, {_text(facts.WORDED_DATE)})]"
-    times = f"['saat:' || {two(part('d', facts.TIME, 1))} || '.' || {part('d', facts.TIME, 2)} FOR d IN regexp_extract_all({r3}, {_text(facts.TIME)})]"
-    nums = f"[CASE WHEN regexp_matches(d, '^(?:19[0-9]{{2}}|20[0-9]{{2}}|2100)$') THEN 'yıl:' || d ELSE 'sayı:' || replace(replace(d, '.', ''), ',', '.') END FOR d IN regexp_extract_all({r4}, {_text(facts.NUMBER)})]"
-    return f"list_sort(list_distinct({urls} || {years} || {dates} || {wyears} || {words} || {times} || {nums}))"
+    w = "string_split_regex(d, ' +')"
+    p = "string_split_regex(d, '[./-]')"
+    number = "CASE WHEN regexp_matches(n, '^(?:19[0-9]{2}|20[0-9]{2}|2100)$') THEN 'yıl:' || n ELSE 'sayı:' || replace(replace(n, '.', ''), ',', '.') END"
+    c = "string_split_regex(c, '[.:]')"
+    clock = f"CASE WHEN regexp_matches(c, '^[0-9]{{1,2}}[.:][0-9]{{2}}$') THEN ['saat:' || {two(c + '[1]')} || '.' || {c}[2]] ELSE [{number} FOR n IN string_split(c, ':')] END"
+    one = f"""CASE WHEN contains(d, '@') OR NOT regexp_matches(d, '^[0-9]') THEN ['adres:' || regexp_replace(d, '[.,;:)]+$', '')]
+      WHEN contains(d, ' ') THEN CASE WHEN len({w}) > 2 THEN ['yıl:' || {w}[3]] ELSE [] END || ['tarih:' || {two(f"list_position({_list(turkish.MONTHS)}, {w}[2])")} || '-' || {two(w + "[1]")}]
+      WHEN regexp_matches(d, '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$') THEN ['yıl:' || {p}[3], 'tarih:' || {two(p + "[2]")} || '-' || {two(p + "[1]")}]
+      ELSE flatten([{clock} FOR c IN string_split_regex(d, '[-/]')]) END"""
+    return f"list_sort(list_distinct(flatten([{one} FOR d IN regexp_extract_all({low}, {_text('|'.join([_NET, _MAIL, said, _DIGITS]))})])))"
 
 
 _VALUE = "[substr(y, instr(y, ':') + 1) FOR y IN {}]"

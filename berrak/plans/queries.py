@@ -153,8 +153,8 @@ def punctuated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = facts_.facts(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n_facts"), F.md5(F.array_join(found, ";")).alias("facts_md5"))
+    found = _docs(spark, sf_dir).select("doc_id", facts_.facts(F.col("text")).alias("found"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_facts"), F.md5(F.array_join("found", ";")).alias("facts_md5"))
 
 
 def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
