@@ -43,7 +43,14 @@ VERBAL_NOUNS = (*("mA" + "sI" + c for c in ("", "nA", "nI", "nIn", "ndA", "ndAn"
 #: The negation of a verb and what follows it; the general tense and "never" are one.
 AFTER_NOT = f"(?:{ending(WITH_SHORT_PERSONS.values())}{ending(SHORT_PERSONS)}?|{ending(['yAcAK', 'mIş', 'mAlI'])}(?:{ending([*PERSONS, 'DIr'])})?|{ending(['sIn', 'sInlAr', 'yIn', 'yInIz', 'yAlIm', 'z', 'zlAr', 'zsInIz', 'zsA', 'yAbIlIr'])})"
 NEGATIVE = f"(?:m[ae]{AFTER_NOT}|m[ıiuü]yor(?:{ending([*PERSONS, 'DI'])})?)"
-AFTER_PASSIVE = f"(?:{FINITE}|{NEGATIVE}|{PARTICIPLES}|{ending([*VERBAL_NOUNS, *CONVERBS, 'YAn', 'YAnlAr', 'mA', 'DIk', 'YAbIlIr', 'YAbIlIyor', 'YAbIlAcAK', 'mAyAn', 'mAmAsI'])})"
+#: A passive stem is never of one syllable, so that its general tense is -Ir; -Ar after it is a plural's.
+PASSIVE_TENSES = f"(?:{ending(v for k, v in WITH_PERSONS.items() if k != 'general after some')}(?:{ending(PERSONS)}|{ending(WITH_SHORT_PERSONS.values())}{ending(SHORT_PERSONS)}?|{ending(['DIr'])})?|{ending(WITH_SHORT_PERSONS.values())}{ending(SHORT_PERSONS)}?)"
+AFTER_PASSIVE = f"(?:{PASSIVE_TENSES}|{NEGATIVE}|{PARTICIPLES}|{ending([*VERBAL_NOUNS, *CONVERBS, 'YAn', 'YAnlAr', 'mA', 'DIk', 'YAbIlIr', 'YAbIlIyor', 'YAbIlAcAK', 'mAyAn', 'mAmAsI'])})"
+#: The condition with its persons, and tenses without a person that nouns end in as well.
+CONDITION = f"{ending(['sA'])}{ending(SHORT_PERSONS)}?$"
+BARE = f"^.{{2,}}{ending(['Ar', 'Ir'])}$"
+#: Verbs in -t whose t softens before a vowel; of our own choosing. Other stems in -d there are none.
+SOFTENING = ["et", "git", "güt", "tat", "affet", "bahset", "devret", "emret", "fethet", "hallet", "hapset", "hisset", "kaydet", "keşfet", "naklet", "reddet", "sabret", "sarfet", "seyret", "şükret", "zannet"]
 #: Negations that stand within a clause and leave it to a later word to tell.
 INNER_NEGATIVE = ("mAmAk", "mAmAktA", "mAmAsI", "mAmAnIz", "mAyAn", "mAyAnlAr", "mAdIğI", "mAdIklArI", "mAyAcAğI")
 #: Words of our own choosing that only look like what an ending tells.
@@ -56,13 +63,14 @@ NOT_PARTICIPLE = [
     "insan", "zaman", "orman", "liman", "roman", "duman", "uzman", "düşman", "plan", "ilan", "yılan", "aslan", "vatan", "divan", "tavan", "kurban", "meydan", "kaptan", "başkan", "bakan", "vatandaş", "hemen", "zaten", "bazen", "aynen",
     "neden", "tamamen", "kısmen", "esasen", "kesinlikle", "rağmen", "öğretmen", "yönetmen", "eleman", "derman", "ferman", "harman", "keman", "kalan", "nisan", "ramazan", "bayan", "ekran", "oran", "kanun", "alan", "sultan", "iman", "yaman", "saman", "süleyman", "osman", "beden", "maden", "desen", "erken", "iken", "sen", "ben", "ten", "gün", "yen",
 ]
-NOT_FINITE = ["insan", "bir", "her", "kadar", "yer", "karar", "zarar", "pazar", "tekrar", "hazır", "demir", "nehir", "şehir", "özür", "ömür", "kömür", "müdür", "satır", "bakır", "sınır", "sabır", "çadır", "diğer", "değer", "eğer", "haber", "beraber", "kader", "defter", "şeker", "asker", "kamer", "mermer", "rehber", "duvar", "pınar", "çınar", "bahar", "damar", "ihtar", "miktar", "dolar", "sonra", "masa", "kasa", "yasa", "kısa", "oysa", "yoksa", "mesela", "kendi", "şimdi", "hadi", "haydi", "ordu", "kutu", "adı", "katı", "batı", "altı", "yedi", "dır", "dir"]
+NOT_FINITE = ["yiyecek", "içecek", "giyecek", "yakacak", "açacak", "insan", "bir", "her", "kadar", "yer", "karar", "zarar", "pazar", "tekrar", "hazır", "demir", "nehir", "şehir", "özür", "ömür", "kömür", "müdür", "satır", "bakır", "sınır", "sabır", "çadır", "diğer", "değer", "eğer", "haber", "beraber", "kader", "defter", "şeker", "asker", "kamer", "mermer", "rehber", "duvar", "pınar", "çınar", "bahar", "damar", "ihtar", "miktar", "dolar", "sonra", "masa", "kasa", "yasa", "kısa", "oysa", "yoksa", "mesela", "kendi", "şimdi", "hadi", "haydi", "ordu", "kutu", "adı", "katı", "batı", "altı", "yedi", "dır", "dir"]
 PREDICATES = ["değil", "var", "yok", "gerek", "lazım", "yasak", "mümkün", "zorunlu", "şart"]
 REFLEXIVE = ["giyin", "yıkan", "taran", "hazırlan", "süslen", "soyun", "kurulan", "tanın"]
 FLAGS = {
     "finite_form": f"^.*{FINITE}$|^.{{2,}}[^dt]{SOUNDS['D']}{SOUNDS['I']}r$|^(?:{'|'.join(PREDICATES)})(?:[dt]{SOUNDS['I']}r?)?$",
     "order": f"^.{{2,}}{ending(ORDERS)}$",
-    "passive": f"^.{{2,}}(?:{SOUNDS['I']}[ln]|[aeo]n){AFTER_PASSIVE}$",
+    # not the l of "be able to"
+    "passive": f"^.+(?:[^b]{SOUNDS['I']}l|[^ae]b{SOUNDS['I']}l|.{SOUNDS['I']}n|.[aeo]n){AFTER_PASSIVE}$",
     "negative": f"^değil|^.{{2,}}{NEGATIVE}$",
     "inner_negative": f"^.{{2,}}{ending(INNER_NEGATIVE)}$|^.{{3,}}s{SOUNDS['I']}z$",
     "converb": f"^.{{1,}}{ending(CONVERBS)}$",
@@ -92,6 +100,21 @@ def analysis(low: Column) -> Column:
     return F.struct(*[F.coalesce(known & flag(base, name), F.lit(False)).alias(name) for name in FLAGS], F.coalesce(known & F.rlike(base, F.lit(f"^(?:{'|'.join(REFLEXIVE)})")), F.lit(False)).alias("reflexive"))
 
 
+def formal_order(low: Column) -> Column:
+    """Whether a word is a bare stem with -(y)InIz.
+
+    Not so: the person -sInIz of a tense (unless after a stem of one syllable that ends in s), the past -DInIz,
+    and possessives of plurals and of softened stems.
+    """
+    you = "(?:ını|ini|unu|ünü)z$"
+    soft = "|".join(x[:-1] + "d" for x in SOFTENING)
+    vowels = "aeıioöuü"
+    short = F.rlike(low, F.lit(f"^[^{vowels}]*[{vowels}]s{you}"))
+    person = F.rlike(low, F.lit(f"s{you}")) & ~short
+    past = F.rlike(low, F.lit(f"(?:d|[fstkçşhp]t){you}")) & ~F.rlike(low, F.lit(f"^(?:{soft}){you}"))
+    return F.rlike(low, F.lit(f"^.{{2,}}{you}")) & ~person & ~past & ~F.rlike(low, F.lit(f"(?:l[ae]r|ğ){you}"))
+
+
 def stem(word: Column, times: int = 5) -> tuple[Column, Column]:
     """The word without its inflections (at least three characters with a vowel stay), and how many there were."""
     base = F.replace(fold_circumflex(turkish_lower(word)), F.lit("'"), F.lit(""))

@@ -181,6 +181,9 @@ STARTER: dict[str, list[Any]] = {
     "dolayli_hitap": [
         {"desen": "(?:(?:ilgililere|kamuoyuna|halkımıza)\\s+)?(?:(?:saygıyla|önemle)\\s+)?duyurulur", "ad": "duyuru"}, {"desen": "(?:(?:önemle|saygıyla)\\s+)?(?:rica|arz|talep)\\s+olun(?:ur|maktadır)", "ad": "rica"},
         {"desen": "gerekmektedir", "ad": "gereklilik"}, {"desen": "vatandaşlarımızın\\s+bilgisine", "ad": "bilgi"}, {"desen": "tarafınız(?:ca|dan|a)", "ad": "taraf"}, {"desen": "ilgililerin\\s+dikkatine", "ad": "dikkat"},
+        {"desen": "(?:zorunludur|mecburidir|yükümlüdür(?:ler)?|zorundadır(?:lar)?)", "ad": "zorunluluk"}, {"desen": "zorunluluğu\\s+(?:vardır|bulunmaktadır)", "ad": "zorunluluk"},
+        {"desen": "(?:başvuru|hak)\\s+sahip(?:leri|lerinin|lerine)", "ad": "sahip"}, {"desen": "başvuru\\s+sahibi(?:nin|ne)?", "ad": "sahip"},
+        {"desen": "(?:vatandaşlarımız|müşterilerimiz|yolcularımız|üyelerimiz|öğrencilerimiz)(?:in|ın)?(?![\\p{L}])", "ad": "seslenilenler"},
     ],
     "sik_kelimeler": [],
     "bilinen": [],
