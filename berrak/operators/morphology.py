@@ -63,7 +63,7 @@ NOT_PARTICIPLE = [
     "insan", "zaman", "orman", "liman", "roman", "duman", "uzman", "düşman", "plan", "ilan", "yılan", "aslan", "vatan", "divan", "tavan", "kurban", "meydan", "kaptan", "başkan", "bakan", "vatandaş", "hemen", "zaten", "bazen", "aynen",
     "neden", "tamamen", "kısmen", "esasen", "kesinlikle", "rağmen", "öğretmen", "yönetmen", "eleman", "derman", "ferman", "harman", "keman", "kalan", "nisan", "ramazan", "bayan", "ekran", "oran", "kanun", "alan", "sultan", "iman", "yaman", "saman", "süleyman", "osman", "beden", "maden", "desen", "erken", "iken", "sen", "ben", "ten", "gün", "yen",
 ]
-NOT_FINITE = ["yiyecek", "içecek", "giyecek", "yakacak", "açacak", "insan", "bir", "her", "kadar", "yer", "karar", "zarar", "pazar", "tekrar", "hazır", "demir", "nehir", "şehir", "özür", "ömür", "kömür", "müdür", "satır", "bakır", "sınır", "sabır", "çadır", "diğer", "değer", "eğer", "haber", "beraber", "kader", "defter", "şeker", "asker", "kamer", "mermer", "rehber", "duvar", "pınar", "çınar", "bahar", "damar", "ihtar", "miktar", "dolar", "sonra", "masa", "kasa", "yasa", "kısa", "oysa", "yoksa", "mesela", "kendi", "şimdi", "hadi", "haydi", "ordu", "kutu", "adı", "katı", "batı", "altı", "yedi", "dır", "dir"]
+NOT_FINITE = ["yiyecek", "içecek", "giyecek", "yakacak", "insan", "bir", "her", "kadar", "yer", "karar", "zarar", "pazar", "tekrar", "hazır", "demir", "nehir", "şehir", "özür", "ömür", "kömür", "müdür", "satır", "bakır", "sınır", "sabır", "çadır", "diğer", "değer", "eğer", "haber", "beraber", "kader", "defter", "şeker", "asker", "kamer", "mermer", "rehber", "duvar", "pınar", "çınar", "bahar", "damar", "ihtar", "miktar", "dolar", "sonra", "masa", "kasa", "yasa", "kısa", "oysa", "yoksa", "mesela", "kendi", "şimdi", "hadi", "haydi", "ordu", "kutu", "adı", "katı", "batı", "altı", "yedi", "dır", "dir"]
 PREDICATES = ["değil", "var", "yok", "gerek", "lazım", "yasak", "mümkün", "zorunlu", "şart"]
 REFLEXIVE = ["giyin", "yıkan", "taran", "hazırlan", "süslen", "soyun", "kurulan", "tanın"]
 FLAGS = {
