@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berrak.llm.tables import packed_schema, quoted
 from berrak.llm.textvec import SPACE, U, chunks, span_hashes, windows, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -135,9 +136,9 @@ def compression_bands(docs: DataFrame, text: str = "text", keep: list[str] | Non
     """
     results = [x.split()[0] for x in OUT.split(", ")]
     names = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    source = docs.select(*names, *([] if text in names else [text]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema), OUT])
-    return source.mapInArrow(lambda batches: measure(batches, text, names, bands), schema)
+    source = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("doc"), F.col(quoted(text)).alias("text"))
+    judged = source.mapInArrow(lambda batches: measure(batches, "text", ["doc"], bands), packed_schema(source, OUT))
+    return judged.select(*[F.col(f"doc.{quoted(c)}").alias(c) for c in names], *results)
 
 
 def quality_stage(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:

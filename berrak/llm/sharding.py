@@ -18,6 +18,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from berrak.llm.tables import quoted
+
 SLOTS = 65_537
 MOST_SLOTS = 1 << 20
 SHARDS = {f"shard-{k:03d}": 1 for k in range(64)}
@@ -70,11 +72,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: Mapping[str, int] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Every row with its ``slot`` and ``shard``; columns of these names are replaced.
+    """Every row with its ``slot`` and ``shard``; columns of these names are replaced, but for a key of such a name,
+    which stays as ``slot_key`` or ``shard_key``.
 
     Rows of one key go to one shard; rows and their order within partitions stay as they are.
     """
     table = lookup(docs.sparkSession, shards, slots)
     rest = docs.drop("slot", "shard") if key not in ("slot", "shard") else docs.withColumnRenamed(key, f"{key}_key").drop("slot", "shard")
     key = key if key in rest.columns else f"{key}_key"
-    return rest.withColumn("slot", slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), "slot").select(*rest.columns, "slot", "shard")
+    return rest.withColumn("slot", slot_of(F.col(quoted(key)), slots)).join(F.broadcast(table), "slot").select(*map(quoted, rest.columns), "slot", "shard")

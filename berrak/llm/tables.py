@@ -7,7 +7,12 @@ from pyspark.sql.types import StructType
 
 from berrak.sources.storage import shared_dir, table, written
 
-__all__ = ["packed_schema", "shared_dir", "table", "written"]
+__all__ = ["packed_schema", "quoted", "shared_dir", "table", "written"]
+
+
+def quoted(name: str) -> str:
+    """A column's name so that dots and spaces in it are its own."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def packed_schema(source: DataFrame, more: str) -> StructType:

@@ -7,7 +7,7 @@ the sentence probabilities then locate what offends. A word's weight is the sum
 its prefixes, of those that the labels single out.
 
 Fitting uses at most ``max_train_docs`` labelled rows, taken in the order of a hash; their words
-are counted by Spark, at most ``vocabulary`` of them are kept, and the sentences reduced to these
+are counted by Spark, those that pass the tests are kept, and the sentences reduced to these
 are small enough for the driver. Scoring is one pass over all texts without a shuffle.
 """
 
@@ -31,7 +31,6 @@ FOLD = bytes(0x0A if chr(b) in ".!?\n" else b if b >= 0x80 or chr(b).isalnum() a
 @dataclass(frozen=True)
 class Settings:
     max_train_docs: int = 20_000
-    vocabulary: int = 2_000
     least_docs: int = 4
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     steps: int = 400
@@ -98,7 +97,7 @@ def _counts(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 
 def _bags(batches: Iterator[pa.RecordBatch], table: np.ndarray, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Each document's occurrences of features of a table: their sentences and their places in the table."""
+    """Each document's features of a table: sentence, place in the table and how often, once for each sentence and feature."""
     for batch in batches:
         for row, until, data, offsets in chunks(batch.column("text")):
             folded = FOLDED[data]
@@ -106,24 +105,26 @@ def _bags(batches: Iterator[pa.RecordBatch], table: np.ndarray, s: Settings) ->
             parts = [(k, places(table, h)) for k, h in features(folded, start, end, s.prefixes)]
             word, at = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
             word, at = word[at >= 0], at[at >= 0]
-            order = np.argsort(word, kind="stable")
-            word, at = word[order], at[order]
-            edges = np.concatenate([[0], np.cumsum(np.bincount(text[word], minlength=until - row))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (_sentence(folded, start)[word], at)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, until - row), *lists], names=["toxic", "sentence", "feature"])
+            keys = np.stack([text[word], _sentence(folded, start)[word], at])
+            keys, times = np.unique(keys, axis=1, return_counts=True)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(keys[0], minlength=until - row))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (keys[1], keys[2], times)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, until - row), *lists], names=["toxic", "sentence", "feature", "times"])
 
 
-def fit(toxic: np.ndarray, sentence_doc: np.ndarray, word_sentence: np.ndarray, word: np.ndarray, start: np.ndarray, s: Settings) -> tuple[np.ndarray, float, float]:
+def fit(toxic: np.ndarray, sentence_doc: np.ndarray, word_sentence: np.ndarray, word: np.ndarray, start: np.ndarray, s: Settings, times: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
     """Weights, bias and leak of the noisy-or model by gradient descent with Adam.
 
-    ``sentence_doc``: the document of every sentence; ``word_sentence`` and ``word``: sentence and number of every feature.
+    ``sentence_doc``: the document of every sentence; ``word_sentence`` and ``word``: sentence and number of every feature,
+    which counts ``times``, or once.
     """
+    times = np.ones(len(word)) if times is None else times.astype(float)
     n, v, m = len(toxic), len(start), len(sentence_doc)
     theta = np.concatenate([start, [-2.0, -3.5]])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, s.steps + 1):
         w, bias, a = theta[:v], theta[v], theta[v + 1]
-        z = bias + np.bincount(word_sentence, w[word], m)
+        z = bias + np.bincount(word_sentence, w[word] * times, m)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(sentence_doc, np.logaddexp(0, z), n)
         leak = 1 / (1 + np.exp(-a))
@@ -131,7 +132,7 @@ def fit(toxic: np.ndarray, sentence_doc: np.ndarray, word_sentence: np.ndarray,
         d_total = np.where(toxic == 1, -stay / np.maximum(1 - stay, 1e-9), 1.0)
         d_leak = np.where(toxic == 1, -stay / (1 - leak) / np.maximum(1 - stay, 1e-9), 1 / (1 - leak)).sum() * leak * (1 - leak)
         d_z = d_total[sentence_doc] * p
-        grad = np.concatenate([np.bincount(word, d_z[word_sentence], v), [d_z.sum(), d_leak]])
+        grad = np.concatenate([np.bincount(word, d_z[word_sentence] * times, v), [d_z.sum(), d_leak]])
         grad[:v] += s.ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         theta = theta - s.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -142,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     """The model from rows of ``labels`` (doc_id, toxic) and the texts they are about.
 
     Rows with a null id, or a label that is neither 0 nor 1, are left out; of several labels the
-    larger holds; a repeated document counts each time. Null and empty texts have no features.
+    larger holds; a repeated document counts each time. Null and empty texts have no features. All features that pass the
+    tests of documents and odds are kept: the labelled sample bounds them.
     Without labels of both kinds nothing is toxic.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -153,17 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         return Model({}, -30.0, 0.0, s.prefixes)
     counts = rows.mapInArrow(lambda x: _counts(x, s), "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / n_toxic) - F.log((F.col("clean") + 0.5) / n_clean)
-    chosen = counts.where(F.col("toxic") >= s.least_docs).withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "feature").limit(s.vocabulary).toPandas()
+    chosen = counts.where(F.col("toxic") >= s.least_docs).withColumn("odds", odds).where("odds > 1").toPandas()
     if not len(chosen):
         return Model({}, -30.0, n_toxic / (n_clean + n_toxic), s.prefixes)
     table, order = np.unique(chosen["feature"].to_numpy(np.int64).view(U), return_index=True)
-    found = rows.mapInArrow(lambda x: _bags(x, table, s), "toxic int, sentence array<int>, feature array<int>").toPandas()
+    found = rows.mapInArrow(lambda x: _bags(x, table, s), "toxic int, sentence array<int>, feature array<int>, times array<int>").toPandas()
     sizes = found["feature"].map(len).to_numpy(np.int64)
-    sentence, word = (np.concatenate([np.asarray(x, np.int64) for x in found[c]]) for c in ("sentence", "feature"))
+    sentence, word, times = (np.concatenate([np.asarray(x, np.int64) for x in found[c]]) for c in ("sentence", "feature", "times"))
     doc = np.repeat(np.arange(len(found)), sizes)
     first = np.ones(len(doc), bool)
     first[1:] = (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])
-    weights, bias, leak = fit(found["toxic"].to_numpy(), doc[first], np.cumsum(first) - 1, word, 0.3 * chosen["odds"].to_numpy(float)[order], s)
+    weights, bias, leak = fit(found["toxic"].to_numpy(), doc[first], np.cumsum(first) - 1, word, 0.3 * chosen["odds"].to_numpy(float)[order], s, times)
     return Model(dict(zip(table.tolist(), weights.tolist(), strict=True)), bias, leak, s.prefixes)
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berrak.llm.tables import quoted
+
 #: Elements that hold no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = "p|br|div|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|title|body|html|blockquote|pre|hr|dt|dd"
@@ -92,8 +94,8 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     or a name of a response's own column, is called ``source_`` and its name.
     """
     kept = {c: f"source_{c}" if c in NAMES else c for c in keep}
-    source = source.select(*[F.col(c).alias(name) for c, name in kept.items()], *RESPONSE)
-    keep = tuple(kept.values())
+    source = source.select(*[F.col(quoted(c)).alias(name) for c, name in kept.items()], *RESPONSE)
+    keep = tuple(map(quoted, kept.values()))
     based = source.withColumns({"text": plain_text(F.col("payload")), "payload_digest": sha256(F.col("payload"))})
     fields = F.concat(
         F.lit("via: "), F.coalesce(F.regexp_replace("target_uri", "[\\r\\n]+", " "), F.lit("")), F.lit("\r\nsource-record: "), F.col("record_id"),
