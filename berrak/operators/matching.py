@@ -56,36 +56,44 @@ MOST_AFTER_VERB = 12
 
 
 def matches(sents: DataFrame, entries: DataFrame) -> DataFrame:
-    """list, phrase, suggestion, first and last token of each match in sentences with ``toks``, the longest from the left by list.
+    """list, phrase, suggestion, said (the text as it stands), start, first and last token of each match in sentences with ``toks``, the longest from the left by list.
 
     A phrase's words must follow one another without punctuation between them. Exempt entries
     take part and win, but are left out of the result. Words meet phrases by their first three
-    letters; only what matches is shuffled.
+    letters; of a lexicon small enough to be broadcast, only words with such a beginning become rows, and only what matches is shuffled.
     """
     key = ["doc_id", "para_idx", "sent_no"]
     keys = F.transform("toks", lambda x: F.when(x["kind"] == "word", fold_circumflex(x["low"])).otherwise(x["low"]))
-    starts = sents.select(*key, keys.alias("keys")).select(*key, "keys", F.posexplode_outer("keys").alias("at", "first")).withColumn("block", F.substring("first", 1, 3))
     entries = entries.withColumn("block", F.substring(F.col("words")[0], 1, 3))
-    small = entries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    blocks = [r.block for r in entries.limit(MOST_BROADCAST + 1).select("block").collect()]
+    small, beginnings = len(blocks) <= MOST_BROADCAST, sorted(set(blocks))
+    begun = F.transform("keys", lambda k, i: F.struct(i.alias("at"), F.substring(k, 1, 3).alias("block")))
+    if small:
+        begun = F.filter(begun, lambda x: x["block"].isin(*beginnings))
+    rows = sents.select(*key, "pieces", F.transform("toks", lambda x: x["k"]).alias("ks"), keys.alias("keys"))
+    starts = rows.select(*key, "pieces", "ks", "keys", F.explode_outer(begun).alias("b")).where("b is not null").select(*key, "pieces", "ks", "keys", "b.at", "b.block")
     n = F.size("words")
     last = F.get(F.col("keys"), F.col("at") + n - 1)
     rest = F.substr(last, F.length("root") + 1)
     bent = (F.startswith(last, F.col("root")) | F.startswith(last, F.col("soft"))) & F.when(F.col("verb"), F.length(rest) <= MOST_AFTER_VERB).otherwise(F.rlike(rest, F.lit(NOUN_ENDINGS)))
     same = (F.slice("keys", F.col("at") + 1, n - 1) == F.slice("words", F.lit(1), n - 1)) & ((last == F.element_at("words", -1)) | F.coalesce(bent, F.lit(False)))
     met = starts.join(F.broadcast(entries) if small else entries, "block").where((F.size("keys") >= F.col("at") + n) & same)
-    one = F.struct("at", (-n).alias("longer"), (F.col("at") + n).alias("end"), "phrase", "suggestion", "exempt")
+    first_piece, last_piece = (F.get(F.col("ks"), x) for x in (F.col("at"), F.col("at") + n - 1))
+    said = F.array_join(F.slice("pieces", first_piece + 1, last_piece - first_piece + 1), "")
+    begin = F.aggregate(F.slice("pieces", F.lit(1), first_piece), F.lit(0), lambda a, x: a + F.length(x))
+    one = F.struct("at", (-n).alias("longer"), (F.col("at") + n).alias("end"), "phrase", "suggestion", "exempt", said.alias("said"), begin.alias("start"))
     lists = met.groupBy(*key, "list").agg(F.array_sort(F.collect_list(one)).alias("found"))
     kind = lists.schema["found"].dataType.simpleString()
     start = F.struct(F.lit(0).alias("free"), F.array().cast(kind).alias("taken"))
     step = lambda a, x: F.when(x["at"] >= a["free"], F.struct(x["end"].alias("free"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a)
     chosen = lists.select(*key, "list", F.explode(F.aggregate("found", start, step, lambda a: a["taken"])).alias("m"))
-    return chosen.where(~F.col("m.exempt")).select(*key, "list", "m.phrase", "m.suggestion", F.col("m.at").alias("first_tok"), (F.col("m.end") - 1).alias("last_tok"))
+    return chosen.where(~F.col("m.exempt")).select(*key, "list", "m.phrase", "m.suggestion", "m.said", "m.start", F.col("m.at").alias("first_tok"), (F.col("m.end") - 1).alias("last_tok"))
 
 
 def term_consistency(matched: DataFrame) -> DataFrame:
     """Occurrences of synonyms (group, term) other than the most frequent of their group in a document
     that uses two or more of the group; of equally frequent ones the earliest counts."""
-    used = matched.where(F.startswith("list", F.lit("es:"))).select("doc_id", "para_idx", "sent_no", F.col("first_tok").alias("tok_idx"), "last_tok", F.substring_index("list", ":", -1).cast("int").alias("group"), F.col("phrase").alias("term"))
+    used = matched.where(F.startswith("list", F.lit("es:"))).select("doc_id", "para_idx", "sent_no", F.col("first_tok").alias("tok_idx"), "last_tok", F.substring_index("list", ":", -1).cast("int").alias("group"), F.col("phrase").alias("term"), "said", "start")
     by = used.groupBy("doc_id", "group", "term").agg(F.count("*").alias("n"), F.min(F.struct("para_idx", "sent_no", "tok_idx")).alias("seen"))
     best = by.groupBy("doc_id", "group").agg(F.min_by("term", F.struct(-F.col("n"), F.col("seen"))).alias("dominant"), F.count("*").alias("members")).where("members > 1")
-    return used.join(best, ["doc_id", "group"]).where("term <> dominant").select("doc_id", "para_idx", "sent_no", "tok_idx", "last_tok", "group", "term", "dominant")
+    return used.join(best, ["doc_id", "group"]).where("term <> dominant").select("doc_id", "para_idx", "sent_no", "tok_idx", "last_tok", "group", "term", "dominant", "said", "start")

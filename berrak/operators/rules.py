@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
-from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_capitalize, turkish_lower
-from berrak.operators import matching, morphology
-from berrak.operators.segment import WORD_LIKE, _placed, sentences, with_tokens
+from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, normalize, quote, turkish_capitalize, turkish_lower
+from berrak.operators import matching, morphology, names
+from berrak.operators.segment import CLOSE, OPEN, WORD_LIKE, _placed, mask_markup, sentences, with_tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
 
@@ -152,10 +152,6 @@ def flagged(name: str) -> Callable[[Column], Column]:
     return lambda x: (x["kind"] == "word") & x["m"][name]
 
 
-#: Characters of the private use area around a match.
-OPEN, CLOSE = "\ue002", "\ue003"
-
-
 def placed_matches(text: Column, pattern: str) -> Column:
     """Every match of a pattern as at and piece, empty ones left out.
 
@@ -208,7 +204,7 @@ def many_clauses(t: Tables) -> Column:
 
 @rule("KD-C03", "Edilgen çatı", "cümle")
 def passive(t: Tables) -> Column:
-    return F.when(BODY(), each(F.col(TOKS), lambda x, i: flagged("passive")(x), lambda x, i: hit(x["token"], F.concat(quote(x["token"]), F.lit(" edilgen.")), tok=i, confidence=0.6, severity=F.when(x["m"]["reflexive"], "bilgi"))))
+    return F.when(BODY(), each(F.col(TOKS), lambda x, i: flagged("passive")(x) & ~_named_word(x), lambda x, i: hit(x["token"], F.concat(quote(x["token"]), F.lit(" edilgen.")), tok=i, confidence=0.6, severity=F.when(x["m"]["reflexive"], "bilgi"))))
 
 
 def _negative(x: Column) -> Column:
@@ -313,8 +309,8 @@ def indirect_address(t: Tables) -> Column:
 
 
 def _phrases(t: Tables, section: str, message: str) -> DataFrame:
-    rows = t.matched.where(F.col("list") == section).withColumn("tok_idx", F.col("first_tok"))
-    return finding(rows, F.col("phrase"), F.concat(quote(F.col("phrase")), F.lit(message)), suggestion=F.col("suggestion"))
+    rows = t.matched.where(F.col("list") == section)
+    return finding(rows, F.col("said"), F.concat(quote(F.col("phrase")), F.lit(message)), start=F.col("start"), suggestion=F.col("suggestion"))
 
 
 @rule("KD-K01", "Resmî dil", "kelime", plan=True)
@@ -351,8 +347,13 @@ def abbreviation(t: Tables) -> DataFrame:
 
 
 def _plain_word(x: Column, i: Column) -> Column:
-    """A word that is neither an abbreviation nor, by a capital within the sentence, a name."""
-    return (x["kind"] == "word") & ~x["is_abbreviation"] & ((i == 0) | ~F.rlike(x["token"], F.lit("^\\p{Lu}")))
+    """A word that is neither an abbreviation nor, by a capital within the sentence or by its document, a name."""
+    return (x["kind"] == "word") & ~x["is_abbreviation"] & ((i == 0) | ~F.rlike(x["token"], F.lit("^\\p{Lu}"))) & ~_named_word(x)
+
+
+def _named_word(x: Column) -> Column:
+    """A word with a capital whose form the document uses as a name."""
+    return F.rlike(x["token"], F.lit("^\\p{Lu}")) & names.is_name(F.col("names"), x["low"])
 
 
 @rule("KD-K04", "Uzun kelime", "kelime")
@@ -396,7 +397,7 @@ def vague(t: Tables) -> DataFrame:
 @rule("KD-K08", "Terim tutarlılığı", "kelime", plan=True)
 def terms(t: Tables) -> DataFrame:
     found = matching.term_consistency(t.matched.join(t.body.select(*SENT), SENT, "left_semi"))
-    return finding(found, F.col("term"), F.concat(F.lit("Aynı şey için "), quote(F.col("dominant")), F.lit(" deyin.")), suggestion=F.col("dominant"))
+    return finding(found.drop("tok_idx"), F.col("said"), F.concat(F.lit("Aynı şey için "), quote(F.col("dominant")), F.lit(" deyin.")), start=F.col("start"), suggestion=F.col("dominant"))
 
 
 # numbers and form
@@ -651,7 +652,8 @@ def tables(docs: DataFrame, profile: Profile, lexicon: Mapping[str, Any], only:
     """The shared tables: sentences with their tokens, written to the shared folder once as several plans read
     them, and phrase matches, written where all rules are asked for. Words are analysed if a rule (of ``only``, if given) asks for it."""
     asked = [r for r in ANALYSED if profile.config(r).enabled and (only is None or r in only)]
-    sents = written(with_tokens(sentences(docs), analyse=bool(asked)), "sentences")
+    named = docs.withColumn("names", names.proper_forms(mask_markup(normalize(F.col("text"))), [*lexicon.get("sik_kelimeler", ()), *lexicon.get("bilinen", ())]))
+    sents = written(with_tokens(sentences(named, ("names",)), analyse=bool(asked)), "sentences")
     matched = matching.matches(sents, matching.lexicon_entries(docs.sparkSession, lexicon))
     return Tables(sents, written(matched, "matches") if only is None else matched, lexicon, profile)
 

@@ -52,14 +52,25 @@ def with_normal_text(docs: DataFrame, text: str = "text") -> DataFrame:
 COMMENT = "(?s)<!--(.*?)-->"
 TAG_NAME = "[A-Za-z][-A-Za-z0-9]*"
 TAG = f"<(?:/{TAG_NAME}\\s*|{TAG_NAME}(?:\\s[^<>]*)?)/?>"
-LINK = "!?\\[([^\\[\\]]*)\\]\\([^\\s()]*(?:\\([^\\s()]*\\)[^\\s()]*)?\\)"
+LINK = "(!?\\[)([^\\[\\]]*)(\\]\\([^\\s()]*(?:\\([^\\s()]*\\)[^\\s()]*)?\\))"
+
+
+#: Characters of the private use area around what is blanked.
+OPEN, CLOSE = "\ue002", "\ue003"
+
+
+def blanked(text: Column, pattern: str, around: str = f"{OPEN}$0{CLOSE}") -> Column:
+    """Spaces instead of every match of a pattern, as many as it has characters. ``around`` marks what of a match goes."""
+    pieces = F.split(F.regexp_replace(text, pattern, around), f"[{OPEN}{CLOSE}]")
+    spaces = F.transform(pieces, lambda x, k: F.when(k % 2 == 1, F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(spaces, "")).otherwise(text)
 
 
 def mask_markup(text: Column) -> Column:
-    """Comments, tags and the syntax of links become one space each."""
-    for pattern, shown in ((COMMENT, " "), (LINK, " $1 "), (TAG, " ")):
-        text = F.regexp_replace(text, pattern, shown)
-    return text
+    """Comments, tags and the syntax of links become spaces; every other character keeps its place."""
+    text = blanked(text, COMMENT)
+    text = blanked(text, LINK, f"{OPEN}$1{CLOSE}$2{OPEN}$3{CLOSE}")
+    return blanked(text, TAG)
 
 
 def suppressed_ids(paragraph: Column) -> Column:
@@ -84,14 +95,14 @@ def switched_off(parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda a: a["done"])
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, para_idx, text and suppressed of every paragraph with a letter or digit."""
-    parts = with_normal_text(docs).select("doc_id", F.split("norm", PARAGRAPH).alias("parts"), F.rlike("norm", F.lit("(?i)<!--\\s*berrak\\s*:")).alias("switched"))
-    parts = parts.select("doc_id", "parts", F.when(F.col("switched"), switched_off(F.col("parts"))).alias("ids"))
+def paragraphs(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, para_idx, text and suppressed of every paragraph with a letter or digit, and the columns ``carry`` of its document."""
+    parts = with_normal_text(docs).select("doc_id", *carry, F.split("norm", PARAGRAPH).alias("parts"), F.rlike("norm", F.lit("(?i)<!--\\s*berrak\\s*:")).alias("switched"))
+    parts = parts.select("doc_id", *carry, "parts", F.when(F.col("switched"), switched_off(F.col("parts"))).alias("ids"))
     # Outer generators throughout: for the others Spark asks first whether the array is empty, and works it out twice.
-    split = parts.select("doc_id", "ids", F.posexplode_outer("parts").alias("para_idx", "text")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))
+    split = parts.select("doc_id", *carry, "ids", F.posexplode_outer("parts").alias("para_idx", "text")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))
     off = F.coalesce(F.get("ids", F.col("para_idx")), F.array().cast("array<string>"))
-    return split.select("doc_id", "para_idx", mask_markup(F.col("text")).alias("text"), off.alias("suppressed"))
+    return split.select("doc_id", *carry, "para_idx", mask_markup(F.col("text")).alias("text"), off.alias("suppressed"))
 
 
 def marked_sentences(text: Column) -> Column:
@@ -110,21 +121,28 @@ def _placed(pieces: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda a: a["done"])
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, para_idx, sent_no and start (within the paragraph's text), text, is_heading, is_list_item, suppressed.
+def paragraph_starts(docs: DataFrame) -> DataFrame:
+    """doc_id, para_idx and where each paragraph starts in the normalised text."""
+    pieces = F.split(F.regexp_replace("norm", PARAGRAPH, f"{CUT}$0{CUT}"), CUT)
+    placed = with_normal_text(docs).select("doc_id", F.filter(_placed(pieces), lambda x, k: k % 2 == 0).alias("p"))
+    return placed.select("doc_id", F.posexplode("p").alias("para_idx", "p")).select("doc_id", "para_idx", F.col("p.at").alias("at"))
+
+
+def sentences(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, para_idx, sent_no and start (within the paragraph's text), text, is_heading, is_list_item, suppressed, and ``carry``.
 
     A paragraph of one line without an end, of at most 12 words and 100 characters and with a
     capital first letter, is a heading.
     """
     pieces = F.split(marked_sentences(F.col("text")), CUT)
-    marked = paragraphs(docs).select("doc_id", "para_idx", "suppressed", _placed(pieces).alias("pieces"), F.contains("text", F.lit("\n")).alias("many"))
-    cut = marked.select("doc_id", "para_idx", "suppressed", "many", F.posexplode_outer("pieces").alias("sent_no", "p"))
+    marked = paragraphs(docs, carry).select("doc_id", *carry, "para_idx", "suppressed", _placed(pieces).alias("pieces"), F.contains("text", F.lit("\n")).alias("many"))
+    cut = marked.select("doc_id", *carry, "para_idx", "suppressed", "many", F.posexplode_outer("pieces").alias("sent_no", "p"))
     cut = cut.select("*", F.col("p.piece").alias("piece"), (F.col("p.at") + F.length(F.regexp_extract("p.piece", "^\\s*", 0))).alias("start")).drop("p")
     plain = cut.withColumn("text", F.regexp_replace(F.replace("piece", F.lit(STOP), F.lit(".")), "^\\s+|\\s+$", "")).where(F.rlike("text", F.lit("[\\p{L}\\p{Nd}]")))
     item = F.rlike("text", F.lit("^" + MARKER))
     short = (F.size(F.split("text", "\\s+")) <= 12) & (F.length("text") <= 100)
     heading = (F.col("sent_no") == 0) & ~F.col("many") & ~item & short & F.rlike("text", F.lit("^[\"'(]*\\p{Lu}")) & ~F.rlike("text", F.lit("[.!?…:;,][\"')\\]]*$")) & ~F.rlike("text", F.lit("@|://"))
-    return plain.select("doc_id", "para_idx", "sent_no", "start", "text", heading.alias("is_heading"), item.alias("is_list_item"), "suppressed")
+    return plain.select("doc_id", "para_idx", "sent_no", "start", "text", heading.alias("is_heading"), item.alias("is_list_item"), "suppressed", *carry)
 
 
 def token_kind(token: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from berrak.functions import numbers, turkish
-from berrak.operators import morphology, readability, segment
+from berrak.operators import morphology, names, readability, segment
 from berrak.plans.queries import LEXICON
 
 
@@ -22,10 +22,22 @@ def _norm(text: str) -> str:
     return f"regexp_replace(translate({out}, {_text(turkish.REMOVED)}, ''), ' {{2,}}', ' ', 'g')"
 
 
+def _blank(pattern: str, less: int = 0) -> str:
+    """Of a text t: what stands between matches, and spaces of the matches' lengths."""
+    p = _text(pattern)
+    gaps, hits = f"string_split_regex(t, {p})", f"regexp_extract_all(t, {p})"
+    return f"CASE WHEN regexp_matches(t, {p}) THEN list_reduce(list_transform(list_zip({gaps}, {hits}), lambda z: z[1] || repeat(' ', CAST(greatest(coalesce(length(z[2]), 0) - {less}, 0) AS BIGINT))), lambda a, b: a || b) ELSE t END"
+
+
 def _mask(text: str) -> str:
-    out = f"regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g')"
-    out = rf"regexp_replace({out}, '[!]?\[([^\[\]]*)\]\((?:[^()\s]|\([^()\s]*\))*\)', ' \1 ', 'g')"
-    return rf"regexp_replace({out}, '<(?:/[A-Za-z][A-Za-z0-9-]*\s*|[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?)/?>', ' ', 'g')"
+    """Comments, then what is left of links once their labels are kept, then tags. Two signs mark what of a link goes."""
+    open_, close = chr(0xE002), chr(0xE003)
+    link = r"([!]?\[)([^\[\]]*)(\]\((?:[^()\s]|\([^()\s]*\))*\))"
+    marked = f"regexp_replace(t, {_text(link)}, '{open_}\\1{close}\\2{open_}\\3{close}', 'g')"
+    tag = r"<(?:/[A-Za-z][A-Za-z0-9-]*\s*|[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?)/?>"
+    for step in (_blank("(?s)<!--.*?-->"), marked, _blank(f"{open_}[^{close}]*{close}", 2), _blank(tag)):
+        text = f"list_transform([{text}], lambda t: {step})[1]"
+    return text
 
 
 #: What opens a list item, and the forms of tokens, as this side states them.
@@ -308,3 +320,35 @@ ORACLE |= {
     "caps_runs_b07": _spelt("caps_runs_b07", "translate(substr(text, 1, 200), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || substr(text, 201)"),
     "roman_b02": _spelt("roman_b02", "replace(replace(text, ' the ', ' XIV '), ' die ', ' I. ')"),
 }
+
+#: Documents with letters in two code points, line ends of two, and wider gaps.
+_LOOSE = r"replace(replace(replace(replace(coalesce(text, ''), 'é', 'e' || chr(769)), 'ö', 'o' || chr(776)), chr(10), chr(13) || chr(10)), '. ', '. ' || chr(8203) || ' ')"
+ORACLE["original_places"] = f"""
+WITH t AS (SELECT doc_id, {_LOOSE} AS t FROM documents),
+chars AS (SELECT doc_id, unnest([substr(t, i, 1) FOR i IN range(1, length(t) + 1)]) AS c, unnest(range(0, length(t))) AS i FROM t),
+g AS (SELECT *, sum(CASE WHEN c BETWEEN chr(768) AND chr(879) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM chars),
+letters AS (SELECT doc_id, g, nfc_normalize(string_agg(c, '' ORDER BY i)) AS c, min(i) AS a, max(i) + 1 AS b FROM g GROUP BY doc_id, g),
+said AS (SELECT *, lead(c) OVER (PARTITION BY doc_id ORDER BY g) AS next FROM letters),
+mapped AS (SELECT doc_id, g, a, b, {' '.join(f"translate(" for _ in range(4))}c, {_text(turkish.DOUBLE_QUOTES)}, {_text('"' * len(turkish.DOUBLE_QUOTES))}), {_text(turkish.SINGLE_QUOTES)}, {_text("'" * len(turkish.SINGLE_QUOTES))}), {_text(turkish.DASHES)}, {_text('-' * len(turkish.DASHES))}), {_text(turkish.SPACES)}, {_text(' ' * len(turkish.SPACES))}) AS c
+  FROM said WHERE NOT (c = chr(13) AND next = chr(10)) AND NOT contains({_text(turkish.REMOVED)}, c)),
+runs AS (SELECT *, sum(CASE WHEN c = ' ' AND before = ' ' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY g) - 1 AS n FROM (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY g) AS before FROM mapped)),
+norm AS (SELECT doc_id, CAST(n AS INT) AS n, min(c) AS c, min(a) AS a, max(b) AS b FROM runs GROUP BY doc_id, n),
+lined AS (SELECT *, count(*) FILTER (WHERE c = chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS line_no FROM norm),
+lines AS (SELECT doc_id, line_no, min(n) AS start, max(n) + 1 - count(*) FILTER (WHERE c = chr(10)) AS stop, min(a) AS a, max(b) FILTER (WHERE c <> chr(10)) AS b FROM lined GROUP BY doc_id, line_no)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", CAST(a AS INT) AS orig_start, CAST(coalesce(b, a) AS INT) AS orig_end, md5(substr(t, CAST(a AS BIGINT) + 1, CAST(coalesce(b, a) - a AS BIGINT))) AS original_md5
+FROM lines JOIN t USING (doc_id) WHERE stop > start
+"""
+
+#: Words that are no names though sentences begin with them, as the library lists them.
+_BEGIN = _list(sorted(names.BEGINNINGS))
+_PLANTED = "replace(replace(text, ' queque ', ' Queque''nin '), '. The ', '. Theo ')"
+ORACLE["proper_names"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce({_mask(_norm(_PLANTED))}, ''), {_text(r"(?:[\p{L}]+[-'])*[\p{L}]+")}) AS w FROM documents),
+b AS (SELECT doc_id, unnest(w) AS w FROM w),
+f AS (SELECT doc_id, w, string_split(w, '''')[1] AS base FROM b),
+k AS (SELECT doc_id, contains(w, '''') AS ends, regexp_matches(base, '^\\p{{Lu}}') AND (length(base) = 1 OR NOT {_upper("base")}) AS capital, regexp_matches(base, '^\\p{{Ll}}') AS small,
+  translate(lower(translate(base, 'Iİ', 'ıi')), 'âîûÂÎÛ', 'aiuAİU') AS form FROM f),
+told AS (SELECT doc_id, form, bool_or(capital AND ends) AS marked, count(*) FILTER (WHERE capital) AS n, bool_or(small) AS small FROM k GROUP BY doc_id, form),
+named AS (SELECT doc_id, list_sort(list(form)) AS names FROM told WHERE marked OR (n >= 2 AND NOT small AND NOT list_contains({_BEGIN}, form)) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(names), 0) AS INT) AS n_names, md5(coalesce(array_to_string(names, ','), '')) AS names_md5 FROM documents LEFT JOIN named USING (doc_id)
+"""

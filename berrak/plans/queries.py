@@ -8,13 +8,14 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from berrak.functions.turkish import normalize
 from berrak.operators import facts as facts_
 from berrak.operators import findings as findings_
-from berrak.operators import matching, morphology, readability, rewriting, rules, segment
+from berrak.operators import matching, morphology, names, offsets, readability, rewriting, rules, segment
 from berrak.plans.auditor import Audit
 from berrak.plans.config import load_profile
 from berrak.sources import readers, sinks
-from berrak.sources.storage import table
+from berrak.sources.storage import table, written
 from berrak.streaming import stream
 
 #: A lexicon of words that occur in the test documents, as a user would bring one.
@@ -157,6 +158,26 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_facts"), F.md5(F.array_join("found", ";")).alias("facts_md5"))
 
 
+def proper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many forms every document uses as names, and which. Some capitals are planted, with and without an apostrophe."""
+    text = F.replace(F.replace(F.col("text"), F.lit(" queque "), F.lit(" Queque'nin ")), F.lit(". The "), F.lit(". Theo "))
+    found = _docs(spark, sf_dir).select("doc_id", names.proper_forms(segment.mask_markup(normalize(text))).alias("names"))
+    return found.select("doc_id", F.size("names").alias("n_names"), F.md5(F.array_join("names", ",")).alias("names_md5"))
+
+
+def original_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every line of the normalised documents stands in documents with letters in two code points, line ends of two, and wider gaps."""
+    loose = F.coalesce("text", F.lit(""))
+    for tight, wide in (("é", "e\u0301"), ("ö", "o\u0308"), ("\n", "\r\n"), (". ", ". \u200b ")):
+        loose = F.replace(loose, F.lit(tight), F.lit(wide))
+    docs = written(_docs(spark, sf_dir).withColumn("text", loose), "loose")
+    lines = offsets.with_normal_text(docs).select("doc_id", F.split("norm", "\n").alias("lines"))
+    lines = lines.select("doc_id", F.posexplode(segment._placed(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))))).alias("line_no", "p"))
+    places = lines.select("doc_id", "line_no", F.col("p.at").alias("start"), (F.col("p.at") + F.length("p.piece") - 1).alias("end")).where("end > start")
+    found = offsets.located(places, docs).join(docs, "doc_id")
+    return found.select("doc_id", "line_no", "start", "end", "orig_start", "orig_end", F.md5(F.substr("text", F.col("orig_start") + 1, F.col("orig_end") - F.col("orig_start"))).alias("original_md5"))
+
+
 def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that recur at the edges of several documents of a source, as a header or footer would."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -226,7 +247,7 @@ SPELLINGS: dict[str, Callable[[Column], Column]] = {
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
+    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, proper_names, original_places, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
 } | {
     "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09", SPELLINGS["KD-C09"]), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02", SPELLINGS["KD-B02"]), "semicolons_b06": _found("KD-B06", SPELLINGS["KD-B06"]),
     "caps_runs_b07": _found("KD-B07", SPELLINGS["KD-B07"]), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),

@@ -62,7 +62,7 @@ CASES = [
     ("KD-K02", "Bu link çalışmıyor.", True),
     ("KD-K03", "Önce SGK binasına gidin.", True),
     ("KD-K03", "Önce TBMM binasına gidin.", False),
-    ("KD-K03", "Sosyal Güvenlik Kurumu (SGK) açık.", False),
+    ("KD-K03", "Köy Hizmetleri Birliği (KHB) kapalı.", False),
     ("KD-K05", "Uyarıyı göz ardı etti.", True),
     ("KD-K07", "Size en kısa sürede döneriz.", True),
     ("KD-K08", "Doktor geldi. Sonra hekim gitti. Bir hekim daha geldi.", True),
@@ -71,8 +71,8 @@ CASES = [
     ("KD-B02", "Bölüm IV burada.", True),
     ("KD-B03", "Fiyat %20 arttı.", True),
     ("KD-B04", "Son gün 31.02.2026 oldu.", True),
-    ("KD-B05", "Toplantı 14.30 başlar.", True),
-    ("KD-B05", "Toplantı saat 14.30 başlar.", False),
+    ("KD-B05", "Tören 16.45 biter.", True),
+    ("KD-B05", "Tören saat 16.45 biter.", False),
     ("KD-B06", "Ali geldi; Veli gitti.", True),
     ("KD-B07", "LÜTFEN BURADA HİÇ BEKLEMEYİN arkadaşlar.", True),
     ("KD-B07", "Lütfen BURADA bekleyin.", False),
@@ -200,7 +200,7 @@ def test_fixes_are_spliced(spark):
 
 
 def test_fixing_settles(spark):
-    docs = spark.createDataFrame([(1, "Bölüm IV burada. Toplantı 14.30 başlar.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Bölüm IV burada. Tören 16.45 biter.")], "doc_id long, text string")
     audit = Audit(docs, only=["KD-B02", "KD-B05"])
     rows = audit.findings.where("fix is not null").collect()
     text = docs.first().text
