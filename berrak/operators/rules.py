@@ -644,6 +644,8 @@ def long_text(t: Tables) -> DataFrame:
     return finding(rows, F.lit(""), F.concat(F.lit("Metin "), F.col("n").cast("string"), F.lit(" kelime.")))
 
 
+#: Rules that spare the names of a document.
+SPARING = {"KD-C03", "KD-K04", "KD-K06"}
 #: Rules that read the analysis of words.
 ANALYSED = {"KD-C02", "KD-C03", "KD-C04", "KD-C05", "KD-C06", "KD-C07", "KD-C08", "KD-C10"}
 
@@ -652,7 +654,9 @@ def tables(docs: DataFrame, profile: Profile, lexicon: Mapping[str, Any], only:
     """The shared tables: sentences with their tokens, written to the shared folder once as several plans read
     them, and phrase matches, written where all rules are asked for. Words are analysed if a rule (of ``only``, if given) asks for it."""
     asked = [r for r in ANALYSED if profile.config(r).enabled and (only is None or r in only)]
-    named = docs.withColumn("names", names.proper_forms(mask_markup(normalize(F.col("text"))), [*lexicon.get("sik_kelimeler", ()), *lexicon.get("bilinen", ())]))
+    known = [*lexicon.get("sik_kelimeler", ()), *lexicon.get("bilinen", ())]
+    spared = any(profile.config(r).enabled and (only is None or r in only) for r in SPARING)
+    named = docs.withColumn("names", names.proper_forms(mask_markup(normalize(F.col("text"))), known) if spared else F.array().cast("array<string>"))
     sents = written(with_tokens(sentences(named, ("names",)), analyse=bool(asked)), "sentences")
     matched = matching.matches(sents, matching.lexicon_entries(docs.sparkSession, lexicon))
     return Tables(sents, written(matched, "matches") if only is None else matched, lexicon, profile)

@@ -278,7 +278,7 @@ ORACLE = {
       r AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY k) AS up, row_number() OVER (PARTITION BY source, doc_id ORDER BY k DESC) AS down FROM l WHERE regexp_matches(line, '\S')),
       total AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source)
       SELECT source, md5(trim(regexp_replace(lower(line), '[0-9]+', '#', 'g'))) AS key_md5, count(DISTINCT doc_id) AS n FROM r JOIN total USING (source) WHERE (up <= 4 OR down <= 4) AND pages >= 3 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""",
-    "compliance": f"""WITH {_WORDS}, {_DOC}, fd AS (SELECT doc_id, CASE WHEN n > 15 THEN 3.0 ELSE 1.0 END AS p FROM per WHERE n > 10 UNION ALL SELECT doc_id, 0.25 FROM docw WHERE n > 400),
+    "compliance_c01_m05": f"""WITH {_WORDS}, {_DOC}, fd AS (SELECT doc_id, CASE WHEN n > 15 THEN 3.0 ELSE 1.0 END AS p FROM per WHERE n > 10 UNION ALL SELECT doc_id, 0.25 FROM docw WHERE n > 400),
       s AS (SELECT doc_id, count(*) AS sentence_count FROM sents WHERE NOT is_heading GROUP BY doc_id), f AS (SELECT doc_id, CAST(sum(p) AS DOUBLE) AS penalty, count(*) AS finding_count FROM fd GROUP BY doc_id),
       j AS (SELECT d.doc_id, coalesce(sentence_count, 0) AS sentence_count, coalesce(penalty, 0.0::DOUBLE) AS penalty, coalesce(finding_count, 0) AS finding_count FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id))
       SELECT doc_id, sentence_count, round(penalty, 4) AS penalty, finding_count, CASE WHEN sentence_count > 0 THEN CAST(round_even(100 * exp(-0.6::DOUBLE * penalty / greatest(sentence_count, 1)), 0) AS INT) ELSE -1 END AS score, sentence_count >= 3 AS reliable FROM j""",

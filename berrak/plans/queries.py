@@ -184,7 +184,7 @@ def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.recurring_lines(rows, share=0.0).select(F.col("doc_id").alias("source"), F.md5("key").alias("key_md5"), "n")
 
 
-def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compliance_c01_m05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by two rules alone, long sentences and long texts, as its SQL works them out. ``compliance_all_rules`` has all rules."""
     audit = Audit(_docs(spark, sf_dir), only=["KD-C01", "KD-M05"])
     rows = findings_.compliance(audit.findings, audit.sentence_counts, audit.profile)
@@ -247,7 +247,7 @@ SPELLINGS: dict[str, Callable[[Column], Column]] = {
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, proper_names, original_places, recurring_lines, compliance, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
+    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, proper_names, original_places, recurring_lines, compliance_c01_m05, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
 } | {
     "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09", SPELLINGS["KD-C09"]), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02", SPELLINGS["KD-B02"]), "semicolons_b06": _found("KD-B06", SPELLINGS["KD-B06"]),
     "caps_runs_b07": _found("KD-B07", SPELLINGS["KD-B07"]), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),

@@ -92,7 +92,7 @@ def test_headings_items_and_places(spark):
 def test_suppression_and_markup(spark):
     rows = split(spark, "<!-- berrak: ignore KD-C01 kd-k03 --> Bir <b>iki</b> [üç](http://x).\n\n<!-- berrak: ignore -->Dört.\n\nBeş.")
     assert [sorted(r.suppressed) for r in rows] == [["KD-C01", "KD-K03"], ["*"], []]
-    assert rows[0].text.split() == ["Bir", "iki", "üç", "."] and len(rows[0].text) == len("<!-- berrak: ignore KD-C01 kd-k03 --> Bir <b>iki</b> [üç](http://x).")
+    assert rows[0].text.split() == ["Bir", "iki", "üç", "."] and rows[0].start + len(rows[0].text) == len("<!-- berrak: ignore KD-C01 kd-k03 --> Bir <b>iki</b> [üç](http://x).")
 
 
 def test_token_kinds(spark):
