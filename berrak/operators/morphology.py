@@ -49,6 +49,9 @@ AFTER_PASSIVE = f"(?:{PASSIVE_TENSES}|{NEGATIVE}|{PARTICIPLES}|{ending([*VERBAL_
 #: The condition with its persons, and tenses without a person that nouns end in as well.
 CONDITION = f"{ending(['sA'])}{ending(SHORT_PERSONS)}?$"
 BARE = f"^.{{2,}}{ending(['Ar', 'Ir'])}$"
+#: A plural, and those of them that a verb has: after a tense, or as the -Ar of a stem of one syllable in -l ("güler").
+PLURAL = f"{ending(['lAr'])}$"
+VERBAL_PLURAL = f"{ending([*WITH_PERSONS.values(), *WITH_SHORT_PERSONS.values()])}{PLURAL}|^[^aeıioöuü]*[aeıioöuü]{PLURAL}"
 #: Verbs in -t whose t softens before a vowel; of our own choosing. Other stems in -d there are none.
 SOFTENING = ["et", "git", "güt", "tat", "affet", "bahset", "devret", "emret", "fethet", "hallet", "hapset", "hisset", "kaydet", "keşfet", "naklet", "reddet", "sabret", "sarfet", "seyret", "şükret", "zannet"]
 #: Negations that stand within a clause and leave it to a later word to tell.

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
+from berrak.functions.numerals import NUMBER_WORDS, is_numeral, numeral_value, possessive
 from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, normalize, quote, turkish_capitalize, turkish_lower
-from berrak.operators import matching, morphology, names
+from berrak.operators import asides, matching, morphology, names
 from berrak.operators.segment import CLOSE, OPEN, WORD_LIKE, _placed, mask_markup, sentences, with_tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
@@ -122,9 +123,9 @@ def tok(i: Column) -> Column:
     return F.get(F.col(TOKS), i)
 
 
-def numbered(when: Callable[[Column], Column]) -> Column:
+def numbered(when: Callable[[Column], Column], of: Column | str = TOKS) -> Column:
     """Tokens that meet a condition, as structs of t and i."""
-    return F.filter(F.transform(TOKS, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: F.coalesce(when(x["t"]), F.lit(False)))
+    return F.filter(F.transform(of, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: F.coalesce(when(x["t"]), F.lit(False)))
 
 
 def texts(of: Column) -> Column:
@@ -187,7 +188,7 @@ def long_sentence(t: Tables) -> Column:
 def many_clauses(t: Tables) -> Column:
     """Finite verbs where a clause may end: before punctuation, a joining word or the sentence's end. An order
     counts at the sentence's end, or before a comma and a joining word. A condition tells nothing yet, and
-    before a joining word a bare -Ar or -Ir may be a noun's."""
+    before a joining word a bare -Ar or -Ir may be a noun's; so may any plural that no tense stands before. Asides in brackets or quotation marks don't count."""
     most = t.param("KD-C02", "max_predicates", 1)
 
     def ends(x: Column, i: Column) -> Column:
@@ -196,9 +197,11 @@ def many_clauses(t: Tables) -> Column:
         joins = after["low"].isin(*JOINING)
         order = x["m"]["order"] & (stop | ((after["token"] == ",") & further["low"].isin(*JOINING)))
         sure = ~F.rlike(x["low"], F.lit(morphology.CONDITION)) & (~joins | ~F.rlike(x["low"], F.lit(morphology.BARE)))
+        sure = sure & (~F.rlike(x["low"], F.lit(morphology.PLURAL)) | F.rlike(x["low"], F.lit(morphology.VERBAL_PLURAL)))
         return (x["kind"] == "word") & ((x["m"]["finite_form"] & sure & (stop | joins | (after["token"] == ","))) | order)
 
-    n = F.size(F.filter(F.transform(TOKS, lambda x, i: F.coalesce(ends(x, i), F.lit(False))), lambda x: x))
+    count = lambda own: F.size(F.filter(F.transform(own, lambda x, i: F.coalesce(ends(x, i), F.lit(False))), lambda x: x))
+    n = let(asides.outside(F.col(TOKS)), count)
     return F.when(BODY(), let(n, lambda n: one(n > most, hit(F.col("text"), F.concat(F.lit("Cümlede "), n.cast("string"), F.lit(" yargı var.")), confidence=0.6))))
 
 
@@ -218,8 +221,9 @@ def _first(words: Column, message: str) -> Column:
 
 @rule("KD-C04", "Olumsuzluk", "cümle")
 def negation(t: Tables) -> Column:
-    """The first negation: a negative verb, "değil", or a negative pronoun. "yok" alone has no plainer positive."""
-    return F.when(BODY(), _first(numbered(_negative), "Cümleyi olumlu kurun."))
+    """The first negation outside of asides: a negative verb, "değil", or a negative pronoun. "yok" alone has no plainer positive."""
+    found = let(asides.outside(F.col(TOKS)), lambda own: numbered(_negative, own))
+    return F.when(BODY(), _first(found, "Cümleyi olumlu kurun."))
 
 
 @rule("KD-C05", "Çift olumsuzluk", "cümle", "hata")
@@ -402,24 +406,10 @@ def terms(t: Tables) -> DataFrame:
 
 # numbers and form
 
-#: Number words.
-NUMBER_WORDS = {"bir": 1, "iki": 2, "üç": 3, "dört": 4, "beş": 5, "altı": 6, "yedi": 7, "sekiz": 8, "dokuz": 9, "on": 10, "yirmi": 20, "otuz": 30, "kırk": 40, "elli": 50, "altmış": 60, "yetmiş": 70, "seksen": 80, "doksan": 90, "yüz": 100, "bin": 1000, "milyon": 1000000, "milyar": 1000000000}
 #: Of single number words, those that are nothing else.
 ALONE = ["on", "yirmi", "otuz", "kırk", "elli", "altmış", "yetmiş", "seksen", "doksan", "milyon", "milyar"]
 
 
-def numeral_value(words: Column) -> Column:
-    """The value of a sequence of number words."""
-    table = F.create_map(*[x for k, v in NUMBER_WORDS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("now"))
-
-    def step(a: Column, w: Column) -> Column:
-        v, many = table[w], F.greatest(a["now"], F.lit(1).cast("long"))
-        return F.when(v >= 1000, F.struct((a["total"] + many * v).alias("total"), F.lit(0).cast("long").alias("now"))).when(v == 100, F.struct(a["total"].alias("total"), (many * 100).alias("now"))).otherwise(F.struct(a["total"].alias("total"), (a["now"] + v).alias("now")))
-
-    return F.aggregate(words, start, step, lambda a: a["total"] + a["now"])
-
-
 #: What is measured and counted, by kind; our own choice.
 MEASURES = {
     "money": ["lira", "tl", "kuruş", "avro", "euro", "dolar", "sterlin"],
@@ -445,9 +435,11 @@ SAYING = ["dedi", "diyor", "der", "diye", "derken", "diyerek", "söyledi", "sord
 
 @rule("KD-B01", "Yazıyla yazılmış sayı", "biçim")
 def numbers_in_words(t: Tables) -> Column:
-    """Runs of number words of at least ``min_value``; a run ends at any other token. Besides, numbers of 5 to 12 digits before a unit."""
+    """Runs of number words that are one numeral of at least ``min_value``; a run ends at any other token. "yirmi otuz" is no numeral.
+    Besides, numbers of 5 to 12 digits before a unit."""
     least = t.param("KD-B01", "min_value", 10)
     runs = F.coalesce(islands(numbered(lambda x: x["lower"].isin(*NUMBER_WORDS)), lambda a, b: b["i"] - a["i"] > 1), F.array())
+    runs = F.filter(runs, lambda w: is_numeral(F.transform(w, lambda x: x["t"]["lower"])))
     told = F.transform(runs, lambda w: F.struct(w.alias("w"), F.get(w, F.lit(0))["t"]["lower"].alias("first"), F.size(w).alias("n"), numeral_value(F.transform(w, lambda x: x["t"]["lower"])).alias("value")))
     told = F.filter(told, lambda x: (x["value"] >= least) & ((x["n"] > 1) | x["first"].isin(*ALONE)))
 
@@ -470,12 +462,41 @@ def roman(t: Tables) -> Column:
     return each(F.col(TOKS), is_roman, lambda x, i: hit(x["base"], F.concat(F.lit("Rakamla yazın: "), value(x)), tok=i, suggestion=value(x), fix=value(x)))
 
 
+#: What money is spoken of with, besides its units; our own choice.
+OF_MONEY = ["para", "ücret", "fiyat", "maaş", "kira", "vergi", "borç", "zam", "indirim", "fatura", "aidat", "gelir", "gider", "faiz", "ceza", "taksit", "bütçe", "ödeme"]
+CUES = {"people": [*COUNTED_THINGS["people"], "kadın", "erkek", "genç", "yaşlı", "halk", "nüfus", "seçmen"], "money": [*MEASURES["money"], *OF_MONEY]}
+
+
+def _bent(words: list[str]) -> str:
+    """A pattern of nouns with their endings; a last k, t, p or ç may be soft."""
+    soft = [w[:-1] + {"k": "ğ", "t": "d", "p": "b", "ç": "c"}[w[-1]] for w in words if w[-1] in "ktpç" and len(w) > 2]
+    return f"^(?:{'|'.join([*words, *soft])})(?:{matching.NOUN_ENDINGS[1:-1]})$"
+
+
+def nearest_cue(toks: Column, i: Column) -> Column:
+    """What the word nearest to the i-th token speaks of, people or money; of two equally near, the earlier. Null without any."""
+    kind = lambda x: F.when(F.rlike(x["low"], F.lit(_bent(CUES["people"]))), "people").when(F.rlike(x["low"], F.lit(_bent(CUES["money"]))), "money")
+    near = F.transform(toks, lambda x, j: F.struct(F.abs(j - i).alias("far"), j.alias("j"), F.when((x["kind"] == "word") & (j != i), kind(x)).alias("cue")))
+    return F.array_min(F.filter(near, lambda x: x["cue"].isNotNull()))["cue"]
+
+
 @rule("KD-B03", "Yüzde ve kesir", "biçim", "bilgi")
 def percent(t: Tables) -> Column:
-    """Percentages, ``yüzde`` before a number, fractions, and, as a warning, decimals with a point before a unit."""
+    """Percentages, ``yüzde`` before a number, fractions, and, as a warning, decimals with a point before a unit.
+
+    A whole percentage up to 100 is suggested as so many of a hundred people or liras, if a word of the sentence speaks of such.
+    """
     said = lambda x, i: F.coalesce((x["low"] == "yüzde") & (tok(i + 1)["kind"] == "number"), F.lit(False))
     text = lambda x, i: F.when(said(x, i), F.concat_ws(" ", x["token"], tok(i + 1)["token"])).otherwise(x["token"])
-    abstract = each(F.col(TOKS), lambda x, i: (x["kind"] == "percent") | ((x["kind"] == "number") & F.rlike(x["token"], F.lit("^[1-9]/(?:[2-9]|10)$"))) | said(x, i), lambda x, i: hit(text(x, i), F.concat(quote(text(x, i)), F.lit(" sayısını örnekle anlatın.")), tok=i))
+    whole = lambda x, i: F.regexp_extract(F.when(said(x, i), tok(i + 1)["base"]).otherwise(x["base"]), "^%? ?([0-9]{1,3}) ?%?$", 1).try_cast("int")
+    instead = lambda n, cue: F.when(n.between(1, 100), F.when(cue == "people", F.concat(F.lit("her 100 kişiden "), possessive(n))).when(cue == "money", F.concat_ws(" ", F.lit("her 100 liranın"), n.cast("string"), F.lit("lirası"))))
+    share = lambda x, i: (x["kind"] == "percent") | said(x, i)
+    shown = lambda x, i: F.when(share(x, i), let(F.struct(whole(x, i).alias("n"), nearest_cue(F.col(TOKS), i).alias("cue")), lambda s: instead(s["n"], s["cue"])))
+
+    def explained(x: Column, i: Column) -> Column:
+        return let(shown(x, i), lambda s: hit(text(x, i), F.when(s.isNotNull(), F.concat(F.lit("Şöyle anlatın: "), s)).otherwise(F.concat(quote(text(x, i)), F.lit(" sayısını örnekle anlatın."))), tok=i, suggestion=s))
+
+    abstract = each(F.col(TOKS), lambda x, i: share(x, i) | ((x["kind"] == "number") & F.rlike(x["token"], F.lit("^[1-9]/(?:[2-9]|10)$"))), explained)
     comma = lambda x: F.replace(x["base"], F.lit("."), F.lit(","))
     wrong = each(F.col(TOKS), lambda x, i: (x["kind"] == "number") & F.rlike(x["base"], F.lit("^[0-9]+\\.[0-9]{1,2}$")) & tok(i + 1)["low"].isin(*DECIMAL_UNITS), lambda x, i: hit(x["base"], F.concat(F.lit("Küsuratı virgülle yazın: "), comma(x)), tok=i, suggestion=comma(x), fix=comma(x), severity="uyarı"))
     return F.when(BODY(), F.concat(abstract, wrong))

@@ -8,12 +8,15 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from berrak.functions.numerals import is_numeral, number_words, numeral_value, possessive
 from berrak.functions.turkish import normalize
 from berrak.operators import facts as facts_
 from berrak.operators import findings as findings_
+from berrak.operators import asides as asides_
 from berrak.operators import matching, morphology, names, offsets, readability, rewriting, rules, segment
 from berrak.plans.auditor import Audit
 from berrak.plans.config import load_profile
+from berrak.plans.turkish_view import BENT, turkish_documents
 from berrak.sources import readers, sinks
 from berrak.sources.storage import table, written
 from berrak.streaming import stream
@@ -205,6 +208,42 @@ def morphology_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode(flags).alias("flag")).where("flag is not null").groupBy("flag").agg(F.count("*").alias("n"))
 
 
+def _turkish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with tokens of the Turkish documents."""
+    return segment.with_tokens(segment.sentences(turkish_documents(_docs(spark, sf_dir))).select(*SENT, "text", "is_heading", "is_list_item"))
+
+
+def _turkish_found(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Findings of one rule in the Turkish documents, with what it suggests."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = rules.tables(turkish_documents(_docs(spark, sf_dir)), load_profile("kolay-dil"), {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}, [rule])
+        return rules.audit(t, [rule]).select(*SENT, "start", "text", F.coalesce("suggestion", F.lit("")).alias("suggestion"), F.coalesce("fix", F.lit("")).alias("fix"), "severity")
+
+    query.__doc__ = f"Findings of {rule} in Turkish documents."
+    return query
+
+
+def bent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of the lexicon whose last word takes endings, as they stand in the Turkish documents."""
+    found = matching.matches(_turkish(spark, sf_dir), matching.lexicon_entries(spark, BENT))
+    return found.select(*SENT, "list", "phrase", "said", "start", "first_tok", "last_tok")
+
+
+def aside_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every sentence of the Turkish documents stand in brackets and in quotation marks, and how deep brackets go."""
+    rows = _turkish(spark, sf_dir).withColumns({"b": asides_.brackets(F.col("toks")), "q": asides_.quotations(F.col("toks"))})
+    inside = lambda s: F.size(F.filter(F.transform("toks", lambda x, i: (x["kind"] == "word") & asides_.within(s, i)), lambda x: x))
+    return rows.select(*SENT, F.col("b.deepest").alias("deepest"), inside(F.col("b.done")).alias("n_bracketed"), inside(F.col("q")).alias("n_quoted"))
+
+
+def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number of every order in words, read back, with its ending; and whether its words from the last to the first are a numeral too."""
+    n = F.col("o_orderkey") * 7919 + F.coalesce(F.floor("o_totalprice"), F.lit(0)) * 1000
+    said = table(spark, sf_dir, "orders").select("o_orderkey", n.cast("long").alias("n")).withColumn("words", number_words(F.col("n")))
+    return said.select("o_orderkey", "n", F.array_join("words", " ").alias("words"), numeral_value("words").alias("back"), is_numeral(F.col("words")).alias("is_one"), is_numeral(F.reverse("words")).alias("reversed_is_one"), possessive(F.col("n")).alias("possessive"))
+
+
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events a limit of 3 a day and user lets through."""
     return stream.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", 3, 86_400.0)
@@ -247,8 +286,9 @@ SPELLINGS: dict[str, Callable[[Column], Column]] = {
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, proper_names, original_places, recurring_lines, compliance_c01_m05, compliance_all_rules, morphology_flags, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
+    for f in (normalized_text, paragraphs, sentences, token_kinds, readability_scores, readability_by_source, syllable_histogram, document_statistics, language_gate, phrase_match, term_consistency, markup_mask, tidy_pages, cleaned_text, punctuated_text, fact_diff, document_facts, proper_names, original_places, recurring_lines, compliance_c01_m05, compliance_all_rules, morphology_flags, numerals, bent_phrases, aside_words, rate_limit, fixed_text, audit_findings, audit_reports, category_scores)
 } | {
     "long_sentences_c01": _found("KD-C01"), "parenthesis_c09": _found("KD-C09", SPELLINGS["KD-C09"]), "first_abbreviation_k03": _found("KD-K03"), "roman_b02": _found("KD-B02", SPELLINGS["KD-B02"]), "semicolons_b06": _found("KD-B06", SPELLINGS["KD-B06"]),
     "caps_runs_b07": _found("KD-B07", SPELLINGS["KD-B07"]), "quotes_b08": _found("KD-B08"), "long_paragraph_m01": _found("KD-M01"), "no_heading_m02": _found("KD-M02"), "list_opportunity_m03": _found("KD-M03"), "long_text_m05": _found("KD-M05"),
+    "number_words_b01": _turkish_found("KD-B01"), "percentages_b03": _turkish_found("KD-B03"), "times_b05": _turkish_found("KD-B05"),
 }
