@@ -111,7 +111,59 @@ def marked_sentences(text: Column) -> Column:
     out = F.regexp_replace(out, "(^|[^\\p{L}])(\\p{Lu}|[IVX]{2,5})\\.", f"$1$2{STOP}")
     out = F.regexp_replace(out, f"([0-9])\\.(\\s+(?:{_NOUNS}))", f"$1{STOP}$2")
     out = F.regexp_replace(out, "([.!?…]+[\"')\\]]*)(\\s+)([\"'(\\[]*[\\p{Lu}0-9])", f"$1{CUT}$2$3")
-    return F.regexp_replace(out, f"(\n[ ]*{MARKER})", f"{CUT}$1")
+    return cut_lines(F.regexp_replace(out, f"(\n[ ]*{MARKER})", f"{CUT}$1"))
+
+
+#: Words after which a sentence goes on in the next line, and words that begin an address; our own choice.
+CONNECTING = ["ve", "veya", "ya", "ile", "ama", "fakat", "ancak", "çünkü", "için", "gibi", "kadar", "ki", "hem", "bu", "şu", "o", "bir", "en", "çok", "daha", "olan", "olarak", "göre", "her", "ise"]
+ADDRESSING = ["sayın", "değerli", "sevgili", "saygıdeğer", "merhaba", "selam"]
+MOST_WORDS_A_LINE, MOST_WORDS_A_HEADING = 15, 12
+
+
+def cut_lines(marked: Column) -> Column:
+    """Marked text with a mark, where there is none, at the ends of lines that are sentences of their own.
+
+    Lines of text that was wrapped go on in the next one and are left as they are. Not so in three kinds of paragraphs:
+    an address with a comma before a line that begins with a capital; lines that all begin with a capital, hold at most 15 words
+    and end neither in a sign that goes on nor in a connecting word, one before the last without a full stop and no item; and three lines or more of which two or more end
+    as sentences do, at most half as many as these don't and are no headings or items, and none goes on in small letters. Of the last kind, lines that
+    end in a comma, semicolon or colon stay with the next. Lines without letters and digits are not looked at.
+    """
+    lines = F.split(marked, "\n")
+    bare = F.filter(F.transform(lines, lambda x: F.trim(F.replace(x, F.lit(CUT), F.lit("")))), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{Nd}]")))
+    opens = lambda x: F.rlike(x, F.lit("^[\"'(\\[]*[\\p{Lu}0-9]"))
+    item = lambda x: F.rlike(x, F.lit("^" + MARKER))
+    ends = lambda x: F.rlike(x, F.lit("[.!?…][\"')\\]]*$"))
+    waits = lambda x: F.rlike(x, F.lit("[,;:]$"))
+    words = lambda x: F.size(F.split(x, " +"))
+    joins = lambda x: F.rlike(x, F.lit("-$")) | turkish_lower(F.regexp_extract(x, "([^ ]+)$", 1)).isin(*CONNECTING)
+    count = lambda of, when: F.size(F.filter(of, when))
+
+    def single(own: Column) -> Column:
+        alone = lambda x: item(x) | (opens(x) & ~waits(x) & ~joins(x) & (words(x) <= MOST_WORDS_A_LINE))
+        return (F.size(own) > 1) & F.forall(own, alone) & F.exists(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), lambda x: ~item(x) & ~ends(x))
+
+    def pasted(own: Column) -> Column:
+        told = F.transform(own, lambda x, k: F.struct(x.alias("x"), F.coalesce(opens(F.get(own, k + 1)) | item(F.get(own, k + 1)), F.lit(True)).alias("done")))
+        open_ = F.filter(told, lambda y: ~ends(y["x"]) & ~waits(y["x"]) & ~item(y["x"]))
+        plain = count(open_, lambda y: ~(opens(y["x"]) & (words(y["x"]) <= MOST_WORDS_A_HEADING)))
+        full = count(own, ends)
+        return (F.size(own) > 2) & (full > 1) & (plain * 2 <= full) & F.forall(open_, lambda y: y["done"])
+
+    def address(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        named = (words(first) <= 3) & F.rlike(first, F.lit("^\\p{Lu}[^ ]*(?: \\p{Lu}[^ ]*)*,$"))
+        known = (words(first) <= 5) & turkish_lower(F.regexp_extract(first, "^(\\p{Lu}\\p{L}*)", 1)).isin(*ADDRESSING)
+        return F.endswith(first, F.lit(",")) & (named | known) & F.coalesce(opens(F.get(own, F.lit(1))), F.lit(False))
+
+    def cut(own: Column) -> Column:
+        every, greeted = single(own) | pasted(own), address(own)
+        # -1: the last line has no end to be marked
+        last = F.size(lines) - 1
+        here = lambda x, k: (k < last) & ~F.endswith(x, F.lit(CUT)) & ((every & ~F.rlike(x, F.lit("[,;:] *$"))) | (greeted & (k == 0)))
+        return F.array_join(F.transform(lines, lambda x, k: F.when(here(x, k), F.concat(x, F.lit(CUT))).otherwise(x)), "\n")
+
+    return F.when(F.contains(marked, F.lit("\n")), F.get(F.transform(F.array(bare), cut), F.lit(0))).otherwise(marked)
 
 
 def _placed(pieces: Column) -> Column:

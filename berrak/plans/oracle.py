@@ -51,6 +51,31 @@ _TOKEN = "|".join([
 ])
 
 
+def _lines_cut(marked: str) -> str:
+    """Line ends that end sentences, as this side states when they do."""
+    cut = segment.CUT
+    opens, item = (lambda x: f"regexp_matches({x}, {_text('^[' + chr(34) + chr(39) + '([]*[' + chr(92) + 'p{Lu}0-9]')})"), (lambda x: f"regexp_matches({x}, '^{_ITEM}')")
+    ends, waits = (lambda x: f"regexp_matches({x}, {_text('[.!?…][])' + chr(34) + chr(39) + ']*$')})"), (lambda x: f"right({x}, 1) IN (',', ';', ':')")
+    n_words = lambda x: f"len(string_split_regex({x}, ' +'))"
+    low = lambda x: f"lower(translate({x}, 'Iİ', 'ıi'))"
+    joins = lambda x: f"(right({x}, 1) = '-' OR {low(f'string_split({x}, {_text(chr(32))})[-1]')} IN ('ve', 'veya', 'ya', 'ile', 'ama', 'fakat', 'ancak', 'çünkü', 'için', 'gibi', 'kadar', 'ki', 'hem', 'bu', 'şu', 'o', 'bir', 'en', 'çok', 'daha', 'olan', 'olarak', 'göre', 'her', 'ise'))"
+    n = lambda condition: f"len([1 FOR i IN range(1, len(b) + 1) IF {condition}])"
+    at, after = "b[i]", "b[i + 1]"
+    loose = f"NOT {item(at)} AND (NOT {opens(at)} OR {waits(at)} OR {joins(at)} OR {n_words(at)} > 15)"
+    single = f"len(b) > 1 AND {n(loose)} = 0 AND {n(f'i < len(b) AND NOT {item(at)} AND NOT {ends(at)}')} > 0"
+    open_ = f"NOT {ends(at)} AND NOT {waits(at)} AND NOT {item(at)}"
+    plain = n(f"{open_} AND NOT ({opens(at)} AND {n_words(at)} <= 12)")
+    wrapped = n(f"{open_} AND i < len(b) AND NOT {opens(after)} AND NOT {item(after)}")
+    pasted = f"len(b) > 2 AND {n(ends(at))} > 1 AND {plain} * 2 <= {n(ends(at))} AND {wrapped} = 0"
+    known = low("regexp_extract(b[1], '^\\p{Lu}\\p{L}*')") + " IN ('sayın', 'değerli', 'sevgili', 'saygıdeğer', 'merhaba', 'selam')"
+    named = f"{n_words('b[1]')} <= 3 AND regexp_full_match(b[1], '\\p{{Lu}}[^ ]*(?: \\p{{Lu}}[^ ]*)*')"
+    address = f"len(b) > 1 AND right(b[1], 1) = ',' AND (({named}) OR ({n_words('b[1]')} <= 5 AND {known})) AND {opens('b[2]')}"
+    told = f"list_transform([[y FOR y IN [trim(replace(x, '{cut}', '')) FOR x IN string_split(t, chr(10))] IF regexp_matches(y, '[\\p{{L}}\\p{{Nd}}]')]], lambda b: {{'every': ({single}) OR ({pasted}), 'first': {address}}})[1]"
+    mark = f"CASE WHEN i < len(l) AND NOT ends_with(l[i], '{cut}') AND ((told.every AND NOT regexp_matches(l[i], '[,;:] *$')) OR (told.first AND i = 1)) THEN l[i] || '{cut}' ELSE l[i] END"
+    joined = f"list_transform([{told}], lambda told: list_transform([string_split(t, chr(10))], lambda l: array_to_string([{mark} FOR i IN range(1, len(l) + 1)], chr(10)))[1])[1]"
+    return f"list_transform([{marked}], lambda t: CASE WHEN contains(t, chr(10)) THEN {joined} ELSE t END)[1]"
+
+
 def _marked(text: str) -> str:
     stop, cut = segment.STOP, segment.CUT
     out = rf"regexp_replace({text}, '(^|[^\p{{L}}])({'|'.join(segment.ABBREVIATIONS)})\.', '\1\2{stop}', 'g')"
@@ -58,7 +83,7 @@ def _marked(text: str) -> str:
     nouns = "|".join(f"[{n[0]}{n[0].upper()}]{n[1:]}" for n in segment.ORDINAL_NOUNS)
     out = rf"regexp_replace({out}, '([0-9])\.(\s+(?:{nouns}))', '\1{stop}\2', 'g')"
     out = rf"""regexp_replace({out}, {_text('([.!?…]+["' + chr(39) + r')\]]*)(\s+)(["' + chr(39) + r'(\[]*[\p{Lu}0-9])')}, '\1{cut}\2\3', 'g')"""
-    return rf"regexp_replace({out}, '(\n[ ]*{_ITEM})', '{cut}\1', 'g')"
+    return _lines_cut(rf"regexp_replace({out}, '(\n[ ]*{_ITEM})', '{cut}\1', 'g')")
 
 
 def _upper(text: str) -> str:
