@@ -9,11 +9,14 @@ set operations what is never in small letters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from berrak.functions.turkish import fold_circumflex, is_upper_word, turkish_lower
-from berrak.operators.segment import WORD
+from berrak.functions.turkish import fold_circumflex, is_upper_word, normalize, turkish_lower
+from berrak.operators.segment import MASKS
 
 #: Words that begin sentences and are no names; our own choice.
 BEGINNINGS = [
@@ -23,16 +26,33 @@ BEGINNINGS = [
 ]
 
 
+#: A word; its parts are never given back once matched.
+WORD = "\\p{L}++(?:[-']\\p{L}++)*+"
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: within array expressions Spark would work it out wherever it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain_text(text: Column) -> Column:
+    """The normalised text without markup, each step worked out once."""
+    return reduce(_once, MASKS, normalize(F.coalesce(text, F.lit(""))))
+
+
 def proper_forms(text: Column, known: list[str] | None = None) -> Column:
     """The forms (small letters, without circumflexes and endings after an apostrophe) used as names, sorted.
 
     ``known``: words that are no names however they are written. Words in capitals throughout are not
     looked at. Null and empty texts have none.
     """
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return _once(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda words: _forms(words, known))
+
+
+def _forms(words: Column, known: list[str] | None) -> Column:
     base = lambda w: F.substring_index(w, "'", 1)
     form = lambda w: fold_circumflex(turkish_lower(base(w)))
-    begun = F.filter(F.filter(words, lambda w: F.rlike(w, F.lit("^\\p{Lu}"))), lambda w: (F.length(base(w)) == 1) | ~is_upper_word(base(w)))
+    begun = F.filter(words, lambda w: F.rlike(w, F.lit("^\\p{Lu}")) & ((F.length(base(w)) == 1) | ~is_upper_word(base(w))))
     small = F.transform(F.array_distinct(F.filter(words, lambda w: F.rlike(w, F.lit("^\\p{Ll}")))), form)
     marked = F.transform(F.filter(begun, lambda w: F.contains(w, F.lit("'"))), form)
     # sorted once, as the only element of an array

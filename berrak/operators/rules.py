@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from berrak.functions import numbers
 from berrak.functions.numerals import NUMBER_WORDS, is_numeral, numeral_value, possessive
-from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, normalize, quote, turkish_capitalize, turkish_lower
+from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_capitalize, turkish_lower
 from berrak.operators import asides, matching, morphology, names
-from berrak.operators.segment import CLOSE, OPEN, WORD_LIKE, _placed, mask_markup, sentences, with_tokens
+from berrak.operators.segment import CLOSE, OPEN, WORD_LIKE, _placed, sentences, with_tokens
 from berrak.plans.config import Profile
 from berrak.sources.storage import written
 
@@ -677,7 +677,7 @@ def tables(docs: DataFrame, profile: Profile, lexicon: Mapping[str, Any], only:
     asked = [r for r in ANALYSED if profile.config(r).enabled and (only is None or r in only)]
     known = [*lexicon.get("sik_kelimeler", ()), *lexicon.get("bilinen", ())]
     spared = any(profile.config(r).enabled and (only is None or r in only) for r in SPARING)
-    named = docs.withColumn("names", names.proper_forms(mask_markup(normalize(F.col("text"))), known) if spared else F.array().cast("array<string>"))
+    named = docs.withColumn("names", names.proper_forms(names.plain_text(F.col("text")), known) if spared else F.array().cast("array<string>"))
     sents = written(with_tokens(sentences(named, ("names",)), analyse=bool(asked)), "sentences")
     matched = matching.matches(sents, matching.lexicon_entries(docs.sparkSession, lexicon))
     return Tables(sents, written(matched, "matches") if only is None else matched, lexicon, profile)

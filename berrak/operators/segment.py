@@ -7,6 +7,8 @@ replaced by a placeholder of equal length while a paragraph is cut.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +68,13 @@ def blanked(text: Column, pattern: str, around: str = f"{OPEN}$0{CLOSE}") -> Col
     return F.when(F.rlike(text, F.lit(pattern)), F.array_join(spaces, "")).otherwise(text)
 
 
+#: What is blanked, one after another.
+MASKS = (lambda t: blanked(t, COMMENT), lambda t: blanked(t, LINK, f"{OPEN}$1{CLOSE}$2{OPEN}$3{CLOSE}"), lambda t: blanked(t, TAG))
+
+
 def mask_markup(text: Column) -> Column:
     """Comments, tags and the syntax of links become spaces; every other character keeps its place."""
-    text = blanked(text, COMMENT)
-    text = blanked(text, LINK, f"{OPEN}$1{CLOSE}$2{OPEN}$3{CLOSE}")
-    return blanked(text, TAG)
+    return reduce(lambda t, mask: mask(t), MASKS, text)
 
 
 def suppressed_ids(paragraph: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions.numerals import is_numeral, number_words, numeral_value, possessive
-from berrak.functions.turkish import normalize
 from berrak.operators import facts as facts_
 from berrak.operators import findings as findings_
 from berrak.operators import asides as asides_
@@ -164,7 +163,7 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proper_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many forms every document uses as names, and which. Some capitals are planted, with and without an apostrophe."""
     text = F.replace(F.replace(F.col("text"), F.lit(" queque "), F.lit(" Queque'nin ")), F.lit(". The "), F.lit(". Theo "))
-    found = _docs(spark, sf_dir).select("doc_id", names.proper_forms(segment.mask_markup(normalize(text))).alias("names"))
+    found = _docs(spark, sf_dir).select("doc_id", names.proper_forms(names.plain_text(text)).alias("names"))
     return found.select("doc_id", F.size("names").alias("n_names"), F.md5(F.array_join("names", ",")).alias("names_md5"))
 
 
