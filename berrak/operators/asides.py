@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from berrak.functions.arrays import let
+
 STRETCHES = "array<struct<first:int,last:int>>"
 STATE = f"struct<depth:int,at:int,deepest:int,done:{STRETCHES}>"
 
@@ -38,12 +40,16 @@ def brackets(toks: Column) -> Column:
 
 def quotations(toks: Column) -> Column:
     """Stretches of tokens between quotation marks that hold a word, but not all words of the sentence."""
-    marks = F.filter(F.transform(toks, lambda x, i: F.struct(x["token"].alias("token"), i.alias("i"))), lambda x: x["token"] == '"')
-    paired = F.transform(marks, lambda x, k: F.struct(x["i"].cast("int").alias("first"), F.get(marks, k + 1)["i"].cast("int").alias("last")))
-    paired = F.filter(paired, lambda x, k: (k % 2 == 0) & x["last"].isNotNull())
+    marks = F.filter(F.transform(toks, lambda x, i: F.struct(x["token"].alias("token"), i.cast("int").alias("i"))), lambda x: x["token"] == '"')
     words = lambda of: F.size(F.filter(of, lambda x: x["kind"] == "word"))
     inside = lambda x: words(F.slice(toks, x["first"] + 1, x["last"] - x["first"] + 1))
-    return F.filter(paired, lambda x: inside(x).between(1, words(toks) - 1)).cast(STRETCHES)
+
+    def paired(own: Column) -> Column:
+        pairs = F.transform(own, lambda x, k: F.struct(x["i"].alias("first"), F.get(own, k + 1)["i"].alias("last")))
+        pairs = F.filter(pairs, lambda x, k: (k % 2 == 0) & x["last"].isNotNull())
+        return let(words(toks), lambda n: F.filter(pairs, lambda x: inside(x).between(1, n - 1)))
+
+    return F.when(F.exists(toks, lambda x: x["token"] == '"'), let(marks, paired).cast(STRETCHES)).otherwise(F.array().cast(STRETCHES))
 
 
 def within(stretches: Column, i: Column) -> Column:
@@ -56,7 +62,7 @@ def outside(toks: Column) -> Column:
     stretches = F.concat(brackets(toks)["done"], quotations(toks))
     has = F.exists(toks, lambda x: x["token"].isin("(", '"'))
 
-    def hidden(x: Column, i: Column) -> Column:
-        return F.when(F.exists(stretches, lambda s: (i > s["first"]) & (i < s["last"])), x.withField("kind", F.lit("aside"))).otherwise(x)
+    def hidden(own: Column) -> Column:
+        return F.transform(toks, lambda x, i: F.when(within(own, i), x.withField("kind", F.lit("aside"))).otherwise(x))
 
-    return F.when(has, F.transform(toks, hidden)).otherwise(toks)
+    return F.when(has, let(stretches, hidden)).otherwise(toks)

@@ -9,12 +9,12 @@ set operations what is never in small letters.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from berrak.functions.arrays import let
 from berrak.functions.turkish import fold_circumflex, is_upper_word, normalize, turkish_lower
 from berrak.operators.segment import MASKS
 
@@ -30,14 +30,9 @@ BEGINNINGS = [
 WORD = "\\p{L}++(?:[-']\\p{L}++)*+"
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once: within array expressions Spark would work it out wherever it stands."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def plain_text(text: Column) -> Column:
     """The normalised text without markup, each step worked out once."""
-    return reduce(_once, MASKS, normalize(F.coalesce(text, F.lit(""))))
+    return reduce(let, MASKS, normalize(F.coalesce(text, F.lit(""))))
 
 
 def proper_forms(text: Column, known: list[str] | None = None) -> Column:
@@ -46,7 +41,7 @@ def proper_forms(text: Column, known: list[str] | None = None) -> Column:
     ``known``: words that are no names however they are written. Words in capitals throughout are not
     looked at. Null and empty texts have none.
     """
-    return _once(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda words: _forms(words, known))
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda words: _forms(words, known))
 
 
 def _forms(words: Column, known: list[str] | None) -> Column:

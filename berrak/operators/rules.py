@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
+from berrak.functions.arrays import let
 from berrak.functions.numerals import NUMBER_WORDS, is_numeral, numeral_value, possessive
 from berrak.functions.turkish import MONTHS, WEEKDAYS, is_upper_word, quote, turkish_capitalize, turkish_lower
 from berrak.operators import asides, matching, morphology, names
@@ -133,11 +134,6 @@ def texts(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda x: x["t"]["token"]), " ")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def islands(of: Column, apart: Callable[[Column, Column], Column]) -> Column:
     """Numbered tokens as arrays, cut where two neighbours are apart; none without tokens."""
 

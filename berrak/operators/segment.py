@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berrak.functions import numbers
+from berrak.functions.arrays import let
 from berrak.functions.turkish import count_vowels, is_upper_word, normalize, spell_letters, turkish_lower
 from berrak.operators import morphology
 
@@ -74,7 +75,7 @@ MASKS = (lambda t: blanked(t, COMMENT), lambda t: blanked(t, LINK, f"{OPEN}$1{CL
 
 def mask_markup(text: Column) -> Column:
     """Comments, tags and the syntax of links become spaces; every other character keeps its place."""
-    return reduce(lambda t, mask: mask(t), MASKS, text)
+    return reduce(let, MASKS, text)
 
 
 def suppressed_ids(paragraph: Column) -> Column:
@@ -115,7 +116,7 @@ def marked_sentences(text: Column) -> Column:
     out = F.regexp_replace(out, "(^|[^\\p{L}])(\\p{Lu}|[IVX]{2,5})\\.", f"$1$2{STOP}")
     out = F.regexp_replace(out, f"([0-9])\\.(\\s+(?:{_NOUNS}))", f"$1{STOP}$2")
     out = F.regexp_replace(out, "([.!?…]+[\"')\\]]*)(\\s+)([\"'(\\[]*[\\p{Lu}0-9])", f"$1{CUT}$2$3")
-    return cut_lines(F.regexp_replace(out, f"(\n[ ]*{MARKER})", f"{CUT}$1"))
+    return let(F.regexp_replace(out, f"(\n[ ]*{MARKER})", f"{CUT}$1"), cut_lines)
 
 
 #: Words after which a sentence goes on in the next line, and words that begin an address; our own choice.
@@ -133,41 +134,47 @@ def cut_lines(marked: Column) -> Column:
     as sentences do, at most half as many as these don't and are no headings or items, and none goes on in small letters. Of the last kind, lines that
     end in a comma, semicolon or colon stay with the next. Lines without letters and digits are not looked at.
     """
-    lines = F.split(marked, "\n")
-    bare = F.filter(F.transform(lines, lambda x: F.trim(F.replace(x, F.lit(CUT), F.lit("")))), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{Nd}]")))
     opens = lambda x: F.rlike(x, F.lit("^[\"'(\\[]*[\\p{Lu}0-9]"))
-    item = lambda x: F.rlike(x, F.lit("^" + MARKER))
-    ends = lambda x: F.rlike(x, F.lit("[.!?…][\"')\\]]*$"))
-    waits = lambda x: F.rlike(x, F.lit("[,;:]$"))
-    words = lambda x: F.size(F.split(x, " +"))
-    joins = lambda x: F.rlike(x, F.lit("-$")) | turkish_lower(F.regexp_extract(x, "([^ ]+)$", 1)).isin(*CONNECTING)
+    words = lambda y: F.size(F.split(y["x"], " +"))
+    joins = lambda y: F.rlike(y["x"], F.lit("-$")) | turkish_lower(F.regexp_extract(y["x"], "([^ ]+)$", 1)).isin(*CONNECTING)
     count = lambda of, when: F.size(F.filter(of, when))
 
+    def told(x: Column) -> Column:
+        kinds = {"opens": opens(x), "item": F.rlike(x, F.lit("^" + MARKER)), "ends": F.rlike(x, F.lit("[.!?…][\"')\\]]*$")), "waits": F.rlike(x, F.lit("[,;:]$"))}
+        return F.struct(x.alias("x"), *[v.alias(k) for k, v in kinds.items()])
+
     def single(own: Column) -> Column:
-        alone = lambda x: item(x) | (opens(x) & ~waits(x) & ~joins(x) & (words(x) <= MOST_WORDS_A_LINE))
-        return (F.size(own) > 1) & F.forall(own, alone) & F.exists(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), lambda x: ~item(x) & ~ends(x))
+        alone = lambda y: y["item"] | (y["opens"] & ~y["waits"] & ~joins(y) & (words(y) <= MOST_WORDS_A_LINE))
+        unended = F.exists(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), lambda y: ~y["item"] & ~y["ends"])
+        return (F.size(own) > 1) & unended & F.forall(own, alone)
 
     def pasted(own: Column) -> Column:
-        told = F.transform(own, lambda x, k: F.struct(x.alias("x"), F.coalesce(opens(F.get(own, k + 1)) | item(F.get(own, k + 1)), F.lit(True)).alias("done")))
-        open_ = F.filter(told, lambda y: ~ends(y["x"]) & ~waits(y["x"]) & ~item(y["x"]))
-        plain = count(open_, lambda y: ~(opens(y["x"]) & (words(y["x"]) <= MOST_WORDS_A_HEADING)))
-        full = count(own, ends)
-        return (F.size(own) > 2) & (full > 1) & (plain * 2 <= full) & F.forall(open_, lambda y: y["done"])
+        begins = lambda y: y["opens"] | y["item"]
+        done = F.transform(own, lambda y, k: F.struct(y.alias("y"), F.coalesce(begins(F.get(own, k + 1)), F.lit(True)).alias("done")))
+        open_ = lambda y: ~y["ends"] & ~y["waits"] & ~y["item"]
+        plain = count(own, lambda y: open_(y) & ~(y["opens"] & (words(y) <= MOST_WORDS_A_HEADING)))
+        full = count(own, lambda y: y["ends"])
+        return (F.size(own) > 2) & let(full, lambda n: (n > 1) & (plain * 2 <= n)) & F.forall(done, lambda z: ~open_(z["y"]) | z["done"])
 
     def address(own: Column) -> Column:
         first = F.get(own, F.lit(0))
-        named = (words(first) <= 3) & F.rlike(first, F.lit("^\\p{Lu}[^ ]*(?: \\p{Lu}[^ ]*)*,$"))
-        known = (words(first) <= 5) & turkish_lower(F.regexp_extract(first, "^(\\p{Lu}\\p{L}*)", 1)).isin(*ADDRESSING)
-        return F.endswith(first, F.lit(",")) & (named | known) & F.coalesce(opens(F.get(own, F.lit(1))), F.lit(False))
+        named = (words(first) <= 3) & F.rlike(first["x"], F.lit("^\\p{Lu}[^ ]*(?: \\p{Lu}[^ ]*)*,$"))
+        known = (words(first) <= 5) & turkish_lower(F.regexp_extract(first["x"], "^(\\p{Lu}\\p{L}*)", 1)).isin(*ADDRESSING)
+        return F.endswith(first["x"], F.lit(",")) & (named | known) & F.coalesce(F.get(own, F.lit(1))["opens"], F.lit(False))
 
-    def cut(own: Column) -> Column:
-        every, greeted = single(own) | pasted(own), address(own)
+    def cut(lines: Column, verdict: Column) -> Column:
         # -1: the last line has no end to be marked
         last = F.size(lines) - 1
-        here = lambda x, k: (k < last) & ~F.endswith(x, F.lit(CUT)) & ((every & ~F.rlike(x, F.lit("[,;:] *$"))) | (greeted & (k == 0)))
-        return F.array_join(F.transform(lines, lambda x, k: F.when(here(x, k), F.concat(x, F.lit(CUT))).otherwise(x)), "\n")
+        here = lambda x, k: (k < last) & ~F.endswith(x, F.lit(CUT)) & ((verdict["every"] & ~F.rlike(x, F.lit("[,;:] *$"))) | (verdict["greeted"] & (k == 0)))
+        every = F.array_join(F.transform(lines, lambda x, k: F.when(here(x, k), F.concat(x, F.lit(CUT))).otherwise(x)), "\n")
+        return F.when(verdict["every"] | verdict["greeted"], every).otherwise(marked)
+
+    def judged(lines: Column) -> Column:
+        bare = F.filter(F.transform(lines, lambda x: F.trim(F.replace(x, F.lit(CUT), F.lit("")))), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{Nd}]")))
+        verdict = lambda own: F.struct((single(own) | pasted(own)).alias("every"), F.coalesce(address(own), F.lit(False)).alias("greeted"))
+        return let(let(F.transform(bare, told), verdict), lambda v: cut(lines, v))
 
-    return F.when(F.contains(marked, F.lit("\n")), F.get(F.transform(F.array(bare), cut), F.lit(0))).otherwise(marked)
+    return F.when(F.contains(marked, F.lit("\n")), let(F.split(marked, "\n"), judged)).otherwise(marked)
 
 
 def _placed(pieces: Column) -> Column:
@@ -239,24 +246,26 @@ def with_tokens(sents: DataFrame, analyse: bool = False) -> DataFrame:
     cut = sents.withColumn("pieces", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     solid = F.filter(F.transform("pieces", lambda x, k: F.struct(k.alias("k"), x.alias("token"))), lambda x: ~F.rlike(x["token"], F.lit("^\\s")))
     named = F.transform(solid, lambda x: F.struct(x["k"].alias("k"), x["token"].alias("token"), token_kind(x["token"]).alias("kind"), turkish_lower(x["token"]).alias("lower"), F.substring_index(x["token"], "'", 1).alias("base")))
-    cut = cut.withColumn("named", named)
-    words = F.filter("named", lambda x: x["kind"] == "word")
-    loud = F.size(F.filter(words, lambda x: (x["token"] != x["lower"]) & is_upper_word(x["token"])))
-    cut = cut.withColumn("shouting", loud >= F.greatest(F.lit(3), F.floor(F.size(words) * 0.6 + 0.5).cast("int")))
 
-    def told(x: Column) -> Column:
+    def shouting(own: Column) -> Column:
+        words = F.filter(own, lambda x: x["kind"] == "word")
+        loud = lambda w: F.size(F.filter(w, lambda x: (x["token"] != x["lower"]) & is_upper_word(x["token"])))
+        # without two capitals in a row no word is an abbreviation by its capitals, and nobody asks
+        return F.rlike("text", F.lit("\\p{Lu}[^\\p{L}]*\\p{Lu}")) & let(words, lambda w: loud(w) >= F.greatest(F.lit(3), F.floor(F.size(w) * 0.6 + 0.5).cast("int")))
+
+    def told(x: Column, loud: Column) -> Column:
         letters = F.length(F.regexp_replace(x["base"], "[^\\p{L}]", ""))
-        short = (x["token"] != x["lower"]) & is_upper_word(x["base"]) & letters.between(2, 6) & ~F.col("shouting")
+        short = (x["token"] != x["lower"]) & is_upper_word(x["base"]) & letters.between(2, 6) & ~loud
         return F.struct(*[x[c].alias(c) for c in ("k", "token", "kind", "lower", "base")], F.substring_index(x["lower"], "'", 1).alias("low"), ((x["kind"] == "word") & (F.contains(x["base"], F.lit(".")) | short)).alias("is_abbreviation"))
 
-    cut = cut.withColumn("named", F.transform("named", told))
     names = ("k", "token", "kind", "lower", "base", "low", "is_abbreviation")
 
     def whole(x: Column) -> Column:
         own = [x[c].alias(c) for c in names] + [syllables(x["token"], x["kind"], x["is_abbreviation"]).alias("syllables")]
         return F.struct(*own, *([morphology.analysis(F.when(x["kind"] == "word", x["low"]).otherwise("")).alias("m")] if analyse else []))
 
-    return cut.withColumn("toks", F.transform("named", whole)).drop("named", "shouting")
+    judged = lambda own: let(shouting(own), lambda loud: F.transform(own, lambda x: told(x, loud)))
+    return cut.withColumn("toks", F.transform(let(named, judged), whole))
 
 
 def tokens(sents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from berrak.functions.arrays import let
 from berrak.functions.numerals import is_numeral, number_words, numeral_value, possessive
 from berrak.operators import facts as facts_
 from berrak.operators import findings as findings_
@@ -231,9 +232,9 @@ def bent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aside_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every sentence of the Turkish documents stand in brackets and in quotation marks, and how deep brackets go."""
-    rows = _turkish(spark, sf_dir).withColumns({"b": asides_.brackets(F.col("toks")), "q": asides_.quotations(F.col("toks"))})
-    inside = lambda s: F.size(F.filter(F.transform("toks", lambda x, i: (x["kind"] == "word") & asides_.within(s, i)), lambda x: x))
-    return rows.select(*SENT, F.col("b.deepest").alias("deepest"), inside(F.col("b.done")).alias("n_bracketed"), inside(F.col("q")).alias("n_quoted"))
+    rows = _turkish(spark, sf_dir).withColumn("b", asides_.brackets(F.col("toks")))
+    inside = lambda own: F.size(F.filter("toks", lambda x, i: (x["kind"] == "word") & asides_.within(own, i)))
+    return rows.select(*SENT, F.col("b.deepest").alias("deepest"), let(F.col("b.done"), inside).alias("n_bracketed"), let(asides_.quotations(F.col("toks")), inside).alias("n_quoted"))
 
 
 def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
