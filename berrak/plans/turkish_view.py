@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berrak.functions.arrays import let
+
 SHARE = 60
 SENTENCES = [
     "Köye yirmi beş fidan geldi.", "Oraya yirmi otuz kişi geldi.", "Bize iki yüz elli dört koli verdiler.", "Depoda bir milyon üç yüz bin tuğla var.", "Üç dört yüz metre yürüdük.", "Bin beş yüz kişi yarışa katıldı.", "Sekiz kişi evde kaldı.", "On bir gün sonra döndük.", "Kırk yedi, elli altı diye saydı.",
@@ -25,8 +27,12 @@ BENT = {
 
 
 def turkish_text(doc_id: Column, text: Column) -> Column:
-    """The Turkish text of a document. A null text counts as empty."""
-    n = F.length(F.coalesce(text, F.lit("")))
+    """The Turkish text of a document. A null text counts as empty. Its length is worked out once, not for every sentence."""
+    return let(F.length(F.coalesce(text, F.lit(""))), lambda n: _dealt(doc_id, n))
+
+
+def _dealt(doc_id: Column, n: Column) -> Column:
+    """The sentences of a document of n characters."""
     several = F.sequence(F.lit(0), F.floor(n / SHARE).cast("int"))
     which = lambda k: (F.pmod(doc_id * 31 + n + k.cast("long") * 7, F.lit(len(SENTENCES))) + 1).cast("int")
     said = lambda k: F.concat(F.when(k == 0, "").when(k % 5 == 0, "\n\n").otherwise(" "), F.element_at(F.array(*map(F.lit, SENTENCES)), which(k)))

@@ -5,6 +5,7 @@ import pyspark.sql.functions as F
 from berrak.operators import matching, morphology, rules, segment
 from berrak.plans.config import load_profile
 from berrak.plans.queries import LEXICON, QUERIES
+from berrak.plans.turkish_view import SENTENCES, turkish_documents
 
 NONE = {"kisaltmalar": [], "jargon": [], "es_anlamlilar": [], "dolayli_hitap": []}
 
@@ -72,3 +73,13 @@ def test_rules_about_text_alone_read_no_tokens(spark):
 
 def test_matches_are_written_once_for_terms(spark, sf_dir):
     assert plan(QUERIES["term_consistency"](spark, sf_dir)).count("documents.parquet") == 0
+
+
+def test_a_document_is_measured_once_for_its_turkish_text(spark):
+    docs = spark.createDataFrame([(3, "x" * 150), (4, None)], "doc_id long, text string")
+    got = turkish_documents(docs)
+    lambdas = got._jdf.queryExecution().analyzed().toString()
+    assert lambdas.count("length(coalesce(text") == 1
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts[4] == SENTENCES[4 * 31 % len(SENTENCES)]
+    assert texts[3] == " ".join(SENTENCES[(3 * 31 + 150 + k * 7) % len(SENTENCES)] for k in range(3))
