@@ -19,7 +19,8 @@ of the whole corpus would live in one place, so the corpus is cut by content:
 
 Contexts of anchors with more than ``hot`` of them are dealt again by a second anchor: the ``fine``-byte
 strings with the smallest hash in each half of a window, in which equal windows agree too. A
-key whose contexts still don't fit is indexed part by part, in order; each part's first copies stay.
+key whose contexts still don't fit is worked on part by part, in order; each part's first copies stay as
+bytes, and those of them that share a singled-out part with a later one are indexed when it comes.
 """
 
 from __future__ import annotations
@@ -280,14 +281,16 @@ class Index:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, group: np.ndarray):
         n, m = len(data), len(offsets) - 1
-        string = np.repeat(np.arange(m), np.diff(offsets))
-        left = offsets[1:][string] - np.arange(n)
-        letters = group[string] * 256 + data
+        offsets, group = offsets.astype(np.int32), group.astype(np.int32)
+        string = np.repeat(np.arange(m, dtype=np.int32), np.diff(offsets))
+        left = offsets[1:][string] - np.arange(n, dtype=np.int32)
         suffixes = self._sorted(data, group[string], string, left, m)
+        letters = group[string] * 256 + data
         at_start = left[suffixes] == np.diff(offsets)[string[suffixes]]
-        before = np.concatenate([letters[offsets[1:] - 1], np.where(at_start, -1, letters[np.maximum(suffixes - 1, 0)])])
+        before = np.concatenate([letters[offsets[1:] - 1], np.where(at_start, np.int32(-1), letters[np.maximum(suffixes - 1, 0)])])
         self.start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.letter, size = before[self.start], np.diff(np.concatenate([self.start, [n + m]]))
+        self.letter, size = before[self.start].astype(np.int64), np.diff(np.concatenate([self.start, [n + m]]))
+        del string, letters, at_start, before
         self.last = self.start + size - 1
         self.by = np.argsort(self.letter, kind="stable")
         self.keys = self.letter[self.by] * len(self.start) + self.by
@@ -297,34 +300,38 @@ class Index:
         rest = lambda rows: np.where(rows < m, 0, left[suffixes[np.maximum(rows - m, 0)]])
         self.first_at, self.first_left = place(self.start), rest(self.start)
         self.last_at, self.last_left = place(self.last), rest(self.last)
+        del suffixes, left
         self.sums = np.zeros(n + 1, U)
         np.cumsum((data.astype(U) + U(1)) * powers(BASE, n), out=self.sums[1:])
 
     @staticmethod
     def _sorted(data: np.ndarray, group: np.ndarray, string: np.ndarray, left: np.ndarray, m: int) -> np.ndarray:
-        """Suffixes in the order of their groups and bytes, by ranks of 8, 24, 72 ... bytes."""
+        """Suffixes in the order of their groups and bytes, by ranks of 8, 24, 72 ... bytes; by 8, 16, 32 ... where
+        three ranks are too long for 63 bits."""
         n = len(data)
-        padded = np.concatenate([data.astype(U), np.zeros(8, U)])
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
         key = np.zeros(n, U)
         for k in range(8):
-            key = (key << U(8)) | np.where(left > k, padded[k : k + n], U(0))
+            key <<= U(8)
+            key |= np.where(left > k, padded[k : k + n], np.uint8(0))
         order = np.argsort(key)
         small = group.astype(np.int16) if group.max(initial=0) < 1 << 15 else group
         order = order[np.argsort(small[order], kind="stable")]
         new = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (small[order][1:] != small[order][:-1])])
         size, bits = 8, np.int64(max(1, (n + m).bit_length()))
+        hops = (1, 2) if 3 * bits <= 63 else (1,)
         while not new[1:].all():
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            key = rank
-            for hop in (size, 2 * size):
-                there = np.minimum(np.arange(n) + hop, n - 1)
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32)
+            key = rank.astype(np.int64)
+            for hop in (size * x for x in hops):
                 # Past its end a suffix is told apart by the number of its string.
-                key = (key << bits) | np.where(left > hop, rank[there] + m, string)
+                key <<= bits
+                key |= np.where(left > hop, rank[np.minimum(np.arange(n, dtype=np.int32) + hop, n - 1)] + m, string)
             order = np.argsort(key)
             new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-            size *= 3
-        return order
+            size *= 1 + len(hops)
+        return order.astype(np.int32)
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes agree from two places on, at most ``most``; by hashes and halving."""
@@ -396,6 +403,16 @@ def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
     return have[np.minimum(np.searchsorted(have, values), len(have) - 1)] == values
 
 
+@dataclass(frozen=True)
+class Copies:
+    """Strings of one key with their signs and the strings that hold these (see ``Repeats._signs``)."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    sign: np.ndarray
+    signed: np.ndarray
+
+
 class Repeats:
     """Which windows of strings, given by key and in their order, equal earlier ones of their key."""
 
@@ -411,19 +428,31 @@ class Repeats:
         again = np.zeros(len(key), bool)
         again[order[1:]] = (content[order[1:]] == content[order[:-1]]) & (self.group[order[1:]] == self.group[order[:-1]])
         self._mark(np.flatnonzero(again), None, None)
-        self.sign, self.signed = self._signs()
+        self.sign, self.signed, self.first, self.last = self._signs()
 
-    def _signs(self) -> tuple[np.ndarray, np.ndarray]:
+    def _signs(self) -> tuple[np.ndarray, ...]:
         """Parts of five sixths of a window's length that have the smallest hash in some window, as hashes with
-        their groups, and the strings that hold them. Strings without a common one share no window."""
+        their groups, the strings that hold them, and the first and last of these windows. Strings without a common one share no window."""
         size = self.length * 5 // 6
         grams = mix(string_hashes(self.data, size)[0])
         n = len(self.data) - self.length + 1
-        string = np.repeat(np.arange(len(self.open)), np.diff(self.offsets))[:n]
-        at = np.flatnonzero(self.offsets[1:][string] - np.arange(n) >= self.length)
+        string = np.repeat(np.arange(len(self.open), dtype=np.int32), np.diff(self.offsets))[:n]
+        at = np.flatnonzero(self.offsets[1:].astype(np.int32)[string] - np.arange(n, dtype=np.int32) >= self.length)
         place, own = _least(grams, self.length - size + 1)[at], string[at]
+        del string
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])]))
-        return mix(grams[place[new]] + mix(self.group[own[new]].astype(U))), own[new]
+        return mix(grams[place[new]] + mix(self.group[own[new]].astype(U))), own[new], at[new], at[np.concatenate([new[1:], [len(at)]]) - 1]
+
+    def _marks(self) -> np.ndarray:
+        """How many windows are found before each place."""
+        marks = np.zeros(len(self.found) + 1, np.int32)
+        np.cumsum(self.found, dtype=np.int32, out=marks[1:])
+        return marks
+
+    def _wanted(self) -> np.ndarray:
+        """The signs of windows that are not found yet. The first copy of a window never is, so that others need not be looked for or in."""
+        marks = self._marks()
+        return np.flatnonzero(marks[self.last + 1] - marks[self.first] <= self.last - self.first)
 
     def _mark(self, rows: np.ndarray, at: np.ndarray | None, hit: np.ndarray | None) -> None:
         """Marks windows of some strings: those at ``at[hit]``, or all."""
@@ -433,24 +462,27 @@ class Repeats:
             _, new, at = _taken(self.data, self.offsets, rows)
             hit = np.repeat(new[1:], np.diff(new)) - np.arange(len(at)) >= self.length
         self.found[at[hit]] = True
-        marks = np.concatenate([[0], np.cumsum(self.found)])
+        marks = self._marks()
         self.open[rows] = np.diff(self.offsets)[rows] - self.length + 1 - (marks[self.offsets[rows + 1]] - marks[self.offsets[rows]])
 
     def _stream(self, index: Index, rows: np.ndarray, group: np.ndarray) -> None:
         data, offsets, at = _taken(self.data, self.offsets, rows)
         self._mark(rows, at, index.match(data, offsets, group) >= self.length)
 
-    def among_earlier(self, index: Index) -> None:
-        """Marks what stands in an index of earlier strings of the first key."""
-        rows = np.flatnonzero((self.open > 0) & (self.group == 0))
+    def among_earlier(self, copies: Copies) -> None:
+        """Marks what stands in earlier strings of the first key."""
+        k = self._wanted()
+        k = k[self.group[self.signed[k]] == 0]
+        rows = np.unique(self.signed[k][_among(self.sign[k], copies.sign)])
         if len(rows):
-            self._stream(index, rows, np.zeros(len(rows), np.int64))
+            data, offsets, _ = _taken(copies.data, copies.offsets, np.unique(copies.signed[_among(copies.sign, self.sign[k])]))
+            self._stream(Index(data, offsets, np.zeros(len(offsets) - 1, np.int64)), rows, np.zeros(len(rows), np.int64))
 
     def among_themselves(self) -> None:
         """Later halves against earlier ones, then halves of these, of all keys at once."""
         for bit in reversed(range(int(self.rank.max(initial=0)).bit_length())):
             block, late = self.rank >> (bit + 1), (self.rank >> bit & 1).astype(bool)
-            k = np.flatnonzero(self.open[self.signed] > 0)
+            k = self._wanted()
             own = self.signed[k]
             sign, half = self.sign[k] + mix(block[own].astype(U)), late[own]
             met = np.zeros(len(self.open), bool)
@@ -463,13 +495,14 @@ class Repeats:
                 data, offsets, _ = _taken(self.data, self.offsets, rows[early])
                 self._stream(Index(data, offsets, number[early]), rows[~early], number[~early])
 
-    def first_copies(self) -> Index | None:
-        """An index of the strings that have windows of their own."""
+    def first_copies(self) -> Copies | None:
+        """The strings that have windows of their own."""
         rows = np.flatnonzero(self.open > 0)
         if not len(rows):
             return None
         data, offsets, _ = _taken(self.data, self.offsets, rows)
-        return Index(data, offsets, np.zeros(len(rows), np.int64))
+        k = self._wanted()
+        return Copies(data, offsets, self.sign[k], np.searchsorted(rows, self.signed[k]))
 
 
 def _span_rows(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch | None:
@@ -499,12 +532,13 @@ class Task:
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.bytes = 0
         self.key: int | None = None
-        self.earlier: list[Index] = []
+        self.earlier: list[Copies] = []
 
     def add(self, key: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(offsets)
         for a, b in self._parts(key, offsets):
-            if self.bytes and self.bytes + offsets[b] - offsets[a] > self.s.index_bytes:
+            # Twice where the key that goes on was kept.
+            while self.bytes and self.bytes + offsets[b] - offsets[a] > self.s.index_bytes:
                 yield from self.flush(key[a])
             self.waiting.append((key[a:b], doc[a:b], tie[a:b], start[a:b].astype(np.int64), sizes[a:b], data[offsets[a] : offsets[b]]))
             self.bytes += int(offsets[b] - offsets[a])
@@ -520,7 +554,7 @@ class Task:
 
     def flush(self, following: int | None = None) -> Iterator[pa.RecordBatch]:
         """The repeated spans of what waits. ``following``: the key that comes next; if it is the last one here, that
-        key's first copies are indexed for what comes."""
+        key's first copies are kept for what comes."""
         if not self.waiting:
             return
         key, doc, tie, start, sizes, data = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
@@ -536,13 +570,13 @@ class Task:
         if key[0] != self.key:
             self.earlier = []
         repeats = Repeats(key, data, offsets, self.s.length)
-        for index in self.earlier:
-            repeats.among_earlier(index)
+        for copies in self.earlier:
+            repeats.among_earlier(copies)
         repeats.among_themselves()
         if goes_on:
             self.key = int(key[0])
-            if (index := repeats.first_copies()) is not None:
-                self.earlier.append(index)
+            if (copies := repeats.first_copies()) is not None:
+                self.earlier.append(copies)
         at = np.flatnonzero(repeats.found)
         own = np.searchsorted(offsets, at, "right") - 1
         place = start[own] + at - offsets[own]

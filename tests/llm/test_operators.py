@@ -359,6 +359,28 @@ def test_repeats_of_one_task_equal_brute_force(size):
     assert got == want
 
 
+def test_large_indexes_and_keys_of_many_parts():
+    """An index of more rows than three ranks of 21 bits can tell apart, and a key longer than an index may be."""
+    r = np.random.default_rng(2)
+    line = r.integers(97, 101, 110).astype(np.uint8)
+    rows = [np.concatenate([r.integers(97, 101, 60 + k % 7).astype(np.uint8), line, r.integers(97, 101, 60).astype(np.uint8)]) for k in range(21_000)]
+    for k in range(18_000, 21_000, 3):
+        rows[k] = np.concatenate([rows[k][:50], rows[k - 17_000][:150]])
+    offsets, data = np.cumsum([0, *map(len, rows)]), np.concatenate(rows)
+    index = run_length_index.Index(data, offsets, np.zeros(len(rows), np.int64))
+    got = index.match(data[: offsets[500]], offsets[:501], np.zeros(500, np.int64))
+    assert len(data) > 1 << 21 and got.tolist() == [n for x in rows[:500] for n in range(len(x), 0, -1)]
+    task, seen, want = run_length_index.Task(run_length_index.Settings(index_bytes=1_500_000)), set(), set()
+    for doc, x in enumerate(map(bytes, rows)):
+        own = {x[p : p + 100]: p for p in range(len(x) - 99)}
+        want |= {(doc, p + j) for w, p in own.items() if w in seen for j in range(100)}
+        seen.update(own)
+    ids, none = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    out = [*task.add(none, ids, none, none, offsets, data), *task.flush()]
+    assert len(task.earlier) > 1
+    assert {(d, p) for b in out for d, a, e in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) for p in range(a, e)} == want
+
+
 def test_repeats_within_odd_rows(spark):
     """Null ids and texts, rows given twice, ids given twice, and a long text worked on in pieces."""
     r = random.Random(3)
