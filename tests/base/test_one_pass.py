@@ -4,9 +4,10 @@ import re
 
 import pyspark.sql.functions as F
 
-from berrak.operators import morphology, readability, rules, segment, words
+from berrak.operators import matching, morphology, readability, rules, segment, words
 from berrak.plans import queries
 from berrak.plans.auditor import Audit
+from berrak.plans.config import load_lexicon, load_profile
 from tests.base.test_audit import CASES
 from tests.base.test_growth import plan
 
@@ -67,3 +68,32 @@ def test_of_equal_places_one_finding_stays(spark):
         assert [(r.doc_id, r.message, r.confidence) for r in Audit(docs).findings.where("rule_id = 'KD-X01'").collect()] == [(1, "c", 0.9)]
     finally:
         del rules.RULES["KD-X01"]
+
+
+def test_phrase_beginnings_are_told_with_the_tokens(spark):
+    """Phrases found from the words that begin as they do are those found from all words."""
+    lexicon = load_lexicon(queries.LEXICON)
+    texts = ODD + [t for _, t, _ in CASES] + ["Müracaat, MÜRACAATINIZ ve ikâmet etmektedir; arz ederim of the, in the and y.", "the the of the und"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    few = matching.few(matching.lexicon_entries(spark, lexicon))
+    told = words.told(segment.sentences(docs), matching.beginnings(few))
+    for r in told.collect():
+        assert [(b["at"], matching.beginnings(few)[b["of"]]) for b in r.begun] == [(i, k[:3]) for i, k in enumerate(r.keys) if k[:3] in matching.beginnings(few)]
+    key = lambda rows: sorted(str(r) for r in rows)
+    met = told.select("doc_id", "para_idx", "sent_no", F.explode(matching.phrases(few)).alias("m")).select("doc_id", "para_idx", "sent_no", "m.*").collect()
+    assert len(met) > 10 and key(met) == key(matching.matches(told.drop("is_heading"), matching.lexicon_entries(spark, lexicon)).collect())
+
+
+def test_what_patterns_hold_is_looked_for_first(spark):
+    """Indirect address is the same with and without the letters that its matches hold, in any case."""
+    own = load_lexicon(None)
+    bare = {**own, "dolayli_hitap": [x["desen"] for x in own["dolayli_hitap"]]}
+    said = [
+        "İlgililere saygıyla duyurulur.", "Arz olunur ya da talep olunmaktadır.", "Gelmeniz gerekmektedir.", "Vatandaşlarımızın bilgisine.", "Tarafınızca yapılır.", "İlgililerin dikkatine.", "Bu zorunludur.", "O mecburidir.", "Onlar yükümlüdürler.",
+        "Biz zorundadırlar dedik.", "Zorunluluğu vardır.", "Hak sahiplerinin yeri.", "Başvuru sahibinin adı.", "Vatandaşlarımız geldi.", "Müşterilerimizin sesi.", "Üyelerimiz ve yolcularımızın yolu.", "Öğrencilerimiz okudu.", "Telefon 0312 444 55 66.",
+    ]
+    upper = [x.replace("i", "İ").replace("ı", "I").upper() for x in said] + [x.upper() for x in said] + [x.replace("ı", "i") for x in said] + [x.replace("s", "ſ").replace("k", "\u212a") for x in said]
+    docs = spark.createDataFrame(list(enumerate(said + upper)), "doc_id long, text string")
+    found = lambda lexicon: sorted((r.doc_id, r.start, r.text) for r in rules.audit(rules.tables(docs, load_profile("kolay-dil"), lexicon, ["KD-C11"]), ["KD-C11"]).collect())
+    assert all(x.get("iz") for x in own["dolayli_hitap"])
+    assert found(own) == found(bare) and {i for i, *_ in found(own)} >= set(range(17))
